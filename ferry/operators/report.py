@@ -15,7 +15,8 @@ def count_rows(df: DataFrame, name: str = "count") -> DataFrame:
 
 def count_lines(spark, paths: list[str], name: str = "count") -> DataFrame:
     """Fast count: raw lines, no parsing."""
-    return spark.read.text(paths).agg(F.count(F.lit(1)).alias(name))
+    from ferry.sources.readers import literals
+    return spark.read.text(literals(paths)).agg(F.count(F.lit(1)).alias(name))
 
 
 def profile(df: DataFrame, user_col: str = "user_id", event_col: str = "event") -> DataFrame:

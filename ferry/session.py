@@ -28,7 +28,8 @@ def get_session(master: str | None = None, app_name: str = "ferry",
     if master:
         builder = builder.master(master)
         if master.startswith("local"):
-            builder = builder.config("spark.ui.enabled", "false")
+            builder = builder.config("spark.ui.enabled", "false") \
+                             .config("spark.ui.showConsoleProgress", "false")
     for k, v in {**BASE_CONF, **(conf or {})}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()

@@ -4,7 +4,8 @@ A single file is taken as given. A local or HDFS folder is listed
 recursively with Spark's own file index (the ``binaryFile`` source with the
 ``content`` column pruned, so only names and sizes are read; large trees are
 listed in parallel). A cloud prefix is globbed one level deep, as in the
-reference. Extensions are matched ignoring case.
+reference. Extensions are matched ignoring case. Zero-length files are
+skipped (they hold no rows; Spark's file index cuts no split for them).
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from ferry.functions.formats import (COMPRESSION_EXTENSIONS, INPUT_EXTENSIONS,
                                      file_format, is_data_file)
 from ferry.functions.names import is_cloud, output_base_name
 from ferry.sinks.fs import FileInfo, HadoopFS
+from ferry.sources.readers import literal
 
 _DATA_RE = (r"(?i)\.(" + "|".join(INPUT_EXTENSIONS) + r")(\.(" +
             "|".join(COMPRESSION_EXTENSIONS) + r"))?$")
@@ -76,7 +78,7 @@ def find_input_files(spark: SparkSession, path: str) -> Catalogue:
     elif fs.is_dir(path):
         listing = (spark.read.format("binaryFile")
                    .option("recursiveFileLookup", "true")
-                   .load(path)
+                   .load(literal(path))
                    .select("path", "length")
                    .where(F.col("path").rlike(_DATA_RE))
                    .orderBy("path"))

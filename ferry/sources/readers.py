@@ -50,8 +50,21 @@ class ReadOptions:
     json_key_order: str = "first_seen"  # or "inferred"
 
 
+GLOB_CHARS = "\\*?[]{}"
+
+
+def literal(path: str) -> str:
+    """Escape glob characters so Spark reads exactly this file (``data*x.csv``)."""
+    return "".join("\\" + ch if ch in GLOB_CHARS else ch for ch in path)
+
+
+def literals(paths: list[str]) -> list[str]:
+    return [literal(p) for p in paths]
+
+
 def read_files(spark: SparkSession, paths: list[str], options: ReadOptions | None = None,
                tag: bool = False, kind: str | None = None) -> DataFrame:
+    """Read these files (exact names, never globs) as one DataFrame."""
     opts = options or ReadOptions()
     if not paths:
         raise ValueError("no input files")
@@ -63,7 +76,7 @@ def read_files(spark: SparkSession, paths: list[str], options: ReadOptions | Non
         return _text(spark, paths, tag)
     if k == "parquet":
         _check_parquet(spark, paths)
-        return _tagged(spark.read.parquet(*paths), tag)
+        return _tagged(spark.read.parquet(*literals(paths)), tag)
     if k == "csv":
         return _csv(spark, paths, ",", opts, tag, by_name=True)
     if k == "tsv":
@@ -87,7 +100,7 @@ def _tagged(df: DataFrame, tag: bool) -> DataFrame:
 
 
 def _text(spark: SparkSession, paths: list[str], tag: bool) -> DataFrame:
-    df = spark.read.text(paths).withColumnRenamed("value", "line")
+    df = spark.read.text(literals(paths)).withColumnRenamed("value", "line")
     return _tagged(df, tag)
 
 
@@ -119,7 +132,13 @@ def _csv(spark: SparkSession, paths: list[str], sep: str, opts: ReadOptions, tag
                   .option("mode", "PERMISSIVE"))
         if opts.sampling_ratio < 1.0:
             reader = reader.option("samplingRatio", str(opts.sampling_ratio))
-        return _tagged(widen_ints(reader.csv(group)), tag)
+        if opts.csv_multiline and any(ch in p for p in group for ch in GLOB_CHARS):
+            # Spark's multi-line CSV inference re-lists the files with glob
+            # escapes dropped; infer line by line, then read with that schema.
+            schema = reader.option("multiLine", "false").csv(literals(group)).schema
+            reader = reader.option("multiLine", "true").option("inferSchema", "false") \
+                           .schema(schema)
+        return _tagged(widen_ints(reader.csv(literals(group))), tag)
 
     if not by_name or len(paths) == 1:
         return read(paths)
@@ -147,7 +166,7 @@ def _json(spark: SparkSession, paths: list[str], opts: ReadOptions, tag: bool) -
                   .option("multiLine", "true" if multiline else "false"))
         if opts.sampling_ratio < 1.0:
             reader = reader.option("samplingRatio", str(opts.sampling_ratio))
-        df = reader.json(group)
+        df = reader.json(literals(group))
         if CORRUPT in df.columns:
             df = df.drop(CORRUPT)
         if not multiline and opts.json_key_order == "first_seen" and len(df.columns) > 1:
@@ -175,7 +194,7 @@ def first_seen_keys(spark: SparkSession, paths: list[str]) -> list[str]:
     the earliest (file, split, line, position) per key. Only the key list —
     a schema's worth of rows — reaches the driver.
     """
-    lines = spark.read.text(paths).select(
+    lines = spark.read.text(literals(paths)).select(
         F.col("value"),
         F.col("_metadata.file_path").alias("f"),
         F.col("_metadata.file_block_start").alias("b"),
@@ -199,7 +218,7 @@ def _xml(spark: SparkSession, paths: list[str], opts: ReadOptions, tag: bool) ->
           .option("rowTag", row_tag)
           .option("mode", "PERMISSIVE")
           .option("ignoreSurroundingSpaces", "true")
-          .load(paths))
+          .load(literals(paths)))
     if CORRUPT in df.columns:
         df = df.drop(CORRUPT)
     return _tagged(widen_ints(df), tag)

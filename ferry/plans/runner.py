@@ -262,7 +262,7 @@ def _per_file_sql(js, job, cat, sql_text, sink_fmt, out_dir_for, name_for,
     fast = _fast_lines(job, cat)
 
     def one(f):
-        df = read_files(js.newSession(), [f.path], _read_options(job, fast))
+        df = read_files(job_session(js), [f.path], _read_options(job, fast))
         df = run_sql(df, sql_text)
         df, _ = apply_steps(df, job.steps, strict=job.strict)
         d = out_dir_for(f.path)

@@ -223,3 +223,19 @@ def test_steps_in_job_and_failure_policy(spark, tmp_path, out):
     with pytest.raises(Exception):
         run(spark, Job(input=d, format="ndjson", output=out + "/c", strict=True,
                        steps=({"select": {"field": "event", "op": "~", "value": 1}},)))
+
+
+def test_per_file_output_of_a_many_split_file_keeps_file_order(spark, tmp_path, out):
+    """A file cut into many splits is gathered to one writer and written in file order."""
+    f = str(tmp_path / "big.ndjson")
+    with open(f, "w") as fh:
+        for i in range(20000):
+            fh.write(f'{{"seq": {i}, "pad": "{"x" * 40}"}}\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        res = run(spark, Job(input=f, format="csv", output=out))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    body = lines(res.outputs[0].path)
+    assert body[0] == "seq,pad"
+    assert [int(x.split(",")[0]) for x in body[1:]] == list(range(20000))

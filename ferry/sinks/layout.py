@@ -11,10 +11,14 @@ replaced only after the write succeeded.
   are hash-partitioned by file so each output is written by one task.
 * chunks: additionally partitioned by chunk number; chunks have a fixed row
   count, so the hash partitioning by (file, chunk) cannot be skewed.
-* merged: one output file is one writer task by definition. Upstream work
-  stays parallel: ordered inputs go through a parallel range sort and are
-  concatenated in order by ``coalesce(1)``; unordered ones are shuffled to
-  one task with ``repartition(1)``.
+* text formats (CSV, TSV, NDJSON, raw lines; gzip or not): one output file
+  is assembled from parts written in parallel, in order (per input split,
+  no shuffle), by ``sinks.assemble`` — so no single task encodes a whole
+  file, whether it is a merge of everything or one huge input.
+* Parquet and XML single files (one footer / one root element) have one
+  writer task. Upstream work stays parallel: ordered inputs go through a
+  parallel range sort and are concatenated in order by ``coalesce(1)``;
+  unordered ones are shuffled to one task with ``repartition(1)``.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ from pyspark.sql import functions as F
 
 from ferry.functions.names import join
 from ferry.sinks import writers
+from ferry.sinks.assemble import assemble
 from ferry.sinks.fs import HadoopFS
 from ferry.sources.readers import SRC_BLOCK, SRC_FILE, SRC_POS
 
@@ -90,10 +95,69 @@ def is_globally_sorted(df: DataFrame) -> bool:
         return False
 
 
+def _parts_in(fs: HadoopFS, folder: str) -> list[str]:
+    """Part files under ``folder`` in order: by ``_src_block=`` value, then part number."""
+    out = []
+    entries = fs.list(folder)
+    for f in sorted((e for e in entries if e.is_dir and f"/{SRC_BLOCK}=" in e.path),
+                    key=lambda e: int(e.path.rsplit("=", 1)[1])):
+        out += _part_files(fs, f.path)
+    return out + _part_files(fs, folder)
+
+
+def _header_part(df: DataFrame, fmt: str, compressed: bool, stage: str) -> str | None:
+    """CSV/TSV header as its own small file (Spark's writer quotes the names)."""
+    if fmt not in ("csv", "tsv"):
+        return None
+    fs = HadoopFS(df.sparkSession)
+    empty = df.sparkSession.createDataFrame([], df.schema).coalesce(1)
+    folder = join(stage, "_header")
+    writers.writer(empty, fmt, compressed).save(folder)
+    return _part_files(fs, folder)[0]
+
+
+def _single_from_parts(df: DataFrame, fmt: str, target: str, compressed: bool,
+                       preserve_order: bool) -> Written:
+    """Text formats: parallel ordered parts, then one file by concatenation."""
+    spark = df.sparkSession
+    fs = HadoopFS(spark)
+    out_dir = target.rsplit("/", 1)[0] if "/" in target else "."
+    stage = _staging(fs, out_dir)
+    tagged = all(c in df.columns for c in (SRC_FILE, SRC_BLOCK, SRC_POS))
+    if tagged and preserve_order:
+        encoded = df.inputFiles()
+        keyed = (df.withColumn(FID, F.md5(F.col(SRC_FILE)))
+                 .sortWithinPartitions(FID, SRC_BLOCK, SRC_POS))
+        data = writers.prepare(keyed, fmt, keep=(SRC_BLOCK,))
+        header = _header_part(data.drop(FID, SRC_BLOCK), fmt, compressed, stage)
+        writers.writer(data, fmt, compressed, header=False) \
+            .partitionBy(FID, SRC_BLOCK).save(join(stage, "parts"))
+        by_key = {source_key(fs.uri_form(e)): e for e in encoded}
+        dirs = [d for d in fs.list(join(stage, "parts")) if d.is_dir and f"/{FID}=" in d.path]
+        dirs.sort(key=lambda d: by_key.get(d.path.rsplit("=", 1)[1], d.path))
+        parts = [p for d in dirs for p in _parts_in(fs, d.path)]
+    else:
+        ordered = df.orderBy(IDX) if IDX in df.columns and preserve_order else df
+        data = writers.prepare(ordered.drop(IDX) if IDX in ordered.columns else ordered, fmt)
+        header = _header_part(data, fmt, compressed, stage)
+        writers.writer(data, fmt, compressed, header=False).save(join(stage, "parts"))
+        # part numbers follow partition order, which is the sort order when sorted
+        parts = _part_files(fs, join(stage, "parts"))
+    assemble(spark, [(target, parts)], prefix=header)
+    fs.delete(stage)
+    return Written(None, None, target)
+
+
 def write_single(df: DataFrame, fmt: str, target: str, compressed: bool = False,
                  xml_root: str = "root", xml_row: str = "row",
                  preserve_order: bool = True) -> Written:
-    """Write everything to one file at ``target`` (replacing it)."""
+    """Write everything to one file at ``target`` (replacing it).
+
+    Text formats are assembled from parts written in parallel; Parquet and
+    XML (a file is one footer / one root element) have one writer task.
+    """
+    if fmt in writers.CONCAT_FORMATS:
+        return _single_from_parts(df, fmt, target, compressed, preserve_order)
     spark = df.sparkSession
     fs = HadoopFS(spark)
     out_dir = target.rsplit("/", 1)[0] if "/" in target else "."
@@ -160,7 +224,11 @@ def write_per_source(df: DataFrame, fmt: str, out_dir: str, name_for, sizes: lis
     in_split_order = [c for c in (SRC_BLOCK, SRC_POS) if c in df.columns]
     order = [FID] + ([CHUNK, IDX] if chunked else in_split_order)
     direct_scan = len(in_split_order) == 2
-    if chunked or not direct_scan or not one_task_per_file(spark, sizes, splittable):
+    whole_files = direct_scan and one_task_per_file(spark, sizes, splittable)
+    if not chunked and not whole_files and fmt in writers.CONCAT_FORMATS:
+        return _per_source_from_parts(keyed, fmt, out_dir, name_for, compressed, encoded,
+                                      direct_scan)
+    if chunked or not whole_files:
         keyed = keyed.repartition(*[F.col(c) for c in parts])
     keyed = keyed.sortWithinPartitions(*order)
     data = writers.prepare(keyed.drop(*[c for c in (IDX,) if c in keyed.columns]), fmt,
@@ -195,3 +263,37 @@ def write_per_source(df: DataFrame, fmt: str, out_dir: str, name_for, sizes: lis
     _move_all(fs, moves)
     fs.delete(stage)
     return sorted(written, key=lambda w: (w.source or "", w.chunk or 0))
+
+
+def _per_source_from_parts(keyed: DataFrame, fmt: str, out_dir: str, name_for,
+                           compressed: bool, encoded: list[str],
+                           direct_scan: bool) -> list[Written]:
+    """One output per input without a shuffle: every task writes its slice of
+    each file as a part (per split when the input is a plain scan, so parts
+    follow file order), and each output is the concatenation of its parts."""
+    spark = keyed.sparkSession
+    fs = HadoopFS(spark)
+    block = [SRC_BLOCK] if direct_scan else []
+    ordered = keyed.sortWithinPartitions(FID, *([SRC_BLOCK, SRC_POS] if direct_scan else []))
+    data = writers.prepare(ordered, fmt, keep=tuple(block))
+    stage = _staging(fs, out_dir)
+    header = _header_part(data.drop(FID, *block), fmt, compressed, stage)
+    writers.writer(data, fmt, compressed, header=False) \
+        .partitionBy(FID, *block).save(join(stage, "parts"))
+    by_key = {source_key(fs.uri_form(e)): fs.uri_to_path(e) for e in encoded}
+    plans, written = [], []
+    for fdir in fs.list(join(stage, "parts")):
+        if not fdir.is_dir or f"/{FID}=" not in fdir.path:
+            continue
+        source = by_key.get(fdir.path.rsplit("=", 1)[1])
+        if source is None:
+            raise OutputError(f"no input file for output {fdir.path}")
+        dst = join(out_dir, name_for(source, None))
+        plans.append((dst, _parts_in(fs, fdir.path)))
+        written.append(Written(source, None, dst))
+    targets = [t for t, _ in plans]
+    if len(set(targets)) != len(targets):
+        raise OutputError("several outputs would get the same name")
+    assemble(spark, plans, prefix=header)
+    fs.delete(stage)
+    return sorted(written, key=lambda w: w.source or "")

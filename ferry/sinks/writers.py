@@ -30,14 +30,19 @@ def prepare(df: DataFrame, fmt: str, keep: tuple[str, ...] = ()) -> DataFrame:
     return df
 
 
+# Formats whose files may be joined byte for byte (parts of one output).
+CONCAT_FORMATS = ("csv", "tsv", "ndjson", "jsonl", "json", "lines")
+
+
 def writer(df: DataFrame, fmt: str, compressed: bool = False,
-           xml_root: str = "root", xml_row: str = "row") -> DataFrameWriter:
+           xml_root: str = "root", xml_row: str = "row", header: bool = True) -> DataFrameWriter:
     w = df.write.mode("overwrite")
     codec = "gzip" if compressed else None
     if fmt == "parquet":
         return w.format("parquet").option("compression", codec or "snappy")
     if fmt in ("csv", "tsv"):
-        w = (w.format("csv").option("header", "true").option("escape", '"')
+        w = (w.format("csv").option("header", "true" if header else "false")
+             .option("escape", '"')
              .option("sep", "\t" if fmt == "tsv" else ","))
     elif fmt in ("ndjson", "jsonl", "json"):
         w = w.format("json").option("ignoreNullFields", "false")

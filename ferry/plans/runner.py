@@ -4,7 +4,8 @@ Stage order: scan → (columns + dedupe) or SQL → reshaping steps → sink.
 Modes:
 
 * analytical (SQL or count, no output format): all files as one relation;
-  the result is written once to ``query_result.csv`` and shown from there.
+  the result is written to ``query_result.csv``; ``JobResult.result`` is the
+  query's DataFrame (lazy: collecting it runs the query again).
 * preview: first N rows of the first file, nothing written.
 * merged (``single_file``): all files as one relation → one output file.
 * per file (default): one output per input file (or per chunk of N rows,
@@ -124,10 +125,8 @@ def _run_analytical(js, job: Job, cat: Catalogue, sql_text: str) -> JobResult:
     if job.prefix or job.suffix:
         name = names.build_output_filename("query_result", "csv", job.prefix, job.suffix)
     target = names.join(out_dir, name)
-    written = layout.write_single(result, "csv", target)
-    shown = js.read.option("header", "true").option("inferSchema", "true") \
-                   .option("multiLine", "true").option("escape", '"').csv(target)
-    return JobResult("analytical", [written], shown, warnings=list(job.warnings))
+    written = layout.write_single(result, "csv", target, input_bytes=cat.total_bytes)
+    return JobResult("analytical", [written], result, warnings=list(job.warnings))
 
 
 def _run_preview(js, job: Job, cat: Catalogue, sql_text: str | None) -> JobResult:
@@ -176,7 +175,8 @@ def _run_merged(js, job: Job, cat: Catalogue, sql_text: str | None) -> JobResult
     sink_fmt = "lines" if fast or (chain and chain.raw_lines) else fmt
     target = _merged_target(fs, job, cat, output_extension(fmt))
     _guard(fs, cat.paths, [target])
-    written = layout.write_single(df, sink_fmt, target, job.compressed, job.xml_root)
+    written = layout.write_single(df, sink_fmt, target, job.compressed, job.xml_root,
+                                  input_bytes=cat.total_bytes)
     return JobResult("merged", [written], warnings=list(job.warnings))
 
 
@@ -279,7 +279,7 @@ def _per_file_sql(js, job, cat, sql_text, sink_fmt, out_dir_for, name_for,
                 dlog = _deliver(df, job, transport, sleep)
         else:
             outs = [layout.write_single(df, sink_fmt, names.join(d, name_for(f.path, None)),
-                                        job.compressed, job.xml_root)]
+                                        job.compressed, job.xml_root, input_bytes=f.length)]
         return outs, dlog
 
     workers = max(1, min(job.parallel or 4, len(cat.files)))
@@ -321,7 +321,7 @@ def _write_log(js, job: Job, delivery_log: DataFrame) -> None:
     if job.log:
         out_dir = job.output or "."
         layout.write_single(materialised.orderBy("chunk", "attempt"), "ndjson",
-                            names.join(out_dir, "response-logs.json"))
+                            names.join(out_dir, "response-logs.json"), input_bytes=0)
 
 
 def explain_job(spark: SparkSession, job: Job, mode: str = "formatted") -> str:

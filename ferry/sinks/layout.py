@@ -37,6 +37,11 @@ from ferry.sinks.assemble import assemble
 from ferry.sinks.fs import HadoopFS
 from ferry.sources.readers import SRC_BLOCK, SRC_FILE, SRC_POS
 
+# Outputs fed by less input than this are written by one task (no assembly
+# jobs); above it, text outputs are assembled from parallel parts.
+ASSEMBLE_MIN_BYTES_CONF = "spark.ferry.assembleMinBytes"
+ASSEMBLE_MIN_BYTES = 256 << 20
+
 FID = "_fid"
 CHUNK = "_chunk"
 IDX = "_idx"
@@ -148,15 +153,22 @@ def _single_from_parts(df: DataFrame, fmt: str, target: str, compressed: bool,
     return Written(None, None, target)
 
 
+def assemble_min_bytes(spark: SparkSession) -> int:
+    return int(spark.conf.get(ASSEMBLE_MIN_BYTES_CONF, str(ASSEMBLE_MIN_BYTES)))
+
+
 def write_single(df: DataFrame, fmt: str, target: str, compressed: bool = False,
                  xml_root: str = "root", xml_row: str = "row",
-                 preserve_order: bool = True) -> Written:
+                 preserve_order: bool = True, input_bytes: int | None = None) -> Written:
     """Write everything to one file at ``target`` (replacing it).
 
-    Text formats are assembled from parts written in parallel; Parquet and
-    XML (a file is one footer / one root element) have one writer task.
+    Text formats fed by large inputs (``input_bytes`` ≥ the assemble
+    threshold; unknown counts as large) are assembled from parts written in
+    parallel; Parquet and XML (one footer / one root element) and small
+    outputs have one writer task.
     """
-    if fmt in writers.CONCAT_FORMATS:
+    large = input_bytes is None or input_bytes >= assemble_min_bytes(df.sparkSession)
+    if fmt in writers.CONCAT_FORMATS and large:
         return _single_from_parts(df, fmt, target, compressed, preserve_order)
     spark = df.sparkSession
     fs = HadoopFS(spark)
@@ -225,7 +237,8 @@ def write_per_source(df: DataFrame, fmt: str, out_dir: str, name_for, sizes: lis
     order = [FID] + ([CHUNK, IDX] if chunked else in_split_order)
     direct_scan = len(in_split_order) == 2
     whole_files = direct_scan and one_task_per_file(spark, sizes, splittable)
-    if not chunked and not whole_files and fmt in writers.CONCAT_FORMATS:
+    large = sum(sizes) >= assemble_min_bytes(spark)
+    if not chunked and not whole_files and large and fmt in writers.CONCAT_FORMATS:
         return _per_source_from_parts(keyed, fmt, out_dir, name_for, compressed, encoded,
                                       direct_scan)
     if chunked or not whole_files:

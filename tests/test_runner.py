@@ -239,3 +239,75 @@ def test_per_file_output_of_a_many_split_file_keeps_file_order(spark, tmp_path,
     body = lines(res.outputs[0].path)
     assert body[0] == "seq,pad"
     assert [int(x.split(",")[0]) for x in body[1:]] == list(range(20000))
+
+
+@pytest.fixture
+def parts_path(spark):
+    """Force text outputs to be assembled from parallel parts."""
+    spark.conf.set("spark.ferry.assembleMinBytes", "0")
+    yield
+    spark.conf.unset("spark.ferry.assembleMinBytes")
+
+
+def test_parts_path_per_file_many_splits_in_order(spark, tmp_path, out, parts_path):
+    f = str(tmp_path / "big.ndjson")
+    with open(f, "w") as fh:
+        for i in range(20000):
+            fh.write(f'{{"seq": {i}, "pad": "{"y" * 40}"}}\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        res = run(spark, Job(input=f, format="csv", output=out, compressed=True))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    with gzip.open(_local(res.outputs[0].path), "rt") as fh:
+        body = fh.read().splitlines()
+    assert body[0] == "seq,pad"
+    assert [int(x.split(",")[0]) for x in body[1:]] == list(range(20000))
+
+
+def test_parts_path_merge_keeps_file_order_and_one_header(spark, tmp_path, parts_path):
+    d, n = _events_csv_dir(spark, tmp_path, n_files=3)
+    res = run(spark, Job(input=d, format="csv", single_file=True))
+    body = lines(res.outputs[0].path)
+    assert body[0] == "event_id,user_id,event" and body.count(body[0]) == 1
+    ids = [int(x.split(",")[0]) for x in body[1:]]
+    assert ids == sorted(ids) and len(ids) == n
+
+
+def test_parts_path_dedupe_per_file(spark, tmp_path, out, parts_path):
+    d, n = _events_csv_dir(spark, tmp_path, n_files=2)
+    res = run(spark, Job(input=d, format="ndjson", cols="user_id,event", dedupe=True,
+                         output=out))
+    assert len(res.outputs) == 2
+    for w in res.outputs:
+        recs = [tuple(json.loads(x).values()) for x in lines(w.path)]
+        assert len(recs) == len(set(recs)) > 0
+
+
+def test_parts_path_sql_order_kept_in_merge(spark, tmp_path, out, parts_path):
+    d, n = _events_csv_dir(spark, tmp_path, n_files=2)
+    res = run(spark, Job(input=d, format="ndjson", single_file=True, output=out + "/d.ndjson",
+                         sql="SELECT event_id FROM input_data ORDER BY event_id DESC"))
+    ids = [json.loads(x)["event_id"] for x in lines(res.outputs[0].path)]
+    assert ids == sorted(ids, reverse=True) and len(ids) == n
+
+
+def test_merge_of_a_single_file_is_honoured(spark, tmp_path):
+    f = write(str(tmp_path / "one.csv"), "a,b\n1,x\n2,y\n")
+    res = run(spark, Job(input=f, format="ndjson", single_file=True))
+    assert _local(res.outputs[0].path) == str(tmp_path / "one_merged.ndjson")
+    assert len(lines(res.outputs[0].path)) == 2
+
+
+def test_preview_pair_and_explain(spark, tmp_path):
+    from ferry.operators.preview import preview_pair
+    from ferry.plans.runner import explain_job
+    df = spark.read.parquet(f"{SF001}/events.parquet")
+    raw, after = preview_pair(df, [{"select": {"field": "event_type", "value": "view"}}])
+    assert raw.count() == 5 and after.count() <= 10
+    assert all(r.event_type == "view" for r in after.collect())
+    plan = explain_job(spark, Job(input=f"{SF001}/events.parquet", format="csv",
+                                  cols="user_id", sql=None,
+                                  steps=None))
+    assert "ReadSchema: struct<user_id:bigint>" in plan
+    assert "secret" not in plan.lower()

@@ -56,7 +56,13 @@ class JobResult:
 
 
 def _read_options(job: Job, fast: bool) -> ReadOptions:
-    return ReadOptions(xml_root=job.xml_root, fast=fast)
+    return ReadOptions(xml_root=job.xml_root, fast=fast, csv_multiline=job.csv_multiline)
+
+
+def _read(js, files, job: Job, fast: bool, tag: bool = False) -> DataFrame:
+    """Read catalogue entries (``FileInfo``) with the job's options."""
+    return read_files(js, [f.path for f in files], _read_options(job, fast), tag=tag,
+                      sizes={f.path: f.length for f in files})
 
 
 def _fast_lines(job: Job, cat: Catalogue) -> bool:
@@ -118,7 +124,7 @@ def _run_analytical(js, job: Job, cat: Catalogue, sql_text: str) -> JobResult:
     if job.count and fast:
         result = count_lines(js, cat.paths)
     else:
-        df = read_files(js, cat.paths, _read_options(job, fast))
+        df = _read(js, cat.files, job, fast)
         result = run_sql(df, sql_text)
     out_dir = job.output or "."
     name = "query_result.csv"
@@ -130,9 +136,8 @@ def _run_analytical(js, job: Job, cat: Catalogue, sql_text: str) -> JobResult:
 
 
 def _run_preview(js, job: Job, cat: Catalogue, sql_text: str | None) -> JobResult:
-    first = cat.paths[:1]
     fast = _fast_lines(job, cat)
-    df = read_files(js, first, _read_options(job, fast))
+    df = _read(js, cat.files[:1], job, fast)
     if sql_text:
         df = run_sql(df, sql_text)
     else:
@@ -169,7 +174,7 @@ def _run_merged(js, job: Job, cat: Catalogue, sql_text: str | None) -> JobResult
     cat.check_same_format()
     fs = HadoopFS(js)
     fast = _fast_lines(job, cat)
-    df = read_files(js, cat.paths, _read_options(job, fast), tag=True)
+    df = _read(js, cat.files, job, fast, tag=True)
     df, _ = stages(df, job, sql_text, per_file=False)
     chain = as_chain(job.steps)
     sink_fmt = "lines" if fast or (chain and chain.raw_lines) else fmt
@@ -180,11 +185,11 @@ def _run_merged(js, job: Job, cat: Catalogue, sql_text: str | None) -> JobResult
     return JobResult("merged", [written], warnings=list(job.warnings))
 
 
-def _splittable(kind_ext: str, paths: list[str], fast: bool) -> bool:
+def _splittable(kind_ext: str, paths: list[str], fast: bool, csv_multiline: bool = True) -> bool:
     """Can Spark cut one of these files into several splits?"""
     if any(compression_of(p) in ("gz", "zst") for p in paths):
         return False
-    if fast:
+    if fast or (kind_ext in ("csv", "tsv") and not csv_multiline):
         return True
     # CSV/TSV are read with multiLine (quoted newlines), JSON arrays likewise.
     return kind_ext in ("parquet", "ndjson", "jsonl", "xml")
@@ -225,7 +230,7 @@ def _run_per_file(js, job: Job, cat: Catalogue, sql_text: str | None,
         by_format.setdefault(file_format(f.path), []).append(f)
     for key, files in by_format.items():
         paths = [f.path for f in files]
-        df = read_files(js, paths, _read_options(job, fast), tag=True)
+        df = _read(js, files, job, fast, tag=True)
         inputs = df.inputFiles()
         df, in_order = stages(df, job, None, per_file=True)
         if job.rows > 0:
@@ -235,7 +240,7 @@ def _run_per_file(js, job: Job, cat: Catalogue, sql_text: str | None,
         if len(dirs) == 1:
             outputs += layout.write_per_source(
                 df, sink_fmt, dirs.pop(), name_for, [f.length for f in files],
-                _splittable(key, paths, fast), job.compressed, chunked=job.rows > 0,
+                _splittable(key, paths, fast, job.csv_multiline), job.compressed, chunked=job.rows > 0,
                 xml_root=job.xml_root, inputs=inputs)
         else:
             for d in sorted(dirs):
@@ -246,7 +251,7 @@ def _run_per_file(js, job: Job, cat: Catalogue, sql_text: str | None,
                 outputs += layout.write_per_source(
                     part, sink_fmt, d, name_for,
                     [f.length for f in files if f.path in sub],
-                    _splittable(key, sub, fast), job.compressed, chunked=job.rows > 0,
+                    _splittable(key, sub, fast, job.csv_multiline), job.compressed, chunked=job.rows > 0,
                     xml_root=job.xml_root, inputs=inputs)
         if job.url:
             logs.append(_deliver(df, job, transport, sleep))
@@ -262,7 +267,7 @@ def _per_file_sql(js, job, cat, sql_text, sink_fmt, out_dir_for, name_for,
     fast = _fast_lines(job, cat)
 
     def one(f):
-        df = read_files(job_session(js), [f.path], _read_options(job, fast))
+        df = _read(job_session(js), [f], job, fast)
         df = run_sql(df, sql_text)
         df, _ = apply_steps(df, job.steps, strict=job.strict)
         d = out_dir_for(f.path)
@@ -330,7 +335,7 @@ def explain_job(spark: SparkSession, job: Job, mode: str = "formatted") -> str:
     js = job_session(spark)
     cat = find_input_files(js, job.input)
     fast = _fast_lines(job, cat)
-    df = read_files(js, cat.paths, _read_options(job, fast))
+    df = _read(js, cat.files, job, fast)
     sql_text = read_sql_text(js, job.sql) if job.sql else (COUNT_SQL if job.count else None)
     df, _ = stages(df, job, sql_text, per_file=False)
     return df._jdf.queryExecution().explainString(

@@ -8,9 +8,11 @@ ours is choosing them:
   (Spark alone would apply one file's header to all of them by position).
 * TSV: the same with a tab; several files combine by position.
 * JSON: PERMISSIVE, so a malformed line stays as an all-NULL row and is
-  counted; schema union by name; ISO timestamps inferred. Columns are put
-  back in first-seen key order (Spark sorts inferred fields by name). A
-  ``.json`` file whose first character is ``[`` is read as one array.
+  counted; schema union by name over all rows; ISO timestamps inferred.
+  From a bounded sample (first 20,480 lines of the first files) columns are
+  put back in first-seen key order (Spark sorts inferred fields by name) and
+  date-only columns become DATE. A ``.json`` file whose first character is
+  ``[`` is read as one array.
 * XML: the reference names the *root* element; Spark wants the *row* tag,
   which is the first child element under that root.
 * Raw lines (fast mode): ``read.text`` as one ``line`` column.
@@ -27,6 +29,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ferry.functions.columns import col, widen_ints
 from ferry.functions.formats import compression_of, file_format, reader_kind, UnsupportedFormat
@@ -63,8 +66,12 @@ def literals(paths: list[str]) -> list[str]:
 
 
 def read_files(spark: SparkSession, paths: list[str], options: ReadOptions | None = None,
-               tag: bool = False, kind: str | None = None) -> DataFrame:
-    """Read these files (exact names, never globs) as one DataFrame."""
+               tag: bool = False, kind: str | None = None,
+               sizes: dict[str, int] | None = None) -> DataFrame:
+    """Read these files (exact names, never globs) as one DataFrame.
+
+    ``sizes`` (path → bytes, from the catalogue) bounds the JSON sample.
+    """
     opts = options or ReadOptions()
     if not paths:
         raise ValueError("no input files")
@@ -82,7 +89,7 @@ def read_files(spark: SparkSession, paths: list[str], options: ReadOptions | Non
     if k == "tsv":
         return _csv(spark, paths, "\t", opts, tag, by_name=False)
     if k == "json":
-        return _json(spark, paths, opts, tag)
+        return _json(spark, paths, opts, tag, sizes)
     if k == "xml":
         return _xml(spark, paths, opts, tag)
     raise UnsupportedFormat(f"Unsupported extension: {k}")
@@ -152,7 +159,8 @@ def _csv(spark: SparkSession, paths: list[str], sep: str, opts: ReadOptions, tag
     return out
 
 
-def _json(spark: SparkSession, paths: list[str], opts: ReadOptions, tag: bool) -> DataFrame:
+def _json(spark: SparkSession, paths: list[str], opts: ReadOptions, tag: bool,
+          sizes: dict[str, int] | None = None) -> DataFrame:
     array_files, line_files = [], []
     maybe_array = [p for p in paths if file_format(p) == "json"]
     heads = probe.heads(spark, maybe_array, nbytes=4096) if maybe_array else {}
@@ -169,11 +177,14 @@ def _json(spark: SparkSession, paths: list[str], opts: ReadOptions, tag: bool) -
         df = reader.json(literals(group))
         if CORRUPT in df.columns:
             df = df.drop(CORRUPT)
-        if not multiline and opts.json_key_order == "first_seen" and len(df.columns) > 1:
-            order = first_seen_keys(spark, group)
+        if not multiline and opts.json_key_order == "first_seen" and df.columns:
+            ts_cols = [f.name for f in df.schema.fields
+                       if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))]
+            order, dates = json_sample_facts(spark, group, ts_cols, sizes)
             known = [c for c in order if c in df.columns]
             rest = [c for c in df.columns if c not in known]
-            df = df.select([col(c) for c in known + rest])
+            df = df.select([F.to_date(col(c)).alias(c) if c in dates else col(c)
+                            for c in known + rest])
         return _tagged(df, tag)
 
     frames = []
@@ -187,24 +198,58 @@ def _json(spark: SparkSession, paths: list[str], opts: ReadOptions, tag: bool) -
     return out
 
 
-def first_seen_keys(spark: SparkSession, paths: list[str]) -> list[str]:
-    """Top-level JSON keys in the order they first appear across the files.
+# Rows of line-delimited JSON that decide key order and DATE columns; the
+# same bound DuckDB's JSON reader samples for its type detection.
+JSON_SAMPLE_ROWS = 20480
+JSON_SAMPLE_BYTES = 16 << 20
+DATE_RE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
+
+
+def _sample_files(paths: list[str], sizes: dict[str, int] | None) -> list[str]:
+    """The first files in path order holding about JSON_SAMPLE_BYTES."""
+    if not sizes:
+        return paths[:1]
+    out, total = [], 0
+    for p in sorted(paths):
+        out.append(p)
+        total += sizes.get(p, 0)
+        if total >= JSON_SAMPLE_BYTES:
+            break
+    return out
+
+
+def json_sample_facts(spark: SparkSession, paths: list[str], ts_cols: list[str],
+                      sizes: dict[str, int] | None = None) -> tuple[list[str], list[str]]:
+    """Key order (first seen) and date-only columns from a bounded sample.
 
-    One distributed pass: keys of each line with their position, reduced to
-    the earliest (file, split, line, position) per key. Only the key list —
-    a schema's worth of rows — reaches the driver.
+    The sample is the first JSON_SAMPLE_ROWS lines of the first files; keys
+    are ordered by their earliest (file, split, line, position). A timestamp
+    column counts as DATE when every sampled value is ``yyyy-mm-dd``. Both
+    come back as small aggregates; no sample rows reach the driver.
     """
-    lines = spark.read.text(literals(paths)).select(
-        F.col("value"),
-        F.col("_metadata.file_path").alias("f"),
-        F.col("_metadata.file_block_start").alias("b"),
-        F.monotonically_increasing_id().alias("m"),
-    ).where(F.ltrim(F.col("value")).startswith("{"))
+    lines = (spark.read.text(literals(_sample_files(paths, sizes)))
+             .select(F.col("value"),
+                     F.col("_metadata.file_path").alias("f"),
+                     F.col("_metadata.file_block_start").alias("b"),
+                     F.monotonically_increasing_id().alias("m"))
+             .where(F.ltrim(F.col("value")).startswith("{"))
+             .limit(JSON_SAMPLE_ROWS))
     keys = lines.select("f", "b", "m", F.posexplode(F.json_object_keys("value")).alias("p", "key"))
-    first = (keys.groupBy("key")
-             .agg(F.min(F.struct("f", "b", "m", "p")).alias("o"))
-             .orderBy("o"))
-    return [r.key for r in first.select("key").collect()]
+    order = [r.key for r in keys.groupBy("key")
+             .agg(F.min(F.struct("f", "b", "m", "p")).alias("o")).orderBy("o")
+             .select("key").collect()]
+    dates: list[str] = []
+    if ts_cols:
+        checks = []
+        for i, c in enumerate(ts_cols):
+            path = "$['" + c.replace("'", "") + "']"
+            v = F.get_json_object(F.col("value"), path)
+            checks += [F.sum(F.when(v.isNotNull(), 1).otherwise(0)).alias(f"n{i}"),
+                       F.sum(F.when(v.isNotNull() & ~v.rlike(DATE_RE), 1).otherwise(0))
+                       .alias(f"bad{i}")]
+        r = lines.agg(*checks).collect()[0]
+        dates = [c for i, c in enumerate(ts_cols) if (r[f"n{i}"] or 0) > 0 and not r[f"bad{i}"]]
+    return order, dates
 
 
 def _xml(spark: SparkSession, paths: list[str], opts: ReadOptions, tag: bool) -> DataFrame:

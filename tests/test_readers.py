@@ -160,3 +160,28 @@ def test_fast_mode_lines(spark, tmp_path):
     f = write(str(tmp_path / "l.ndjson"), '{"a": 1}\nnot json\n')
     df = read_files(spark, [f], ReadOptions(fast=True))
     assert df.columns == ["line"] and [r.line for r in df.collect()] == ['{"a": 1}', "not json"]
+
+
+def test_json_date_columns_narrowed_from_sample(spark, tmp_path):
+    f = write(str(tmp_path / "d.ndjson"),
+              '{"id": 1, "day": "2025-01-02", "ts": "2025-05-17T13:30:29.447Z"}\n'
+              '{"id": 2, "day": "2025-02-03", "ts": "2025-05-18"}\n')
+    df = read_files(spark, [f])
+    types = dict(df.dtypes)
+    assert types["day"] == "date" and types["ts"].startswith("timestamp")
+    assert df.columns == ["id", "day", "ts"]
+    assert [str(r.day) for r in df.orderBy("id").collect()] == ["2025-01-02", "2025-02-03"]
+
+
+def test_csv_without_multiline_is_splittable_job_option(spark, tmp_path):
+    from ferry import Job, run
+    f = write(str(tmp_path / "plain.csv"), "a,b\n" + "".join(f"{i},x{i}\n" for i in range(5000)))
+    out = str(tmp_path / "o")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        res = run(spark, Job(input=f, format="ndjson", output=out, csv_multiline=False))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    import json
+    got = [json.loads(x)["a"] for x in open(res.outputs[0].path.replace("file:", ""))]
+    assert got == list(range(5000))

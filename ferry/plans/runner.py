@@ -200,10 +200,6 @@ def _run_per_file(js, job: Job, cat: Catalogue, sql_text: str | None,
     fmt = job.out_format
     ext = output_extension(fmt)
     fs = HadoopFS(js)
-    collisions = cat.base_name_collisions()
-    if collisions:
-        pairs = "; ".join(", ".join(v) for v in collisions.values())
-        raise JobError(f"Error: several inputs would write the same output name: {pairs}")
     out_dir_for = (lambda src: job.output) if job.output else \
         (lambda src: src.rsplit("/", 1)[0])
     chain = as_chain(job.steps)
@@ -217,13 +213,26 @@ def _run_per_file(js, job: Job, cat: Catalogue, sql_text: str | None,
         return names.chunk_filename(base, chunk, ext, job.prefix, job.suffix, job.compressed)
 
     planned = [names.join(out_dir_for(p), name_for(p, None)) for p in cat.paths]
+    seen: dict[str, list[str]] = {}
+    for src, dst in zip(cat.paths, planned):
+        seen.setdefault(dst, []).append(src)
+    clashes = [v for v in seen.values() if len(v) > 1]
+    if clashes:
+        pairs = "; ".join(", ".join(v) for v in clashes)
+        raise JobError(f"Error: several inputs would write the same output name: {pairs}")
     _guard(fs, cat.paths, planned)
 
     if sql_text:
         return _per_file_sql(js, job, cat, sql_text, sink_fmt, out_dir_for, name_for,
                              transport, sleep)
 
-    # One Spark job over all files; formats may differ between files.
+    # One Spark job per input format (usually one), whatever the folders.
+    stage_root = job.output or (cat.root.rstrip("/") if cat.is_dir
+                                else names.default_output_dir(cat.root, False))
+
+    def dest_for(src: str, chunk: int | None) -> str:
+        return names.join(out_dir_for(src), name_for(src, chunk))
+
     outputs, logs = [], []
     by_format: dict[str, list] = {}
     for f in cat.files:
@@ -235,24 +244,10 @@ def _run_per_file(js, job: Job, cat: Catalogue, sql_text: str | None,
         df, in_order = stages(df, job, None, per_file=True)
         if job.rows > 0:
             df = chunking.add_chunks(df, job.rows, per_file=True, stable=in_order)
-        # Outputs go next to each input unless an output folder is given.
-        dirs = {out_dir_for(p) for p in paths}
-        if len(dirs) == 1:
-            outputs += layout.write_per_source(
-                df, sink_fmt, dirs.pop(), name_for, [f.length for f in files],
-                _splittable(key, paths, fast, job.csv_multiline), job.compressed, chunked=job.rows > 0,
-                xml_root=job.xml_root, inputs=inputs)
-        else:
-            for d in sorted(dirs):
-                sub = [p for p in paths if out_dir_for(p) == d]
-                keys = {layout.source_key(fs.uri_form(e)) for e in inputs
-                        if fs.uri_to_path(e) in set(sub)}
-                part = df.where(F.md5(F.col("_src_file")).isin(sorted(keys)))
-                outputs += layout.write_per_source(
-                    part, sink_fmt, d, name_for,
-                    [f.length for f in files if f.path in sub],
-                    _splittable(key, sub, fast, job.csv_multiline), job.compressed, chunked=job.rows > 0,
-                    xml_root=job.xml_root, inputs=inputs)
+        outputs += layout.write_per_source(
+            df, sink_fmt, stage_root, dest_for, [f.length for f in files],
+            _splittable(key, paths, fast, job.csv_multiline), job.compressed,
+            chunked=job.rows > 0, xml_root=job.xml_root, inputs=inputs)
         if job.url:
             logs.append(_deliver(df, job, transport, sleep))
     result = JobResult("per_file", outputs, warnings=list(job.warnings))
@@ -277,7 +272,8 @@ def _per_file_sql(js, job, cat, sql_text, sink_fmt, out_dir_for, name_for,
             df = chunking.add_chunks(df, job.rows, stable=False)
             tagged = df.withColumn("_src_file", F.lit(f.path))
             outs = layout.write_per_source(
-                tagged, sink_fmt, d, lambda s, c: name_for(f.path, c), [f.length], True,
+                tagged, sink_fmt, d, lambda s, c: names.join(d, name_for(f.path, c)),
+                [f.length], True,
                 job.compressed, chunked=True, xml_root=job.xml_root,
                 inputs=[_encoded(js, f.path)])
             if job.url:

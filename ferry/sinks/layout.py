@@ -216,13 +216,15 @@ def one_task_per_file(spark: SparkSession, sizes: list[int], splittable: bool) -
     return max(sizes, default=0) <= split_bytes(spark, sizes)
 
 
-def write_per_source(df: DataFrame, fmt: str, out_dir: str, name_for, sizes: list[int],
+def write_per_source(df: DataFrame, fmt: str, stage_root: str, dest_for, sizes: list[int],
                      splittable: bool, compressed: bool = False, chunked: bool = False,
                      xml_root: str = "root", xml_row: str = "row",
                      inputs: list[str] | None = None) -> list[Written]:
     """One output per input file (and per chunk when ``chunked``).
 
-    ``name_for(source_path, chunk_number_or_None)`` gives the output file name.
+    ``dest_for(source_path, chunk_number_or_None)`` gives the output path;
+    outputs may go to different folders. The staging folder is made under
+    ``stage_root`` (one write, whatever the number of destination folders).
     ``df`` must carry the source file column (and ``_idx``/``_chunk`` when
     chunked). ``inputs`` are the input files as Spark names them
     (``DataFrame.inputFiles()`` of the scan), needed when ``df`` was
@@ -239,14 +241,14 @@ def write_per_source(df: DataFrame, fmt: str, out_dir: str, name_for, sizes: lis
     whole_files = direct_scan and one_task_per_file(spark, sizes, splittable)
     large = sum(sizes) >= assemble_min_bytes(spark)
     if not chunked and not whole_files and large and fmt in writers.CONCAT_FORMATS:
-        return _per_source_from_parts(keyed, fmt, out_dir, name_for, compressed, encoded,
+        return _per_source_from_parts(keyed, fmt, stage_root, dest_for, compressed, encoded,
                                       direct_scan)
     if chunked or not whole_files:
         keyed = keyed.repartition(*[F.col(c) for c in parts])
     keyed = keyed.sortWithinPartitions(*order)
     data = writers.prepare(keyed.drop(*[c for c in (IDX,) if c in keyed.columns]), fmt,
                            keep=())
-    stage = _staging(fs, out_dir)
+    stage = _staging(fs, stage_root)
     writers.writer(data, fmt, compressed, xml_root, xml_row).partitionBy(*parts).save(stage)
 
     by_key = {source_key(fs.uri_form(e)): fs.uri_to_path(e) for e in encoded}
@@ -267,7 +269,7 @@ def write_per_source(df: DataFrame, fmt: str, out_dir: str, name_for, sizes: lis
             files = _part_files(fs, leaf)
             if len(files) != 1:
                 raise OutputError(f"expected one part file in {leaf}, found {len(files)}")
-            dst = join(out_dir, name_for(source, None if chunk is None else chunk + 1))
+            dst = dest_for(source, None if chunk is None else chunk + 1)
             moves.append((files[0], dst))
             written.append(Written(source, chunk, dst))
     targets = [d for _, d in moves]
@@ -278,7 +280,7 @@ def write_per_source(df: DataFrame, fmt: str, out_dir: str, name_for, sizes: lis
     return sorted(written, key=lambda w: (w.source or "", w.chunk or 0))
 
 
-def _per_source_from_parts(keyed: DataFrame, fmt: str, out_dir: str, name_for,
+def _per_source_from_parts(keyed: DataFrame, fmt: str, stage_root: str, dest_for,
                            compressed: bool, encoded: list[str],
                            direct_scan: bool) -> list[Written]:
     """One output per input without a shuffle: every task writes its slice of
@@ -289,7 +291,7 @@ def _per_source_from_parts(keyed: DataFrame, fmt: str, out_dir: str, name_for,
     block = [SRC_BLOCK] if direct_scan else []
     ordered = keyed.sortWithinPartitions(FID, *([SRC_BLOCK, SRC_POS] if direct_scan else []))
     data = writers.prepare(ordered, fmt, keep=tuple(block))
-    stage = _staging(fs, out_dir)
+    stage = _staging(fs, stage_root)
     header = _header_part(data.drop(FID, *block), fmt, compressed, stage)
     writers.writer(data, fmt, compressed, header=False) \
         .partitionBy(FID, *block).save(join(stage, "parts"))
@@ -301,7 +303,7 @@ def _per_source_from_parts(keyed: DataFrame, fmt: str, out_dir: str, name_for,
         source = by_key.get(fdir.path.rsplit("=", 1)[1])
         if source is None:
             raise OutputError(f"no input file for output {fdir.path}")
-        dst = join(out_dir, name_for(source, None))
+        dst = dest_for(source, None)
         plans.append((dst, _parts_in(fs, fdir.path)))
         written.append(Written(source, None, dst))
     targets = [t for t, _ in plans]

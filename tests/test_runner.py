@@ -311,3 +311,15 @@ def test_preview_pair_and_explain(spark, tmp_path):
                                   steps=None))
     assert "ReadSchema: struct<user_id:bigint>" in plan
     assert "secret" not in plan.lower()
+
+
+def test_outputs_next_to_inputs_in_several_folders_one_job(spark, tmp_path):
+    root = tmp_path / "tree"
+    write(str(root / "a" / "x.csv"), "k\n1\n2\n")
+    write(str(root / "b" / "x.csv"), "k\n3\n")
+    write(str(root / "b" / "c" / "y.csv"), "k\n4\n")
+    res = run(spark, Job(input=str(root), format="ndjson"))
+    got = {_local(w.path): len(lines(w.path)) for w in res.outputs}
+    assert got == {str(root / "a" / "x.ndjson"): 2, str(root / "b" / "x.ndjson"): 1,
+                   str(root / "b" / "c" / "y.ndjson"): 1}
+    assert not [p for p in os.listdir(root) if p.startswith(".ferry-staging")]

@@ -175,7 +175,10 @@ def write_single(df: DataFrame, fmt: str, target: str, compressed: bool = False,
     out_dir = target.rsplit("/", 1)[0] if "/" in target else "."
     stage = _staging(fs, out_dir)
     tagged = all(c in df.columns for c in (SRC_FILE, SRC_BLOCK, SRC_POS))
-    if tagged and preserve_order:
+    if tagged and preserve_order and not large:
+        # small input: one task reads it all and sorts locally, no shuffle
+        one = df.coalesce(1).sortWithinPartitions(SRC_FILE, SRC_BLOCK, SRC_POS)
+    elif tagged and preserve_order:
         one = df.orderBy(SRC_FILE, SRC_BLOCK, SRC_POS).coalesce(1)
     elif IDX in df.columns and preserve_order:
         one = df.orderBy(IDX).coalesce(1)

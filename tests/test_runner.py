@@ -323,3 +323,11 @@ def test_outputs_next_to_inputs_in_several_folders_one_job(spark, tmp_path):
     assert got == {str(root / "a" / "x.ndjson"): 2, str(root / "b" / "x.ndjson"): 1,
                    str(root / "b" / "c" / "y.ndjson"): 1}
     assert not [p for p in os.listdir(root) if p.startswith(".ferry-staging")]
+
+
+def test_large_parquet_merge_uses_range_sort_and_keeps_order(spark, tmp_path, out, parts_path):
+    d, n = _events_csv_dir(spark, tmp_path, n_files=3)
+    res = run(spark, Job(input=d, format="parquet", single_file=True, output=out + "/m.parquet"))
+    back = spark.read.parquet(_local(res.outputs[0].path)).collect()
+    ids = [r.event_id for r in back]
+    assert ids == sorted(ids) and len(ids) == n

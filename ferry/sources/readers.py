@@ -234,21 +234,25 @@ def json_sample_facts(spark: SparkSession, paths: list[str], ts_cols: list[str],
                      F.monotonically_increasing_id().alias("m"))
              .where(F.ltrim(F.col("value")).startswith("{"))
              .limit(JSON_SAMPLE_ROWS))
-    keys = lines.select("f", "b", "m", F.posexplode(F.json_object_keys("value")).alias("p", "key"))
-    order = [r.key for r in keys.groupBy("key")
-             .agg(F.min(F.struct("f", "b", "m", "p")).alias("o")).orderBy("o")
-             .select("key").collect()]
-    dates: list[str] = []
-    if ts_cols:
-        checks = []
-        for i, c in enumerate(ts_cols):
-            path = "$['" + c.replace("'", "") + "']"
-            v = F.get_json_object(F.col("value"), path)
-            checks += [F.sum(F.when(v.isNotNull(), 1).otherwise(0)).alias(f"n{i}"),
-                       F.sum(F.when(v.isNotNull() & ~v.rlike(DATE_RE), 1).otherwise(0))
-                       .alias(f"bad{i}")]
-        r = lines.agg(*checks).collect()[0]
-        dates = [c for i, c in enumerate(ts_cols) if (r[f"n{i}"] or 0) > 0 and not r[f"bad{i}"]]
+    keys = lines.select("value", "f", "b", "m",
+                        F.posexplode(F.json_object_keys("value")).alias("p", "key"))
+    # One pass over the sample: the first position of each key, and how many
+    # of its values are present and how many of those are not yyyy-mm-dd.
+    path = F.concat(F.lit("$['"), F.regexp_replace("key", "'", ""), F.lit("']"))
+    value = F.call_function("get_json_object", F.col("value"), path) if ts_cols \
+        else F.lit(None).cast("string")
+    if ts_cols:  # only timestamp columns can become DATE; skip the others' values
+        value = F.when(F.col("key").isin(list(ts_cols)), value)
+    facts = (keys.withColumn("v", value)
+             .groupBy("key")
+             .agg(F.min(F.struct("f", "b", "m", "p")).alias("o"),
+                  F.sum(F.when(F.col("v").isNotNull(), 1).otherwise(0)).alias("n"),
+                  F.sum(F.when(F.col("v").isNotNull() & ~F.col("v").rlike(DATE_RE), 1)
+                        .otherwise(0)).alias("bad"))
+             .orderBy("o").select("key", "n", "bad").collect())
+    order = [r.key for r in facts]
+    wanted = set(ts_cols)
+    dates = [r.key for r in facts if r.key in wanted and (r.n or 0) > 0 and not r.bad]
     return order, dates
 
 

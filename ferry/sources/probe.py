@@ -16,6 +16,7 @@ from pyspark.sql import SparkSession
 from ferry.sinks.fs import HadoopFS
 
 HEAD_BYTES = 65536
+FIRST_LINE_BYTES = 4096
 
 
 def heads(spark: SparkSession, paths: list[str], nbytes: int = HEAD_BYTES,
@@ -27,6 +28,15 @@ def heads(spark: SparkSession, paths: list[str], nbytes: int = HEAD_BYTES,
         return dict(zip(paths, pool.map(lambda p: fs.read_head(p, nbytes), paths)))
 
 
+def first_lines(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """First line of each file: 4 KiB per file, more only where a line is longer."""
+    got = heads(spark, paths, FIRST_LINE_BYTES)
+    long = [p for p, h in got.items() if b"\n" not in h and len(h) >= FIRST_LINE_BYTES]
+    if long:
+        got.update(heads(spark, long, HEAD_BYTES))
+    return {p: first_line(h) for p, h in got.items()}
+
+
 def first_line(head: bytes) -> str:
     text = head.decode("utf-8", errors="replace")
     if text.startswith("﻿"):

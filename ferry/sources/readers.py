@@ -150,8 +150,8 @@ def _csv(spark: SparkSession, paths: list[str], sep: str, opts: ReadOptions, tag
     if not by_name or len(paths) == 1:
         return read(paths)
     groups: dict[str, list[str]] = {}
-    for p, head in probe.heads(spark, paths).items():
-        groups.setdefault(probe.first_line(head), []).append(p)
+    for p, line in probe.first_lines(spark, paths).items():
+        groups.setdefault(line, []).append(p)
     frames = [read(g) for g in groups.values()]
     out = frames[0]
     for f in frames[1:]:

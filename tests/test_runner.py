@@ -331,3 +331,22 @@ def test_large_parquet_merge_uses_range_sort_and_keeps_order(spark, tmp_path, ou
     back = spark.read.parquet(_local(res.outputs[0].path)).collect()
     ids = [r.event_id for r in back]
     assert ids == sorted(ids) and len(ids) == n
+
+
+def test_extract_step_writes_bare_values(spark, tmp_path, out):
+    d, n = _events_csv_dir(spark, tmp_path, n_files=1)
+    res = run(spark, Job(input=d, format="ndjson", output=out,
+                         steps=({"select": {"field": "event", "value": "view"}},
+                                {"extract": "event"})))
+    body = lines(res.outputs[0].path)
+    assert body and set(body) == {'"view"'}
+
+
+def test_rerun_replaces_outputs(spark, tmp_path, out):
+    f = write(str(tmp_path / "r.csv"), "a\n1\n2\n")
+    run(spark, Job(input=f, format="csv", output=out))
+    write(str(tmp_path / "r.csv"), "a\n3\n")
+    res = run(spark, Job(input=f, format="csv", output=out))
+    assert lines(res.outputs[0].path) == ["a", "3"]
+    assert sorted(os.listdir(out)) == ["r.csv"] or all(
+        not x.startswith(".ferry-staging") for x in os.listdir(out))

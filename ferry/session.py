@@ -34,15 +34,24 @@ def get_session(master: str | None = None, app_name: str = "ferry",
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    no_local_checksum_files(spark)
     return spark
 
 
+def no_local_checksum_files(spark: SparkSession) -> None:
+    """Local file system only: no ``.crc`` sidecar next to every output file."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    jvm.org.apache.hadoop.fs.FileSystem.getLocal(conf).setWriteChecksum(False)
+
+
 def job_session(spark: SparkSession) -> SparkSession:
     """A child session for one job: own temp views and SQL conf.
 
     Double-quoted names are identifiers in the SQL stage (``"$email"``), as
     in the DuckDB dialect users write their SQL files in.
     """
+    no_local_checksum_files(spark)
     js = spark.newSession()
     js.conf.set("spark.sql.session.timeZone", "UTC")
     js.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", "true")

@@ -5,9 +5,9 @@ Rows are numbered within runs that Spark never splits: one input split
 file when rows still carry it). A small per-run table — one row per split or
 partition, so its size is bounded by the number of tasks, not by the data —
 holds each run's row count and smallest position id; a running sum over it
-gives each run's first row number. That table is joined back (broadcast
-only under a row-count limit that is checked) and each row adds its offset
-inside the run. No global sort and no single-partition window over the data.
+gives each run's first row number. That table is joined back — broadcast
+only when its measured size is under a limit, else by a shuffle join on the
+run key — and each row adds its offset inside the run. No global sort and no single-partition window over the data.
 
 Both passes must see identical partitions: a plain file scan does; anything
 behind a shuffle (dedupe, SQL) is checkpointed first to the shared
@@ -21,12 +21,14 @@ from pyspark.sql import functions as F
 
 from ferry.sources.readers import SRC_BLOCK, SRC_FILE, SRC_POS
 
-MAX_BROADCAST_RUNS = 1_000_000
+# Broadcast the per-run offsets only below this many bytes (path text plus
+# three longs per run); above it the offsets join by a shuffle on the run key.
+MAX_BROADCAST_BYTES = 64 << 20
 
 
 def with_row_index(df: DataFrame, name: str = "_idx", per_file: bool = False,
                    stable: bool | None = None,
-                   max_broadcast_runs: int = MAX_BROADCAST_RUNS) -> DataFrame:
+                   max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Add ``name`` = 0-based row number in input order.
 
     With source tags (``read_files(tag=True)``) the order is file order:
@@ -61,7 +63,9 @@ def with_row_index(df: DataFrame, name: str = "_idx", per_file: bool = False,
     w = w.rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("_start", F.coalesce(F.sum("_n").over(w), F.lit(0)))
     runs = runs.select(*run_keys, "_start", "_p0").checkpoint(eager=True)
-    if runs.count() <= max_broadcast_runs:
+    text = F.sum(F.length(SRC_FILE)) if SRC_FILE in run_keys else F.lit(0)
+    n_runs, n_text = runs.agg(F.count(F.lit(1)), text).collect()[0]
+    if (n_text or 0) + 24 * n_runs <= max_broadcast_bytes:
         runs = F.broadcast(runs)
     out = work.join(runs, on=run_keys, how="inner")
     out = out.withColumn(name, (F.col("_start") + pos - F.col("_p0")).cast("long"))

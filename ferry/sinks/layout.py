@@ -153,6 +153,16 @@ def _single_from_parts(df: DataFrame, fmt: str, target: str, compressed: bool,
     return Written(None, None, target)
 
 
+PARTITION_BYTES = 128 << 20
+
+
+def target_partitions(spark: SparkSession, input_bytes: int) -> int:
+    """Shuffle width for a repartition: ~128 MiB of input per partition, at
+    least the configured shuffle partitions (AQE may still coalesce)."""
+    base = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(base, -(-int(input_bytes) // PARTITION_BYTES))
+
+
 def assemble_min_bytes(spark: SparkSession) -> int:
     return int(spark.conf.get(ASSEMBLE_MIN_BYTES_CONF, str(ASSEMBLE_MIN_BYTES)))
 
@@ -247,7 +257,8 @@ def write_per_source(df: DataFrame, fmt: str, stage_root: str, dest_for, sizes:
         return _per_source_from_parts(keyed, fmt, stage_root, dest_for, compressed, encoded,
                                       direct_scan)
     if chunked or not whole_files:
-        keyed = keyed.repartition(*[F.col(c) for c in parts])
+        keyed = keyed.repartition(target_partitions(spark, sum(sizes)),
+                                  *[F.col(c) for c in parts])
     keyed = keyed.sortWithinPartitions(*order)
     data = writers.prepare(keyed.drop(*[c for c in (IDX,) if c in keyed.columns]), fmt,
                            keep=())

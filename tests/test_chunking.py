@@ -71,3 +71,11 @@ def test_chunks_cover_rows_once(spark, rows):
         assert r.first_row == c * rows
         assert r.n_rows == (rows if c < last else n - last * rows)
         assert r.last_row == r.first_row + r.n_rows - 1
+
+
+def test_row_index_without_broadcast_is_the_same(spark):
+    df = read_files(spark, [f"{SF01}/events.parquet"], tag=True)
+    a = with_row_index(df).select("event_id", "_idx")
+    b = with_row_index(df, max_broadcast_bytes=0).select("event_id", "_idx")
+    assert "BroadcastHashJoin" not in b._jdf.queryExecution().executedPlan().toString()
+    assert a.exceptAll(b).count() == 0 and b.count() == a.count() == 10000

@@ -7,7 +7,8 @@ partition, so its size is bounded by the number of tasks, not by the data —
 holds each run's row count and smallest position id; a running sum over it
 gives each run's first row number. That table is joined back — broadcast
 only when its measured size is under a limit, else by a shuffle join on the
-run key — and each row adds its offset inside the run. No global sort and no single-partition window over the data.
+run key — and each row adds its offset inside the run. No global sort and
+no single-partition window over the data.
 
 Both passes must see identical partitions: a plain file scan does; anything
 behind a shuffle (dedupe, SQL) is checkpointed first to the shared
@@ -67,6 +68,8 @@ def with_row_index(df: DataFrame, name: str = "_idx", per_file: bool = False,
     n_runs, n_text = runs.agg(F.count(F.lit(1)), text).collect()[0]
     if (n_text or 0) + 24 * n_runs <= max_broadcast_bytes:
         runs = F.broadcast(runs)
+    else:
+        runs = runs.hint("shuffle_hash")
     out = work.join(runs, on=run_keys, how="inner")
     out = out.withColumn(name, (F.col("_start") + pos - F.col("_p0")).cast("long"))
     return out.drop("_start", "_p0", *extra)

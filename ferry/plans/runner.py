@@ -252,8 +252,7 @@ def _run_per_file(js, job: Job, cat: Catalogue, sql_text: str | None,
             logs.append(_deliver(df, job, transport, sleep))
     result = JobResult("per_file", outputs, warnings=list(job.warnings))
     if logs:
-        result.delivery_log = _union(logs)
-        _write_log(js, job, result.delivery_log)
+        result.delivery_log = _write_log(js, job, _union(logs))
     return result
 
 
@@ -270,7 +269,7 @@ def _per_file_sql(js, job, cat, sql_text, sink_fmt, out_dir_for, name_for,
         dlog = None
         if job.rows > 0:
             df = chunking.add_chunks(df, job.rows, stable=False)
-            tagged = df.withColumn("_src_file", F.lit(f.path))
+            tagged = df.withColumn("_src_file", F.lit(_encoded(js, f.path)))
             outs = layout.write_per_source(
                 tagged, sink_fmt, d, lambda s, c: names.join(d, name_for(f.path, c)),
                 [f.length], True,
@@ -290,15 +289,14 @@ def _per_file_sql(js, job, cat, sql_text, sink_fmt, out_dir_for, name_for,
     logs = [lg for _, lg in done if lg is not None]
     result = JobResult("per_file", outputs, warnings=list(job.warnings))
     if logs:
-        result.delivery_log = _union(logs)
-        _write_log(js, job, result.delivery_log)
+        result.delivery_log = _write_log(js, job, _union(logs))
     return result
 
 
 def _encoded(js, path: str) -> str:
     """The name Spark's file index gives ``path`` (what ``md5`` is taken of)."""
     jvm = js.sparkContext._jvm
-    return str(jvm.org.apache.hadoop.fs.Path(path).toUri().toString())
+    return HadoopFS(js).uri_form(str(jvm.org.apache.hadoop.fs.Path(path).toUri().toString()))
 
 
 def _deliver(df: DataFrame, job: Job, transport, sleep) -> DataFrame:
@@ -316,13 +314,15 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _write_log(js, job: Job, delivery_log: DataFrame) -> None:
-    """Run the delivery once: its log is checkpointed, then written if asked."""
+def _write_log(js, job: Job, delivery_log: DataFrame) -> DataFrame:
+    """Run the delivery exactly once: the attempt log is checkpointed (so
+    reading it later never re-sends), then written if asked."""
     materialised = delivery_log.checkpoint(eager=True)
     if job.log:
         out_dir = job.output or "."
-        layout.write_single(materialised.orderBy("chunk", "attempt"), "ndjson",
+        layout.write_single(materialised.orderBy("source", "chunk", "attempt"), "ndjson",
                             names.join(out_dir, "response-logs.json"), input_bytes=0)
+    return materialised
 
 
 def explain_job(spark: SparkSession, job: Job, mode: str = "formatted") -> str:

@@ -116,3 +116,37 @@ def test_job_with_url_posts_every_row_once_and_writes_log(spark, tmp_path):
     log = [json.loads(x) for x in open(os.path.join(out, "response-logs.json")).read().splitlines()]
     assert len(log) == 4 and {r["http_code"] for r in log} == {200}
     assert len([w for w in res.outputs]) == 4
+
+
+class Counting:
+    def __init__(self, folder):
+        self.folder = folder
+
+    def __call__(self, req):
+        import uuid
+        open(os.path.join(self.folder, uuid.uuid4().hex), "w").close()
+        return 200, "ok"
+
+
+def test_reading_the_log_never_resends(spark, tmp_path):
+    sent_dir = tmp_path / "sent"
+    sent_dir.mkdir()
+    res = run(spark, Job(input=f"{SF001}/orders.parquet", format="ndjson", url="http://x",
+                         rows=500, output=str(tmp_path / "o")),
+              transport=Counting(str(sent_dir)), sleep=_no_sleep)
+    assert len(os.listdir(sent_dir)) == 3
+    res.delivery_log.collect()
+    res.delivery_log.count()
+    assert len(os.listdir(sent_dir)) == 3
+
+
+def test_sql_per_file_chunks_with_awkward_names(spark, tmp_path):
+    src = tmp_path / "in dir"
+    src.mkdir()
+    with open(src / "my file.csv", "w") as fh:
+        fh.write("a\n" + "".join(f"{i}\n" for i in range(25)))
+    out = str(tmp_path / "o")
+    res = run(spark, Job(input=str(src / "my file.csv"), format="csv", rows=10, output=out,
+                         sql="SELECT a FROM input_data WHERE a >= 5 ORDER BY a"))
+    names = sorted(os.path.basename(w.path) for w in res.outputs)
+    assert names == ["my file-1.csv", "my file-2.csv"]

@@ -1,7 +1,8 @@
 """Writer options per output format.
 
-* CSV/TSV: header; quotes doubled (``escape='"'``); nested values as JSON
-  text; timestamps as ``CAST(ts AS STRING)`` text.
+* CSV/TSV: header; quotes doubled (``escape='"'``); leading/trailing blanks
+  kept (Spark trims them by default); nested values as JSON text;
+  timestamps as ``CAST(ts AS STRING)`` text.
 * NDJSON/JSON: one object per line, ``null`` fields kept, timestamps as text.
 * Parquet: as is; ``compressed`` selects the gzip codec inside the file.
 * XML: real XML under a root tag (``rowTag`` elements).
@@ -43,6 +44,9 @@ def writer(df: DataFrame, fmt: str, compressed: bool = False,
     if fmt in ("csv", "tsv"):
         w = (w.format("csv").option("header", "true" if header else "false")
              .option("escape", '"')
+             # Spark's CSV writer trims values unless told not to; keep them whole
+             .option("ignoreLeadingWhiteSpace", "false")
+             .option("ignoreTrailingWhiteSpace", "false")
              .option("sep", "\t" if fmt == "tsv" else ","))
     elif fmt in ("ndjson", "jsonl", "json"):
         w = w.format("json").option("ignoreNullFields", "false")

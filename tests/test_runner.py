@@ -349,3 +349,13 @@ def test_rerun_replaces_outputs(spark, tmp_path, out):
     res = run(spark, Job(input=f, format="csv", output=out))
     assert lines(res.outputs[0].path) == ["a", "3"]
     assert sorted(os.listdir(out)) == ["r.csv"]  # no staging folder, no .crc sidecar
+
+
+def test_csv_keeps_blanks_quotes_and_newlines(spark, tmp_path, out):
+    f = write(str(tmp_path / "w.ndjson"),
+              '{"a": "  lead", "b": "trail  ", "c": "say \\"hi\\"", "d": "x\\ny", "e": ""}\n')
+    res = run(spark, Job(input=f, format="csv", output=out))
+    text = open(_local(res.outputs[0].path)).read()
+    assert text == 'a,b,c,d,e\n  lead,trail  ,"say ""hi""","x\ny",""\n'
+    back = read_files(spark, [_local(res.outputs[0].path)]).collect()[0]
+    assert (back.a, back.b, back.c, back.d) == ("  lead", "trail  ", 'say "hi"', "x\ny")

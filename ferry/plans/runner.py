@@ -304,7 +304,7 @@ def _deliver(df: DataFrame, job: Job, transport, sleep) -> DataFrame:
     kwargs = {}
     if sleep is not None:
         kwargs["sleep"] = sleep
-    return deliver(df, cfg, transport=transport, **kwargs)
+    return deliver(df, cfg, transport=transport, max_concurrency=job.parallel, **kwargs)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:

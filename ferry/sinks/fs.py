@@ -22,7 +22,9 @@ class FileInfo:
 class HadoopFS:
     def __init__(self, spark: SparkSession):
         self._jvm = spark.sparkContext._jvm
-        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        # the session's Hadoop view: context settings plus this session's own
+        # (e.g. a job's credentials)
+        self._conf = spark._jsparkSession.sessionState().newHadoopConf()
 
     def _path(self, p: str):
         return self._jvm.org.apache.hadoop.fs.Path(p)

@@ -1,4 +1,9 @@
-"""Cloud credentials as Hadoop settings (never logged, never in reprs)."""
+"""Cloud credentials as Hadoop settings (never logged, never in reprs).
+
+They are set on the job's own session, not on the shared SparkContext:
+Spark copies a session's settings into the Hadoop configuration of that
+session's reads and writes, so one job's keys never serve another job.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +12,7 @@ from pyspark.sql import SparkSession
 
 def apply_s3_credentials(spark: SparkSession, access_key: str, secret_key: str,
                          region: str | None = None, endpoint: str | None = None) -> None:
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf = spark.conf
     conf.set("fs.s3a.access.key", access_key)
     conf.set("fs.s3a.secret.key", secret_key)
     if region:
@@ -20,7 +25,7 @@ def apply_s3_credentials(spark: SparkSession, access_key: str, secret_key: str,
 
 def apply_gcs_credentials(spark: SparkSession, keyfile: str | None = None,
                           hmac_access: str | None = None, hmac_secret: str | None = None) -> None:
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf = spark.conf
     if keyfile:
         conf.set("google.cloud.auth.service.account.enable", "true")
         conf.set("google.cloud.auth.service.account.json.keyfile", keyfile)

@@ -56,3 +56,14 @@ def test_from_dict_request_body():
         Job.from_dict({})
     with pytest.raises(JobError, match="not interpreted"):
         Job.from_dict({"input_path": "/d", "jq": ".a = 1"})
+
+
+def test_credentials_stay_in_the_job_session(spark):
+    from ferry.session import job_session
+    from ferry.sinks.fs import HadoopFS
+    from ferry.sources.cloud import apply_credentials
+    a, b = job_session(spark), job_session(spark)
+    apply_credentials(a, {"s3_access_key": "AK1", "s3_secret_key": "SK1"})
+    assert HadoopFS(a)._conf.get("fs.s3a.access.key") == "AK1"
+    assert HadoopFS(b)._conf.get("fs.s3a.access.key") != "AK1"
+    assert spark.sparkContext._jsc.hadoopConfiguration().get("fs.s3a.access.key") != "AK1"

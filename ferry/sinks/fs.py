@@ -7,6 +7,7 @@ credentials. Only file *names* pass through the driver here, never data.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
@@ -25,12 +26,45 @@ class HadoopFS:
         # the session's Hadoop view: context settings plus this session's own
         # (e.g. a job's credentials)
         self._conf = spark._jsparkSession.sessionState().newHadoopConf()
+        self._by_root: dict[str, object] = {}
 
     def _path(self, p: str):
         return self._jvm.org.apache.hadoop.fs.Path(p)
 
     def _fs(self, p: str):
-        return self._path(p).getFileSystem(self._conf)
+        """FileSystem for a path, looked up once per scheme and authority."""
+        root = p.split("/", 3)[:3] if "://" in p else [p.split(":", 1)[0] if ":" in p else ""]
+        key = "/".join(root)
+        fs = self._by_root.get(key)
+        if fs is None:
+            fs = self._path(p).getFileSystem(self._conf)
+            self._by_root[key] = fs
+        return fs
+
+    def move_all(self, moves: list[tuple[str, str]], threads: int = 16) -> None:
+        """Rename many files; destinations that exist are replaced. Each
+        destination folder is listed once instead of probing every file."""
+        if not moves:
+            return
+        existing: set[str] = set()
+        for folder in {dst.rsplit("/", 1)[0] for _, dst in moves}:
+            if self.exists(folder):
+                existing |= {f.path.rsplit("/", 1)[1] for f in self.list(folder)}
+        fs = self._fs(moves[0][1])
+
+        def move(pair):
+            src, dst = pair
+            d = self._path(dst)
+            if dst.rsplit("/", 1)[1] in existing:
+                fs.delete(d, False)
+            if not fs.rename(self._path(src), d):
+                raise OSError(f"rename failed: {src} -> {dst}")
+
+        if len(moves) == 1:
+            move(moves[0])
+            return
+        with ThreadPoolExecutor(max_workers=min(threads, len(moves))) as pool:
+            list(pool.map(move, moves))
 
     def qualify(self, p: str) -> str:
         path = self._path(p)

@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,18 +68,7 @@ def _part_files(fs: HadoopFS, folder: str) -> list[str]:
 
 
 def _move_all(fs: HadoopFS, moves: list[tuple[str, str]], threads: int = 16) -> None:
-    def move(pair):
-        src, dst = pair
-        if fs.exists(dst):
-            fs.delete(dst, recursive=False)
-        fs.rename(src, dst)
-
-    if len(moves) <= 1:
-        for m in moves:
-            move(m)
-        return
-    with ThreadPoolExecutor(max_workers=min(threads, len(moves))) as pool:
-        list(pool.map(move, moves))
+    fs.move_all(moves, threads)
 
 
 def is_globally_sorted(df: DataFrame) -> bool:

@@ -9,9 +9,11 @@ Modes:
 * preview: first N rows of the first file, nothing written.
 * merged (``single_file``): all files as one relation → one output file.
 * per file (default): one output per input file (or per chunk of N rows,
-  numbered from 1 in file order), optionally POSTed in chunks. Without SQL
-  this is one Spark job over all files; with SQL the query is by definition
-  per file, so files are submitted as concurrent Spark jobs.
+  numbered from 1 in file order), optionally POSTed in chunks. This is one
+  Spark job over all files, also with row-local SQL (projections and
+  filters, whose per-file result is the global result split by file). Other
+  SQL (aggregates, sorts, limits, joins, windows) is per file by definition,
+  so those files are submitted as concurrent Spark jobs.
 """
 
 from __future__ import annotations
@@ -222,10 +224,6 @@ def _run_per_file(js, job: Job, cat: Catalogue, sql_text: str | None,
         raise JobError(f"Error: several inputs would write the same output name: {pairs}")
     _guard(fs, cat.paths, planned)
 
-    if sql_text:
-        return _per_file_sql(js, job, cat, sql_text, sink_fmt, out_dir_for, name_for,
-                             transport, sleep)
-
     # One Spark job per input format (usually one), whatever the folders.
     stage_root = job.output or (cat.root.rstrip("/") if cat.is_dir
                                 else names.default_output_dir(cat.root, False))
@@ -237,11 +235,25 @@ def _run_per_file(js, job: Job, cat: Catalogue, sql_text: str | None,
     by_format: dict[str, list] = {}
     for f in cat.files:
         by_format.setdefault(file_format(f.path), []).append(f)
+    per_file_sql: list = []
     for key, files in by_format.items():
         paths = [f.path for f in files]
-        df = _read(js, files, job, fast, tag=True)
-        inputs = df.inputFiles()
-        df, in_order = stages(df, job, None, per_file=True)
+        if sql_text:
+            # Each file is its own input_data. Row-local SQL (projections and
+            # filters) gives the same rows run once over all files, so it runs
+            # as one job with every row tagged by its file; other SQL runs per file.
+            df = _read(js, files, job, fast)
+            inputs = df.inputFiles()
+            result = run_sql(df, sql_text)
+            if not is_row_local(result):
+                per_file_sql += files
+                continue
+            df, _ = apply_steps(tag_rows(result), job.steps, strict=job.strict)
+            in_order = True
+        else:
+            df = _read(js, files, job, fast, tag=True)
+            inputs = df.inputFiles()
+            df, in_order = stages(df, job, None, per_file=True)
         if job.rows > 0:
             df = chunking.add_chunks(df, job.rows, per_file=True, stable=in_order)
         outputs += layout.write_per_source(
@@ -250,15 +262,49 @@ def _run_per_file(js, job: Job, cat: Catalogue, sql_text: str | None,
             chunked=job.rows > 0, xml_root=job.xml_root, inputs=inputs)
         if job.url:
             logs.append(_deliver(df, job, transport, sleep))
+    if per_file_sql:
+        sub = _per_file_sql(js, job, per_file_sql, fast, sql_text, sink_fmt, out_dir_for,
+                            name_for, transport, sleep)
+        outputs += sub.outputs
+        if sub.delivery_log is not None:
+            logs.append(sub.delivery_log)
     result = JobResult("per_file", outputs, warnings=list(job.warnings))
     if logs:
         result.delivery_log = _write_log(js, job, _union(logs))
     return result
 
 
-def _per_file_sql(js, job, cat, sql_text, sink_fmt, out_dir_for, name_for,
+ROW_LOCAL_NODES = ("Project", "Filter", "LogicalRelation", "Union", "Generate",
+                   "SubqueryAlias", "View")
+
+
+def is_row_local(df: DataFrame) -> bool:
+    """Does every output row come from one input row, in a map-only plan?
+
+    True when the optimized plan holds only projections, filters, explodes
+    and unions over file scans — no aggregate, join, sort, limit or window.
+    """
+    stack = [df._jdf.queryExecution().optimizedPlan()]
+    while stack:
+        node = stack.pop()
+        if node.getClass().getSimpleName() not in ROW_LOCAL_NODES:
+            return False
+        children = node.children()
+        stack += [children.apply(i) for i in range(children.size())]
+    return True
+
+
+def tag_rows(df: DataFrame) -> DataFrame:
+    """Source tags computed where the rows are read (map-only plans only)."""
+    return df.select(
+        "*",
+        F.regexp_replace(F.input_file_name(), "^file:///", "file:/").alias("_src_file"),
+        F.input_file_block_start().alias("_src_block"),
+        F.monotonically_increasing_id().alias("_src_pos"))
+
+
+def _per_file_sql(js, job, files, fast, sql_text, sink_fmt, out_dir_for, name_for,
                   transport, sleep) -> JobResult:
-    fast = _fast_lines(job, cat)
 
     def one(f):
         df = _read(job_session(js), [f], job, fast)
@@ -282,15 +328,12 @@ def _per_file_sql(js, job, cat, sql_text, sink_fmt, out_dir_for, name_for,
                                         job.compressed, job.xml_root, input_bytes=f.length)]
         return outs, dlog
 
-    workers = max(1, min(job.parallel or 4, len(cat.files)))
+    workers = max(1, min(job.parallel or 4, len(files)))
     with ThreadPoolExecutor(max_workers=workers) as pool:
-        done = list(pool.map(one, cat.files))
+        done = list(pool.map(one, files))
     outputs = [w for outs, _ in done for w in outs]
     logs = [lg for _, lg in done if lg is not None]
-    result = JobResult("per_file", outputs, warnings=list(job.warnings))
-    if logs:
-        result.delivery_log = _write_log(js, job, _union(logs))
-    return result
+    return JobResult("per_file", outputs, delivery_log=_union(logs) if logs else None)
 
 
 def _encoded(js, path: str) -> str:

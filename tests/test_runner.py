@@ -359,3 +359,28 @@ def test_csv_keeps_blanks_quotes_and_newlines(spark, tmp_path, out):
     assert text == 'a,b,c,d,e\n  lead,trail  ,"say ""hi""","x\ny",""\n'
     back = read_files(spark, [_local(res.outputs[0].path)]).collect()[0]
     assert (back.a, back.b, back.c, back.d) == ("  lead", "trail  ", 'say "hi"', "x\ny")
+
+
+def test_row_local_sql_per_file_in_one_job_keeps_file_order(spark, tmp_path, out):
+    from ferry.plans.runner import is_row_local
+    from ferry.operators.sqlstage import run_sql
+    d, n = _events_csv_dir(spark, tmp_path, n_files=3)
+    sql = "SELECT event_id, upper(event) AS e FROM input_data WHERE event <> 'view'"
+    df = read_files(spark, [f"{d}/part-1.csv"])
+    assert is_row_local(run_sql(df, sql))
+    assert not is_row_local(run_sql(df, "SELECT event, COUNT(*) AS c FROM input_data GROUP BY event"))
+    assert not is_row_local(run_sql(df, "SELECT * FROM input_data ORDER BY event_id LIMIT 5"))
+    res = run(spark, Job(input=d, format="csv", output=out, sql=sql, rows=100))
+    per_src = {}
+    for w in res.outputs:
+        body = lines(w.path)
+        assert body[0] == "event_id,e" and len(body) - 1 <= 100
+        per_src.setdefault(os.path.basename(w.source), []).append((w.chunk, body[1:]))
+    assert sorted(per_src) == ["part-1.csv", "part-2.csv", "part-3.csv"]
+    total = 0
+    for src, chunks in per_src.items():
+        ids = [int(x.split(",")[0]) for _, rows in sorted(chunks) for x in rows]
+        assert ids == sorted(ids) and "VIEW" not in {x.split(",")[1] for _, r in chunks for x in r}
+        total += len(ids)
+    expected = spark.read.parquet(f"{SF001}/events.parquet").where("event_type <> 'view'").count()
+    assert total == expected

@@ -39,7 +39,7 @@ from ferry.sources.readers import SRC_BLOCK, SRC_FILE, SRC_POS
 # Outputs fed by less input than this are written by one task (no assembly
 # jobs); above it, text outputs are assembled from parallel parts.
 ASSEMBLE_MIN_BYTES_CONF = "spark.ferry.assembleMinBytes"
-ASSEMBLE_MIN_BYTES = 256 << 20
+ASSEMBLE_MIN_BYTES = 8 << 20
 
 FID = "_fid"
 CHUNK = "_chunk"

@@ -2,7 +2,9 @@
 
 Text outputs (CSV, TSV, NDJSON/JSON, raw lines, gzip or not) are valid when
 their parts are concatenated byte for byte: concatenated gzip members are
-one gzip stream, and the CSV header is written once as its own first part.
+one gzip stream. A plain CSV/TSV part carries its own header, dropped from
+all but the first part while copying (so a single part is just renamed); a
+gzip CSV gets the header once as its own first part.
 So a single output file never needs a single task to *encode* all its rows.
 Spark tasks write the parts in parallel, and the file is then put together:
 
@@ -42,22 +44,39 @@ def _open(uri: str, mode: str):
         filesystem.open_input_stream(path)
 
 
-def _copy_parts(batches):
-    for pdf in batches:
-        out = []
-        for target, parts in zip(pdf["target"], pdf["parts"]):
-            n = 0
-            with _open(target, "wb") as dst:
-                for p in parts:
-                    with _open(p, "rb") as src:
-                        while True:
-                            buf = src.read(COPY_BUFFER)
-                            if not buf:
-                                break
-                            dst.write(buf)
-                            n += len(buf)
-            out.append((target, n))
-        yield pd.DataFrame(out, columns=["target", "bytes"])
+def _skip_line(src) -> bytes:
+    """Read past the first line; return what was read after it."""
+    while True:
+        buf = src.read(1 << 16)
+        if not buf:
+            return b""
+        nl = buf.find(b"\n")
+        if nl >= 0:
+            return buf[nl + 1:]
+
+
+def _copier(skip_repeated_header: bool):
+    def copy_parts(batches):
+        for pdf in batches:
+            out = []
+            for target, parts in zip(pdf["target"], pdf["parts"]):
+                n = 0
+                with _open(target, "wb") as dst:
+                    for i, p in enumerate(parts):
+                        with _open(p, "rb") as src:
+                            if skip_repeated_header and i > 0:
+                                rest = _skip_line(src)
+                                dst.write(rest)
+                                n += len(rest)
+                            while True:
+                                buf = src.read(COPY_BUFFER)
+                                if not buf:
+                                    break
+                                dst.write(buf)
+                                n += len(buf)
+                out.append((target, n))
+            yield pd.DataFrame(out, columns=["target", "bytes"])
+    return copy_parts
 
 
 def _try_fs_concat(fs: HadoopFS, target: str, prefix: str | None, parts: list[str]) -> bool:
@@ -90,8 +109,12 @@ def _try_fs_concat(fs: HadoopFS, target: str, prefix: str | None, parts: list[st
 
 
 def assemble(spark: SparkSession, plans: list[tuple[str, list[str]]],
-             prefix: str | None = None) -> None:
-    """Make each ``target`` = ``prefix`` (shared, e.g. a CSV header) + its ``parts``."""
+             prefix: str | None = None, repeated_header: bool = False) -> None:
+    """Make each ``target`` = ``prefix`` (shared, e.g. a CSV header) + its ``parts``.
+
+    ``repeated_header``: every part starts with the same header line (plain
+    CSV/TSV); it is kept from the first part only. A single part is renamed.
+    """
     fs = HadoopFS(spark)
     copies = []
     for target, parts in plans:
@@ -99,13 +122,13 @@ def assemble(spark: SparkSession, plans: list[tuple[str, list[str]]],
             fs.delete(target, recursive=False)
         if len(parts) == 1 and not prefix:
             fs.rename(parts[0], target)
-        elif not _try_fs_concat(fs, target, prefix, parts):
+        elif repeated_header or not _try_fs_concat(fs, target, prefix, parts):
             copies.append((target, ([prefix] if prefix else []) + list(parts)))
     if not copies:
         return
     plan_df = spark.createDataFrame(copies, PLAN_SCHEMA)
     plan_df = plan_df.repartition(min(len(copies), spark.sparkContext.defaultParallelism))
-    done = plan_df.mapInPandas(_copy_parts, RESULT_SCHEMA).collect()
+    done = plan_df.mapInPandas(_copier(repeated_header), RESULT_SCHEMA).collect()
     if len(done) != len(copies):
         raise OSError("some outputs were not assembled")
 

@@ -98,9 +98,14 @@ def _parts_in(fs: HadoopFS, folder: str) -> list[str]:
     return out + _part_files(fs, folder)
 
 
+def _header_in_parts(fmt: str, compressed: bool) -> bool:
+    """Plain CSV/TSV parts keep their own header line (dropped when joined)."""
+    return fmt in ("csv", "tsv") and not compressed
+
+
 def _header_part(df: DataFrame, fmt: str, compressed: bool, stage: str) -> str | None:
-    """CSV/TSV header as its own small file (Spark's writer quotes the names)."""
-    if fmt not in ("csv", "tsv"):
+    """Gzip CSV/TSV header as its own small file (Spark's writer quotes the names)."""
+    if fmt not in ("csv", "tsv") or _header_in_parts(fmt, compressed):
         return None
     fs = HadoopFS(df.sparkSession)
     empty = df.sparkSession.createDataFrame([], df.schema).coalesce(1)
@@ -109,6 +114,13 @@ def _header_part(df: DataFrame, fmt: str, compressed: bool, stage: str) -> str |
     return _part_files(fs, folder)[0]
 
 
+def _header_only(df: DataFrame, fmt: str, stage: str) -> str:
+    fs = HadoopFS(df.sparkSession)
+    folder = join(stage, "_empty")
+    writers.writer(df.sparkSession.createDataFrame([], df.schema).coalesce(1), fmt).save(folder)
+    return _part_files(fs, folder)[0]
+
+
 def _single_from_parts(df: DataFrame, fmt: str, target: str, compressed: bool,
                        preserve_order: bool) -> Written:
     """Text formats: parallel ordered parts, then one file by concatenation."""
@@ -123,7 +135,7 @@ def _single_from_parts(df: DataFrame, fmt: str, target: str, compressed: bool,
                  .sortWithinPartitions(FID, SRC_BLOCK, SRC_POS))
         data = writers.prepare(keyed, fmt, keep=(SRC_BLOCK,))
         header = _header_part(data.drop(FID, SRC_BLOCK), fmt, compressed, stage)
-        writers.writer(data, fmt, compressed, header=False) \
+        writers.writer(data, fmt, compressed, header=_header_in_parts(fmt, compressed)) \
             .partitionBy(FID, SRC_BLOCK).save(join(stage, "parts"))
         by_key = {source_key(fs.uri_form(e)): e for e in encoded}
         dirs = [d for d in fs.list(join(stage, "parts")) if d.is_dir and f"/{FID}=" in d.path]
@@ -133,10 +145,16 @@ def _single_from_parts(df: DataFrame, fmt: str, target: str, compressed: bool,
         ordered = df.orderBy(IDX) if IDX in df.columns and preserve_order else df
         data = writers.prepare(ordered.drop(IDX) if IDX in ordered.columns else ordered, fmt)
         header = _header_part(data, fmt, compressed, stage)
-        writers.writer(data, fmt, compressed, header=False).save(join(stage, "parts"))
+        writers.writer(data, fmt, compressed,
+                       header=_header_in_parts(fmt, compressed)).save(join(stage, "parts"))
         # part numbers follow partition order, which is the sort order when sorted
         parts = _part_files(fs, join(stage, "parts"))
-    assemble(spark, [(target, parts)], prefix=header)
+    if not parts and _header_in_parts(fmt, compressed):
+        # no rows at all: a header-only file
+        parts = [_header_only(data.drop(*[c for c in (FID, SRC_BLOCK) if c in data.columns]),
+                              fmt, stage)]
+    assemble(spark, [(target, parts)], prefix=header,
+             repeated_header=_header_in_parts(fmt, compressed))
     fs.delete(stage)
     return Written(None, None, target)
 
@@ -295,7 +313,7 @@ def _per_source_from_parts(keyed: DataFrame, fmt: str, stage_root: str, dest_for
     data = writers.prepare(ordered, fmt, keep=tuple(block))
     stage = _staging(fs, stage_root)
     header = _header_part(data.drop(FID, *block), fmt, compressed, stage)
-    writers.writer(data, fmt, compressed, header=False) \
+    writers.writer(data, fmt, compressed, header=_header_in_parts(fmt, compressed)) \
         .partitionBy(FID, *block).save(join(stage, "parts"))
     by_key = {source_key(fs.uri_form(e)): fs.uri_to_path(e) for e in encoded}
     plans, written = [], []
@@ -311,6 +329,6 @@ def _per_source_from_parts(keyed: DataFrame, fmt: str, stage_root: str, dest_for
     targets = [t for t, _ in plans]
     if len(set(targets)) != len(targets):
         raise OutputError("several outputs would get the same name")
-    assemble(spark, plans, prefix=header)
+    assemble(spark, plans, prefix=header, repeated_header=_header_in_parts(fmt, compressed))
     fs.delete(stage)
     return sorted(written, key=lambda w: w.source or "")

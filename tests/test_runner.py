@@ -384,3 +384,16 @@ def test_row_local_sql_per_file_in_one_job_keeps_file_order(spark, tmp_path, out
         total += len(ids)
     expected = spark.read.parquet(f"{SF001}/events.parquet").where("event_type <> 'view'").count()
     assert total == expected
+
+
+def test_parts_path_empty_result_and_gzip_header(spark, tmp_path, out, parts_path):
+    d, n = _events_csv_dir(spark, tmp_path, n_files=2)
+    res = run(spark, Job(input=d, format="csv", single_file=True, output=out + "/none.csv",
+                         sql="SELECT event_id, event FROM input_data WHERE event = 'nope'"))
+    assert lines(res.outputs[0].path) == ["event_id,event"]
+    res = run(spark, Job(input=d, format="csv", single_file=True, compressed=True,
+                         output=out + "/all.csv"))
+    with gzip.open(_local(res.outputs[0].path), "rt") as fh:
+        body = fh.read().splitlines()
+    assert body[0] == "event_id,user_id,event" and body.count(body[0]) == 1
+    assert len(body) == n + 1

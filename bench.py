@@ -2,7 +2,7 @@
 
 Prints one JSON line: {"metric", "value" (sum of per-query seconds), "unit",
 "queries": {name: seconds}, "sf", "duckdb": {name: seconds}}. Each query runs
-twice and the faster run counts. "duckdb" times the same operation with the
+three times and the fastest run counts (this machine's timings are noisy). "duckdb" times the same operation with the
 DuckDB engine the reference drives (same machine, same files, in-process, so
 without the reference's per-statement process start), as a point of
 comparison; chunking there uses the reference's own LIMIT/OFFSET loop. Set
@@ -34,7 +34,7 @@ def sf_of(path: str) -> float | str:
     return float(m.group(1)) if m else path
 
 
-def timed(fn, repeat: int = 2) -> float:
+def timed(fn, repeat: int = 3) -> float:
     best = None
     for _ in range(repeat):
         t = time.perf_counter()

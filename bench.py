@@ -2,11 +2,12 @@
 
 Prints one JSON line: {"metric", "value" (sum of per-query seconds), "unit",
 "queries": {name: seconds}, "sf", "duckdb": {name: seconds}}. Each query runs
-three times and the fastest run counts (this machine's timings are noisy). "duckdb" times the same operation with the
-DuckDB engine the reference drives (same machine, same files, in-process, so
-without the reference's per-statement process start), as a point of
-comparison; chunking there uses the reference's own LIMIT/OFFSET loop. Set
-BENCH_DUCKDB=0 to skip it.
+three times and the fastest run counts (timings on this machine are noisy).
+"duckdb" times the same operation with the DuckDB engine the reference
+drives (same machine, same files, in-process, so without the reference's
+per-statement process start), as a point of comparison; chunking and
+per-file SQL there use the reference's own loops. Set BENCH_DUCKDB=0 to
+skip it.
 """
 
 from __future__ import annotations

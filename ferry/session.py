@@ -8,8 +8,12 @@ the job while the SparkContext, executors and cache are shared.
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
+import threading
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -45,6 +49,47 @@ def no_local_checksum_files(spark: SparkSession) -> None:
     jvm.org.apache.hadoop.fs.FileSystem.getLocal(conf).setWriteChecksum(False)
 
 
+_SHIPPED: set[str] = set()
+_SHIP_LOCK = threading.Lock()
+
+
+def _package_zip() -> bytes:
+    root = os.path.dirname(os.path.abspath(__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+        for folder, dirs, files in os.walk(root):
+            dirs[:] = [d for d in dirs if d != "__pycache__"]
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(root)))
+    return buf.getvalue()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``ferry`` importable in the Python workers (once per application).
+
+    Pandas functions (delivery, file assembly) run on executors and import
+    this package there. The zipped package is written to the shared
+    checkpoint folder and added with ``addPyFile``.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    with _SHIP_LOCK:
+        if app in _SHIPPED:
+            return
+        target = f"{checkpoint_root(spark).rstrip('/')}/ferry-pkg-{app}/ferry.zip"
+        jvm = sc._jvm
+        path = jvm.org.apache.hadoop.fs.Path(target)
+        out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+        try:
+            out.write(bytearray(_package_zip()))
+        finally:
+            out.close()
+        sc.addPyFile(target)
+        _SHIPPED.add(app)
+
+
 def job_session(spark: SparkSession) -> SparkSession:
     """A child session for one job: own temp views and SQL conf.
 
@@ -52,6 +97,7 @@ def job_session(spark: SparkSession) -> SparkSession:
     in the DuckDB dialect users write their SQL files in.
     """
     no_local_checksum_files(spark)
+    ship_package(spark)
     js = spark.newSession()
     js.conf.set("spark.sql.session.timeZone", "UTC")
     js.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", "true")

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
-from ferry.session import local_path
+from ferry.session import local_path, ship_package
 from ferry.sinks.fs import HadoopFS
 
 COPY_BUFFER = 8 << 20
@@ -126,6 +126,7 @@ def assemble(spark: SparkSession, plans: list[tuple[str, list[str]]],
             copies.append((target, ([prefix] if prefix else []) + list(parts)))
     if not copies:
         return
+    ship_package(spark)
     plan_df = spark.createDataFrame(copies, PLAN_SCHEMA)
     plan_df = plan_df.repartition(min(len(copies), spark.sparkContext.defaultParallelism))
     done = plan_df.mapInPandas(_copier(repeated_header), RESULT_SCHEMA).collect()

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ferry.functions.columns import col, temporal_to_text
+from ferry.session import ship_package
 from ferry.operators.chunking import CHUNK, IDX, add_chunks
 from ferry.functions.names import output_base_name
 from ferry.sources.readers import SOURCE_COLS, SRC_FILE
@@ -154,6 +155,7 @@ def deliver(df: DataFrame, cfg: DeliveryConfig, transport=None, sleep=time.sleep
             max_concurrency: int | None = None, stable: bool | None = None,
             per_file: bool = False) -> DataFrame:
     """POST ``df`` in chunks of ``cfg.rows``; returns the attempt log (lazy)."""
+    ship_package(df.sparkSession)
     transport = transport or UrllibTransport()
     data_cols = [c for c in df.columns if c not in SOURCE_COLS and c not in (IDX, CHUNK)]
     chunked = df if CHUNK in df.columns else add_chunks(df, cfg.rows, per_file=per_file,

@@ -58,7 +58,8 @@ class JobResult:
 
 
 def _read_options(job: Job, fast: bool) -> ReadOptions:
-    return ReadOptions(xml_root=job.xml_root, fast=fast, csv_multiline=job.csv_multiline)
+    return ReadOptions(xml_root=job.xml_root, fast=fast, csv_multiline=job.csv_multiline,
+                       sampling_ratio=job.infer_sampling)
 
 
 def _read(js, files, job: Job, fast: bool, tag: bool = False) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferry.functions import jsonsteps as S
+from ferry.functions import columns
 from ferry.functions.columns import col
 from ferry.operators import chunking, project, report
 from ferry.operators.preview import preview
@@ -25,7 +26,7 @@ from ferry.operators.transform import apply_steps
 from ferry.plans.job import Job
 from ferry.plans.runner import run
 from ferry.session import job_session, scratch_path
-from ferry.sinks.fs import HadoopFS
+from ferry.sinks import layout
 from ferry.sources.catalogue import find_input_files
 from ferry.sources.readers import ReadOptions, read_files
 from ferry.streaming.delivery import DeliveryConfig, deliver
@@ -126,7 +127,6 @@ def csv_mixed_headers(spark, sf):
     first = F.col("event_type").isin("click", "view", "error")
     half = ev.where(first).select(*cols)
     other = ev.where(~first | F.col("event_type").isNull()).select(*reversed(cols))
-    from ferry.sinks import layout
     layout.write_single(half, "csv", f"{folder}/a.csv")
     layout.write_single(other, "csv", f"{folder}/b.csv")
     return _read_back(js, folder, ev)
@@ -135,7 +135,6 @@ def csv_mixed_headers(spark, sf):
 def xml_custom_root(spark, sf):
     """customer as <employees><employee>…: rows found from the root's name."""
     js = _session(spark)
-    from ferry.sinks import layout
     folder = scratch_path(js, "xml-root")
     layout.write_single(_table(js, sf, "customer"), "xml", f"{folder}/customers.xml",
                         xml_root="employees", xml_row="employee")
@@ -194,8 +193,7 @@ def nested_to_text(spark, sf):
     nested = ev.select("event_id",
                        F.struct(F.col("user_id").alias("user"),
                                 F.array("event_type", F.lit("x")).alias("tags")).alias("info"))
-    from ferry.functions.columns import nested_to_text as to_text
-    return to_text(nested)
+    return columns.nested_to_text(nested)
 
 
 # -- SQL stage and reports ---------------------------------------------------------

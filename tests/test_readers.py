@@ -185,3 +185,11 @@ def test_csv_without_multiline_is_splittable_job_option(spark, tmp_path):
     import json
     got = [json.loads(x)["a"] for x in open(res.outputs[0].path.replace("file:", ""))]
     assert got == list(range(5000))
+
+
+def test_inference_sampling_option_reads_all_rows(spark, tmp_path):
+    from ferry import Job, run
+    f = write(str(tmp_path / "s.ndjson"), "".join(f'{{"a": {i}, "b": "x{i}"}}\n' for i in range(2000)))
+    out = str(tmp_path / "o")
+    res = run(spark, Job(input=f, count=True, output=out, infer_sampling=0.1))
+    assert res.result.collect()[0]["count"] == 2000

@@ -116,13 +116,15 @@ def assemble(spark: SparkSession, plans: list[tuple[str, list[str]]],
     CSV/TSV); it is kept from the first part only. A single part is renamed.
     """
     fs = HadoopFS(spark)
+    singles = [(parts[0], target) for target, parts in plans if len(parts) == 1 and not prefix]
+    fs.move_all(singles)  # renames, replacing what is there
     copies = []
     for target, parts in plans:
+        if len(parts) == 1 and not prefix:
+            continue
         if fs.exists(target):
             fs.delete(target, recursive=False)
-        if len(parts) == 1 and not prefix:
-            fs.rename(parts[0], target)
-        elif repeated_header or not _try_fs_concat(fs, target, prefix, parts):
+        if repeated_header or not _try_fs_concat(fs, target, prefix, parts):
             copies.append((target, ([prefix] if prefix else []) + list(parts)))
     if not copies:
         return

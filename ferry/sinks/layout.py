@@ -34,7 +34,7 @@ from ferry.functions.names import join
 from ferry.sinks import writers
 from ferry.sinks.assemble import assemble
 from ferry.sinks.fs import HadoopFS
-from ferry.sources.readers import SRC_BLOCK, SRC_FILE, SRC_POS
+from ferry.sources.readers import SRC_BLOCK, SRC_FILE, SRC_POS, literal
 
 # Outputs fed by less input than this are written by one task (no assembly
 # jobs); above it, text outputs are assembled from parallel parts.
@@ -235,6 +235,26 @@ def one_task_per_file(spark: SparkSession, sizes: list[int], splittable: bool) -
     return max(sizes, default=0) <= split_bytes(spark, sizes)
 
 
+def _leaf_parts(spark: SparkSession, folder: str) -> list[tuple[dict, str]]:
+    """Part files under a ``partitionBy`` folder, with their partition values.
+
+    Listed by Spark's own file index (parallel for big trees; the content
+    column is pruned), so hundreds of thousands of outputs cost one small
+    job, not a file-system call per folder. Only names reach the driver.
+    """
+    listing = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+               .load(literal(folder)).select("path"))
+    out = []
+    for r in listing.collect():
+        segments = r.path.split("/")
+        if not segments[-1].startswith("part-"):
+            continue
+        values = dict(seg.split("=", 1) for seg in segments[:-1]
+                      if seg.startswith(("_fid=", "_chunk=", "_src_block=")))
+        out.append((values, r.path))
+    return out
+
+
 def write_per_source(df: DataFrame, fmt: str, stage_root: str, dest_for, sizes: list[int],
                      splittable: bool, compressed: bool = False, chunked: bool = False,
                      xml_root: str = "root", xml_row: str = "row",
@@ -248,87 +268,83 @@ def write_per_source(df: DataFrame, fmt: str, stage_root: str, dest_for, sizes:
     chunked). ``inputs`` are the input files as Spark names them
     (``DataFrame.inputFiles()`` of the scan), needed when ``df`` was
     checkpointed on the way.
+
+    Layouts, cheapest first:
+
+    * every file read whole by one task: ``partitionBy(file)``, no shuffle;
+    * text output of a plain scan: parts per (file[, chunk], split), no
+      shuffle; an output made of several parts is joined in split order
+      (for chunks only those that cross a split boundary);
+    * otherwise rows are hash-partitioned by (file[, chunk]) so one task
+      writes each output: chunks are N rows each, so that is never skewed.
     """
     spark = df.sparkSession
-    fs = HadoopFS(spark)
     encoded = inputs if inputs is not None else df.inputFiles()
     keyed = df.withColumn(FID, F.md5(F.col(SRC_FILE)))
-    parts = [FID, CHUNK] if chunked else [FID]
-    in_split_order = [c for c in (SRC_BLOCK, SRC_POS) if c in df.columns]
-    order = [FID] + ([CHUNK, IDX] if chunked else in_split_order)
-    direct_scan = len(in_split_order) == 2
+    direct_scan = all(c in df.columns for c in (SRC_BLOCK, SRC_POS))
     whole_files = direct_scan and one_task_per_file(spark, sizes, splittable)
     large = sum(sizes) >= assemble_min_bytes(spark)
-    if not chunked and not whole_files and large and fmt in writers.CONCAT_FORMATS:
+    text = fmt in writers.CONCAT_FORMATS
+    if text and not whole_files and (chunked and direct_scan or not chunked and large):
         return _per_source_from_parts(keyed, fmt, stage_root, dest_for, compressed, encoded,
-                                      direct_scan)
+                                      direct_scan, chunked)
+    parts = [FID, CHUNK] if chunked else [FID]
+    order = [FID] + ([CHUNK, IDX] if chunked else
+                     ([SRC_BLOCK, SRC_POS] if direct_scan else []))
     if chunked or not whole_files:
         keyed = keyed.repartition(target_partitions(spark, sum(sizes)),
                                   *[F.col(c) for c in parts])
     keyed = keyed.sortWithinPartitions(*order)
-    data = writers.prepare(keyed.drop(*[c for c in (IDX,) if c in keyed.columns]), fmt,
-                           keep=())
+    data = writers.prepare(keyed.drop(*[c for c in (IDX,) if c in keyed.columns]), fmt)
+    fs = HadoopFS(spark)
     stage = _staging(fs, stage_root)
     writers.writer(data, fmt, compressed, xml_root, xml_row).partitionBy(*parts).save(stage)
+    return _place(spark, fs, stage, _leaf_parts(spark, stage), encoded, dest_for, chunked,
+                  None, False)
 
+
+def _place(spark: SparkSession, fs: HadoopFS, stage: str, leaves: list, encoded: list[str],
+           dest_for, chunked: bool, header: str | None, repeated_header: bool) -> list[Written]:
+    """Group part files by output, order them by split, move or join them."""
     by_key = {source_key(fs.uri_form(e)): fs.uri_to_path(e) for e in encoded}
-    moves: list[tuple[str, str]] = []
-    written: list[Written] = []
-    for fdir in fs.list(stage):
-        if not fdir.is_dir or f"/{FID}=" not in fdir.path:
-            continue
-        key = fdir.path.rsplit("=", 1)[1]
-        source = by_key.get(key)
+    groups: dict[tuple, list] = {}
+    for values, path in leaves:
+        key = (values[FID], int(values[CHUNK]) if chunked else None)
+        groups.setdefault(key, []).append((int(values.get(SRC_BLOCK, 0)), path))
+    plans, written = [], []
+    for (fid, chunk), items in groups.items():
+        source = by_key.get(fid)
         if source is None:
-            raise OutputError(f"no input file for output key {key}")
-        leaves = [(None, fdir.path)]
-        if chunked:
-            leaves = [(int(c.path.rsplit("=", 1)[1]), c.path) for c in fs.list(fdir.path)
-                      if c.is_dir]
-        for chunk, leaf in leaves:
-            files = _part_files(fs, leaf)
-            if len(files) != 1:
-                raise OutputError(f"expected one part file in {leaf}, found {len(files)}")
-            dst = dest_for(source, None if chunk is None else chunk + 1)
-            moves.append((files[0], dst))
-            written.append(Written(source, chunk, dst))
-    targets = [d for _, d in moves]
+            raise OutputError(f"no input file for output key {fid}")
+        dst = dest_for(source, None if chunk is None else chunk + 1)
+        plans.append((dst, [p for _, p in sorted(items)]))
+        written.append(Written(source, chunk, dst))
+    targets = [t for t, _ in plans]
     if len(set(targets)) != len(targets):
         raise OutputError("several outputs would get the same name")
-    _move_all(fs, moves)
+    assemble(spark, plans, prefix=header, repeated_header=repeated_header)
     fs.delete(stage)
     return sorted(written, key=lambda w: (w.source or "", w.chunk or 0))
 
 
 def _per_source_from_parts(keyed: DataFrame, fmt: str, stage_root: str, dest_for,
-                           compressed: bool, encoded: list[str],
-                           direct_scan: bool) -> list[Written]:
-    """One output per input without a shuffle: every task writes its slice of
-    each file as a part (per split when the input is a plain scan, so parts
-    follow file order), and each output is the concatenation of its parts."""
+                           compressed: bool, encoded: list[str], direct_scan: bool,
+                           chunked: bool = False) -> list[Written]:
+    """One output per input (or chunk) without a shuffle: every task writes
+    its slice of each output as a part — per input split for a plain scan, so
+    parts follow file order — and each output is its parts joined in order."""
     spark = keyed.sparkSession
     fs = HadoopFS(spark)
     block = [SRC_BLOCK] if direct_scan else []
-    ordered = keyed.sortWithinPartitions(FID, *([SRC_BLOCK, SRC_POS] if direct_scan else []))
+    chunk = [CHUNK] if chunked else []
+    ordered = keyed.sortWithinPartitions(FID, *chunk,
+                                         *([SRC_BLOCK, SRC_POS] if direct_scan else []))
+    ordered = ordered.drop(*[c for c in (IDX,) if c in ordered.columns])
     data = writers.prepare(ordered, fmt, keep=tuple(block))
     stage = _staging(fs, stage_root)
-    header = _header_part(data.drop(FID, *block), fmt, compressed, stage)
+    header = _header_part(data.drop(FID, *chunk, *block), fmt, compressed, stage)
     writers.writer(data, fmt, compressed, header=_header_in_parts(fmt, compressed)) \
-        .partitionBy(FID, *block).save(join(stage, "parts"))
-    by_key = {source_key(fs.uri_form(e)): fs.uri_to_path(e) for e in encoded}
-    plans, written = [], []
-    for fdir in fs.list(join(stage, "parts")):
-        if not fdir.is_dir or f"/{FID}=" not in fdir.path:
-            continue
-        source = by_key.get(fdir.path.rsplit("=", 1)[1])
-        if source is None:
-            raise OutputError(f"no input file for output {fdir.path}")
-        dst = dest_for(source, None)
-        plans.append((dst, _parts_in(fs, fdir.path)))
-        written.append(Written(source, None, dst))
-    targets = [t for t, _ in plans]
-    if len(set(targets)) != len(targets):
-        raise OutputError("several outputs would get the same name")
-    assemble(spark, plans, prefix=header, repeated_header=_header_in_parts(fmt, compressed))
-    fs.delete(stage)
-    return sorted(written, key=lambda w: w.source or "")
+        .partitionBy(FID, *chunk, *block).save(join(stage, "parts"))
+    leaves = _leaf_parts(spark, join(stage, "parts"))
+    return _place(spark, fs, stage, leaves, encoded, dest_for, chunked, header,
+                  _header_in_parts(fmt, compressed))

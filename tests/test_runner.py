@@ -397,3 +397,26 @@ def test_parts_path_empty_result_and_gzip_header(spark, tmp_path, out, parts_pat
         body = fh.read().splitlines()
     assert body[0] == "event_id,user_id,event" and body.count(body[0]) == 1
     assert len(body) == n + 1
+
+
+@pytest.mark.parametrize("compressed", [False, True])
+def test_chunks_across_split_boundaries_without_shuffle(spark, tmp_path, out, compressed):
+    f = str(tmp_path / "big.ndjson")
+    with open(f, "w") as fh:
+        for i in range(20000):
+            fh.write(f'{{"seq": {i}, "pad": "{"z" * 40}"}}\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        res = run(spark, Job(input=f, format="csv", rows=3001, output=out,
+                             compressed=compressed))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(res.outputs) == 7
+    for w in sorted(res.outputs, key=lambda w: w.chunk):
+        p = _local(w.path)
+        body = (gzip.open(p, "rt") if compressed else open(p)).read().splitlines()
+        assert body[0] == "seq,pad" and body.count("seq,pad") == 1
+        seqs = [int(x.split(",")[0]) for x in body[1:]]
+        start = w.chunk * 3001
+        assert seqs == list(range(start, min(start + 3001, 20000)))
+        assert os.path.basename(p) == f"big-{w.chunk + 1}.csv" + (".gz" if compressed else "")

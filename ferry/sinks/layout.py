@@ -300,12 +300,16 @@ def write_per_source(df: DataFrame, fmt: str, stage_root: str, dest_for, sizes:
     stage = _staging(fs, stage_root)
     writers.writer(data, fmt, compressed, xml_root, xml_row).partitionBy(*parts).save(stage)
     return _place(spark, fs, stage, _leaf_parts(spark, stage), encoded, dest_for, chunked,
-                  None, False)
+                  None, False, joinable=False)
 
 
 def _place(spark: SparkSession, fs: HadoopFS, stage: str, leaves: list, encoded: list[str],
-           dest_for, chunked: bool, header: str | None, repeated_header: bool) -> list[Written]:
-    """Group part files by output, order them by split, move or join them."""
+           dest_for, chunked: bool, header: str | None, repeated_header: bool,
+           joinable: bool = True) -> list[Written]:
+    """Group part files by output, order them by split, move or join them.
+
+    ``joinable=False``: each output must be exactly one part (one writer task).
+    """
     by_key = {source_key(fs.uri_form(e)): fs.uri_to_path(e) for e in encoded}
     groups: dict[tuple, list] = {}
     for values, path in leaves:
@@ -317,6 +321,8 @@ def _place(spark: SparkSession, fs: HadoopFS, stage: str, leaves: list, encoded:
         if source is None:
             raise OutputError(f"no input file for output key {fid}")
         dst = dest_for(source, None if chunk is None else chunk + 1)
+        if not joinable and len(items) != 1:
+            raise OutputError(f"expected one part file for {dst}, found {len(items)}")
         plans.append((dst, [p for _, p in sorted(items)]))
         written.append(Written(source, chunk, dst))
     targets = [t for t, _ in plans]

@@ -37,7 +37,8 @@ CONCAT_FORMATS = ("csv", "tsv", "ndjson", "jsonl", "json", "lines")
 
 def writer(df: DataFrame, fmt: str, compressed: bool = False,
            xml_root: str = "root", xml_row: str = "row", header: bool = True) -> DataFrameWriter:
-    w = df.write.mode("overwrite")
+    # one file per task and output: the layouts rely on it
+    w = df.write.mode("overwrite").option("maxRecordsPerFile", 0)
     codec = "gzip" if compressed else None
     if fmt == "parquet":
         return w.format("parquet").option("compression", codec or "snappy")

@@ -420,3 +420,15 @@ def test_chunks_across_split_boundaries_without_shuffle(spark, tmp_path, out, co
         start = w.chunk * 3001
         assert seqs == list(range(start, min(start + 3001, 20000)))
         assert os.path.basename(p) == f"big-{w.chunk + 1}.csv" + (".gz" if compressed else "")
+
+
+def test_job_document_end_to_end(spark, tmp_path, out):
+    d, n = _events_csv_dir(spark, tmp_path, n_files=2)
+    doc = {"input_path": d, "format": "ndjson", "output": out, "rows": 250,
+           "sql_inline": "SELECT event_id, event FROM input_data WHERE event IS NOT NULL;",
+           "prefix": "p_", "compressed": False, "max_parallel_jobs": 2}
+    res = run(spark, Job.from_dict(doc))
+    names = sorted(os.path.basename(w.path) for w in res.outputs)
+    assert names[0].startswith("p_part-1-") and names[-1].startswith("p_part-2-")
+    total = sum(len(lines(w.path)) for w in res.outputs)
+    assert total == n

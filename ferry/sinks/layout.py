@@ -235,23 +235,41 @@ def one_task_per_file(spark: SparkSession, sizes: list[int], splittable: bool) -
     return max(sizes, default=0) <= split_bytes(spark, sizes)
 
 
-def _leaf_parts(spark: SparkSession, folder: str) -> list[tuple[dict, str]]:
+# Up to this many output folders are listed with direct file-system calls;
+# beyond it Spark's file index lists them in one job.
+DIRECT_LISTING_MAX = 64
+
+
+def _leaf_parts(spark: SparkSession, folder: str,
+                expected: int | None = None) -> list[tuple[dict, str]]:
     """Part files under a ``partitionBy`` folder, with their partition values.
 
-    Listed by Spark's own file index (parallel for big trees; the content
-    column is pruned), so hundreds of thousands of outputs cost one small
-    job, not a file-system call per folder. Only names reach the driver.
+    Many outputs (or an unknown number, e.g. chunks) are listed by Spark's
+    own file index (parallel for big trees; the content column is pruned):
+    one small job, not a file-system call per folder. A few are listed
+    directly. Only names reach the driver.
     """
-    listing = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-               .load(literal(folder)).select("path"))
+    if expected is not None and expected <= DIRECT_LISTING_MAX:
+        fs = HadoopFS(spark)
+        paths, todo = [], [folder]
+        while todo:
+            for entry in fs.list(todo.pop()):
+                if entry.is_dir:
+                    todo.append(entry.path)
+                else:
+                    paths.append(entry.path)
+    else:
+        listing = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+                   .load(literal(folder)).select("path"))
+        paths = [r.path for r in listing.collect()]
     out = []
-    for r in listing.collect():
-        segments = r.path.split("/")
+    for path in paths:
+        segments = path.split("/")
         if not segments[-1].startswith("part-"):
             continue
         values = dict(seg.split("=", 1) for seg in segments[:-1]
                       if seg.startswith(("_fid=", "_chunk=", "_src_block=")))
-        out.append((values, r.path))
+        out.append((values, path))
     return out
 
 
@@ -299,7 +317,8 @@ def write_per_source(df: DataFrame, fmt: str, stage_root: str, dest_for, sizes:
     fs = HadoopFS(spark)
     stage = _staging(fs, stage_root)
     writers.writer(data, fmt, compressed, xml_root, xml_row).partitionBy(*parts).save(stage)
-    return _place(spark, fs, stage, _leaf_parts(spark, stage), encoded, dest_for, chunked,
+    leaves = _leaf_parts(spark, stage, None if chunked else len(sizes))
+    return _place(spark, fs, stage, leaves, encoded, dest_for, chunked,
                   None, False, joinable=False)
 
 
@@ -351,6 +370,8 @@ def _per_source_from_parts(keyed: DataFrame, fmt: str, stage_root: str, dest_for
     header = _header_part(data.drop(FID, *chunk, *block), fmt, compressed, stage)
     writers.writer(data, fmt, compressed, header=_header_in_parts(fmt, compressed)) \
         .partitionBy(FID, *chunk, *block).save(join(stage, "parts"))
-    leaves = _leaf_parts(spark, join(stage, "parts"))
+    # per-split folders grow with the data: list those with Spark
+    leaves = _leaf_parts(spark, join(stage, "parts"),
+                         None if chunked or direct_scan else len(encoded))
     return _place(spark, fs, stage, leaves, encoded, dest_for, chunked, header,
                   _header_in_parts(fmt, compressed))

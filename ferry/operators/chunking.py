@@ -12,11 +12,11 @@ CHUNK = "_chunk"
 
 
 def add_chunks(df: DataFrame, rows: int, per_file: bool = False,
-               stable: bool | None = None) -> DataFrame:
+               stable: bool | None = None, keep_runs: bool = False) -> DataFrame:
     if rows <= 0:
         raise ValueError("rows per chunk must be positive")
     indexed = df if IDX in df.columns else with_row_index(df, IDX, per_file=per_file,
-                                                          stable=stable)
+                                                          stable=stable, keep_runs=keep_runs)
     return indexed.withColumn(CHUNK, F.floor(F.col(IDX) / F.lit(rows)).cast("long"))
 
 

@@ -27,14 +27,23 @@ from ferry.sources.readers import SRC_BLOCK, SRC_FILE, SRC_POS
 MAX_BROADCAST_BYTES = 64 << 20
 
 
+# Kept with ``keep_runs``: each row's run bounds, whether its run is the last
+# one (of its file, or of everything), and whether rows kept scan order
+# (offsets broadcast, so no shuffle moved them).
+RUN_START, RUN_END, RUN_LAST, RUN_ORDERED = "_run_start", "_run_end", "_run_last", "_run_ordered"
+RUN_COLS = (RUN_START, RUN_END, RUN_LAST, RUN_ORDERED)
+
+
 def with_row_index(df: DataFrame, name: str = "_idx", per_file: bool = False,
                    stable: bool | None = None,
-                   max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+                   max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+                   keep_runs: bool = False) -> DataFrame:
     """Add ``name`` = 0-based row number in input order.
 
     With source tags (``read_files(tag=True)``) the order is file order:
     files by path, then split start, then position in the split. ``per_file``
-    restarts numbering at 0 in every file.
+    restarts numbering at 0 in every file. ``keep_runs`` also keeps
+    RUN_COLS (see above).
     """
     scan_tags = all(c in df.columns for c in (SRC_FILE, SRC_BLOCK, SRC_POS))
     has_file = SRC_FILE in df.columns
@@ -58,18 +67,23 @@ def with_row_index(df: DataFrame, name: str = "_idx", per_file: bool = False,
 
     runs = work.groupBy(*run_keys).agg(F.count(F.lit(1)).alias("_n"), F.min(pos).alias("_p0"))
     if per_file:
-        w = Window.partitionBy(SRC_FILE).orderBy(*run_keys[1:])
+        order = Window.partitionBy(SRC_FILE).orderBy(*run_keys[1:])
     else:
-        w = Window.orderBy(*run_keys)
-    w = w.rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.withColumn("_start", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    runs = runs.select(*run_keys, "_start", "_p0").checkpoint(eager=True)
+        order = Window.orderBy(*run_keys)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    runs = (runs.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+                .withColumn(RUN_LAST, F.lead("_n").over(order).isNull()))
+    runs = runs.select(*run_keys, "_start", "_p0", "_n", RUN_LAST).checkpoint(eager=True)
     text = F.sum(F.length(SRC_FILE)) if SRC_FILE in run_keys else F.lit(0)
     n_runs, n_text = runs.agg(F.count(F.lit(1)), text).collect()[0]
-    if (n_text or 0) + 24 * n_runs <= max_broadcast_bytes:
-        runs = F.broadcast(runs)
-    else:
-        runs = runs.hint("shuffle_hash")
+    broadcast = (n_text or 0) + 32 * n_runs <= max_broadcast_bytes
+    runs = F.broadcast(runs) if broadcast else runs.hint("shuffle_hash")
     out = work.join(runs, on=run_keys, how="inner")
     out = out.withColumn(name, (F.col("_start") + pos - F.col("_p0")).cast("long"))
-    return out.drop("_start", "_p0", *extra)
+    if keep_runs:
+        out = (out.withColumn(RUN_START, F.col("_start"))
+                  .withColumn(RUN_END, F.col("_start") + F.col("_n") - 1)
+                  .withColumn(RUN_ORDERED, F.lit(broadcast)))
+    else:
+        out = out.drop(RUN_LAST)
+    return out.drop("_start", "_p0", "_n", *extra)

@@ -256,7 +256,8 @@ def _run_per_file(js, job: Job, cat: Catalogue, sql_text: str | None,
             inputs = df.inputFiles()
             df, in_order = stages(df, job, None, per_file=True)
         if job.rows > 0:
-            df = chunking.add_chunks(df, job.rows, per_file=True, stable=in_order)
+            df = chunking.add_chunks(df, job.rows, per_file=True, stable=in_order,
+                                     keep_runs=bool(job.url))
         outputs += layout.write_per_source(
             df, sink_fmt, stage_root, dest_for, [f.length for f in files],
             _splittable(key, paths, fast, job.csv_multiline), job.compressed,

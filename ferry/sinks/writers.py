@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, DataFrameWriter
 
 from ferry.functions.columns import nested_to_text, temporal_to_text
+from ferry.operators.rowindex import RUN_COLS
 from ferry.sources.readers import SOURCE_COLS
 
 TEXT_FORMATS = ("csv", "tsv", "ndjson", "jsonl", "json", "xml", "lines")
@@ -21,7 +22,7 @@ TEXT_FORMATS = ("csv", "tsv", "ndjson", "jsonl", "json", "xml", "lines")
 
 def prepare(df: DataFrame, fmt: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Shape columns for a sink; hidden source columns are dropped unless kept."""
-    drop = [c for c in SOURCE_COLS if c in df.columns and c not in keep]
+    drop = [c for c in SOURCE_COLS + RUN_COLS if c in df.columns and c not in keep]
     if drop:
         df = df.drop(*drop)
     if fmt in ("csv", "tsv"):

@@ -3,8 +3,10 @@
 Rows are numbered and cut into chunks of N (N bounds every group, default
 1000). Each chunk's records are rendered to NDJSON inside the JVM
 (``to_json``), so Python only joins prepared lines and sends one POST per
-chunk. ``groupBy(chunk).applyInPandas`` runs the sends on the executors and
-returns one log row per attempt as a DataFrame; nothing is collected.
+chunk, on the executors; the result is one log row per attempt as a
+DataFrame, and nothing is collected. Chunks inside one input split are sent
+where they are read; only chunks crossing a split boundary are shuffled
+together (``groupBy(file, chunk).applyInPandas``).
 
 Retry policy (per chunk): up to 3 attempts; 2xx done; 429 waits 2·n units;
 5xx, other codes and network errors wait n units; other 4xx stop at once.
@@ -33,6 +35,7 @@ from pyspark.sql import types as T
 from ferry.functions.columns import col, temporal_to_text
 from ferry.session import ship_package
 from ferry.operators.chunking import CHUNK, IDX, add_chunks
+from ferry.operators.rowindex import RUN_COLS, RUN_END, RUN_LAST, RUN_ORDERED, RUN_START
 from ferry.functions.names import output_base_name
 from ferry.sources.readers import SOURCE_COLS, SRC_FILE
 
@@ -151,34 +154,77 @@ def post_chunk(lines: list[str], chunk: int, cfg: DeliveryConfig, transport,
     return records
 
 
+def _source(v) -> str | None:
+    return None if v is None or (isinstance(v, float) and pd.isna(v)) else str(v)
+
+
 def deliver(df: DataFrame, cfg: DeliveryConfig, transport=None, sleep=time.sleep,
             max_concurrency: int | None = None, stable: bool | None = None,
             per_file: bool = False) -> DataFrame:
-    """POST ``df`` in chunks of ``cfg.rows``; returns the attempt log (lazy)."""
+    """POST ``df`` in chunks of ``cfg.rows``; returns the attempt log (lazy).
+
+    A chunk that lies inside one input run (split or partition) is already
+    contiguous and in order inside one task: it is sent from there
+    (``mapInPandas``), with no shuffle. Only chunks that cross a run
+    boundary — at most two per run — are gathered by
+    ``groupBy(file, chunk).applyInPandas``.
+    """
     ship_package(df.sparkSession)
     transport = transport or UrllibTransport()
-    data_cols = [c for c in df.columns if c not in SOURCE_COLS and c not in (IDX, CHUNK)]
+    hidden = set(SOURCE_COLS) | set(RUN_COLS) | {IDX, CHUNK}
+    data_cols = [c for c in df.columns if c not in hidden]
     chunked = df if CHUNK in df.columns else add_chunks(df, cfg.rows, per_file=per_file,
-                                                        stable=stable)
+                                                        stable=stable, keep_runs=True)
     source = F.col(SRC_FILE) if SRC_FILE in chunked.columns else F.lit(None).cast("string")
+    if all(c in chunked.columns for c in RUN_COLS):
+        lo = F.col(CHUNK) * F.lit(cfg.rows)
+        whole = (F.col(RUN_ORDERED) & (lo >= F.col(RUN_START))
+                 & ((lo + F.lit(cfg.rows - 1) <= F.col(RUN_END)) | F.col(RUN_LAST)))
+    else:
+        whole = F.lit(False)
     shown = temporal_to_text(chunked.select(*[col(c) for c in data_cols], IDX, CHUNK,
-                                            source.alias("source")))
+                                            source.alias("source"), whole.alias("_whole")))
     records = shown.select(
-        "source", F.col(CHUNK).alias("chunk"), F.col(IDX).alias("idx"),
+        "source", F.col(CHUNK).alias("chunk"), F.col(IDX).alias("idx"), "_whole",
         F.to_json(F.struct(*[col(c) for c in data_cols]),
                   {"ignoreNullFields": "false"}).alias("line"))
-    if max_concurrency:
-        records = records.repartition(max_concurrency, "source", "chunk")
+    columns = [f.name for f in LOG_SCHEMA.fields]
+
+    def send_in_place(batches):
+        """Rows of a chunk arrive together and in order; post each chunk."""
+        key, lines = None, []
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            keys = pdf["source"].astype(str) + "\x00" + pdf["chunk"].astype(str)
+            starts = (keys != keys.shift()).to_numpy().nonzero()[0].tolist() + [len(pdf)]
+            out = []
+            for a, b in zip(starts[:-1], starts[1:]):
+                k = (_source(pdf["source"].iloc[a]), int(pdf["chunk"].iloc[a]))
+                if k != key and key is not None:
+                    out += post_chunk(lines, key[1], cfg, transport, sleep, source=key[0])
+                    lines = []
+                key = k
+                lines += pdf["line"].iloc[a:b].tolist()
+            if out:
+                yield pd.DataFrame(out, columns=columns)
+        if key is not None:
+            yield pd.DataFrame(post_chunk(lines, key[1], cfg, transport, sleep, source=key[0]),
+                               columns=columns)
 
     def send(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
-        chunk = int(pdf["chunk"].iloc[0])
-        src = pdf["source"].iloc[0]
-        src = None if src is None or (isinstance(src, float) and pd.isna(src)) else str(src)
-        rows = post_chunk(pdf["line"].tolist(), chunk, cfg, transport, sleep, source=src)
-        return pd.DataFrame(rows, columns=[f.name for f in LOG_SCHEMA.fields])
+        rows = post_chunk(pdf["line"].tolist(), int(pdf["chunk"].iloc[0]), cfg, transport,
+                          sleep, source=_source(pdf["source"].iloc[0]))
+        return pd.DataFrame(rows, columns=columns)
 
-    return records.groupBy("source", "chunk").applyInPandas(send, schema=LOG_SCHEMA)
+    inside = (records.where(F.col("_whole")).drop("_whole")
+              .mapInPandas(send_in_place, schema=LOG_SCHEMA))
+    edges = records.where(~F.col("_whole")).drop("_whole")
+    if max_concurrency:
+        edges = edges.repartition(max_concurrency, "source", "chunk")
+    gathered = edges.groupBy("source", "chunk").applyInPandas(send, schema=LOG_SCHEMA)
+    return inside.unionByName(gathered)
 
 
 def throughput(log: DataFrame) -> DataFrame:

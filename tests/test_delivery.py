@@ -150,3 +150,40 @@ def test_sql_per_file_chunks_with_awkward_names(spark, tmp_path):
                          sql="SELECT a FROM input_data WHERE a >= 5 ORDER BY a"))
     names = sorted(os.path.basename(w.path) for w in res.outputs)
     assert names == ["my file-1.csv", "my file-2.csv"]
+
+
+class Bodies:
+    """Stores each chunk's body under its chunk number (a stand-in receiver)."""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def __call__(self, req):
+        path = os.path.join(self.folder, f"{req.chunk}.ndjson")
+        assert not os.path.exists(path), f"chunk {req.chunk} sent twice"
+        with open(path, "wb") as fh:
+            fh.write(req.body)
+        return 200, "ok"
+
+
+def test_chunks_sent_in_place_or_gathered_each_once_in_order(spark, tmp_path):
+    f = str(tmp_path / "big.ndjson")
+    with open(f, "w") as fh:
+        for i in range(20000):
+            fh.write(f'{{"seq": {i}, "pad": "{"q" * 40}"}}\n')
+    recv = tmp_path / "recv"
+    recv.mkdir()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        df = read_files(spark, [f], tag=True)
+        log = deliver(df, DeliveryConfig(url="http://x", rows=250, rate_delay=0.0),
+                      transport=Bodies(str(recv)), sleep=_no_sleep)
+        plan = log._jdf.queryExecution().executedPlan().toString()
+        rows = log.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert "MapInPandas" in plan and "FlatMapGroupsInPandas" in plan
+    assert len(rows) == 80 and {r.chunk for r in rows} == set(range(80))
+    for c in range(80):
+        seqs = [json.loads(x)["seq"] for x in open(recv / f"{c}.ndjson").read().splitlines()]
+        assert seqs == list(range(c * 250, (c + 1) * 250))

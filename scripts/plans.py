@@ -69,8 +69,9 @@ def main() -> None:
          "pairs stay within adjacent hours. Spark picks broadcast or sort-merge by size.",
          suite.q3_range_join(spark, sf)),
         ("Delivery (K17)",
-         "Rows become JSON text inside the JVM; groups are (file, chunk) with at most N rows; "
-         "Python only sends.",
+         "Rows become JSON text inside the JVM. Chunks inside one split are sent by "
+         "MapInPandas where they are read (no exchange); only boundary chunks go through "
+         "the (file, chunk) grouping, at most N rows each. Python only sends.",
          deliver(read_files(spark, [f"{sf}/events.parquet"], tag=True),
                  DeliveryConfig(url="http://collector.invalid/x", rows=1000),
                  transport=suite.ScriptedTransport(), sleep=suite._no_sleep)),

@@ -467,6 +467,10 @@ def registry() -> dict[str, tuple[Query, str | None]]:
         "roundtrip_csv_documents": (_roundtrip("csv", "documents"), "SELECT * FROM documents"),
         "roundtrip_ndjson_conversations": (_roundtrip("ndjson", "conversations"),
                                            "SELECT * FROM conversations"),
+        "roundtrip_tsv_documents": (_roundtrip("tsv", "documents"), "SELECT * FROM documents"),
+        "roundtrip_xml_pages": (_roundtrip("xml", "pages"), "SELECT * FROM pages"),
+        "roundtrip_xml_documents": (_roundtrip("xml", "documents"), "SELECT * FROM documents"),
+        "roundtrip_csv_pages": (_roundtrip("csv", "pages"), "SELECT * FROM pages"),
         "gz_csv": (_roundtrip("csv", compressed=True), "SELECT * FROM events"),
         "gz_ndjson": (_roundtrip("ndjson", compressed=True), "SELECT * FROM events"),
         "gz_tsv": (_roundtrip("tsv", compressed=True), "SELECT * FROM events"),

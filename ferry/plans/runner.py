@@ -91,6 +91,13 @@ def stages(df: DataFrame, job: Job, sql_text: str | None, per_file: bool) -> tup
     return df, in_order
 
 
+def size_shuffles(js: SparkSession, input_bytes: int) -> None:
+    """Shuffle width for this job's session: ~128 MiB of input per partition,
+    never below the configured value; AQE coalesces what turns out small."""
+    js.conf.set("spark.sql.shuffle.partitions",
+                str(layout.target_partitions(js, input_bytes)))
+
+
 def _guard(fs: HadoopFS, inputs: list[str], outputs: list[str]) -> None:
     """Refuse any output that would overwrite an input (local and cloud)."""
     qin = {fs.qualify(p) for p in inputs}
@@ -109,6 +116,7 @@ def run(spark: SparkSession, job: Job, transport=None, sleep=None) -> JobResult:
         cat = find_input_files(js, job.input)
     except CatalogueError as e:
         raise JobError(str(e)) from e
+    size_shuffles(js, cat.total_bytes)
     sql_text = read_sql_text(js, job.sql) if job.sql else None
     if job.count:
         sql_text = COUNT_SQL

@@ -67,3 +67,15 @@ def test_credentials_stay_in_the_job_session(spark):
     assert HadoopFS(a)._conf.get("fs.s3a.access.key") == "AK1"
     assert HadoopFS(b)._conf.get("fs.s3a.access.key") != "AK1"
     assert spark.sparkContext._jsc.hadoopConfiguration().get("fs.s3a.access.key") != "AK1"
+
+
+def test_shuffle_width_follows_input_size(spark):
+    from ferry.plans.runner import size_shuffles
+    from ferry.session import job_session
+    js = job_session(spark)
+    base = int(js.conf.get("spark.sql.shuffle.partitions"))
+    size_shuffles(js, 10 << 20)
+    assert int(js.conf.get("spark.sql.shuffle.partitions")) == base
+    size_shuffles(js, 100 << 40)  # 100 TiB
+    assert int(js.conf.get("spark.sql.shuffle.partitions")) == 819200
+    assert int(spark.conf.get("spark.sql.shuffle.partitions")) == base  # parent untouched

@@ -55,25 +55,61 @@ def _skip_line(src) -> bytes:
             return buf[nl + 1:]
 
 
-def _copier(skip_repeated_header: bool):
+def _skip_through(src, marker: bytes) -> bytes:
+    """Read past the first ``marker``; return what was read after it."""
+    seen = b""
+    while True:
+        buf = src.read(1 << 16)
+        if not buf:
+            return b""
+        seen += buf
+        at = seen.find(marker)
+        if at >= 0:
+            return seen[at + len(marker):]
+
+
+def _copier(skip_repeated_header: bool, xml_root: str | None = None):
+    """Byte copier for one output per row of the plan.
+
+    ``skip_repeated_header``: drop the first line of every part but the first.
+    ``xml_root``: parts are whole XML documents; keep the head of the first
+    and the ``</root>`` tail of the last, and strip both in between.
+    """
+    open_tag = f"<{xml_root}>\n".encode() if xml_root else b""
+    close_tag = f"</{xml_root}>".encode() if xml_root else b""
+
     def copy_parts(batches):
         for pdf in batches:
             out = []
             for target, parts in zip(pdf["target"], pdf["parts"]):
                 n = 0
+                last = len(parts) - 1
                 with _open(target, "wb") as dst:
                     for i, p in enumerate(parts):
                         with _open(p, "rb") as src:
-                            if skip_repeated_header and i > 0:
-                                rest = _skip_line(src)
-                                dst.write(rest)
-                                n += len(rest)
+                            held = b""
+                            if i > 0 and skip_repeated_header:
+                                held = _skip_line(src)
+                            elif i > 0 and xml_root:
+                                held = _skip_through(src, open_tag)
                             while True:
                                 buf = src.read(COPY_BUFFER)
                                 if not buf:
                                     break
-                                dst.write(buf)
-                                n += len(buf)
+                                held += buf
+                                # keep a tail back until the end (it may be </root>)
+                                keep = len(close_tag) + 8 if xml_root else 0
+                                if len(held) > keep:
+                                    cut = len(held) - keep
+                                    dst.write(held[:cut])
+                                    n += cut
+                                    held = held[cut:]
+                            if xml_root and i < last:
+                                body = held.rstrip()
+                                if body.endswith(close_tag):
+                                    held = body[:-len(close_tag)]
+                            dst.write(held)
+                            n += len(held)
                 out.append((target, n))
             yield pd.DataFrame(out, columns=["target", "bytes"])
     return copy_parts
@@ -109,7 +145,8 @@ def _try_fs_concat(fs: HadoopFS, target: str, prefix: str | None, parts: list[st
 
 
 def assemble(spark: SparkSession, plans: list[tuple[str, list[str]]],
-             prefix: str | None = None, repeated_header: bool = False) -> None:
+             prefix: str | None = None, repeated_header: bool = False,
+             xml_root: str | None = None) -> None:
     """Make each ``target`` = ``prefix`` (shared, e.g. a CSV header) + its ``parts``.
 
     ``repeated_header``: every part starts with the same header line (plain
@@ -124,14 +161,14 @@ def assemble(spark: SparkSession, plans: list[tuple[str, list[str]]],
             continue
         if fs.exists(target):
             fs.delete(target, recursive=False)
-        if repeated_header or not _try_fs_concat(fs, target, prefix, parts):
+        if repeated_header or xml_root or not _try_fs_concat(fs, target, prefix, parts):
             copies.append((target, ([prefix] if prefix else []) + list(parts)))
     if not copies:
         return
     ship_package(spark)
     plan_df = spark.createDataFrame(copies, PLAN_SCHEMA)
     plan_df = plan_df.repartition(min(len(copies), spark.sparkContext.defaultParallelism))
-    done = plan_df.mapInPandas(_copier(repeated_header), RESULT_SCHEMA).collect()
+    done = plan_df.mapInPandas(_copier(repeated_header, xml_root), RESULT_SCHEMA).collect()
     if len(done) != len(copies):
         raise OSError("some outputs were not assembled")
 

@@ -114,15 +114,19 @@ def _header_part(df: DataFrame, fmt: str, compressed: bool, stage: str) -> str |
     return _part_files(fs, folder)[0]
 
 
-def _header_only(df: DataFrame, fmt: str, stage: str) -> str:
+def _header_only(df: DataFrame, fmt: str, stage: str, xml_root: str = "root",
+                 xml_row: str = "row") -> str:
+    """What the writer makes of no rows (CSV header / empty XML root)."""
     fs = HadoopFS(df.sparkSession)
     folder = join(stage, "_empty")
-    writers.writer(df.sparkSession.createDataFrame([], df.schema).coalesce(1), fmt).save(folder)
+    empty = df.sparkSession.createDataFrame([], df.schema).coalesce(1)
+    writers.writer(empty, fmt, xml_root=xml_root, xml_row=xml_row).save(folder)
     return _part_files(fs, folder)[0]
 
 
 def _single_from_parts(df: DataFrame, fmt: str, target: str, compressed: bool,
-                       preserve_order: bool) -> Written:
+                       preserve_order: bool, xml_root: str = "root",
+                       xml_row: str = "row") -> Written:
     """Text formats: parallel ordered parts, then one file by concatenation."""
     spark = df.sparkSession
     fs = HadoopFS(spark)
@@ -135,7 +139,8 @@ def _single_from_parts(df: DataFrame, fmt: str, target: str, compressed: bool,
                  .sortWithinPartitions(FID, SRC_BLOCK, SRC_POS))
         data = writers.prepare(keyed, fmt, keep=(SRC_BLOCK,))
         header = _header_part(data.drop(FID, SRC_BLOCK), fmt, compressed, stage)
-        writers.writer(data, fmt, compressed, header=_header_in_parts(fmt, compressed)) \
+        writers.writer(data, fmt, compressed, xml_root, xml_row,
+                       header=_header_in_parts(fmt, compressed)) \
             .partitionBy(FID, SRC_BLOCK).save(join(stage, "parts"))
         by_key = {source_key(fs.uri_form(e)): e for e in encoded}
         dirs = [d for d in fs.list(join(stage, "parts")) if d.is_dir and f"/{FID}=" in d.path]
@@ -145,16 +150,17 @@ def _single_from_parts(df: DataFrame, fmt: str, target: str, compressed: bool,
         ordered = df.orderBy(IDX) if IDX in df.columns and preserve_order else df
         data = writers.prepare(ordered.drop(IDX) if IDX in ordered.columns else ordered, fmt)
         header = _header_part(data, fmt, compressed, stage)
-        writers.writer(data, fmt, compressed,
+        writers.writer(data, fmt, compressed, xml_root, xml_row,
                        header=_header_in_parts(fmt, compressed)).save(join(stage, "parts"))
         # part numbers follow partition order, which is the sort order when sorted
         parts = _part_files(fs, join(stage, "parts"))
     if not parts and _header_in_parts(fmt, compressed):
-        # no rows at all: a header-only file
+        # no rows at all: a header-only CSV (Spark's XML writer writes nothing)
         parts = [_header_only(data.drop(*[c for c in (FID, SRC_BLOCK) if c in data.columns]),
-                              fmt, stage)]
+                              fmt, stage, xml_root, xml_row)]
     assemble(spark, [(target, parts)], prefix=header,
-             repeated_header=_header_in_parts(fmt, compressed))
+             repeated_header=_header_in_parts(fmt, compressed),
+             xml_root=xml_root if fmt == "xml" else None)
     fs.delete(stage)
     return Written(None, None, target)
 
@@ -184,8 +190,9 @@ def write_single(df: DataFrame, fmt: str, target: str, compressed: bool = False,
     outputs have one writer task.
     """
     large = input_bytes is None or input_bytes >= assemble_min_bytes(df.sparkSession)
-    if fmt in writers.CONCAT_FORMATS and large:
-        return _single_from_parts(df, fmt, target, compressed, preserve_order)
+    if writers.joinable(fmt, compressed) and large:
+        return _single_from_parts(df, fmt, target, compressed, preserve_order,
+                                  xml_root, xml_row)
     spark = df.sparkSession
     fs = HadoopFS(spark)
     out_dir = target.rsplit("/", 1)[0] if "/" in target else "."
@@ -302,10 +309,10 @@ def write_per_source(df: DataFrame, fmt: str, stage_root: str, dest_for, sizes:
     direct_scan = all(c in df.columns for c in (SRC_BLOCK, SRC_POS))
     whole_files = direct_scan and one_task_per_file(spark, sizes, splittable)
     large = sum(sizes) >= assemble_min_bytes(spark)
-    text = fmt in writers.CONCAT_FORMATS
+    text = writers.joinable(fmt, compressed)
     if text and not whole_files and (chunked and direct_scan or not chunked and large):
         return _per_source_from_parts(keyed, fmt, stage_root, dest_for, compressed, encoded,
-                                      direct_scan, chunked)
+                                      direct_scan, chunked, xml_root, xml_row)
     parts = [FID, CHUNK] if chunked else [FID]
     order = [FID] + ([CHUNK, IDX] if chunked else
                      ([SRC_BLOCK, SRC_POS] if direct_scan else []))
@@ -324,7 +331,7 @@ def write_per_source(df: DataFrame, fmt: str, stage_root: str, dest_for, sizes:
 
 def _place(spark: SparkSession, fs: HadoopFS, stage: str, leaves: list, encoded: list[str],
            dest_for, chunked: bool, header: str | None, repeated_header: bool,
-           joinable: bool = True) -> list[Written]:
+           joinable: bool = True, xml_root: str | None = None) -> list[Written]:
     """Group part files by output, order them by split, move or join them.
 
     ``joinable=False``: each output must be exactly one part (one writer task).
@@ -347,14 +354,15 @@ def _place(spark: SparkSession, fs: HadoopFS, stage: str, leaves: list, encoded:
     targets = [t for t, _ in plans]
     if len(set(targets)) != len(targets):
         raise OutputError("several outputs would get the same name")
-    assemble(spark, plans, prefix=header, repeated_header=repeated_header)
+    assemble(spark, plans, prefix=header, repeated_header=repeated_header, xml_root=xml_root)
     fs.delete(stage)
     return sorted(written, key=lambda w: (w.source or "", w.chunk or 0))
 
 
 def _per_source_from_parts(keyed: DataFrame, fmt: str, stage_root: str, dest_for,
                            compressed: bool, encoded: list[str], direct_scan: bool,
-                           chunked: bool = False) -> list[Written]:
+                           chunked: bool = False, xml_root: str = "root",
+                           xml_row: str = "row") -> list[Written]:
     """One output per input (or chunk) without a shuffle: every task writes
     its slice of each output as a part — per input split for a plain scan, so
     parts follow file order — and each output is its parts joined in order."""
@@ -368,10 +376,11 @@ def _per_source_from_parts(keyed: DataFrame, fmt: str, stage_root: str, dest_for
     data = writers.prepare(ordered, fmt, keep=tuple(block))
     stage = _staging(fs, stage_root)
     header = _header_part(data.drop(FID, *chunk, *block), fmt, compressed, stage)
-    writers.writer(data, fmt, compressed, header=_header_in_parts(fmt, compressed)) \
+    writers.writer(data, fmt, compressed, xml_root, xml_row,
+                   header=_header_in_parts(fmt, compressed)) \
         .partitionBy(FID, *chunk, *block).save(join(stage, "parts"))
     # per-split folders grow with the data: list those with Spark
     leaves = _leaf_parts(spark, join(stage, "parts"),
                          None if chunked or direct_scan else len(encoded))
     return _place(spark, fs, stage, leaves, encoded, dest_for, chunked, header,
-                  _header_in_parts(fmt, compressed))
+                  _header_in_parts(fmt, compressed), xml_root=xml_root if fmt == "xml" else None)

@@ -36,6 +36,12 @@ def prepare(df: DataFrame, fmt: str, keep: tuple[str, ...] = ()) -> DataFrame:
 CONCAT_FORMATS = ("csv", "tsv", "ndjson", "jsonl", "json", "lines")
 
 
+def joinable(fmt: str, compressed: bool) -> bool:
+    """Can one output be assembled from parts? Text formats always; XML when
+    not compressed (each part's declaration and root element are stripped)."""
+    return fmt in CONCAT_FORMATS or (fmt == "xml" and not compressed)
+
+
 def writer(df: DataFrame, fmt: str, compressed: bool = False,
            xml_root: str = "root", xml_row: str = "row", header: bool = True) -> DataFrameWriter:
     # one file per task and output: the layouts rely on it

@@ -432,3 +432,35 @@ def test_job_document_end_to_end(spark, tmp_path, out):
     assert names[0].startswith("p_part-1-") and names[-1].startswith("p_part-2-")
     total = sum(len(lines(w.path)) for w in res.outputs)
     assert total == n
+
+
+def test_parts_path_xml_merge_and_chunks_are_valid_documents(spark, tmp_path, out, parts_path):
+    from ferry.sources.readers import ReadOptions
+    d, n = _events_csv_dir(spark, tmp_path, n_files=3)
+    res = run(spark, Job(input=d, format="xml", single_file=True, output=out + "/all.xml",
+                         xml_root="events"))
+    text = open(_local(res.outputs[0].path)).read()
+    assert text.count("<events>") == 1 and text.count("</events>") == 1
+    assert text.count("<?xml") == 1 and text.count("<row>") == n
+    back = read_files(spark, [_local(res.outputs[0].path)], ReadOptions(xml_root="events"))
+    assert sorted(r.event_id for r in back.collect()) == list(range(n))
+
+    f = str(tmp_path / "big.ndjson")
+    with open(f, "w") as fh:
+        for i in range(6000):
+            fh.write(f'{{"seq": {i}, "pad": "{"w" * 40}"}}\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        res = run(spark, Job(input=f, format="xml", rows=2500, output=out + "/chunks"))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(res.outputs) == 3
+    for w in res.outputs:
+        rows = read_files(spark, [_local(w.path)]).collect()
+        start = w.chunk * 2500
+        assert sorted(r.seq for r in rows) == list(range(start, min(start + 2500, 6000)))
+
+    res = run(spark, Job(input=d, format="xml", single_file=True, output=out + "/none.xml",
+                         sql="SELECT event_id FROM input_data WHERE event = 'nope'"))
+    # no rows: Spark's XML writer writes no document at all, on either path
+    assert "<row>" not in open(_local(res.outputs[0].path)).read()

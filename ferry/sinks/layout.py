@@ -1,24 +1,23 @@
 """Output layouts: one merged file, one file per input, fixed-size chunks.
 
-All three are ordinary partitioned writes into a staging folder next to the
+All are ordinary partitioned writes into a staging folder next to the
 destination, followed by renames of the finished part files (names only
-pass the driver; renames run on a small thread pool). The destination is
-replaced only after the write succeeded.
+pass the driver; renames run in one batch on a small thread pool). The
+destination is replaced only after the write succeeded.
 
 * per input file: rows carry ``md5(source path)``; ``partitionBy`` on it
   gives one folder per input. When every input file is read by exactly one
-  task (small or unsplittable files) no shuffle is needed; otherwise rows
-  are hash-partitioned by file so each output is written by one task.
-* chunks: additionally partitioned by chunk number; chunks have a fixed row
-  count, so the hash partitioning by (file, chunk) cannot be skewed.
-* text formats (CSV, TSV, NDJSON, raw lines; gzip or not): one output file
-  is assembled from parts written in parallel, in order (per input split,
-  no shuffle), by ``sinks.assemble`` — so no single task encodes a whole
-  file, whether it is a merge of everything or one huge input.
-* Parquet and XML single files (one footer / one root element) have one
-  writer task. Upstream work stays parallel: ordered inputs go through a
-  parallel range sort and are concatenated in order by ``coalesce(1)``;
-  unordered ones are shuffled to one task with ``repartition(1)``.
+  task (small or unsplittable files) no shuffle is needed.
+* joinable formats (CSV, TSV, NDJSON, raw lines — gzip or not — and plain
+  XML), fed by enough input: an output is assembled from parts written in
+  parallel, in order, with no shuffle (per input split for a plain scan),
+  by ``sinks.assemble`` — so no single task encodes a whole file, whether
+  it is a merge of everything, one huge input, or a chunk; chunks inside
+  one split are single parts (renamed).
+* otherwise rows are hash-partitioned by (file[, chunk]) so one task
+  writes each output; chunks have a fixed row count, so that is never
+  skewed. Parquet (and gzip XML) single files have one writer task;
+  upstream work stays parallel.
 """
 
 from __future__ import annotations

@@ -56,6 +56,11 @@ class JobResult:
     warnings: list = field(default_factory=list)
     transformed: bool = True
 
+    def show(self, n: int = 20) -> None:
+        """Print the analytical result or preview as a table (first ``n`` rows)."""
+        if self.result is not None:
+            self.result.show(n, truncate=False)
+
 
 def _read_options(job: Job, fast: bool) -> ReadOptions:
     return ReadOptions(xml_root=job.xml_root, fast=fast, csv_multiline=job.csv_multiline,

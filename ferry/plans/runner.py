@@ -35,7 +35,7 @@ from ferry.operators.sqlstage import read_sql_text, run_sql
 from ferry.operators.transform import apply_steps, as_chain
 from ferry.plans.job import Job, JobError
 from ferry.session import job_session
-from ferry.sinks import layout
+from ferry.sinks import layout, writers
 from ferry.sinks.fs import HadoopFS
 from ferry.sources.catalogue import Catalogue, CatalogueError, find_input_files
 from ferry.sources.cloud import apply_credentials
@@ -96,6 +96,21 @@ def stages(df: DataFrame, job: Job, sql_text: str | None, per_file: bool) -> tup
     return df, in_order
 
 
+def read_files_whole(js: SparkSession, sizes: list[int]) -> None:
+    """One task per input file, never a split of one (this job's session).
+
+    For outputs that need a single writer per input (Parquet, gzip XML),
+    reading each file whole lets that writer stream it — no shuffle, no
+    sort — while different files still run in parallel. With both settings
+    at the largest file size, Spark neither cuts a file nor packs two into
+    one task.
+    """
+    biggest = max(sizes, default=0) + 1
+    if biggest > int(js.conf.get("spark.sql.files.maxPartitionBytes", "134217728").rstrip("b")):
+        js.conf.set("spark.sql.files.maxPartitionBytes", str(biggest))
+        js.conf.set("spark.sql.files.openCostInBytes", str(biggest))
+
+
 def size_shuffles(js: SparkSession, input_bytes: int) -> None:
     """Shuffle width for this job's session: ~128 MiB of input per partition,
     never below the configured value; AQE coalesces what turns out small."""
@@ -250,6 +265,9 @@ def _run_per_file(js, job: Job, cat: Catalogue, sql_text: str | None,
     for f in cat.files:
         by_format.setdefault(file_format(f.path), []).append(f)
     per_file_sql: list = []
+    whole_reads = job.rows == 0 and not writers.joinable(sink_fmt, job.compressed)
+    if whole_reads:
+        read_files_whole(js, [f.length for f in cat.files])
     for key, files in by_format.items():
         paths = [f.path for f in files]
         if sql_text:

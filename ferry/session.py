@@ -49,6 +49,7 @@ def no_local_checksum_files(spark: SparkSession) -> None:
     jvm.org.apache.hadoop.fs.FileSystem.getLocal(conf).setWriteChecksum(False)
 
 
+INHERITED_PREFIXES = ("spark.sql.", "spark.ferry.", "fs.", "spark.hadoop.")
 _SHIPPED: set[str] = set()
 _SHIP_LOCK = threading.Lock()
 
@@ -99,6 +100,14 @@ def job_session(spark: SparkSession) -> SparkSession:
     no_local_checksum_files(spark)
     ship_package(spark)
     js = spark.newSession()
+    # A new session starts from the SparkConf only: carry over what the
+    # caller set on its session at runtime (SQL settings, ours, Hadoop keys).
+    for key, value in spark.conf.getAll.items():
+        if key.startswith(INHERITED_PREFIXES) and js.conf.get(key, None) != value:
+            try:
+                js.conf.set(key, value)
+            except Exception:  # noqa: BLE001 - static settings cannot be set per session
+                pass
     js.conf.set("spark.sql.session.timeZone", "UTC")
     js.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", "true")
     return js

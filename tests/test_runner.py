@@ -464,3 +464,19 @@ def test_parts_path_xml_merge_and_chunks_are_valid_documents(spark, tmp_path, ou
                          sql="SELECT event_id FROM input_data WHERE event = 'nope'"))
     # no rows: Spark's XML writer writes no document at all, on either path
     assert "<row>" not in open(_local(res.outputs[0].path)).read()
+
+
+def test_parquet_per_file_of_big_files_reads_each_whole(spark, tmp_path, out):
+    """Parquet outputs need one writer per input: each file is read by one task."""
+    d = str(tmp_path / "pq")
+    (spark.range(0, 200000, 1, 1).selectExpr("id", "repeat('x', 20) AS pad")
+     .write.option("parquet.block.size", 65536).parquet(d))
+    src = [f for f in os.listdir(d) if f.endswith(".parquet")]
+    assert len(src) == 1
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        res = run(spark, Job(input=d, format="parquet", output=out))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    back = spark.read.parquet(_local(res.outputs[0].path))
+    assert [r.id for r in back.collect()] == list(range(200000))

@@ -263,11 +263,13 @@ def _xml(spark: SparkSession, paths: list[str], opts: ReadOptions, tag: bool) ->
         row_tag = probe.xml_row_tag(head, opts.xml_root)
         if not row_tag:
             raise UnsupportedFormat(f"{paths[0]}: no row element found under <{opts.xml_root}>")
-    df = (spark.read.format("xml")
-          .option("rowTag", row_tag)
-          .option("mode", "PERMISSIVE")
-          .option("ignoreSurroundingSpaces", "true")
-          .load(literals(paths)))
+    reader = (spark.read.format("xml")
+              .option("rowTag", row_tag)
+              .option("mode", "PERMISSIVE")
+              .option("ignoreSurroundingSpaces", "true"))
+    if opts.sampling_ratio < 1.0:
+        reader = reader.option("samplingRatio", str(opts.sampling_ratio))
+    df = reader.load(literals(paths))
     if CORRUPT in df.columns:
         df = df.drop(CORRUPT)
     return _tagged(widen_ints(df), tag)

@@ -361,7 +361,7 @@ def _per_file_sql(js, job, files, fast, sql_text, sink_fmt, out_dir_for, name_fo
                                         job.compressed, job.xml_root, input_bytes=f.length)]
         return outs, dlog
 
-    workers = max(1, min(job.parallel or 4, len(files)))
+    workers = max(1, min(job.parallel or 16, len(files)))
     with ThreadPoolExecutor(max_workers=workers) as pool:
         done = list(pool.map(one, files))
     outputs = [w for outs, _ in done for w in outs]

@@ -480,3 +480,11 @@ def test_parquet_per_file_of_big_files_reads_each_whole(spark, tmp_path, out):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     back = spark.read.parquet(_local(res.outputs[0].path))
     assert [r.id for r in back.collect()] == list(range(200000))
+
+
+def test_fast_mode_chunks_raw_lines(spark, tmp_path, out):
+    body = ['{"b": 1,   "a": 2}', 'not json at all', '{"x": [1, 2]}', '{}', '{"y":  null}']
+    f = write(str(tmp_path / "raw.ndjson"), "\n".join(body) + "\n")
+    res = run(spark, Job(input=f, format="ndjson", fast_mode=True, rows=2, output=out))
+    got = {os.path.basename(w.path): open(_local(w.path)).read().splitlines() for w in res.outputs}
+    assert got == {"raw-1.ndjson": body[:2], "raw-2.ndjson": body[2:4], "raw-3.ndjson": body[4:]}

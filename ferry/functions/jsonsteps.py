@@ -20,8 +20,9 @@ from ferry.sources.readers import SOURCE_COLS
 
 
 def _get(df: DataFrame, name: str) -> Column:
-    """A missing field reads as NULL, as ``.missing`` does in jq."""
-    return col(name) if name in df.columns else F.lit(None)
+    """A missing field reads as NULL, as ``.missing`` does in jq (typed as
+    text, so every sink can write the column)."""
+    return col(name) if name in df.columns else F.lit(None).cast("string")
 
 
 def _data_cols(df: DataFrame) -> list[str]:

@@ -57,7 +57,9 @@ def filter_top(df: DataFrame, column: str, value, order_col: str, n: int = 100,
 def monthly_rollup(df: DataFrame, ts: str, amount: str, since: str | None = None) -> DataFrame:
     """month, orders, total_revenue, avg_order_value by calendar month."""
     src = df if since is None else df.where(col(ts) >= F.lit(since).cast("timestamp"))
-    month = F.date_trunc("month", col(ts)).alias("month")
+    # date_trunc gives a zoned timestamp; a naive input stays naive
+    ts_type = df.schema[ts].dataType.simpleString()
+    month = F.date_trunc("month", col(ts)).cast(ts_type).alias("month")
     return (src.groupBy(month)
             .agg(F.count(F.lit(1)).alias("orders"),
                  F.sum(col(amount)).alias("total_revenue"),

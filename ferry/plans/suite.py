@@ -418,7 +418,8 @@ Q = {
                       "WHERE x.event_type = e.event_type)", ()),
     "q10_string_date": ("events",
                         "SELECT UPPER(SUBSTR(event_type, 1, 3)) AS code, "
-                        "DATE_TRUNC('day', ts) AS day, EXTRACT(HOUR FROM ts) AS hour, "
+                        "CAST(DATE_TRUNC('day', ts) AS TIMESTAMP_NTZ) AS day, "
+                        "CAST(EXTRACT(HOUR FROM ts) AS BIGINT) AS hour, "
                         "COUNT(*) AS n FROM input_data GROUP BY 1, 2, 3", ()),
     "q11_json_text": ("events",
                       "SELECT CAST(get_json_object(props, '$.k') AS BIGINT) AS k, COUNT(*) AS n "
@@ -616,7 +617,7 @@ def registry() -> dict[str, tuple[Query, str | None]]:
         "q9_correlated": "SELECT event_id, event_type, value FROM events e WHERE value > "
                          "(SELECT AVG(x.value) FROM events x WHERE x.event_type = e.event_type)",
         "q10_string_date": "SELECT UPPER(SUBSTR(event_type, 1, 3)) AS code, "
-                           "DATE_TRUNC('day', ts) AS day, EXTRACT(HOUR FROM ts) AS hour, "
+                           "DATE_TRUNC('day', ts) AS day, CAST(EXTRACT(HOUR FROM ts) AS BIGINT) AS hour, "
                            "COUNT(*) AS n FROM events GROUP BY 1, 2, 3",
         "q11_json_text": "SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, "
                          "COUNT(*) AS n FROM events GROUP BY 1",

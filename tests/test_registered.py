@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from scripts.compare import TABLES, digest
+from scripts.compare import TABLES, digest, type_diffs
 
 from tests.conftest import SF001
 
@@ -40,3 +40,4 @@ def test_query_matches_oracle(spark, con, name):
     assert sorted(df.columns) == sorted(ocols)
     assert len(rows) == len(orows)
     assert digest(df.columns, rows) == digest(ocols, orows)
+    assert type_diffs(df, res.description) == {}

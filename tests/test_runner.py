@@ -488,3 +488,23 @@ def test_fast_mode_chunks_raw_lines(spark, tmp_path, out):
     res = run(spark, Job(input=f, format="ndjson", fast_mode=True, rows=2, output=out))
     got = {os.path.basename(w.path): open(_local(w.path)).read().splitlines() for w in res.outputs}
     assert got == {"raw-1.ndjson": body[:2], "raw-2.ndjson": body[2:4], "raw-3.ndjson": body[4:]}
+
+
+@pytest.mark.parametrize("threshold", [None, "0"])
+def test_fast_mode_merge_keeps_lines_in_file_order(spark, tmp_path, out, threshold):
+    d = tmp_path / "lines"
+    d.mkdir()
+    expected = []
+    for i in range(3):
+        body = [f'{{"f": {i}, "n": {j},   "sp": " x "}}' for j in range(200)]
+        expected += body
+        write(str(d / f"p{i}.ndjson"), "\n".join(body) + "\n")
+    if threshold is not None:
+        spark.conf.set("spark.ferry.assembleMinBytes", threshold)
+    try:
+        res = run(spark, Job(input=str(d), format="ndjson", fast_mode=True, single_file=True,
+                             output=out + "/all.ndjson"))
+    finally:
+        if threshold is not None:
+            spark.conf.unset("spark.ferry.assembleMinBytes")
+    assert open(_local(res.outputs[0].path)).read().splitlines() == expected

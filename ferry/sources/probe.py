@@ -20,10 +20,13 @@ FIRST_LINE_BYTES = 4096
 
 
 def heads(spark: SparkSession, paths: list[str], nbytes: int = HEAD_BYTES,
-          threads: int = 16) -> dict[str, bytes]:
+          threads: int | None = None) -> dict[str, bytes]:
+    """Heads of many files, fetched concurrently (more threads for long
+    lists: each fetch is mostly waiting on the store)."""
     fs = HadoopFS(spark)
     if len(paths) == 1:
         return {paths[0]: fs.read_head(paths[0], nbytes)}
+    threads = threads or (16 if len(paths) <= 1000 else 64)
     with ThreadPoolExecutor(max_workers=min(threads, len(paths))) as pool:
         return dict(zip(paths, pool.map(lambda p: fs.read_head(p, nbytes), paths)))
 

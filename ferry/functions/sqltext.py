@@ -43,5 +43,18 @@ def bridge_sql(text: str) -> str:
     return _TOKEN.sub(repl, text)
 
 
+def rename_view(text: str, old: str, new: str) -> str:
+    """Replace the identifier ``old`` (outside quotes and comments) by ``new``."""
+    def repl(m: re.Match) -> str:
+        word, quoted = m.group(5), m.group(2)
+        if word is not None and word.lower() == old.lower():
+            return new
+        if quoted is not None and quoted[1:-1].lower() == old.lower():
+            return f'"{new}"'
+        return m.group(0)
+
+    return _TOKEN.sub(repl, text)
+
+
 def prepare_sql(text: str) -> str:
     return bridge_sql(clean_sql(text))

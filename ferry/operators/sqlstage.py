@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ferry.functions.sqltext import prepare_sql
+from ferry.functions.sqltext import prepare_sql, rename_view
 from ferry.sources.readers import SOURCE_COLS
 
 VIEW = "input_data"
@@ -24,6 +24,12 @@ def run_sql(df: DataFrame, sql_text: str, view: str = VIEW,
     return spark.sql(prepare_sql(sql_text))
 
 
+def run_sql_as(df: DataFrame, sql_text: str, view: str) -> DataFrame:
+    """The SQL stage with ``input_data`` under another view name, so several
+    inputs can each be their own ``input_data`` in one session."""
+    return run_sql(df, rename_view(sql_text, VIEW, view), view=view)
+
+
 def read_sql_text(spark, sql: str) -> str:
     """``sql`` is SQL text, or the path of a ``.sql`` file (read via Spark)."""
     s = sql.strip()

@@ -31,7 +31,7 @@ from ferry.functions.formats import (JSON_FORMATS, compression_of, file_format,
 from ferry.operators import chunking, project
 from ferry.operators.preview import preview as preview_rows
 from ferry.operators.report import count_lines
-from ferry.operators.sqlstage import read_sql_text, run_sql
+from ferry.operators.sqlstage import read_sql_text, run_sql, run_sql_as
 from ferry.operators.transform import apply_steps, as_chain
 from ferry.plans.job import Job, JobError
 from ferry.session import job_session
@@ -342,8 +342,23 @@ def tag_rows(df: DataFrame) -> DataFrame:
         F.monotonically_increasing_id().alias("_src_pos"))
 
 
+# Files whose per-file SQL results share one Spark job (one union plan).
+SQL_BATCH_FILES = 64
+
+
 def _per_file_sql(js, job, files, fast, sql_text, sink_fmt, out_dir_for, name_for,
                   transport, sleep) -> JobResult:
+    """SQL that is not row-local, each file its own ``input_data``.
+
+    Unordered results: files are batched; in one session each file gets its
+    own view, the per-file results are tagged with their file and unioned,
+    and one job writes (and posts) the whole batch per file. Results with an
+    ORDER BY keep one job per file, so the write keeps their order.
+    """
+    probe = run_sql(_read(job_session(js), files[:1], job, fast), sql_text)
+    if len(files) > 1 and not layout.is_globally_sorted(probe):
+        return _per_file_sql_batched(js, job, files, fast, sql_text, sink_fmt, out_dir_for,
+                                     name_for, transport, sleep)
 
     def one(f):
         df = _read(job_session(js), [f], job, fast)
@@ -375,6 +390,38 @@ def _per_file_sql(js, job, files, fast, sql_text, sink_fmt, out_dir_for, name_fo
     return JobResult("per_file", outputs, delivery_log=_union(logs) if logs else None)
 
 
+def _per_file_sql_batched(js, job, files, fast, sql_text, sink_fmt, out_dir_for, name_for,
+                          transport, sleep) -> JobResult:
+    outputs, logs = [], []
+
+    def dest_for(src: str, chunk: int | None) -> str:
+        return names.join(out_dir_for(src), name_for(src, chunk))
+
+    for start in range(0, len(files), SQL_BATCH_FILES):
+        batch = files[start:start + SQL_BATCH_FILES]
+        bs = job_session(js)
+        frames, encoded = [], []
+        for i, f in enumerate(batch):
+            enc = _encoded(bs, f.path)
+            encoded.append(enc)
+            result = run_sql_as(_read(bs, [f], job, fast), sql_text, f"input_data_{i}")
+            frames.append(result.withColumn("_src_file", F.lit(enc)))
+        df = frames[0]
+        for other in frames[1:]:
+            df = df.unionByName(other, allowMissingColumns=True)
+        df, _ = apply_steps(df, job.steps, strict=job.strict)
+        if job.rows > 0:
+            df = chunking.add_chunks(df, job.rows, per_file=True, stable=False,
+                                     keep_runs=bool(job.url))
+        stage_root = out_dir_for(batch[0].path)
+        outputs += layout.write_per_source(
+            df, sink_fmt, stage_root, dest_for, [f.length for f in batch], True,
+            job.compressed, chunked=job.rows > 0, xml_root=job.xml_root, inputs=encoded)
+        if job.url:
+            logs.append(_deliver(df, job, transport, sleep))
+    return JobResult("per_file", outputs, delivery_log=_union(logs) if logs else None)
+
+
 def _encoded(js, path: str) -> str:
     """The name Spark's file index gives ``path`` (what ``md5`` is taken of)."""
     jvm = js.sparkContext._jvm

@@ -508,3 +508,21 @@ def test_fast_mode_merge_keeps_lines_in_file_order(spark, tmp_path, out, thresho
         if threshold is not None:
             spark.conf.unset("spark.ferry.assembleMinBytes")
     assert open(_local(res.outputs[0].path)).read().splitlines() == expected
+
+
+def test_aggregate_sql_per_file_batched_with_chunks(spark, tmp_path, out):
+    src = tmp_path / "in dir"
+    src.mkdir()
+    for i, n in enumerate([7, 12, 3]):
+        write(str(src / f"f {i}.csv"), "k,v\n" + "".join(f"k{j % 5},{j}\n" for j in range(n * 10)))
+    res = run(spark, Job(input=str(src), format="csv", rows=2, output=out,
+                         sql="SELECT k, COUNT(*) AS n, SUM(v) AS total FROM input_data GROUP BY k"))
+    per = {}
+    for w in res.outputs:
+        body = lines(w.path)
+        assert body[0] == "k,n,total" and 1 <= len(body) - 1 <= 2
+        per.setdefault(os.path.basename(w.source), []).extend(body[1:])
+    assert sorted(per) == ["f 0.csv", "f 1.csv", "f 2.csv"]
+    for i, n in enumerate([7, 12, 3]):
+        rows = {x.split(",")[0]: int(x.split(",")[1]) for x in per[f"f {i}.csv"]}
+        assert len(rows) == 5 and sum(rows.values()) == n * 10

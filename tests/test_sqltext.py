@@ -22,3 +22,14 @@ def test_prepare_sql_reference_query():
          "WHERE event IS NOT NULL;")
     assert prepare_sql(q).endswith("WHERE event IS NOT NULL")
     assert "AS STRING" in prepare_sql(q)
+
+
+def test_rename_view_only_renames_the_identifier():
+    from ferry.functions.sqltext import rename_view
+    sql = ("SELECT a FROM input_data x JOIN \"input_data\" y ON x.k = y.k "
+           "WHERE s = 'input_data' -- input_data\n AND t IN (SELECT t FROM INPUT_DATA)")
+    out = rename_view(sql, "input_data", "input_data_3")
+    assert out == ("SELECT a FROM input_data_3 x JOIN \"input_data_3\" y ON x.k = y.k "
+                   "WHERE s = 'input_data' -- input_data\n AND t IN (SELECT t FROM input_data_3)")
+    assert rename_view("SELECT input_data_x FROM t", "input_data", "v") == \
+        "SELECT input_data_x FROM t"

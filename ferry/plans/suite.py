@@ -117,6 +117,22 @@ def per_file_csv(spark, sf):
     return _read_back(js, out, _table(js, sf, "lineitem"))
 
 
+def per_file_sql_aggregate(spark, sf):
+    """Aggregate SQL per input file (each file its own input_data), results
+    read back and summed over the files."""
+    js = _session(spark)
+    parts = _split(js, sf, "lineitem", "l_orderkey")
+    out = scratch_path(js, "per-file-sql")
+    run(js, Job(input=parts, format="csv", output=out,
+                sql="SELECT l_returnflag, l_linestatus, COUNT(*) AS n, "
+                    "CAST(SUM(l_quantity) AS BIGINT) AS qty FROM input_data "
+                    "GROUP BY l_returnflag, l_linestatus"))
+    back = read_files(js, find_input_files(js, out).paths)
+    return (back.groupBy("l_returnflag", "l_linestatus")
+            .agg(F.sum("n").alias("n"), F.sum("qty").alias("qty"),
+                 F.count(F.lit(1)).alias("files")))
+
+
 def csv_mixed_headers(spark, sf):
     """Two CSV files whose columns come in different orders combine by name."""
     js = _session(spark)
@@ -482,6 +498,11 @@ def registry() -> dict[str, tuple[Query, str | None]]:
         "merge_xml": (_merge("xml"), "SELECT * FROM events"),
         "per_file_csv": (per_file_csv, "SELECT * FROM lineitem"),
         "csv_mixed_headers": (csv_mixed_headers, "SELECT * FROM events"),
+        "per_file_sql_aggregate": (per_file_sql_aggregate,
+                                   "SELECT l_returnflag, l_linestatus, COUNT(*) AS n, "
+                                   "CAST(SUM(l_quantity) AS BIGINT) AS qty, "
+                                   "CAST(4 AS BIGINT) AS files FROM lineitem "
+                                   "GROUP BY l_returnflag, l_linestatus"),
         "xml_custom_root": (xml_custom_root, "SELECT * FROM customer"),
         "fast_copy": (fast_copy, "SELECT * FROM events"),
         "fast_count": (fast_count, "SELECT COUNT(*) AS count FROM events"),

@@ -400,11 +400,15 @@ def _per_file_sql_batched(js, job, files, fast, sql_text, sink_fmt, out_dir_for,
     for start in range(0, len(files), SQL_BATCH_FILES):
         batch = files[start:start + SQL_BATCH_FILES]
         bs = job_session(js)
+        # reads (schema inference for CSV/JSON) run concurrently; views and
+        # SQL analysis are cheap and done in order
+        with ThreadPoolExecutor(max_workers=min(16, len(batch))) as pool:
+            reads = list(pool.map(lambda f: _read(bs, [f], job, fast), batch))
         frames, encoded = [], []
-        for i, f in enumerate(batch):
+        for i, (f, df_i) in enumerate(zip(batch, reads)):
             enc = _encoded(bs, f.path)
             encoded.append(enc)
-            result = run_sql_as(_read(bs, [f], job, fast), sql_text, f"input_data_{i}")
+            result = run_sql_as(df_i, sql_text, f"input_data_{i}")
             frames.append(result.withColumn("_src_file", F.lit(enc)))
         df = frames[0]
         for other in frames[1:]:

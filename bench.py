@@ -92,6 +92,10 @@ def main() -> None:
             input=parts, format="csv", output=out("sqlpf"),
             sql="SELECT l_orderkey, l_partkey, l_quantity * l_extendedprice AS gross, "
                 "upper(l_returnflag) AS flag FROM input_data WHERE l_discount > 0.02")),
+        "sql_per_file_agg_parts": lambda: run(spark, Job(
+            input=parts, format="csv", output=out("sqlagg"),
+            sql="SELECT l_returnflag, l_linestatus, COUNT(*) AS n, SUM(l_quantity) AS qty "
+                "FROM input_data GROUP BY l_returnflag, l_linestatus")),
         "monthly_rollup": lambda: run(spark, Job(input=f"{sf}/orders.parquet", sql=rollup_sql,
                                                  output=out("rollup"))),
         "profile_ndjson": lambda: run(spark, Job(input=nd, sql=profile_sql,
@@ -157,6 +161,13 @@ def duckdb_times(sf: str, nd_dir: str, parts_dir: str) -> dict:
                         f"upper(l_returnflag) AS flag FROM input_data WHERE l_discount > 0.02) "
                         f"TO '{tmp}/pf-{i}.csv' (FORMAT CSV, HEADER)")
 
+    def sql_agg_per_file():
+        for i, p in enumerate(part_files):
+            con.execute(f"CREATE OR REPLACE TEMP VIEW input_data AS SELECT * FROM read_parquet('{p}'); "
+                        f"COPY (SELECT l_returnflag, l_linestatus, COUNT(*) AS n, SUM(l_quantity) AS qty "
+                        f"FROM input_data GROUP BY l_returnflag, l_linestatus) "
+                        f"TO '{tmp}/agg-{i}.csv' (FORMAT CSV, HEADER)")
+
     def chunk_loop():
         # The reference's chunking: one count, then one LIMIT/OFFSET query per chunk.
         n = con.execute(f"SELECT COUNT(*) FROM {ev}").fetchone()[0]
@@ -172,7 +183,8 @@ def duckdb_times(sf: str, nd_dir: str, parts_dir: str) -> dict:
                         f"DELIMITER chr(1))")
 
     for name, fn in (("chunk_csv_1000", chunk_loop), ("ndjson_fast_copy", line_copy),
-                     ("sql_per_file_parts", sql_per_file)):
+                     ("sql_per_file_parts", sql_per_file),
+                     ("sql_per_file_agg_parts", sql_agg_per_file)):
         try:
             out[name] = timed(fn)
         except duckdb.Error:

@@ -109,6 +109,9 @@ def job_session(spark: SparkSession) -> SparkSession:
             except Exception:  # noqa: BLE001 - static settings cannot be set per session
                 pass
     js.conf.set("spark.sql.session.timeZone", "UTC")
+    # "quoted" names are identifiers only under ANSI mode (Spark 4's default;
+    # set here in case the caller turned it off)
+    js.conf.set("spark.sql.ansi.enabled", "true")
     js.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", "true")
     return js
 

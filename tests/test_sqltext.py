@@ -33,3 +33,15 @@ def test_rename_view_only_renames_the_identifier():
                    "WHERE s = 'input_data' -- input_data\n AND t IN (SELECT t FROM input_data_3)")
     assert rename_view("SELECT input_data_x FROM t", "input_data", "v") == \
         "SELECT input_data_x FROM t"
+
+
+def test_quoted_names_work_even_if_caller_turned_ansi_off(spark):
+    from ferry.operators.sqlstage import run_sql
+    from ferry.session import job_session
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        js = job_session(spark)
+        df = js.createDataFrame([(1, "a")], "`$email` int, b string")
+        assert run_sql(df, 'SELECT "$email" AS e FROM input_data').collect()[0].e == 1
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")

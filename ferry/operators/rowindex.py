@@ -84,6 +84,12 @@ def with_row_index(df: DataFrame, name: str = "_idx", per_file: bool = False,
         out = (out.withColumn(RUN_START, F.col("_start"))
                   .withColumn(RUN_END, F.col("_start") + F.col("_n") - 1)
                   .withColumn(RUN_ORDERED, F.lit(broadcast)))
+        if not scan_tags:
+            # A partition run of stable (checkpointed) rows plays the part of
+            # an input split: writers can then lay out chunks per run, in
+            # order, without another shuffle.
+            out = (out.withColumn(SRC_BLOCK, F.col("_run").cast("long"))
+                      .withColumn(SRC_POS, F.col("_pos")))
     else:
         out = out.drop(RUN_LAST)
     return out.drop("_start", "_p0", "_n", *extra)

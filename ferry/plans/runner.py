@@ -294,7 +294,7 @@ def _run_per_file(js, job: Job, cat: Catalogue, sql_text: str | None,
             df, in_order = stages(df, job, None, per_file=True)
         if job.rows > 0:
             df = chunking.add_chunks(df, job.rows, per_file=True, stable=in_order,
-                                     keep_runs=bool(job.url))
+                                     keep_runs=True)
         outputs += layout.write_per_source(
             df, sink_fmt, stage_root, dest_for, [f.length for f in files],
             _splittable(key, paths, fast, job.csv_multiline), job.compressed,
@@ -416,7 +416,7 @@ def _per_file_sql_batched(js, job, files, fast, sql_text, sink_fmt, out_dir_for,
         df, _ = apply_steps(df, job.steps, strict=job.strict)
         if job.rows > 0:
             df = chunking.add_chunks(df, job.rows, per_file=True, stable=False,
-                                     keep_runs=bool(job.url))
+                                     keep_runs=True)
         stage_root = out_dir_for(batch[0].path)
         outputs += layout.write_per_source(
             df, sink_fmt, stage_root, dest_for, [f.length for f in batch], True,

@@ -526,3 +526,28 @@ def test_aggregate_sql_per_file_batched_with_chunks(spark, tmp_path, out):
     for i, n in enumerate([7, 12, 3]):
         rows = {x.split(",")[0]: int(x.split(",")[1]) for x in per[f"f {i}.csv"]}
         assert len(rows) == 5 and sum(rows.values()) == n * 10
+
+
+def test_chunks_after_dedupe_across_partitions(spark, tmp_path, out):
+    """Dedupe output spread over many partitions, cut into chunks: every
+    distinct row exactly once, every chunk exactly N rows but the last."""
+    src = spark.read.parquet("/root/testdata/sf0.01/events.parquet").select("user_id", "event_type")
+    f = str(tmp_path / "ev.csv")
+    with open(f, "w") as fh:
+        fh.write("user_id,event_type\n")
+        for r in src.collect():
+            fh.write(f"{r.user_id},{r.event_type}\n")
+    expected = {(r.user_id, r.event_type) for r in src.collect()}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        res = run(spark, Job(input=f, format="csv", dedupe=True, rows=70, output=out))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got, sizes = [], []
+    for w in sorted(res.outputs, key=lambda w: w.chunk):
+        body = lines(w.path)
+        assert body[0] == "user_id,event_type"
+        sizes.append(len(body) - 1)
+        got += [(int(x.split(",")[0]), x.split(",")[1]) for x in body[1:]]
+    assert len(got) == len(set(got)) and set(got) == expected
+    assert sizes[:-1] == [70] * (len(sizes) - 1) and 0 < sizes[-1] <= 70

@@ -309,10 +309,13 @@ def write_per_source(df: DataFrame, fmt: str, stage_root: str, dest_for, sizes:
     whole_files = direct_scan and one_task_per_file(spark, sizes, splittable)
     large = sum(sizes) >= assemble_min_bytes(spark)
     text = writers.joinable(fmt, compressed)
-    # chunks of tagged rows: parts per (file, chunk, split) need no shuffle, and
-    # a chunk inside one split is a single part (a rename) — unless every
-    # chunk would need a separate header part copied in front (gzip CSV)
-    chunk_parts = chunked and direct_scan and not (fmt in ("csv", "tsv") and compressed)
+    # chunks of tagged rows of a large input: parts per (file, chunk, split)
+    # need no shuffle, and a chunk inside one split is a single part (a
+    # rename) — unless every chunk would need a separate header part copied
+    # in front (gzip CSV). Small inputs sit in few tasks: the shuffle spreads
+    # the encoding wider.
+    chunk_parts = (chunked and direct_scan and large
+                   and not (fmt in ("csv", "tsv") and compressed))
     single_parts = not chunked and not whole_files and large
     if text and (chunk_parts or single_parts):
         return _per_source_from_parts(keyed, fmt, stage_root, dest_for, compressed, encoded,

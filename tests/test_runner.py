@@ -399,18 +399,23 @@ def test_parts_path_empty_result_and_gzip_header(spark, tmp_path, out, parts_pat
     assert len(body) == n + 1
 
 
+@pytest.mark.parametrize("threshold", [None, "0"])
 @pytest.mark.parametrize("compressed", [False, True])
-def test_chunks_across_split_boundaries_without_shuffle(spark, tmp_path, out, compressed):
+def test_chunks_across_split_boundaries_without_shuffle(spark, tmp_path, out, compressed,
+                                                        threshold):
     f = str(tmp_path / "big.ndjson")
     with open(f, "w") as fh:
         for i in range(20000):
             fh.write(f'{{"seq": {i}, "pad": "{"z" * 40}"}}\n')
     spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    if threshold is not None:
+        spark.conf.set("spark.ferry.assembleMinBytes", threshold)
     try:
         res = run(spark, Job(input=f, format="csv", rows=3001, output=out,
                              compressed=compressed))
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.ferry.assembleMinBytes")
     assert len(res.outputs) == 7
     for w in sorted(res.outputs, key=lambda w: w.chunk):
         p = _local(w.path)
@@ -528,7 +533,8 @@ def test_aggregate_sql_per_file_batched_with_chunks(spark, tmp_path, out):
         assert len(rows) == 5 and sum(rows.values()) == n * 10
 
 
-def test_chunks_after_dedupe_across_partitions(spark, tmp_path, out):
+@pytest.mark.parametrize("threshold", [None, "0"])
+def test_chunks_after_dedupe_across_partitions(spark, tmp_path, out, threshold):
     """Dedupe output spread over many partitions, cut into chunks: every
     distinct row exactly once, every chunk exactly N rows but the last."""
     src = spark.read.parquet("/root/testdata/sf0.01/events.parquet").select("user_id", "event_type")
@@ -539,10 +545,13 @@ def test_chunks_after_dedupe_across_partitions(spark, tmp_path, out):
             fh.write(f"{r.user_id},{r.event_type}\n")
     expected = {(r.user_id, r.event_type) for r in src.collect()}
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    if threshold is not None:
+        spark.conf.set("spark.ferry.assembleMinBytes", threshold)
     try:
         res = run(spark, Job(input=f, format="csv", dedupe=True, rows=70, output=out))
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.ferry.assembleMinBytes")
     got, sizes = [], []
     for w in sorted(res.outputs, key=lambda w: w.chunk):
         body = lines(w.path)

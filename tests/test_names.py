@@ -79,3 +79,24 @@ def test_data_file_filter_and_dispatch():
     assert output_extension("jsonl") == "json" and output_extension("ndjson") == "ndjson"
     with pytest.raises(UnsupportedFormat):
         output_extension("avro")
+
+
+from hypothesis import given, strategies as st  # noqa: E402
+
+NAME = st.text(alphabet=st.characters(whitelist_categories=("Ll", "Lu", "Nd"),
+                                      whitelist_characters="-_ "), min_size=1, max_size=20)
+
+
+@given(base=NAME, ext=st.sampled_from(["csv", "ndjson", "parquet", "json", "tsv", "xml"]),
+       comp=st.sampled_from(["", ".gz", ".bz2", ".zst"]))
+def test_output_base_name_inverts_naming(base, ext, comp):
+    name = names.build_output_filename(base, ext) + comp
+    assert names.output_base_name(f"/d/{name}") == base
+    assert file_format(name) == ext
+
+
+@given(base=NAME, chunk=st.integers(1, 10**6), prefix=NAME, suffix=NAME)
+def test_chunk_names_are_distinct_per_chunk(base, chunk, prefix, suffix):
+    a = names.chunk_filename(base, chunk, "csv", prefix, suffix)
+    b = names.chunk_filename(base, chunk + 1, "csv", prefix, suffix)
+    assert a != b and a.startswith(prefix) and a.endswith(f"{suffix}.csv")

@@ -193,3 +193,18 @@ def test_inference_sampling_option_reads_all_rows(spark, tmp_path):
     out = str(tmp_path / "o")
     res = run(spark, Job(input=f, count=True, output=out, infer_sampling=0.1))
     assert res.result.collect()[0]["count"] == 2000
+
+
+def test_local_glob_input(spark, tmp_path):
+    from ferry import Job, run
+    d = tmp_path / "g"
+    write(str(d / "a.csv"), "x\n1\n")
+    write(str(d / "b.csv"), "x\n2\n")
+    write(str(d / "c.tsv"), "x\n3\n")
+    cat = find_input_files(spark, str(d / "*.csv"))
+    assert [p.rsplit("/", 1)[1] for p in cat.paths] == ["a.csv", "b.csv"]
+    out = str(tmp_path / "o")
+    res = run(spark, Job(input=str(d / "*.csv"), format="ndjson", single_file=True,
+                         output=out + "/all.ndjson"))
+    assert open(res.outputs[0].path.replace("file:", "")).read().splitlines() == \
+        ['{"x":1}', '{"x":2}']

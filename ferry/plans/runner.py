@@ -273,20 +273,20 @@ def _run_per_file(js, job: Job, cat: Catalogue, sql_text: str | None,
         if sql_text:
             # Each file is its own input_data. Row-local SQL (projections and
             # filters) gives the same rows run once over all files, so it runs
-            # as one job with every row tagged by its file; other SQL runs per file.
-            # Row-locality is a property of the query's shape: decide it on
-            # the first file, so other SQL costs no read of all files.
+            # as one job with every row tagged by its file; other SQL runs per
+            # file. Row-locality is a property of the query's shape, so it is
+            # decided on the first file: other SQL costs no read of all files.
             if not is_row_local(run_sql(_read(job_session(js), files[:1], job, fast),
                                         sql_text)):
                 per_file_sql += files
                 continue
             df = _read(js, files, job, fast)
             inputs = df.inputFiles()
-            result = run_sql(df, sql_text)
-            if not is_row_local(result):
+            queried = run_sql(df, sql_text)
+            if not is_row_local(queried):
                 per_file_sql += files
                 continue
-            df, _ = apply_steps(tag_rows(result), job.steps, strict=job.strict)
+            df, _ = apply_steps(tag_rows(queried), job.steps, strict=job.strict)
             in_order = True
         else:
             df = _read(js, files, job, fast, tag=True)

@@ -15,6 +15,8 @@ import sys
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from ferry import Job, get_session  # noqa: E402
 from ferry.functions import jsonsteps as S  # noqa: E402
 from ferry.operators import chunking, project, report  # noqa: E402
@@ -53,6 +55,12 @@ def main() -> None:
          "Per-split offsets (a table bounded by the number of splits, size-checked) are "
          "broadcast; the data itself is not shuffled or sorted.",
          chunking.add_chunks(tagged, 1000)),
+        ("Parts of a merged or large per-file text output (K9/K10)",
+         "What the writer gets for a large text merge: rows tagged by file and split, "
+         "sorted inside each task, written with partitionBy(file, split). No Exchange: "
+         "every task writes its own split's part; the parts are joined afterwards.",
+         tagged.withColumn("_fid", F.md5("_src_file"))
+               .sortWithinPartitions("_fid", "_src_block", "_src_pos")),
         ("Profile (A4)",
          "Distinct counts as two-level aggregates, each with map-side partial aggregation.",
          report.profile(ev, "user_id", "event_type")),

@@ -69,3 +69,10 @@ def test_delivery_groups_are_chunks(spark):
     # every group is one chunk of at most 500 rows
     sizes = log.select("n_rows").distinct().collect()
     assert max(r.n_rows for r in sizes) == 500
+
+
+def test_parts_layout_moves_no_data(spark):
+    df = read_files(spark, [f"{SF01}/lineitem.parquet"], tag=True)
+    parts = (df.withColumn("_fid", F.md5("_src_file"))
+             .sortWithinPartitions("_fid", "_src_block", "_src_pos"))
+    assert "Exchange" not in plan(parts)

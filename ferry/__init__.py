@@ -8,6 +8,11 @@ fixed-size chunks, or deliver the chunks to an HTTP endpoint.
 from ferry.session import get_session, job_session, scratch_path
 from ferry.plans.job import Job, JobError
 from ferry.plans.runner import run, explain_job
+from ferry.sources.catalogue import find_input_files
+from ferry.sources.readers import ReadOptions, read_files
+from ferry.operators.rowindex import with_row_index
+from ferry.operators.chunking import add_chunks, chunk_manifest
+from ferry.streaming.delivery import DeliveryConfig, deliver
 
 __all__ = [
     "get_session",
@@ -17,4 +22,12 @@ __all__ = [
     "JobError",
     "run",
     "explain_job",
+    "find_input_files",
+    "ReadOptions",
+    "read_files",
+    "with_row_index",
+    "add_chunks",
+    "chunk_manifest",
+    "DeliveryConfig",
+    "deliver",
 ]

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferry.functions import names
+from ferry.functions.sqltext import prepare_sql
 from ferry.functions.formats import (JSON_FORMATS, compression_of, file_format,
                                      output_extension)
 from ferry.operators import chunking, project
@@ -140,6 +141,11 @@ def run(spark: SparkSession, job: Job, transport=None, sleep=None) -> JobResult:
     sql_text = read_sql_text(js, job.sql) if job.sql else None
     if job.count:
         sql_text = COUNT_SQL
+    if job.verbose:
+        # the job (its repr leaves credentials out) and the SQL as it will run
+        log.warning("job: %r", job)
+        if sql_text:
+            log.warning("sql: %s", prepare_sql(sql_text))
     if job.analytical:
         return _run_analytical(js, job, cat, sql_text)
     if job.preview > 0:

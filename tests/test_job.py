@@ -79,3 +79,16 @@ def test_shuffle_width_follows_input_size(spark):
     size_shuffles(js, 100 << 40)  # 100 TiB
     assert int(js.conf.get("spark.sql.shuffle.partitions")) == 819200
     assert int(spark.conf.get("spark.sql.shuffle.partitions")) == base  # parent untouched
+
+
+def test_verbose_logs_job_and_sql_without_secrets(spark, tmp_path, caplog):
+    import logging
+    from ferry import run
+    f = tmp_path / "a.csv"
+    f.write_text("a\n1\n")
+    with caplog.at_level(logging.WARNING, logger="ferry"):
+        run(spark, Job(input=str(f), sql="SELECT CAST(a AS VARCHAR) AS s FROM input_data;",
+                       output=str(tmp_path / "o"), verbose=True,
+                       credentials={"s3_access_key": "AKSECRET", "s3_secret_key": "SKSECRET"}))
+    text = caplog.text
+    assert "CAST(a AS STRING)" in text and "SECRET" not in text

@@ -117,9 +117,21 @@ class HadoopFS:
         return "file:/" + uri[len("file:///"):] if uri.startswith("file:///") else uri
 
     def read_head(self, p: str, nbytes: int = 65536) -> bytes:
-        """First ``nbytes`` of a file, decompressed with Hadoop's codec for its suffix."""
+        """First ``nbytes`` of a file, decompressed by its suffix.
+
+        zstd is decompressed here (Hadoop's zstd codec needs a native library
+        that is often missing); gzip and bzip2 use Hadoop's Java codecs.
+        """
         path = self._path(p)
         fs = path.getFileSystem(self._conf)
+        if p.lower().endswith(".zst"):
+            import zstandard
+            raw = fs.open(path)
+            try:
+                data = bytes(raw.readNBytes(max(4 * nbytes, 1 << 18)))
+            finally:
+                raw.close()
+            return zstandard.ZstdDecompressor().decompressobj().decompress(data)[:nbytes]
         factory = self._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(self._conf)
         codec = factory.getCodec(path)
         raw = fs.open(path)

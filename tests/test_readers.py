@@ -208,3 +208,14 @@ def test_local_glob_input(spark, tmp_path):
                          output=out + "/all.ndjson"))
     assert open(res.outputs[0].path.replace("file:", "")).read().splitlines() == \
         ['{"x":1}', '{"x":2}']
+
+
+def test_several_compressed_csv_files_probe_headers(spark, tmp_path):
+    d = tmp_path / "mixed"
+    d.mkdir()
+    for name, comp in [("a.csv.zst", zstandard.ZstdCompressor().compress),
+                       ("b.csv.gz", gzip.compress), ("c.csv.bz2", bz2.compress)]:
+        with open(d / name, "wb") as fh:
+            fh.write(comp(b"x,y\n1,2\n"))
+    rows = read_files(spark, find_input_files(spark, str(d)).paths).collect()
+    assert [(r.x, r.y) for r in rows] == [(1, 2)] * 3

@@ -115,32 +115,42 @@ def _copier(skip_repeated_header: bool, xml_root: str | None = None):
     return copy_parts
 
 
+CONCAT_SCHEMES = ("hdfs://", "viewfs://")
+
+
 def _try_fs_concat(fs: HadoopFS, target: str, prefix: str | None, parts: list[str]) -> bool:
-    """File systems with ``concat`` (HDFS) join the parts without moving bytes."""
-    if _is_local(target) or not parts:
+    """HDFS joins files with ``concat`` without moving bytes.
+
+    HDFS wants the sources in the target's folder, so the parts are first
+    renamed next to it (a metadata operation there); if ``concat`` fails
+    they are put back and the byte copy runs instead.
+    """
+    if not target.startswith(CONCAT_SCHEMES) or not parts:
         return False
-    jvm = fs._jvm
+    folder, name = target.rsplit("/", 1)
+    moved: list[tuple[str, str]] = []
     try:
+        for i, p in enumerate(parts):
+            near = f"{folder}/.{name}.part-{i:06d}"
+            fs.rename(p, near)
+            moved.append((p, near))
+        sources = [near for _, near in moved]
         if prefix:  # a few header bytes, copied inside the JVM
-            jvm.org.apache.hadoop.fs.FileUtil.copy(
-                fs._fs(prefix), fs._path(prefix), fs._fs(target), fs._path(target), False,
-                fs._conf)
-            rest = parts
+            fs.copy_file(prefix, target)
         else:
-            fs.rename(parts[0], target)
-            rest = parts[1:]
-        if rest:
-            jparts = jvm.java.lang.reflect.Array.newInstance(jvm.org.apache.hadoop.fs.Path,
-                                                             len(rest))
-            for i, p in enumerate(rest):
-                jparts[i] = fs._path(p)
-            fs._fs(target).concat(fs._path(target), jparts)
+            fs.rename(sources[0], target)
+            sources = sources[1:]
+        if sources:
+            fs.concat(target, sources)
         return True
-    except Exception:  # noqa: BLE001 - the file system has no concat
-        if not prefix and fs.exists(target) and not fs.exists(parts[0]):
-            fs.rename(target, parts[0])
+    except Exception:  # noqa: BLE001 - no concat here: restore and copy instead
+        if fs.exists(target) and not prefix and moved and not fs.exists(moved[0][1]):
+            fs.rename(target, moved[0][1])
         elif fs.exists(target):
             fs.delete(target, recursive=False)
+        for original, near in moved:
+            if fs.exists(near):
+                fs.rename(near, original)
         return False
 
 

@@ -108,6 +108,20 @@ class HadoopFS:
         return [FileInfo(str(st.getPath().toString()), int(st.getLen()),
                          bool(st.isDirectory())) for st in sts]
 
+    def copy_file(self, src: str, dst: str) -> None:
+        """Copy one (small) file inside the JVM."""
+        self._jvm.org.apache.hadoop.fs.FileUtil.copy(
+            self._fs(src), self._path(src), self._fs(dst), self._path(dst), False, self._conf)
+
+    def concat(self, target: str, sources: list[str]) -> None:
+        """Append ``sources`` to ``target`` (file systems that support it, e.g. HDFS)."""
+        jvm = self._jvm
+        arr = jvm.java.lang.reflect.Array.newInstance(jvm.org.apache.hadoop.fs.Path,
+                                                      len(sources))
+        for i, p in enumerate(sources):
+            arr[i] = self._path(p)
+        self._fs(target).concat(self._path(target), arr)
+
     def uri_to_path(self, uri: str) -> str:
         """``_metadata.file_path`` / ``inputFiles()`` form → plain path string."""
         return str(self._jvm.org.apache.hadoop.fs.Path(self._jvm.java.net.URI(uri)).toString())

@@ -40,7 +40,7 @@ from ferry.sinks import layout, writers
 from ferry.sinks.fs import HadoopFS
 from ferry.sources.catalogue import Catalogue, CatalogueError, find_input_files
 from ferry.sources.cloud import apply_credentials
-from ferry.sources.readers import SOURCE_COLS, ReadOptions, read_files
+from ferry.sources.readers import SOURCE_COLS, ReadOptions, csv_header_groups, read_files
 from ferry.streaming.delivery import DeliveryConfig, deliver
 
 log = logging.getLogger("ferry")
@@ -270,11 +270,20 @@ def _run_per_file(js, job: Job, cat: Catalogue, sql_text: str | None,
     by_format: dict[str, list] = {}
     for f in cat.files:
         by_format.setdefault(file_format(f.path), []).append(f)
+    groups = []
+    for key, files in by_format.items():
+        if key == "csv" and len(files) > 1:
+            # each output keeps its own file's columns: one job per header
+            by_path = {f.path: f for f in files}
+            groups += [(key, [by_path[p] for p in g])
+                       for g in csv_header_groups(js, [f.path for f in files])]
+        else:
+            groups.append((key, files))
     per_file_sql: list = []
     whole_reads = job.rows == 0 and not writers.joinable(sink_fmt, job.compressed)
     if whole_reads:
         read_files_whole(js, [f.length for f in cat.files])
-    for key, files in by_format.items():
+    for key, files in groups:
         paths = [f.path for f in files]
         if sql_text:
             # Each file is its own input_data. Row-local SQL (projections and

@@ -149,16 +149,24 @@ def _csv(spark: SparkSession, paths: list[str], sep: str, opts: ReadOptions, tag
 
     if not by_name or len(paths) == 1:
         return read(paths)
-    groups: dict[str, list[str]] = {}
-    for p, line in probe.first_lines(spark, paths).items():
-        groups.setdefault(line, []).append(p)
-    frames = [read(g) for g in groups.values()]
+    frames = [read(g) for g in csv_header_groups(spark, paths)]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     return out
 
 
+def csv_header_groups(spark: SparkSession, paths: list[str]) -> list[list[str]]:
+    """Files grouped by their header line (first-seen order of headers)."""
+    if len(paths) == 1:
+        return [paths]
+    groups: dict[str, list[str]] = {}
+    lines = probe.first_lines(spark, paths)
+    for p in paths:
+        groups.setdefault(lines[p], []).append(p)
+    return list(groups.values())
+
+
 def _json(spark: SparkSession, paths: list[str], opts: ReadOptions, tag: bool,
           sizes: dict[str, int] | None = None) -> DataFrame:
     array_files, line_files = [], []

@@ -560,3 +560,14 @@ def test_chunks_after_dedupe_across_partitions(spark, tmp_path, out, threshold):
         got += [(int(x.split(",")[0]), x.split(",")[1]) for x in body[1:]]
     assert len(got) == len(set(got)) and set(got) == expected
     assert sizes[:-1] == [70] * (len(sizes) - 1) and 0 < sizes[-1] <= 70
+
+
+def test_per_file_csv_outputs_keep_their_own_columns(spark, tmp_path, out):
+    d = tmp_path / "hdrs"
+    write(str(d / "a.csv"), "id,name\n1,ann\n")
+    write(str(d / "b.csv"), "id,city\n2,oslo\n")
+    write(str(d / "c.csv"), "id,name\n3,bo\n")
+    res = run(spark, Job(input=str(d), format="csv", output=out))
+    got = {os.path.basename(w.path): lines(w.path) for w in res.outputs}
+    assert got == {"a.csv": ["id,name", "1,ann"], "b.csv": ["id,city", "2,oslo"],
+                   "c.csv": ["id,name", "3,bo"]}

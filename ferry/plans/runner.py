@@ -18,6 +18,7 @@ Modes:
 
 from __future__ import annotations
 
+import dataclasses
 import logging
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -68,9 +69,13 @@ def _read_options(job: Job, fast: bool) -> ReadOptions:
                        sampling_ratio=job.infer_sampling)
 
 
-def _read(js, files, job: Job, fast: bool, tag: bool = False) -> DataFrame:
+def _read(js, files, job: Job, fast: bool, tag: bool = False,
+          one_header: bool = False) -> DataFrame:
     """Read catalogue entries (``FileInfo``) with the job's options."""
-    return read_files(js, [f.path for f in files], _read_options(job, fast), tag=tag,
+    opts = _read_options(job, fast)
+    if one_header:
+        opts = dataclasses.replace(opts, csv_one_header=True)
+    return read_files(js, [f.path for f in files], opts, tag=tag,
                       sizes={f.path: f.length for f in files})
 
 
@@ -295,7 +300,7 @@ def _run_per_file(js, job: Job, cat: Catalogue, sql_text: str | None,
                                         sql_text)):
                 per_file_sql += files
                 continue
-            df = _read(js, files, job, fast)
+            df = _read(js, files, job, fast, one_header=key == "csv")
             inputs = df.inputFiles()
             queried = run_sql(df, sql_text)
             if not is_row_local(queried):
@@ -304,7 +309,7 @@ def _run_per_file(js, job: Job, cat: Catalogue, sql_text: str | None,
             df, _ = apply_steps(tag_rows(queried), job.steps, strict=job.strict)
             in_order = True
         else:
-            df = _read(js, files, job, fast, tag=True)
+            df = _read(js, files, job, fast, tag=True, one_header=key == "csv")
             inputs = df.inputFiles()
             df, in_order = stages(df, job, None, per_file=True)
         if job.rows > 0:

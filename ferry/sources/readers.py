@@ -51,6 +51,7 @@ class ReadOptions:
     csv_multiline: bool = True
     sampling_ratio: float = 1.0
     json_key_order: str = "first_seen"  # or "inferred"
+    csv_one_header: bool = False  # the caller already grouped CSV files by header
 
 
 GLOB_CHARS = "\\*?[]{}"
@@ -147,7 +148,7 @@ def _csv(spark: SparkSession, paths: list[str], sep: str, opts: ReadOptions, tag
                            .schema(schema)
         return _tagged(widen_ints(reader.csv(literals(group))), tag)
 
-    if not by_name or len(paths) == 1:
+    if not by_name or len(paths) == 1 or opts.csv_one_header:
         return read(paths)
     frames = [read(g) for g in csv_header_groups(spark, paths)]
     out = frames[0]

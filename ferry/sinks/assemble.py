@@ -171,7 +171,8 @@ def assemble(spark: SparkSession, plans: list[tuple[str, list[str]]],
             continue
         if fs.exists(target):
             fs.delete(target, recursive=False)
-        if repeated_header or xml_root or not _try_fs_concat(fs, target, prefix, parts):
+        if (repeated_header or xml_root
+                or not _try_fs_concat(fs, fs.qualify(target), prefix, parts)):
             copies.append((target, ([prefix] if prefix else []) + list(parts)))
     if not copies:
         return

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ferry.functions.names import join
 from ferry.sinks import writers
-from ferry.sinks.assemble import assemble
+from ferry.sinks.assemble import CONCAT_SCHEMES, assemble
 from ferry.sinks.fs import HadoopFS
 from ferry.sources.readers import SRC_BLOCK, SRC_FILE, SRC_POS, literal
 
@@ -57,8 +57,10 @@ class Written:
 
 
 def _staging(fs: HadoopFS, out_dir: str) -> str:
+    """A fresh hidden folder next to the outputs, as a qualified path (its
+    scheme tells which file system the outputs are assembled on)."""
     fs.mkdirs(out_dir)
-    return join(out_dir, f".ferry-staging-{uuid.uuid4().hex[:12]}")
+    return fs.qualify(join(out_dir, f".ferry-staging-{uuid.uuid4().hex[:12]}"))
 
 
 def _part_files(fs: HadoopFS, folder: str) -> list[str]:
@@ -97,14 +99,19 @@ def _parts_in(fs: HadoopFS, folder: str) -> list[str]:
     return out + _part_files(fs, folder)
 
 
-def _header_in_parts(fmt: str, compressed: bool) -> bool:
-    """Plain CSV/TSV parts keep their own header line (dropped when joined)."""
-    return fmt in ("csv", "tsv") and not compressed
+def _header_in_parts(fmt: str, compressed: bool, where: str = "") -> bool:
+    """Plain CSV/TSV parts keep their own header line (dropped when joined).
+
+    Not on HDFS: there a separate header part lets ``concat`` join the
+    parts without moving bytes (header stripping would need a copy).
+    """
+    return (fmt in ("csv", "tsv") and not compressed
+            and not where.startswith(CONCAT_SCHEMES))
 
 
 def _header_part(df: DataFrame, fmt: str, compressed: bool, stage: str) -> str | None:
     """Gzip CSV/TSV header as its own small file (Spark's writer quotes the names)."""
-    if fmt not in ("csv", "tsv") or _header_in_parts(fmt, compressed):
+    if fmt not in ("csv", "tsv") or _header_in_parts(fmt, compressed, stage):
         return None
     fs = HadoopFS(df.sparkSession)
     empty = df.sparkSession.createDataFrame([], df.schema).coalesce(1)
@@ -139,7 +146,7 @@ def _single_from_parts(df: DataFrame, fmt: str, target: str, compressed: bool,
         data = writers.prepare(keyed, fmt, keep=(SRC_BLOCK,))
         header = _header_part(data.drop(FID, SRC_BLOCK), fmt, compressed, stage)
         writers.writer(data, fmt, compressed, xml_root, xml_row,
-                       header=_header_in_parts(fmt, compressed)) \
+                       header=_header_in_parts(fmt, compressed, stage)) \
             .partitionBy(FID, SRC_BLOCK).save(join(stage, "parts"))
         by_key = {source_key(fs.uri_form(e)): e for e in encoded}
         dirs = [d for d in fs.list(join(stage, "parts")) if d.is_dir and f"/{FID}=" in d.path]
@@ -150,15 +157,15 @@ def _single_from_parts(df: DataFrame, fmt: str, target: str, compressed: bool,
         data = writers.prepare(ordered.drop(IDX) if IDX in ordered.columns else ordered, fmt)
         header = _header_part(data, fmt, compressed, stage)
         writers.writer(data, fmt, compressed, xml_root, xml_row,
-                       header=_header_in_parts(fmt, compressed)).save(join(stage, "parts"))
+                       header=_header_in_parts(fmt, compressed, stage)).save(join(stage, "parts"))
         # part numbers follow partition order, which is the sort order when sorted
         parts = _part_files(fs, join(stage, "parts"))
-    if not parts and _header_in_parts(fmt, compressed):
+    if not parts and _header_in_parts(fmt, compressed, stage):
         # no rows at all: a header-only CSV (Spark's XML writer writes nothing)
         parts = [_header_only(data.drop(*[c for c in (FID, SRC_BLOCK) if c in data.columns]),
                               fmt, stage, xml_root, xml_row)]
     assemble(spark, [(target, parts)], prefix=header,
-             repeated_header=_header_in_parts(fmt, compressed),
+             repeated_header=_header_in_parts(fmt, compressed, stage),
              xml_root=xml_root if fmt == "xml" else None)
     fs.delete(stage)
     return Written(None, None, target)
@@ -384,10 +391,10 @@ def _per_source_from_parts(keyed: DataFrame, fmt: str, stage_root: str, dest_for
     stage = _staging(fs, stage_root)
     header = _header_part(data.drop(FID, *chunk, *block), fmt, compressed, stage)
     writers.writer(data, fmt, compressed, xml_root, xml_row,
-                   header=_header_in_parts(fmt, compressed)) \
+                   header=_header_in_parts(fmt, compressed, stage)) \
         .partitionBy(FID, *chunk, *block).save(join(stage, "parts"))
     # per-split folders grow with the data: list those with Spark
     leaves = _leaf_parts(spark, join(stage, "parts"),
                          None if chunked or direct_scan else len(encoded))
     return _place(spark, fs, stage, leaves, encoded, dest_for, chunked, header,
-                  _header_in_parts(fmt, compressed), xml_root=xml_root if fmt == "xml" else None)
+                  _header_in_parts(fmt, compressed, stage), xml_root=xml_root if fmt == "xml" else None)

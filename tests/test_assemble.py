@@ -57,3 +57,15 @@ def test_other_file_systems_skip_concat():
     fs = FakeFS({"s3a://b/p0": b"A", "s3a://b/p1": b"B"})
     assert not _try_fs_concat(fs, "s3a://b/out.csv", None, ["s3a://b/p0", "s3a://b/p1"])
     assert fs.calls == []
+
+
+def test_header_strategy_follows_the_file_system():
+    from ferry.sinks.layout import _header_in_parts
+    # local/cloud: headers stay in the parts (a one-part output is a rename)
+    assert _header_in_parts("csv", False, "file:/out/.stage")
+    assert _header_in_parts("tsv", False, "s3a://b/out/.stage")
+    # HDFS: a separate header part, so concat can join without copying
+    assert not _header_in_parts("csv", False, "hdfs://nn/out/.stage")
+    # gzip: always a separate header part; other formats have no header
+    assert not _header_in_parts("csv", True, "file:/out/.stage")
+    assert not _header_in_parts("ndjson", False, "file:/out/.stage")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from ferry.llm import mixing
+from ferry.llm import mixing, pieces
 
 
 def registry() -> dict:
     return {
+        "op3_sentencepiece": (pieces.op3, None),
         "op9_mixing": (mixing.op9, mixing.OP9_SQL),
     }

@@ -38,6 +38,8 @@ BUDGET = 1.5
 MAX_EPOCHS = 2
 SEED = "mix"
 BUCKET_DIGITS = 3
+#: most per-source rows (about 100 bytes each) that are broadcast
+BROADCAST_SOURCES = 100_000
 
 
 def word_count(text) -> F.Column:
@@ -88,17 +90,20 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget=BUDGET, max_epochs=MAX_EPOCHS,
         .withColumn("frac", F.col("target") - F.col("whole") * F.col("source_size")) \
         .select(F.col("source").alias("s"), "source_size", "target", "whole", "frac")
     per = staged(per, "mix-targets")
+    # a hot source must not meet in one join task: broadcast the per-source
+    # rows where their counted number is small, else leave the split to AQE
+    few = F.broadcast if per.count() <= BROADCAST_SOURCES else (lambda x: x)
 
     run = Window.partitionBy("source").orderBy("bucket") \
         .rowsBetween(Window.unboundedPreceding, -1)
     sums = d.groupBy("source", "bucket").agg(F.sum("size").alias("n")) \
         .withColumn("before", F.coalesce(F.sum("n").over(run), F.lit(0)))
-    edge = sums.join(per, F.col("source").eqNullSafe(F.col("s"))) \
+    edge = sums.join(few(per), F.col("source").eqNullSafe(F.col("s"))) \
         .filter((F.col("before") <= F.col("frac")) & (F.col("before") + F.col("n") > F.col("frac"))) \
         .groupBy("s").agg(F.max("bucket").alias("edge"), F.max("before").alias("before"))
-    per = per.join(edge.withColumnRenamed("s", "s2"), F.col("s").eqNullSafe(F.col("s2")), "left") \
+    per = per.join(few(edge.withColumnRenamed("s", "s2")), F.col("s").eqNullSafe(F.col("s2")), "left") \
         .drop("s2")
-    j = d.join(per, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    j = d.join(few(per), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     # no edge: the fraction covers the whole source (or nothing of it)
     clear = j.filter(F.col("edge").isNull() | (F.col("bucket") != F.col("edge"))) \
         .withColumn("part", F.when((F.col("frac") > 0) & (F.col("edge").isNull() | (F.col("bucket") < F.col("edge"))),

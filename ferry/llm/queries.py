@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from ferry.llm import langid, mixing, pieces, warc
+from ferry.llm import langid, mixing, pieces, pii, warc
 
 
 def registry() -> dict:
     return {
+        "op1_pii": (pii.op1, None),
         "op4_langid": (langid.op4, None),
         "op3_sentencepiece": (pieces.op3, None),
         "op9_mixing": (mixing.op9, mixing.OP9_SQL),

@@ -265,6 +265,9 @@ class Model:
                 out += [(KINDS[y - 1], tokens[i][0], tokens[j - 1][1]) for i, j, y in self.crf.decode(lat)]
         return out
 
+    def base(self, text: str) -> list[tuple[str, int, int]]:
+        return base_spans(text) if _TRIGGER.search(text) else []
+
     def all_spans(self, text: str, base) -> list[tuple[str, int, int]]:
         """Base spans and the model's spans that touch none of them."""
         more = [s for s in self.spans(text) if all(s[2] <= b[1] or s[1] >= b[2] for b in base)]
@@ -347,7 +350,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
 
 
 # -- jobs ------------------------------------------------------------------------------
-def find(docs: DataFrame, model: Model, redact: bool = False) -> DataFrame:
+def find(docs: DataFrame, model, redact: bool = False) -> DataFrame:
     """doc_id, base and spans (arrays of kind, start, end); with ``redact`` also
     the text with every span replaced by its kind in brackets."""
     ship(docs.sparkSession)
@@ -362,8 +365,8 @@ def find(docs: DataFrame, model: Model, redact: bool = False) -> DataFrame:
             base, both, texts = [], [], []
             for text in batch.column("text"):
                 text = text.as_py() or ""
-                b = base_spans(text) if _TRIGGER.search(text) else []
-                s = model.all_spans(text, b) if b or _TRIGGER.search(text) else []
+                b = model.base(text)
+                s = model.all_spans(text, b)
                 base.append(as_rows(b))
                 both.append(as_rows(s))
                 if redact:

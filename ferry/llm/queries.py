@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from ferry.llm import langid, mixing, pieces, pii, secret_scan, warc
+from ferry.llm import langid, mixing, pieces, pii, secret_scan, toxicity, warc
 
 
 def registry() -> dict:
     return {
         "op1_pii": (pii.op1, None),
         "op2_secrets": (secret_scan.op2, None),
+        "op5_toxicity": (toxicity.op5, None),
         "op4_langid": (langid.op4, None),
         "op3_sentencepiece": (pieces.op3, None),
         "op9_mixing": (mixing.op9, mixing.OP9_SQL),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ferry.llm import bitslice, langid, mixing, pieces, pii, secret_scan, toxicity, vptree, warc
+from ferry.llm import bitslice, langid, mixing, neardup, pieces, pii, secret_scan, toxicity, vptree, warc
 
 
 def registry() -> dict:
@@ -13,6 +13,7 @@ def registry() -> dict:
         "op4_langid": (langid.op4, None),
         "op3_sentencepiece": (pieces.op3, None),
         "op6_vptree": (vptree.op6, vptree.OP6_SQL),
+        "op7_neardup": (neardup.op7, neardup.OP7_SQL),
         "op8_bitslice": (bitslice.op8, bitslice.OP8_SQL),
         "op9_mixing": (mixing.op9, mixing.OP9_SQL),
         "op10_warc": (warc.op10, warc.OP10_SQL),

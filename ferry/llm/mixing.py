@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ferry.llm.common import DOC_COLUMNS, staged, table
+from ferry.llm.common import DOC_COLUMNS, seeded_key, staged, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -73,51 +73,83 @@ def targets(sizes: DataFrame, weights=WEIGHTS, budget=BUDGET,
 
 def seeded(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """doc_id, source, size and the seeded order key of every document."""
-    return docs.select(
-        "doc_id", "source", word_count(F.col("text")).alias("size"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"))
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _key(seed).alias("key"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, budget=BUDGET, max_epochs=MAX_EPOCHS,
-        seed: str = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken, whole (repetitions), part (words of one more)."""
-    d = staged(seeded(docs, seed), "mix-sizes")
-    bucket = F.substring("key", 1, BUCKET_DIGITS)
-    d = d.withColumn("bucket", bucket)
-    per = targets(d, weights, budget, max_epochs) \
+def _key(seed: str) -> F.Column:
+    return seeded_key(F.col("doc_id"), seed)
+
+
+def rates(sizes: DataFrame, weights=WEIGHTS, budget=BUDGET, max_epochs=MAX_EPOCHS) -> DataFrame:
+    """One row per source of ``sizes(source, size, key)``: s, source_size, target,
+    whole repetitions, the fraction left in words, the bucket at its edge and the
+    words in the buckets before that."""
+    per = targets(sizes, weights, budget, max_epochs) \
         .withColumn("whole", F.when(F.col("source_size") > 0,
                                     F.floor(F.col("target") / F.col("source_size"))).otherwise(0)) \
         .withColumn("frac", F.col("target") - F.col("whole") * F.col("source_size")) \
         .select(F.col("source").alias("s"), "source_size", "target", "whole", "frac")
     per = staged(per, "mix-targets")
-    # a hot source must not meet in one join task: broadcast the per-source
-    # rows where their counted number is small, else leave the split to AQE
-    few = F.broadcast if per.count() <= BROADCAST_SOURCES else (lambda x: x)
-
+    few = _few(per)
     run = Window.partitionBy("source").orderBy("bucket") \
         .rowsBetween(Window.unboundedPreceding, -1)
-    sums = d.groupBy("source", "bucket").agg(F.sum("size").alias("n")) \
+    sums = sizes.groupBy("source", bucket().alias("bucket")).agg(F.sum("size").alias("n")) \
         .withColumn("before", F.coalesce(F.sum("n").over(run), F.lit(0)))
     edge = sums.join(few(per), F.col("source").eqNullSafe(F.col("s"))) \
         .filter((F.col("before") <= F.col("frac")) & (F.col("before") + F.col("n") > F.col("frac"))) \
         .groupBy("s").agg(F.max("bucket").alias("edge"), F.max("before").alias("before"))
-    per = per.join(few(edge.withColumnRenamed("s", "s2")), F.col("s").eqNullSafe(F.col("s2")), "left") \
-        .drop("s2")
-    j = d.join(few(per), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    edge = edge.withColumnRenamed("s", "s2")
+    return staged(per.join(few(edge), F.col("s").eqNullSafe(F.col("s2")), "left").drop("s2"), "mix-rates")
+
+
+def bucket() -> F.Column:
+    return F.substring("key", 1, BUCKET_DIGITS)
+
+
+def _few(per: DataFrame):
+    """A hot source must not meet in one join task: the per-source rows are
+    broadcast where their counted number is small, else AQE splits the join."""
+    return F.broadcast if per.count() <= BROADCAST_SOURCES else (lambda x: x)
+
+
+def taken(rows: DataFrame, per: DataFrame) -> DataFrame:
+    """``rows`` (source, size, key, doc_id and any others) with source_size, target,
+    whole (repetitions) and part (words of one more)."""
+    j = rows.join(_few(per)(per), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     # no edge: the fraction covers the whole source (or nothing of it)
-    clear = j.filter(F.col("edge").isNull() | (F.col("bucket") != F.col("edge"))) \
-        .withColumn("part", F.when((F.col("frac") > 0) & (F.col("edge").isNull() | (F.col("bucket") < F.col("edge"))),
+    clear = j.filter(F.col("edge").isNull() | (bucket() != F.col("edge"))) \
+        .withColumn("part", F.when((F.col("frac") > 0) & (F.col("edge").isNull() | (bucket() < F.col("edge"))),
                                    F.col("size")).otherwise(F.lit(0)).cast("long"))
     inside = Window.partitionBy("source").orderBy("key", "doc_id", "size") \
         .rowsBetween(Window.unboundedPreceding, -1)
-    cut = j.filter(F.col("bucket") == F.col("edge")) \
+    cut = j.filter(bucket() == F.col("edge")) \
         .withColumn("left", F.floor(F.col("frac") - F.col("before")
                                     - F.coalesce(F.sum("size").over(inside), F.lit(0)))) \
         .withColumn("part", F.least("size", F.greatest("left", F.lit(0))).cast("long")).drop("left")
-    return clear.unionByName(cut).select(
+    return clear.unionByName(cut).withColumn("whole", F.col("whole").cast("int")).drop("frac", "edge", "before")
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, budget=BUDGET, max_epochs=MAX_EPOCHS,
+        seed: str = SEED) -> DataFrame:
+    """doc_id, size, source_size, target, taken, whole, part of every document."""
+    rows = staged(seeded(docs, seed), "mix-sizes")
+    return taken(rows, rates(rows, weights, budget, max_epochs)).select(
         "doc_id", "size", "source_size", "target",
-        (F.col("whole") * F.col("size") + F.col("part")).cast("long").alias("taken"),
-        F.col("whole").cast("int").alias("whole"), "part")
+        (F.col("whole") * F.col("size") + F.col("part")).cast("long").alias("taken"), "whole", "part")
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: every document as often as the mix takes it; the document at
+    a source's edge once more as its first words."""
+    docs = docs.select(DOC_COLUMNS)
+    per = rates(staged(seeded(docs), "mix-sizes"))
+    rows = docs.withColumn("size", word_count(F.col("text"))).withColumn("key", _key(SEED))
+    first_words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), 0), 1, F.col("part").cast("int")), " ")
+    more = F.when(F.col("part") == 0, F.array().cast("array<string>")) \
+        .when(F.col("part") == F.col("size"), F.array("text")).otherwise(F.array(first_words))
+    return taken(rows, per) \
+        .withColumn("text", F.explode(F.concat(F.array_repeat("text", F.col("whole")), more))) \
+        .withColumn("n_chars", F.length("text").cast("long")).select(DOC_COLUMNS)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

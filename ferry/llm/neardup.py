@@ -437,5 +437,7 @@ FROM d LEFT JOIN n USING (doc_id) JOIN r USING (doc_id) GROUP BY d.doc_id, n.n
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each class stays, the one with the smallest id."""
     docs = docs.select(DOC_COLUMNS)
-    gone = classes(docs).filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(DOC_COLUMNS)
+    gone = staged(classes(docs).filter("component_id <> doc_id").select("doc_id").distinct(), "neardup-gone")
+    # the texts stay where they are while the ids (8 bytes each) are few
+    few = F.broadcast if gone.count() <= BROADCAST_MEMBERS else (lambda x: x)
+    return docs.join(few(gone), "doc_id", "left_anti").select(DOC_COLUMNS)

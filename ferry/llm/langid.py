@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferry.llm.common import DOC_COLUMNS, ship, staged, table
+from ferry.llm.common import DOC_COLUMNS, seeded_key, ship, smallest, staged, table
 
 BUCKETS = 1 << 15
 GRAMS = (1, 2, 3, 4)
@@ -184,9 +184,9 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
         F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()
         & ~held_out(F.col("doc_id")))
     idf = _idf(usable)
-    key = F.md5(F.concat(F.lit("langid:"), F.col("doc_id").cast("string")))
-    sample = usable.select("doc_id", "lang", key.alias("key"), F.length("text").alias("size")) \
-        .orderBy("key", "lang", "size").limit(train_docs)
+    key = seeded_key(F.col("doc_id"), "langid")
+    sample = smallest(usable.select("lang", key.alias("key"), F.length("text").alias("size")),
+                      train_docs, "key", "lang", "size")
     sample = staged(sample, "langid-sample")
 
     def features(batches):

@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferry.llm.common import DOC_COLUMNS, ship, staged, table
+from ferry.llm.common import DOC_COLUMNS, seeded_key, ship, smallest, staged, table
 from ferry.llm.semicrf import Lattice, SemiCRF
 
 KINDS = ("email", "ip", "card", "phone")
@@ -332,9 +332,9 @@ def examples(zone_texts: list[str], seed: int = 3):
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     ship(docs.sparkSession)
-    key = F.md5(F.concat(F.lit("pii:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sample = docs.select("text", key.alias("key")).filter(F.col("text").rlike(r"[0-9@]|(?i)[\[({<]at[\])}>]")) \
-        .orderBy("key", F.length("text")).limit(train_docs)
+    some = docs.select("text", seeded_key(F.col("doc_id"), "pii").alias("key")) \
+        .filter(F.col("text").rlike(r"[0-9@]|(?i)[\[({<]at[\])}>]"))
+    sample = smallest(some, train_docs, "key", F.length("text"))
 
     def cut(batches):
         import pyarrow as pa

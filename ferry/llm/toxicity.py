@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferry.llm.common import ship, staged, table
+from ferry.llm.common import seeded_key, ship, smallest, staged, table
 from ferry.llm.gru import HIDDEN, BiGRU, index
 
 WINDOW, STRIDE = 64, 32
@@ -180,11 +180,11 @@ def held_out(doc_id) -> F.Column:
 
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Scorer:
     ship(docs.sparkSession)
-    key = F.md5(F.concat(F.lit("toxic:"), F.col("id").cast("string")))
+    key = seeded_key(F.col("id"), "toxic")
     known = labels.select(F.col("doc_id").alias("id"), "toxic") \
         .filter("id IS NOT NULL AND toxic IN (0, 1)").filter(~held_out(F.col("id"))) \
         .groupBy("id").agg(F.max("toxic").alias("label")).withColumn("key", key)
-    some = [known.filter(F.col("label") == y).orderBy("key").limit(n) for y, n in ((0, 2 * train_docs), (1, train_docs))]
+    some = [smallest(known.filter(F.col("label") == y), n) for y, n in ((0, 2 * train_docs), (1, train_docs))]
     chosen = F.broadcast(staged(some[0].unionByName(some[1]), "toxic-sample"))   # at most 3 x train_docs rows
 
     def cut(batches):

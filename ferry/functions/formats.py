@@ -86,5 +86,5 @@ def is_data_file(path: str) -> bool:
 
 def output_extension(fmt: str) -> str:
     if fmt not in OUTPUT_EXTENSION:
-        raise UnsupportedFormat("--format must be ndjson, parquet, json, csv, tsv, or xml")
+        raise UnsupportedFormat(f"no writer for format {fmt!r}")
     return OUTPUT_EXTENSION[fmt]

@@ -14,15 +14,28 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ferry.functions.columns import col
 from ferry.sources.readers import SOURCE_COLS
 
 
 def _get(df: DataFrame, name: str) -> Column:
-    """A missing field reads as NULL, as ``.missing`` does in jq (typed as
+    """A column of that name, else the struct field the dotted path leads to.
+
+    A missing field reads as NULL, as ``.missing`` does in jq (typed as
     text, so every sink can write the column)."""
-    return col(name) if name in df.columns else F.lit(None).cast("string")
+    if name in df.columns:
+        return col(name)
+    head, *path = name.split(".")
+    if path and head in df.columns:
+        kind, c = df.schema[head].dataType, col(head)
+        for part in path:
+            if not isinstance(kind, T.StructType) or part not in kind.names:
+                return F.lit(None).cast("string")
+            kind, c = kind[part].dataType, c.getField(part)
+        return c
+    return F.lit(None).cast("string")
 
 
 def _data_cols(df: DataFrame) -> list[str]:
@@ -58,6 +71,11 @@ class ReplaceRegex(Step):
     replacement: str = ""
 
     def apply(self, df):
+        # a bad pattern must fail here, where the failure policy sees it, not in a task
+        try:
+            df.sparkSession._jvm.java.util.regex.Pattern.compile(self.pattern)
+        except Exception as e:  # noqa: BLE001 - py4j wraps the syntax error
+            raise ValueError(f"not a regular expression: {self.pattern!r}") from e
         repl = self.replacement.replace("\\", "\\\\").replace("$", "\\$")
         return df.withColumn(self.field,
                              F.regexp_replace(_get(df, self.field).cast("string"),

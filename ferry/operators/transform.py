@@ -39,5 +39,5 @@ def apply_steps(df: DataFrame, steps, strict: bool = False) -> tuple[DataFrame,
     except (AnalysisException, PySparkException, ValueError) as e:
         if strict:
             raise
-        log.warning("Warning: transformation failed, continuing with untransformed rows: %s", e)
+        log.warning("steps not applied, rows pass through as they are: %s", e)
         return df, False

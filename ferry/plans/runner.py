@@ -4,8 +4,8 @@ Stage order: scan → (columns + dedupe) or SQL → reshaping steps → sink.
 Modes:
 
 * analytical (SQL or count, no output format): all files as one relation;
-  the result is written to ``query_result.csv``; ``JobResult.result`` is the
-  query's DataFrame (lazy: collecting it runs the query again).
+  the query runs once into a scratch table, from which ``query_result.csv``
+  is written and which ``JobResult.result`` reads.
 * preview: first N rows of the first file, nothing written.
 * merged (``single_file``): all files as one relation → one output file.
 * per file (default): one output per input file (or per chunk of N rows,
@@ -36,12 +36,12 @@ from ferry.operators.report import count_lines
 from ferry.operators.sqlstage import read_sql_text, run_sql, run_sql_as
 from ferry.operators.transform import apply_steps, as_chain
 from ferry.plans.job import Job, JobError
-from ferry.session import job_session
+from ferry.session import job_session, scratch_path
 from ferry.sinks import layout, writers
 from ferry.sinks.fs import HadoopFS
 from ferry.sources.catalogue import Catalogue, CatalogueError, find_input_files
 from ferry.sources.cloud import apply_credentials
-from ferry.sources.readers import SOURCE_COLS, ReadOptions, csv_header_groups, read_files
+from ferry.sources.readers import SOURCE_COLS, ReadOptions, read_files, schema_groups
 from ferry.streaming.delivery import DeliveryConfig, deliver
 
 log = logging.getLogger("ferry")
@@ -66,7 +66,7 @@ class JobResult:
 
 def _read_options(job: Job, fast: bool) -> ReadOptions:
     return ReadOptions(xml_root=job.xml_root, fast=fast, csv_multiline=job.csv_multiline,
-                       sampling_ratio=job.infer_sampling)
+                       schema=job.schema)
 
 
 def _read(js, files, job: Job, fast: bool, tag: bool = False,
@@ -75,8 +75,7 @@ def _read(js, files, job: Job, fast: bool, tag: bool = False,
     opts = _read_options(job, fast)
     if one_header:
         opts = dataclasses.replace(opts, csv_one_header=True)
-    return read_files(js, [f.path for f in files], opts, tag=tag,
-                      sizes={f.path: f.length for f in files})
+    return read_files(js, [f.path for f in files], opts, tag=tag)
 
 
 def _fast_lines(job: Job, cat: Catalogue) -> bool:
@@ -129,7 +128,7 @@ def _guard(fs: HadoopFS, inputs: list[str], outputs: list[str]) -> None:
     qin = {fs.qualify(p) for p in inputs}
     for o in outputs:
         if fs.qualify(o) in qin:
-            raise JobError(f"Error: Output file '{o}' would overwrite input file")
+            raise JobError(f"{o} is an input of this job and cannot be its output")
 
 
 def run(spark: SparkSession, job: Job, transport=None, sleep=None) -> JobResult:
@@ -173,10 +172,27 @@ def _run_analytical(js, job: Job, cat: Catalogue, sql_text: str) -> JobResult:
     if job.prefix or job.suffix:
         name = names.build_output_filename("query_result", "csv", job.prefix, job.suffix)
     target = names.join(out_dir, name)
+    result = _once(js, result)
     written = layout.write_single(result, "csv", target, input_bytes=cat.total_bytes)
     return JobResult("analytical", [written], result, warnings=list(job.warnings))
 
 
+def _once(js, df: DataFrame) -> DataFrame:
+    """The rows of ``df``, computed once: an ordered result keeps its order
+    through a row number, names that Parquet cannot hold through positions."""
+    names_ = df.columns
+    plain = df.toDF(*[f"c{i}" for i in range(len(names_))])
+    path = scratch_path(js, "result")
+    ordered = layout.is_globally_sorted(df)
+    if ordered:
+        plain = plain.select("*", F.monotonically_increasing_id().alias("at"))
+    plain.write.parquet(path)
+    back = js.read.schema(plain.schema).parquet(path)
+    if ordered:
+        back = back.orderBy("at").drop("at")
+    return back.toDF(*names_)
+
+
 def _run_preview(js, job: Job, cat: Catalogue, sql_text: str | None) -> JobResult:
     fast = _fast_lines(job, cat)
     df = _read(js, cat.files[:1], job, fast)
@@ -261,7 +277,7 @@ def _run_per_file(js, job: Job, cat: Catalogue, sql_text: str | None,
     clashes = [v for v in seen.values() if len(v) > 1]
     if clashes:
         pairs = "; ".join(", ".join(v) for v in clashes)
-        raise JobError(f"Error: several inputs would write the same output name: {pairs}")
+        raise JobError(f"inputs whose outputs would have one name: {pairs}")
     _guard(fs, cat.paths, planned)
 
     # One Spark job per input format (usually one), whatever the folders.
@@ -277,11 +293,11 @@ def _run_per_file(js, job: Job, cat: Catalogue, sql_text: str | None,
         by_format.setdefault(file_format(f.path), []).append(f)
     groups = []
     for key, files in by_format.items():
-        if key == "csv" and len(files) > 1:
-            # each output keeps its own file's columns: one job per header
+        if len(files) > 1 and not fast:
+            # each output keeps its own file's columns: one job per schema
             by_path = {f.path: f for f in files}
             groups += [(key, [by_path[p] for p in g])
-                       for g in csv_header_groups(js, [f.path for f in files])]
+                       for g in schema_groups(js, [f.path for f in files], _read_options(job, fast))]
         else:
             groups.append((key, files))
     per_file_sql: list = []
@@ -300,7 +316,7 @@ def _run_per_file(js, job: Job, cat: Catalogue, sql_text: str | None,
                                         sql_text)):
                 per_file_sql += files
                 continue
-            df = _read(js, files, job, fast, one_header=key == "csv")
+            df = _read(js, files, job, fast, one_header=key in ("csv", "tsv"))
             inputs = df.inputFiles()
             queried = run_sql(df, sql_text)
             if not is_row_local(queried):
@@ -309,7 +325,7 @@ def _run_per_file(js, job: Job, cat: Catalogue, sql_text: str | None,
             df, _ = apply_steps(tag_rows(queried), job.steps, strict=job.strict)
             in_order = True
         else:
-            df = _read(js, files, job, fast, tag=True, one_header=key == "csv")
+            df = _read(js, files, job, fast, tag=True, one_header=key in ("csv", "tsv"))
             inputs = df.inputFiles()
             df, in_order = stages(df, job, None, per_file=True)
         if job.rows > 0:
@@ -430,19 +446,24 @@ def _per_file_sql_batched(js, job, files, fast, sql_text, sink_fmt, out_dir_for,
             encoded.append(enc)
             result = run_sql_as(df_i, sql_text, f"input_data_{i}")
             frames.append(result.withColumn("_src_file", F.lit(enc)))
-        df = frames[0]
-        for other in frames[1:]:
-            df = df.unionByName(other, allowMissingColumns=True)
-        df, _ = apply_steps(df, job.steps, strict=job.strict)
-        if job.rows > 0:
-            df = chunking.add_chunks(df, job.rows, per_file=True, stable=False,
-                                     keep_runs=True)
-        stage_root = out_dir_for(batch[0].path)
-        outputs += layout.write_per_source(
-            df, sink_fmt, stage_root, dest_for, [f.length for f in batch], True,
-            job.compressed, chunked=job.rows > 0, xml_root=job.xml_root, inputs=encoded)
-        if job.url:
-            logs.append(_deliver(df, job, transport, sleep))
+        # results with the same columns share a job: none gets another's columns
+        alike: dict[str, list[int]] = {}
+        for i, frame in enumerate(frames):
+            alike.setdefault(frame.schema.json(), []).append(i)
+        for own in alike.values():
+            df = frames[own[0]]
+            for i in own[1:]:
+                df = df.unionByName(frames[i])
+            df, _ = apply_steps(df, job.steps, strict=job.strict)
+            if job.rows > 0:
+                df = chunking.add_chunks(df, job.rows, per_file=True, stable=False,
+                                         keep_runs=True)
+            outputs += layout.write_per_source(
+                df, sink_fmt, out_dir_for(batch[own[0]].path), dest_for,
+                [batch[i].length for i in own], True, job.compressed, chunked=job.rows > 0,
+                xml_root=job.xml_root, inputs=[encoded[i] for i in own])
+            if job.url:
+                logs.append(_deliver(df, job, transport, sleep))
     return JobResult("per_file", outputs, delivery_log=_union(logs) if logs else None)
 
 

@@ -16,6 +16,8 @@ Spark tasks write the parts in parallel, and the file is then put together:
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
@@ -44,15 +46,23 @@ def _open(uri: str, mode: str):
         filesystem.open_input_stream(path)
 
 
-def _skip_line(src) -> bytes:
-    """Read past the first line; return what was read after it."""
+def _skip_header(src) -> bytes:
+    """Read past the first record (up to a newline outside quotes); return what
+    was read after it."""
+    quotes = 0
     while True:
         buf = src.read(1 << 16)
         if not buf:
             return b""
-        nl = buf.find(b"\n")
-        if nl >= 0:
-            return buf[nl + 1:]
+        start = 0
+        while True:
+            nl = buf.find(b"\n", start)
+            quotes += buf.count(b'"', start, nl if nl >= 0 else len(buf))
+            if nl < 0:
+                break
+            if quotes % 2 == 0:
+                return buf[nl + 1:]
+            start = nl + 1
 
 
 def _skip_through(src, marker: bytes) -> bytes:
@@ -71,7 +81,7 @@ def _skip_through(src, marker: bytes) -> bytes:
 def _copier(skip_repeated_header: bool, xml_root: str | None = None):
     """Byte copier for one output per row of the plan.
 
-    ``skip_repeated_header``: drop the first line of every part but the first.
+    ``skip_repeated_header``: drop the first record of every part but the first.
     ``xml_root``: parts are whole XML documents; keep the head of the first
     and the ``</root>`` tail of the last, and strip both in between.
     """
@@ -89,7 +99,7 @@ def _copier(skip_repeated_header: bool, xml_root: str | None = None):
                         with _open(p, "rb") as src:
                             held = b""
                             if i > 0 and skip_repeated_header:
-                                held = _skip_line(src)
+                                held = _skip_header(src)
                             elif i > 0 and xml_root:
                                 held = _skip_through(src, open_tag)
                             while True:
@@ -165,23 +175,33 @@ def assemble(spark: SparkSession, plans: list[tuple[str, list[str]]],
     fs = HadoopFS(spark)
     singles = [(parts[0], target) for target, parts in plans if len(parts) == 1 and not prefix]
     fs.move_all(singles)  # renames, replacing what is there
-    copies = []
+    copies, swaps = [], []
     for target, parts in plans:
         if len(parts) == 1 and not prefix:
             continue
-        if fs.exists(target):
-            fs.delete(target, recursive=False)
+        # put together beside the target, which is replaced only when that worked
+        folder, name = target.rsplit("/", 1) if "/" in target else (".", target)
+        beside = f"{folder}/.{name}.{uuid.uuid4().hex[:12]}"
+        swaps.append((beside, target))
         if (repeated_header or xml_root
-                or not _try_fs_concat(fs, fs.qualify(target), prefix, parts)):
-            copies.append((target, ([prefix] if prefix else []) + list(parts)))
+                or not _try_fs_concat(fs, fs.qualify(beside), prefix, parts)):
+            copies.append((beside, ([prefix] if prefix else []) + list(parts)))
     if not copies:
+        fs.move_all(swaps)
         return
     ship_package(spark)
     plan_df = spark.createDataFrame(copies, PLAN_SCHEMA)
     plan_df = plan_df.repartition(min(len(copies), spark.sparkContext.defaultParallelism))
-    done = plan_df.mapInPandas(_copier(repeated_header, xml_root), RESULT_SCHEMA).collect()
-    if len(done) != len(copies):
-        raise OSError("some outputs were not assembled")
+    try:
+        done = plan_df.mapInPandas(_copier(repeated_header, xml_root), RESULT_SCHEMA).collect()
+        if len(done) != len(copies):
+            raise OSError("some outputs were not assembled")
+    except Exception:
+        for beside, _ in swaps:
+            if fs.exists(beside):
+                fs.delete(beside, recursive=False)
+        raise
+    fs.move_all(swaps)
 
 
 __all__ = ["assemble"]

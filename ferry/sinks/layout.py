@@ -121,15 +121,42 @@ def _header_part(df: DataFrame, fmt: str, compressed: bool, stage: str) -> str |
 
 
 def _header_only(df: DataFrame, fmt: str, stage: str, xml_root: str = "root",
-                 xml_row: str = "row") -> str:
-    """What the writer makes of no rows (CSV header / empty XML root)."""
+                 xml_row: str = "row", compressed: bool = False) -> str:
+    """What the writer makes of no rows (CSV header, Parquet schema, empty file)."""
     fs = HadoopFS(df.sparkSession)
     folder = join(stage, "_empty")
     empty = df.sparkSession.createDataFrame([], df.schema).coalesce(1)
-    writers.writer(empty, fmt, xml_root=xml_root, xml_row=xml_row).save(folder)
+    if fmt == "xml":     # Spark's XML writer writes nothing for no rows
+        text = f"<{xml_root}>\n</{xml_root}>"
+        empty = df.sparkSession.createDataFrame([(text,)], "value string").coalesce(1)
+        empty.write.text(folder, compression="gzip" if compressed else "none")
+    else:
+        writers.writer(empty, fmt, compressed, xml_root=xml_root, xml_row=xml_row).save(folder)
     return _part_files(fs, folder)[0]
 
 
+def _empty_outputs(data: DataFrame, fmt: str, compressed: bool, stage: str, targets: list[str],
+                   xml_root: str, xml_row: str) -> None:
+    """An output without rows at every target (inputs none of whose rows are left)."""
+    if targets:
+        fs = HadoopFS(data.sparkSession)
+        hidden = [c for c in (FID, CHUNK, IDX, SRC_BLOCK) if c in data.columns]
+        model = _header_only(data.drop(*hidden), fmt, stage, xml_root, xml_row, compressed)
+        for t in targets:
+            fs.mkdirs(t.rsplit("/", 1)[0])
+            if fs.exists(t):
+                fs.delete(t, recursive=False)
+            fs.copy_file(model, t)
+
+
+def _drop_stale_chunks(fs: HadoopFS, source: str, last: int, dest_for) -> None:
+    """Chunks that an earlier, longer run left behind the last one of this run."""
+    n = last + 1
+    while fs.exists(dest_for(source, n)):
+        fs.delete(dest_for(source, n), recursive=False)
+        n += 1
+
+
 def _single_from_parts(df: DataFrame, fmt: str, target: str, compressed: bool,
                        preserve_order: bool, xml_root: str = "root",
                        xml_row: str = "row") -> Written:
@@ -160,10 +187,10 @@ def _single_from_parts(df: DataFrame, fmt: str, target: str, compressed: bool,
                        header=_header_in_parts(fmt, compressed, stage)).save(join(stage, "parts"))
         # part numbers follow partition order, which is the sort order when sorted
         parts = _part_files(fs, join(stage, "parts"))
-    if not parts and _header_in_parts(fmt, compressed, stage):
-        # no rows at all: a header-only CSV (Spark's XML writer writes nothing)
+    if not parts and not header:
+        # no rows at all: a header-only CSV, an empty root element, an empty file
         parts = [_header_only(data.drop(*[c for c in (FID, SRC_BLOCK) if c in data.columns]),
-                              fmt, stage, xml_root, xml_row)]
+                              fmt, stage, xml_root, xml_row, compressed)]
     assemble(spark, [(target, parts)], prefix=header,
              repeated_header=_header_in_parts(fmt, compressed, stage),
              xml_root=xml_root if fmt == "xml" else None)
@@ -340,15 +367,18 @@ def write_per_source(df: DataFrame, fmt: str, stage_root: str, dest_for, sizes:
     writers.writer(data, fmt, compressed, xml_root, xml_row).partitionBy(*parts).save(stage)
     leaves = _leaf_parts(spark, stage, None if chunked else len(sizes))
     return _place(spark, fs, stage, leaves, encoded, dest_for, chunked,
-                  None, False, joinable=False)
+                  None, False, joinable=False, empty=(data, fmt, compressed, xml_root, xml_row))
 
 
 def _place(spark: SparkSession, fs: HadoopFS, stage: str, leaves: list, encoded: list[str],
            dest_for, chunked: bool, header: str | None, repeated_header: bool,
-           joinable: bool = True, xml_root: str | None = None) -> list[Written]:
+           joinable: bool = True, xml_root: str | None = None, empty: tuple = ()) -> list[Written]:
     """Group part files by output, order them by split, move or join them.
 
     ``joinable=False``: each output must be exactly one part (one writer task).
+    An input without rows gets an output without rows (``empty``: the written
+    DataFrame, format, compression and XML names); chunks of an earlier run
+    behind the last one of this run go.
     """
     by_key = {source_key(fs.uri_form(e)): fs.uri_to_path(e) for e in encoded}
     groups: dict[tuple, list] = {}
@@ -369,6 +399,18 @@ def _place(spark: SparkSession, fs: HadoopFS, stage: str, leaves: list, encoded:
     if len(set(targets)) != len(targets):
         raise OutputError("several outputs would get the same name")
     assemble(spark, plans, prefix=header, repeated_header=repeated_header, xml_root=xml_root)
+    if chunked:
+        last = {w.source: 0 for w in written} | {s: 0 for s in by_key.values()}
+        for w in written:
+            last[w.source] = max(last[w.source], w.chunk + 1)
+        for source, n in last.items():
+            _drop_stale_chunks(fs, source, n, dest_for)
+    elif empty:
+        done = {w.source for w in written}
+        bare = [s for s in by_key.values() if s not in done]
+        data, fmt, compressed, root, row = empty
+        _empty_outputs(data, fmt, compressed, stage, [dest_for(s, None) for s in bare], root, row)
+        written += [Written(s, None, dest_for(s, None)) for s in bare]
     fs.delete(stage)
     return sorted(written, key=lambda w: (w.source or "", w.chunk or 0))
 
@@ -397,4 +439,5 @@ def _per_source_from_parts(keyed: DataFrame, fmt: str, stage_root: str, dest_for
     leaves = _leaf_parts(spark, join(stage, "parts"),
                          None if chunked or direct_scan else len(encoded))
     return _place(spark, fs, stage, leaves, encoded, dest_for, chunked, header,
-                  _header_in_parts(fmt, compressed, stage), xml_root=xml_root if fmt == "xml" else None)
+                  _header_in_parts(fmt, compressed, stage), xml_root=xml_root if fmt == "xml" else None,
+                  empty=(data, fmt, compressed, xml_root, xml_row))

@@ -54,7 +54,7 @@ class Catalogue:
         first = self.first_format()
         for p in self.paths:
             if file_format(p) != first:
-                raise CatalogueError("Error: All files must have the same extension for --single-file")
+                raise CatalogueError(f"files of different formats cannot be merged: {self.formats()}")
         return first
 
 
@@ -81,8 +81,8 @@ def find_input_files(spark: SparkSession, path: str) -> Catalogue:
         files = sorted((f for f in fs.glob(path) if not f.is_dir and is_data_file(f.path)),
                        key=lambda f: f.path)
         if not files:
-            raise CatalogueError(f"Error: '{path}' is not a supported file or directory")
+            raise CatalogueError(f"{path}: neither a data file nor a folder")
         return Catalogue(path, True, tuple(files))
     if not files:
-        raise CatalogueError(f"No supported files found in {path}")
+        raise CatalogueError(f"{path}: no data files")
     return Catalogue(path, True, tuple(files))

@@ -1,14 +1,13 @@
-"""Bounded reads of file heads (first line, first tag, first character).
+"""What a file holds, looked at before the Spark read to choose its options.
 
-Used to choose reader options per file before the Spark read: CSV header
-signatures, the XML row tag under a named root, JSON array vs lines. Each
-file contributes at most ``nbytes`` (after decompression); heads of many
-files are fetched concurrently through Hadoop's FileSystem client.
+CSV header records and the first character of JSON files come from file heads
+(after decompression), fetched concurrently through Hadoop's FileSystem client
+and read on until the answer is found. XML children of the root are found by a
+whole-file scan (``readers.xml_shapes`` runs it on the executors).
 """
 
 from __future__ import annotations
 
-import re
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import SparkSession
@@ -31,20 +30,45 @@ def heads(spark: SparkSession, paths: list[str], nbytes: int = HEAD_BYTES,
         return dict(zip(paths, pool.map(lambda p: fs.read_head(p, nbytes), paths)))
 
 
-def first_lines(spark: SparkSession, paths: list[str]) -> dict[str, str]:
-    """First line of each file: 4 KiB per file, more only where a line is longer."""
-    got = heads(spark, paths, FIRST_LINE_BYTES)
-    long = [p for p, h in got.items() if b"\n" not in h and len(h) >= FIRST_LINE_BYTES]
-    if long:
-        got.update(heads(spark, long, HEAD_BYTES))
-    return {p: first_line(h) for p, h in got.items()}
+def _until(fs: HadoopFS, path: str, found, nbytes: int):
+    """``found(head, at_end)`` of a head that grows until it is not None: no
+    limit on how far into a file the answer may lie."""
+    while True:
+        head = fs.read_head(path, nbytes)
+        got = found(head, len(head) < nbytes)
+        if got is not None:
+            return got
+        nbytes *= 16
 
 
-def first_line(head: bytes) -> str:
-    text = head.decode("utf-8", errors="replace")
-    if text.startswith("﻿"):
-        text = text[1:]
-    return text.split("\n", 1)[0].rstrip("\r")
+def _each(spark: SparkSession, paths: list[str], found, nbytes: int) -> dict:
+    fs = HadoopFS(spark)
+    with ThreadPoolExecutor(max_workers=min(16 if len(paths) <= 1000 else 64, len(paths))) as pool:
+        return dict(zip(paths, pool.map(lambda p: _until(fs, p, found, nbytes), paths)))
+
+
+def header_records(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """The first record of each file, up to the first newline outside quotes."""
+    return _each(spark, paths, header_record, FIRST_LINE_BYTES)
+
+
+def header_record(head: bytes, at_end: bool) -> str | None:
+    start = 0
+    while True:
+        end = head.find(b"\n", start)
+        if end < 0:
+            if not at_end:
+                return None
+            end = len(head)
+        elif head.count(b'"', 0, end) % 2:
+            start = end + 1        # inside quotes: part of a name
+            continue
+        return head[:end].decode("utf-8", errors="replace").removeprefix("\ufeff").rstrip("\r")
+
+
+def first_chars(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """The first character of each file that is not blank."""
+    return _each(spark, paths, lambda head, at_end: first_char(head) or ("" if at_end else None), 4096)
 
 
 def first_char(head: bytes) -> str:
@@ -52,26 +76,43 @@ def first_char(head: bytes) -> str:
     return text[:1]
 
 
-_TAG = re.compile(r"<([A-Za-z_][\w.\-:]*)[\s/>]")
-_SKIP = re.compile(r"<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>]*>|<!\[CDATA\[.*?\]\]>", re.DOTALL)
-
-
-def xml_row_tag(head: bytes, root: str | None) -> str | None:
-    """Row tag = first child element of the named root element.
-
-    When the named root is absent, the document's top element is used.
-    """
-    text = _SKIP.sub("", head.decode("utf-8", errors="replace"))
-    tags = [(m.group(1), m.start()) for m in _TAG.finditer(text)]
-    if not tags:
-        return None
-    start = None
-    if root:
-        for name, pos in tags:
-            if name == root:
-                start = pos
-                break
-    if start is None:
-        start = tags[0][1]
-    after = [name for name, pos in tags if pos > start]
-    return after[0] if after else None
+def xml_children(content: bytes, root: str | None) -> dict[str, list[str]]:
+    """The child elements of the named root (or of the top element if there is
+    none of that name), in order of appearance, each with its own children's
+    names. A child that also occurs deeper, inside another child, cannot be
+    read by its tag alone and raises ``ValueError``."""
+    import io
+    from xml.etree import ElementTree as ET
+
+    def walk(base_depth_of):
+        found: dict[str, dict] = {}
+        deeper: set[str] = set()
+        path: list[str] = []
+        base = None
+        for event, e in ET.iterparse(io.BytesIO(content), ("start", "end")):
+            name = e.tag.rsplit("}", 1)[-1]
+            if event == "start":
+                path.append(name)
+                if base is None and base_depth_of(path):
+                    base = len(path)
+                elif base is not None and len(path) > base:
+                    if len(path) == base + 1:
+                        found.setdefault(name, {}).update({"_" + k: None for k in e.attrib})
+                    else:
+                        deeper.add(name)
+                        if len(path) == base + 2:
+                            found[path[base]][name] = None
+            else:
+                path.pop()
+                if base is not None and len(path) < base:
+                    base = 0 if len(path) < base - 1 or base == 1 else base
+                e.clear()
+        return found, deeper
+
+    found, deeper = walk(lambda path: path[-1] == root) if root else ({}, set())
+    if not found:
+        found, deeper = walk(lambda path: len(path) == 1)
+    both = sorted(set(found) & deeper)
+    if both:
+        raise ValueError(f"element <{both[0]}> stands directly under the root and deeper too: give xml_row_tag")
+    return {tag: list(fields) for tag, fields in found.items()}

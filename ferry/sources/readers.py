@@ -6,15 +6,19 @@ ours is choosing them:
 * CSV: header + type inference; integers widened to BIGINT; several files
   with different headers are read per header signature and combined by name
   (Spark alone would apply one file's header to all of them by position).
-* TSV: the same with a tab; several files combine by position.
+* TSV: the same with a tab; files of unequal headers combine by position,
+  which needs equal widths (else the read fails).
+* Parquet: files of unequal schema combine by name (``mergeSchema``).
 * JSON: PERMISSIVE, so a malformed line stays as an all-NULL row and is
   counted; schema union by name over all rows; ISO timestamps inferred.
-  From a bounded sample (first 20,480 lines of the first files) columns are
-  put back in first-seen key order (Spark sorts inferred fields by name) and
-  date-only columns become DATE. A ``.json`` file whose first character is
+  One pass over all lines puts columns back in first-seen key order (Spark
+  sorts inferred fields by name) and finds the columns whose every value is a
+  plain date: those become DATE. A ``.json`` file whose first character is
   ``[`` is read as one array.
-* XML: the reference names the *root* element; Spark wants the *row* tag,
-  which is the first child element under that root.
+* XML: jobs name the *root* element; Spark wants the *row* tag. Every child
+  element of a file's root is a row tag of that file.
+* A ``schema`` (DDL text) skips inference for CSV, TSV and JSON; a CSV value
+  that does not fit it fails the job.
 * Raw lines (fast mode): ``read.text`` as one ``line`` column.
 
 ``tag=True`` adds three hidden columns that pin every row to its place in the
@@ -25,6 +29,7 @@ unused, Catalyst prunes them.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +38,7 @@ from pyspark.sql import types as T
 
 from ferry.functions.columns import col, widen_ints
 from ferry.functions.formats import compression_of, file_format, reader_kind, UnsupportedFormat
+from ferry.session import ship_package
 from ferry.sources import probe
 from ferry.sinks.fs import HadoopFS
 
@@ -49,7 +55,7 @@ class ReadOptions:
     xml_row_tag: str | None = None
     fast: bool = False
     csv_multiline: bool = True
-    sampling_ratio: float = 1.0
+    schema: str | None = None  # DDL text; skips inference
     json_key_order: str = "first_seen"  # or "inferred"
     csv_one_header: bool = False  # the caller already grouped CSV files by header
 
@@ -67,12 +73,8 @@ def literals(paths: list[str]) -> list[str]:
 
 
 def read_files(spark: SparkSession, paths: list[str], options: ReadOptions | None = None,
-               tag: bool = False, kind: str | None = None,
-               sizes: dict[str, int] | None = None) -> DataFrame:
-    """Read these files (exact names, never globs) as one DataFrame.
-
-    ``sizes`` (path → bytes, from the catalogue) bounds the JSON sample.
-    """
+               tag: bool = False, kind: str | None = None) -> DataFrame:
+    """Read these files (exact names, never globs) as one DataFrame."""
     opts = options or ReadOptions()
     if not paths:
         raise ValueError("no input files")
@@ -84,13 +86,14 @@ def read_files(spark: SparkSession, paths: list[str], options: ReadOptions | Non
         return _text(spark, paths, tag)
     if k == "parquet":
         _check_parquet(spark, paths)
-        return _tagged(spark.read.parquet(*literals(paths)), tag)
+        reader = spark.read.option("mergeSchema", "true") if len(paths) > 1 else spark.read
+        return _tagged(reader.parquet(*literals(paths)), tag)
     if k == "csv":
         return _csv(spark, paths, ",", opts, tag, by_name=True)
     if k == "tsv":
         return _csv(spark, paths, "\t", opts, tag, by_name=False)
     if k == "json":
-        return _json(spark, paths, opts, tag, sizes)
+        return _json(spark, paths, opts, tag)
     if k == "xml":
         return _xml(spark, paths, opts, tag)
     raise UnsupportedFormat(f"Unsupported extension: {k}")
@@ -138,9 +141,10 @@ def _csv(spark: SparkSession, paths: list[str], sep: str, opts: ReadOptions, tag
                   .option("escape", '"')
                   .option("multiLine", "true" if opts.csv_multiline else "false")
                   .option("mode", "PERMISSIVE"))
-        if opts.sampling_ratio < 1.0:
-            reader = reader.option("samplingRatio", str(opts.sampling_ratio))
-        if opts.csv_multiline and any(ch in p for p in group for ch in GLOB_CHARS):
+        if opts.schema:
+            reader = reader.schema(opts.schema).option("inferSchema", "false") \
+                           .option("mode", "FAILFAST").option("enforceSchema", "false")
+        elif opts.csv_multiline and any(ch in p for p in group for ch in GLOB_CHARS):
             # Spark's multi-line CSV inference re-lists the files with glob
             # escapes dropped; infer line by line, then read with that schema.
             schema = reader.option("multiLine", "false").csv(literals(group)).schema
@@ -148,48 +152,91 @@ def _csv(spark: SparkSession, paths: list[str], sep: str, opts: ReadOptions, tag
                            .schema(schema)
         return _tagged(widen_ints(reader.csv(literals(group))), tag)
 
-    if not by_name or len(paths) == 1 or opts.csv_one_header:
+    if len(paths) == 1 or opts.csv_one_header:
         return read(paths)
-    frames = [read(g) for g in csv_header_groups(spark, paths)]
+    frames = [read(g) for g in header_groups(spark, paths)]
     out = frames[0]
     for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
+        if by_name:
+            out = out.unionByName(f, allowMissingColumns=True)
+        elif len(f.columns) != len(out.columns):
+            raise UnsupportedFormat("files combined by position need equally many columns: "
+                                    f"{len(out.columns)} and {len(f.columns)}")
+        else:
+            out = out.union(f)
     return out
 
 
-def csv_header_groups(spark: SparkSession, paths: list[str]) -> list[list[str]]:
-    """Files grouped by their header line (first-seen order of headers)."""
+def header_groups(spark: SparkSession, paths: list[str]) -> list[list[str]]:
+    """CSV/TSV files grouped by their header record (first-seen order of headers)."""
     if len(paths) == 1:
         return [paths]
-    groups: dict[str, list[str]] = {}
-    lines = probe.first_lines(spark, paths)
+    return _grouped(probe.header_records(spark, paths), paths)
+
+
+def _grouped(signature: dict, paths: list[str]) -> list[list[str]]:
+    groups: dict = {}
     for p in paths:
-        groups.setdefault(lines[p], []).append(p)
+        groups.setdefault(signature.get(p), []).append(p)
     return list(groups.values())
 
 
-def _json(spark: SparkSession, paths: list[str], opts: ReadOptions, tag: bool,
-          sizes: dict[str, int] | None = None) -> DataFrame:
+def schema_groups(spark: SparkSession, paths: list[str], options: ReadOptions) -> list[list[str]]:
+    """Files of one format grouped so that files with the same columns are read
+    together and no file gets columns of another."""
+    if len(paths) == 1 or options.schema:
+        return [paths]
+    k = reader_kind(paths[0])
+    if k in ("csv", "tsv"):
+        return header_groups(spark, paths)
+    if k == "parquet":
+        _check_parquet(spark, paths)
+        with ThreadPoolExecutor(max_workers=min(16, len(paths))) as pool:
+            shown = pool.map(lambda p: spark.read.parquet(literal(p)).schema.json(), paths)
+        return _grouped(dict(zip(paths, shown)), paths)
+    if k == "xml":
+        shapes = xml_shapes(spark, paths, options)
+        return _grouped({p: str(sorted((t, sorted(f)) for t, f in shape.items()))
+                         for p, shape in shapes.items()}, paths)
+    arrays = probe.first_chars(spark, [p for p in paths if file_format(p) == "json"] or paths[:1])
+    lines = [p for p in paths if arrays.get(p) != "["]
+    groups = [[p] for p in paths if arrays.get(p) == "["]
+    return (_grouped(_json_keys(spark, lines), lines) if lines else []) + groups
+
+
+def _json_keys(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """The set of top-level keys of each file: one job, one short row per file."""
+    fs = HadoopFS(spark)
+    rows = (spark.read.text(literals(paths))
+            .select(F.col("_metadata.file_path").alias("f"),
+                    F.explode(F.json_object_keys("value")).alias("key"))
+            .groupBy("f").agg(F.array_join(F.array_sort(F.collect_set("key")), "\n").alias("keys")).collect())
+    found = {fs.uri_to_path(r.f): r["keys"] for r in rows}
+    by_name = {str(fs._path(p).toUri().getPath()): k for p, k in found.items()}
+    return {p: by_name.get(str(fs._path(p).toUri().getPath())) for p in paths}
+
+
+def _json(spark: SparkSession, paths: list[str], opts: ReadOptions, tag: bool) -> DataFrame:
     array_files, line_files = [], []
     maybe_array = [p for p in paths if file_format(p) == "json"]
-    heads = probe.heads(spark, maybe_array, nbytes=4096) if maybe_array else {}
+    firsts = probe.first_chars(spark, maybe_array) if maybe_array else {}
     for p in paths:
-        (array_files if probe.first_char(heads.get(p, b"")) == "[" else line_files).append(p)
+        (array_files if firsts.get(p) == "[" else line_files).append(p)
 
     def read(group: list[str], multiline: bool) -> DataFrame:
         reader = (spark.read
                   .option("mode", "PERMISSIVE")
                   .option("inferTimestamp", "true")
                   .option("multiLine", "true" if multiline else "false"))
-        if opts.sampling_ratio < 1.0:
-            reader = reader.option("samplingRatio", str(opts.sampling_ratio))
+        if opts.schema:
+            return _tagged(reader.schema(opts.schema).json(literals(group)), tag)
         df = reader.json(literals(group))
         if CORRUPT in df.columns:
             df = df.drop(CORRUPT)
         if not multiline and opts.json_key_order == "first_seen" and df.columns:
             ts_cols = [f.name for f in df.schema.fields
                        if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))]
-            order, dates = json_sample_facts(spark, group, ts_cols, sizes)
+            order, dates = json_facts(spark, group, ts_cols)
             known = [c for c in order if c in df.columns]
             rest = [c for c in df.columns if c not in known]
             df = df.select([F.to_date(col(c)).alias(c) if c in dates else col(c)
@@ -207,46 +254,26 @@ def _json(spark: SparkSession, paths: list[str], opts: ReadOptions, tag: bool,
     return out
 
 
-# Rows of line-delimited JSON that decide key order and DATE columns; the
-# same bound DuckDB's JSON reader samples for its type detection.
-JSON_SAMPLE_ROWS = 20480
-JSON_SAMPLE_BYTES = 16 << 20
 DATE_RE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 
 
-def _sample_files(paths: list[str], sizes: dict[str, int] | None) -> list[str]:
-    """The first files in path order holding about JSON_SAMPLE_BYTES."""
-    if not sizes:
-        return paths[:1]
-    out, total = [], 0
-    for p in sorted(paths):
-        out.append(p)
-        total += sizes.get(p, 0)
-        if total >= JSON_SAMPLE_BYTES:
-            break
-    return out
-
+def json_facts(spark: SparkSession, paths: list[str], ts_cols: list[str]) -> tuple[list[str], list[str]]:
+    """Key order (first seen) and date-only columns, from all lines.
 
-def json_sample_facts(spark: SparkSession, paths: list[str], ts_cols: list[str],
-                      sizes: dict[str, int] | None = None) -> tuple[list[str], list[str]]:
-    """Key order (first seen) and date-only columns from a bounded sample.
-
-    The sample is the first JSON_SAMPLE_ROWS lines of the first files; keys
-    are ordered by their earliest (file, split, line, position). A timestamp
-    column counts as DATE when every sampled value is ``yyyy-mm-dd``. Both
-    come back as small aggregates; no sample rows reach the driver.
+    Keys are ordered by their earliest (file, split, line, position). A
+    timestamp column counts as DATE when every value is ``yyyy-mm-dd``. One
+    job with map-side aggregation; one row per key reaches the driver.
     """
-    lines = (spark.read.text(literals(_sample_files(paths, sizes)))
+    lines = (spark.read.text(literals(paths))
              .select(F.col("value"),
                      F.col("_metadata.file_path").alias("f"),
                      F.col("_metadata.file_block_start").alias("b"),
                      F.monotonically_increasing_id().alias("m"))
-             .where(F.ltrim(F.col("value")).startswith("{"))
-             .limit(JSON_SAMPLE_ROWS))
+             .where(F.ltrim(F.col("value")).startswith("{")))
     keys = lines.select("value", "f", "b", "m",
                         F.posexplode(F.json_object_keys("value")).alias("p", "key"))
-    # One pass over the sample: the first position of each key, and how many
-    # of its values are present and how many of those are not yyyy-mm-dd.
+    # The first position of each key, how many of its values are present and
+    # how many of those are not yyyy-mm-dd.
     path = F.concat(F.lit("$['"), F.regexp_replace("key", "'", ""), F.lit("']"))
     value = F.call_function("get_json_object", F.col("value"), path) if ts_cols \
         else F.lit(None).cast("string")
@@ -265,20 +292,78 @@ def json_sample_facts(spark: SparkSession, paths: list[str], ts_cols: list[str],
     return order, dates
 
 
+#: largest XML file whose elements are looked up; a larger one needs xml_row_tag
+XML_SCAN_BYTES = 1 << 30
+
+
+def xml_shapes(spark: SparkSession, paths: list[str], opts: ReadOptions) -> dict[str, dict[str, list[str]]]:
+    """Per file, the row tags under the root and the fields of each.
+
+    Every file is scanned whole by one task; only element names come back.
+    """
+    ship_package(spark)
+    root, fs = opts.xml_root, HadoopFS(spark)
+    files = spark.read.format("binaryFile").load([literal(p) for p in paths])
+    big = files.where(F.col("length") > XML_SCAN_BYTES).select("path").limit(1).collect()
+    if big:
+        raise UnsupportedFormat(f"{big[0].path}: too large to look for its row element; give xml_row_tag")
+
+    def scan(batches):
+        import gzip
+        import json
+        import pandas as pd
+        for pdf in batches:
+            out = []
+            for path, content in zip(pdf["path"], pdf["content"]):
+                low = path.lower()
+                if low.endswith(".gz"):
+                    content = gzip.decompress(content)
+                elif low.endswith(".bz2"):
+                    import bz2
+                    content = bz2.decompress(content)
+                elif low.endswith(".zst"):
+                    import zstandard
+                    content = zstandard.ZstdDecompressor().decompressobj().decompress(content)
+                try:
+                    shape, error = probe.xml_children(content, root), None
+                except ValueError as e:
+                    shape, error = {}, str(e)
+                except SyntaxError as e:      # ElementTree.ParseError: not well-formed
+                    shape, error = {}, f"not well-formed: {e}"
+                out.append((path, json.dumps(shape), error))
+            yield pd.DataFrame(out, columns=["path", "shape", "error"])
+
+    import json
+    rows = files.select("path", "content").mapInPandas(scan, "path string, shape string, error string").collect()
+    plain = lambda p: str(fs._path(p).toUri().getPath())
+    found = {}
+    for r in rows:
+        if r.error:
+            raise UnsupportedFormat(f"{r.path}: {r.error}")
+        found[plain(r.path)] = json.loads(r["shape"])
+    return {p: found.get(plain(p), {}) for p in paths}
+
+
 def _xml(spark: SparkSession, paths: list[str], opts: ReadOptions, tag: bool) -> DataFrame:
-    row_tag = opts.xml_row_tag
-    if not row_tag:
-        head = probe.heads(spark, paths[:1])[paths[0]]
-        row_tag = probe.xml_row_tag(head, opts.xml_root)
-        if not row_tag:
+    if opts.xml_row_tag:
+        by_tag = {opts.xml_row_tag: list(paths)}
+    else:
+        by_tag: dict[str, list[str]] = {}
+        for p, shape in xml_shapes(spark, paths, opts).items():
+            for t in shape:
+                by_tag.setdefault(t, []).append(p)
+        if not by_tag:
             raise UnsupportedFormat(f"{paths[0]}: no row element found under <{opts.xml_root}>")
-    reader = (spark.read.format("xml")
-              .option("rowTag", row_tag)
-              .option("mode", "PERMISSIVE")
-              .option("ignoreSurroundingSpaces", "true"))
-    if opts.sampling_ratio < 1.0:
-        reader = reader.option("samplingRatio", str(opts.sampling_ratio))
-    df = reader.load(literals(paths))
-    if CORRUPT in df.columns:
-        df = df.drop(CORRUPT)
-    return _tagged(widen_ints(df), tag)
+    out = None
+    for row_tag, files in by_tag.items():
+        reader = (spark.read.format("xml")
+                  .option("rowTag", row_tag)
+                  .option("mode", "PERMISSIVE")
+                  .option("ignoreSurroundingSpaces", "true"))
+        df = reader.load(literals(files))
+        if CORRUPT in df.columns:
+            df = df.drop(CORRUPT)
+        df = _tagged(widen_ints(df), tag)
+        if df.columns or out is None:
+            out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out

@@ -23,7 +23,7 @@ def test_catalogue_recursive_sorted_case_insensitive(spark, tmp_path):
     cat = find_input_files(spark, d)
     assert [p.rsplit("/", 1)[1] for p in cat.paths] == ["A.CSV", "b.csv", "c.ndjson.gz"]
     assert cat.is_dir and cat.formats() == ["csv", "ndjson"]
-    with pytest.raises(CatalogueError, match="same extension"):
+    with pytest.raises(CatalogueError, match="different formats"):
         cat.check_same_format()
 
 
@@ -31,7 +31,7 @@ def test_catalogue_errors_and_single_file(spark, tmp_path):
     d = str(tmp_path / "empty")
     os.makedirs(d)
     write(f"{d}/x.txt", "x")
-    with pytest.raises(CatalogueError, match="No supported files"):
+    with pytest.raises(CatalogueError, match="no data files"):
         find_input_files(spark, d)
     f = write(str(tmp_path / "one.csv"), "a\n1\n")
     cat = find_input_files(spark, f)
@@ -187,14 +187,65 @@ def test_csv_without_multiline_is_splittable_job_option(spark, tmp_path):
     assert got == list(range(5000))
 
 
-def test_inference_sampling_option_reads_all_rows(spark, tmp_path):
+def test_given_schema_skips_inference(spark, tmp_path):
     from ferry import Job, run
-    f = write(str(tmp_path / "s.ndjson"), "".join(f'{{"a": {i}, "b": "x{i}"}}\n' for i in range(2000)))
+    f = write(str(tmp_path / "s.csv"), "a,b\n" + "".join(f"{i},x{i}\n" for i in range(200)))
     out = str(tmp_path / "o")
-    res = run(spark, Job(input=f, count=True, output=out, infer_sampling=0.1))
-    assert res.result.collect()[0]["count"] == 2000
+    res = run(spark, Job(input=f, sql="SELECT max(a) AS m FROM input_data", output=out, schema="a string, b string"))
+    assert res.result.collect()[0].m == "99"
+    bad = write(str(tmp_path / "bad.csv"), "a,b\n1,x\noops,y\n")
+    with pytest.raises(Exception):
+        run(spark, Job(input=bad, format="ndjson", output=out, schema="a int, b string"))
 
 
+def test_one_late_time_keeps_the_column_a_timestamp(spark, tmp_path):
+    f = write(str(tmp_path / "t.ndjson"), '{"d": "2025-01-02", "e": "2025-01-02"}\n' * 30000
+              + '{"d": "2025-01-02T13:30:29.447Z", "e": "2025-01-03"}\n')
+    df = read_files(spark, [f])
+    assert dict(df.dtypes) == {"d": "timestamp", "e": "date"}
+    assert df.selectExpr("max(cast(d as string))").first()[0] == "2025-01-02 13:30:29.447"
+
+
+def test_header_signature_is_the_whole_header(spark, tmp_path):
+    wide = ",".join(f"column_{i:05d}" for i in range(6000))
+    a = write(str(tmp_path / "a.csv"), f"{wide},x,y\n" + "0," * 6000 + "1,2\n")
+    b = write(str(tmp_path / "b.csv"), f"{wide},y,x\n" + "0," * 6000 + "2,1\n")
+    rows = read_files(spark, [a, b]).select("x", "y").collect()
+    assert [(r.x, r.y) for r in rows] == [(1, 2), (1, 2)]
+
+
+def test_header_with_a_quoted_newline(spark, tmp_path):
+    a = write(str(tmp_path / "a.csv"), '"k\nA",v\n1,2\n')
+    b = write(str(tmp_path / "b.csv"), '"k\nB",v\n3,4\n')
+    df = read_files(spark, [a, b])
+    assert set(df.columns) == {"k\nA", "v", "k\nB"}
+    assert sorted((r["k\nA"], r["k\nB"], r["v"]) for r in df.collect() if r["v"] == 4) == [(None, 3, 4)]
+
+
+def test_xml_row_tags_of_every_file_and_child(spark, tmp_path):
+    a = write(str(tmp_path / "a.xml"), "<root><meta/><row><x>1</x></row><row><x>2</x></row></root>")
+    b = write(str(tmp_path / "b.xml"), "<root><item><x>3</x><y>4</y></item></root>")
+    rows = read_files(spark, [a, b]).collect()
+    assert sorted(r.x for r in rows if r.x is not None) == [1, 2, 3]
+
+
+def test_tsv_of_unequal_width_is_refused(spark, tmp_path):
+    a = write(str(tmp_path / "a.tsv"), "a\tb\n1\t2\n")
+    b = write(str(tmp_path / "b.tsv"), "x\ty\n3\t4\n")
+    c = write(str(tmp_path / "c.tsv"), "x\ty\tz\n3\t4\t5\n")
+    assert sorted(tuple(r) for r in read_files(spark, [a, b]).collect()) == [(1, 2), (3, 4)]
+    with pytest.raises(UnsupportedFormat):
+        read_files(spark, [a, c])
+
+
+def test_parquet_of_unequal_schema_merges_by_name(spark, tmp_path):
+    spark.sql("SELECT 1 AS a, 2 AS b").coalesce(1).write.parquet(str(tmp_path / "p1"))
+    spark.sql("SELECT 3 AS a, 4 AS c").coalesce(1).write.parquet(str(tmp_path / "p2"))
+    import glob
+    files = sorted(glob.glob(str(tmp_path / "p*/part-*.parquet")))
+    rows = read_files(spark, files).select("a", "b", "c").collect()
+    assert sorted(map(tuple, rows), key=str) == [(1, 2, None), (3, None, 4)]
+
 def test_local_glob_input(spark, tmp_path):
     from ferry import Job, run
     d = tmp_path / "g"

@@ -42,7 +42,7 @@ from ferry.sinks.fs import HadoopFS
 from ferry.sources.catalogue import Catalogue, CatalogueError, find_input_files
 from ferry.sources.cloud import apply_credentials
 from ferry.sources.readers import SOURCE_COLS, ReadOptions, read_files, schema_groups
-from ferry.streaming.delivery import DeliveryConfig, deliver
+from ferry.streaming.delivery import DeliveryConfig, deliver, deliver_file
 
 log = logging.getLogger("ferry")
 
@@ -155,7 +155,7 @@ def run(spark: SparkSession, job: Job, transport=None, sleep=None) -> JobResult:
     if job.preview > 0:
         return _run_preview(js, job, cat, sql_text)
     if job.single_file:
-        return _run_merged(js, job, cat, sql_text)
+        return _run_merged(js, job, cat, sql_text, transport, sleep)
     return _run_per_file(js, job, cat, sql_text, transport, sleep)
 
 
@@ -227,7 +227,8 @@ def _merged_target(fs: HadoopFS, job: Job, cat: Catalogue, ext: str) -> str:
     return target
 
 
-def _run_merged(js, job: Job, cat: Catalogue, sql_text: str | None) -> JobResult:
+def _run_merged(js, job: Job, cat: Catalogue, sql_text: str | None,
+                transport=None, sleep=None) -> JobResult:
     fmt = job.out_format
     cat.check_same_format()
     fs = HadoopFS(js)
@@ -240,7 +241,14 @@ def _run_merged(js, job: Job, cat: Catalogue, sql_text: str | None) -> JobResult
     _guard(fs, cat.paths, [target])
     written = layout.write_single(df, sink_fmt, target, job.compressed, job.xml_root,
                                   input_bytes=cat.total_bytes)
-    return JobResult("merged", [written], warnings=list(job.warnings))
+    result = JobResult("merged", [written], warnings=list(job.warnings))
+    if job.url:
+        cfg = DeliveryConfig(url=job.url, headers=tuple(job.headers))
+        more = {} if sleep is None else {"sleep": sleep}
+        sent = deliver_file(js, fs.qualify(target), cfg, transport,
+                            lines=sink_fmt in (*JSON_FORMATS, "lines") and not job.compressed, **more)
+        result.delivery_log = _write_log(js, job, sent)
+    return result
 
 
 def _splittable(kind_ext: str, paths: list[str], fast: bool, csv_multiline: bool = True) -> bool:

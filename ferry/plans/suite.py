@@ -29,7 +29,7 @@ from ferry.session import job_session, scratch_path
 from ferry.sinks import layout
 from ferry.sources.catalogue import find_input_files
 from ferry.sources.readers import ReadOptions, read_files
-from ferry.streaming.delivery import DeliveryConfig, deliver
+from ferry.streaming.delivery import DeliveryConfig, deliver, throughput
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -448,15 +448,10 @@ Q = {
 }
 
 # The range join: each event with the number of same-user events in the hour
-# after it. Candidate pairs are limited to the same user and adjacent hour
-# buckets (equi-join on user and bucket), not all pairs of a user.
+# after it. A RANGE frame counts them in one sorted pass, without forming pairs.
 Q3_RANGE = (
-    "WITH e AS (SELECT event_id, user_id, ts, "
-    "CAST(FLOOR(unix_micros(ts) / 3600000000) AS BIGINT) AS hb FROM input_data), "
-    "a AS (SELECT event_id, user_id, ts, explode(array(hb, hb + 1)) AS jb FROM e) "
-    "SELECT a.event_id, COUNT(b.event_id) AS followers FROM a LEFT JOIN e b "
-    "ON b.user_id = a.user_id AND b.hb = a.jb AND b.ts > a.ts "
-    "AND b.ts <= a.ts + INTERVAL 1 HOUR GROUP BY a.event_id")
+    "SELECT event_id, COUNT(*) OVER (PARTITION BY user_id ORDER BY unix_micros(ts) "
+    "RANGE BETWEEN 1 FOLLOWING AND 3600000000 FOLLOWING) AS followers FROM input_data")
 
 
 def q3_range_join(spark, sf):
@@ -466,10 +461,218 @@ def q3_range_join(spark, sf):
     return run_sql(ev, Q3_RANGE)
 
 
+# -- files of unequal shape, made from whole tables ------------------------------------------
+
+FIRST_TYPES = ("click", "view", "error")
+
+
+def _halves(ev: DataFrame) -> tuple[DataFrame, DataFrame]:
+    first = F.coalesce(F.col("event_type").isin(*FIRST_TYPES), F.lit(False))
+    return ev.where(first), ev.where(~first)
+
+
+def json_late_timestamp(spark, sf):
+    """All dates but the last event's: the column must keep that one's time."""
+    js = _session(spark)
+    ev = _table(js, sf, "events")
+    last = ev.agg(F.max("event_id").alias("last"))
+    t = F.when(F.col("event_id") == F.col("last"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")) \
+        .otherwise(F.date_format("ts", "yyyy-MM-dd"))
+    target = scratch_path(js, "late") + "/late.ndjson"
+    layout.write_single(ev.join(F.broadcast(last)).select("event_id", t.alias("t")).orderBy("event_id"),
+                        "ndjson", target)
+    return read_files(js, [target]).select("event_id", F.date_format("t", "yyyy-MM-dd HH:mm:ss").alias("t"))
+
+
+def csv_wide_header(spark, sf):
+    """Headers of 100 KB that differ only in the order of their last two columns."""
+    js = _session(spark)
+    ev = _table(js, sf, "events")
+    wide = {c: c + "_" * 17_000 for c in ev.columns}
+    a, b = _halves(ev)
+    *head, x, y = ev.columns
+    folder = scratch_path(js, "wide")
+    for name, df, order in (("a", a, [*head, x, y]), ("b", b, [*head, y, x])):
+        layout.write_single(df.select([F.col(c).alias(wide[c]) for c in order]), "csv", f"{folder}/{name}.csv")
+    back = read_files(js, find_input_files(js, folder).paths)
+    return _as_schema(back.select([col(wide[c]).alias(c) for c in ev.columns]), ev)
+
+
+def csv_quoted_header(spark, sf):
+    """Column names that differ only behind a newline inside quotes."""
+    js = _session(spark)
+    folder = scratch_path(js, "quoted")
+    for name, df in zip("AB", _halves(_table(js, sf, "events"))):
+        layout.write_single(df.select(F.col("event_id").alias(f"k\n{name}"), "user_id"), "csv", f"{folder}/{name}.csv")
+    back = read_files(js, find_input_files(js, folder).paths)
+    return back.select(F.coalesce("k\nA", "k\nB").alias("event_id"), "user_id",
+                       F.when(F.col("k\nA").isNotNull(), "A").otherwise("B").alias("file"))
+
+
+def xml_mixed_row_tags(spark, sf):
+    js = _session(spark)
+    ev = _table(js, sf, "events")
+    folder = scratch_path(js, "mixed-xml")
+    for tag, df in zip(("row", "item"), _halves(ev)):
+        layout.write_single(df, "xml", f"{folder}/{tag}.xml", xml_row=tag)
+    return _read_back(js, folder, ev)
+
+
+def _two_shapes(js, sf, fmt: str) -> str:
+    """A folder of two files of one format with different columns."""
+    folder = scratch_path(js, f"shapes-{fmt}")
+    a, b = _halves(_table(js, sf, "events"))
+    layout.write_single(a.select("event_id", "user_id"), fmt, f"{folder}/a.{fmt}")
+    layout.write_single(b.select("event_id", "event_type", "value"), fmt, f"{folder}/b.{fmt}")
+    return folder
+
+
+def _shown(js, paths: list[str]) -> DataFrame:
+    """Per file its name, its columns and its rows."""
+    frames = [read_files(js, [p]) for p in sorted(paths)]
+    out = None
+    for p, df in zip(sorted(paths), frames):
+        one = df.agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").cast("long").alias("ids")) \
+            .select(F.lit(p.rsplit("/", 1)[-1].split(".")[0]).alias("name"),
+                    F.lit(",".join(df.columns)).alias("cols"), "n", "ids")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _per_file_shapes(fmt: str, to: str) -> Query:
+    def q(spark, sf):
+        js = _session(spark)
+        out = scratch_path(js, "shapes-out")
+        run(js, Job(input=_two_shapes(js, sf, fmt), format=to, output=out))
+        return _shown(js, find_input_files(js, out).paths)
+    return q
+
+
+def merge_parquet_schemas(spark, sf):
+    js = _session(spark)
+    target = scratch_path(js, "merged-shapes") + "/all.parquet"
+    run(js, Job(input=_two_shapes(js, sf, "parquet"), format="parquet", single_file=True, output=target))
+    return read_files(js, [target]).select(
+        "event_id", F.coalesce("user_id", F.lit(-1)).alias("user_id"),
+        F.coalesce("event_type", F.lit("")).alias("event_type"), F.coalesce("value", F.lit(-1.0)).alias("value"))
+
+
+def per_file_sql_schemas(spark, sf):
+    """SQL whose result columns differ per file, over a CSV and an NDJSON file in one folder."""
+    js = _session(spark)
+    folder = scratch_path(js, "sql-shapes")
+    a, b = _halves(_table(js, sf, "events"))
+    layout.write_single(a.select("event_id", "user_id"), "csv", f"{folder}/a.csv")
+    layout.write_single(b.select("event_id", "event_type", "value"), "ndjson", f"{folder}/b.ndjson")
+    out = scratch_path(js, "sql-shapes-out")
+    run(js, Job(input=folder, format="ndjson", output=out, sql="SELECT DISTINCT * FROM input_data"))
+    return _shown(js, find_input_files(js, out).paths)
+
+
+def per_file_empty(spark, sf):
+    """Files none of whose rows are left still get their output."""
+    js = _session(spark)
+    parts = _split(js, sf, "events", "event_id")
+    out = scratch_path(js, "empty")
+    res = run(js, Job(input=parts, format="csv", output=out,
+                      sql="SELECT * FROM input_data WHERE event_id < 0"))
+    there = find_input_files(js, out).paths
+    rows = read_files(js, there).count()
+    return js.createDataFrame([(len(find_input_files(js, parts).files), len(res.outputs), len(there), rows)],
+                              "inputs long, outputs long, files long, n_rows long")
+
+
+def sql_text_column(spark, sf):
+    """SQL over columns named text, with sized and unsized type names."""
+    js = _session(spark)
+    sql = ("SELECT {key} AS id, text, CAST(length(text) AS VARCHAR) AS n, CAST({key} AS VARCHAR(20)) AS sized, "
+           "{key}::text AS plain FROM input_data")
+    docs = run_sql(_table(js, sf, "documents"), sql.format(key="doc_id"))
+    return docs.unionByName(run_sql(_table(js, sf, "conversations"), sql.format(key="conv_id")))
+
+
+def nested_embeddings(spark, sf):
+    """Arrays written as JSON text into CSV by a job, parsed back."""
+    js = _session(spark)
+    out = _export(js, sf, "embeddings", "csv")
+    back = read_files(js, find_input_files(js, out).paths)
+    v = F.from_json("embedding", "array<double>")
+    return back.select("vec_id", F.size(v).cast("long").alias("n"),
+                       F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 4).alias("total"), "label")
+
+
+class DigestTransport:
+    """Answers with what a receiver can tell of a body: records, sum of ids, sum of record hashes."""
+
+    def __call__(self, req):
+        import hashlib
+        import json
+        n = ids = digest = 0
+        for line in req.body.decode("utf-8").splitlines():
+            r = json.loads(line)
+            n, ids = n + 1, ids + r["event_id"]
+            text = f"{r['event_id']}|{r['user_id']}|{r['event_type']}|{r['props']}"
+            digest += int(hashlib.md5(text.encode("utf-8")).hexdigest()[:8], 16)
+        return 200, f"{n},{ids},{digest}"
+
+
+def _received(log: DataFrame) -> DataFrame:
+    part = lambda i: F.element_at(F.split("response", ","), i).cast("long")
+    return log.agg(F.sum(part(1)).alias("n"), F.sum(part(2)).alias("ids"), F.sum(part(3)).alias("digest"))
+
+
+def delivery_bodies(spark, sf):
+    js = _session(spark)
+    out = scratch_path(js, "bodies")
+    res = run(js, Job(input=f"{sf}/events.parquet", format="ndjson", url="http://collector.invalid/x", output=out),
+              transport=DigestTransport(), sleep=_no_sleep)
+    return _received(res.delivery_log)
+
+
+def delivery_merged(spark, sf):
+    js = _session(spark)
+    parts = _split(js, sf, "events", "event_id")
+    out = scratch_path(js, "merged-post") + "/all.ndjson"
+    res = run(js, Job(input=parts, format="ndjson", url="http://collector.invalid/x", single_file=True, output=out),
+              transport=DigestTransport(), sleep=_no_sleep)
+    return _received(res.delivery_log)
+
+
+def delivery_throughput(spark, sf):
+    js = _session(spark)
+    df = read_files(js, [f"{sf}/events.parquet"], tag=True)
+    log = deliver(df, DeliveryConfig(url="http://collector.invalid/x", rows=1000), transport=ScriptedTransport(),
+                  sleep=_no_sleep)
+    return throughput(log).select("requests", "records")
+
+
+def step_bad_regex(spark, sf):
+    """A pattern that is none leaves the rows as they are."""
+    js = _session(spark)
+    out, applied = apply_steps(_table(js, sf, "events"), [S.ReplaceRegex("event_type", "(")])
+    assert not applied
+    return out
+
+
+def step_nested_path(spark, sf):
+    js = _session(spark)
+    ev = _table(js, sf, "events").select("event_id", F.struct(
+        F.col("user_id").alias("id"), F.struct("event_type", "value").alias("what")).alias("u"))
+    out, _ = apply_steps(ev, [S.Reshape({"event_id": "event_id", "user": "u.id", "kind": "u.what.event_type",
+                                         "none": "u.missing"})])
+    return out
+
+
 # -- registry ---------------------------------------------------------------------------
 
 def registry() -> dict[str, tuple[Query, str | None]]:
     ev_cols = "event_id, ts, user_id, event_type, value, props"
+    first_types = "coalesce(event_type IN ('click', 'view', 'error'), false)"
+    shapes = (f"SELECT 'a' AS name, 'event_id,user_id' AS cols, COUNT(*) AS n, SUM(event_id)::BIGINT AS ids "
+              f"FROM events WHERE {first_types} UNION ALL SELECT 'b', 'event_id,event_type,value', COUNT(*), "
+              f"SUM(event_id)::BIGINT FROM events WHERE NOT {first_types}")
+    received = ("SELECT COUNT(*) AS n, SUM(event_id)::BIGINT AS ids, SUM(('0x' || substr(md5(event_id || '|' || "
+                "user_id || '|' || event_type || '|' || props), 1, 8))::BIGINT)::BIGINT AS digest FROM events")
     chunk_sql = ("SELECT idx // {n} AS chunk, MIN(idx) AS first_row, MAX(idx) AS last_row, "
                  "COUNT(*) AS n_rows FROM (SELECT ROW_NUMBER() OVER () - 1 AS idx FROM ({src})) "
                  "GROUP BY idx // {n}")
@@ -498,6 +701,54 @@ def registry() -> dict[str, tuple[Query, str | None]]:
         "merge_xml": (_merge("xml"), "SELECT * FROM events"),
         "per_file_csv": (per_file_csv, "SELECT * FROM lineitem"),
         "csv_mixed_headers": (csv_mixed_headers, "SELECT * FROM events"),
+        "json_late_timestamp": (json_late_timestamp, (
+            "SELECT event_id, strftime(CASE WHEN event_id = (SELECT max(event_id) FROM events) THEN "
+            "date_trunc('second', ts) ELSE date_trunc('day', ts) END, '%Y-%m-%d %H:%M:%S') AS t FROM events")),
+        "csv_wide_header": (csv_wide_header, "SELECT * FROM events"),
+        "csv_quoted_header": (csv_quoted_header, (
+            f"SELECT event_id, user_id, CASE WHEN {first_types} THEN 'A' ELSE 'B' END AS file FROM events")),
+        "xml_mixed_row_tags": (xml_mixed_row_tags, "SELECT * FROM events"),
+        "per_file_tsv_headers": (_per_file_shapes("tsv", "csv"), shapes),
+        "per_file_parquet_schemas": (_per_file_shapes("parquet", "ndjson"), shapes),
+        "per_file_json_keys": (_per_file_shapes("ndjson", "csv"), shapes),
+        "per_file_sql_schemas": (per_file_sql_schemas, shapes),
+        "merge_parquet_schemas": (merge_parquet_schemas, (
+            f"SELECT event_id, CASE WHEN {first_types} THEN user_id ELSE -1 END AS user_id, "
+            f"CASE WHEN {first_types} THEN '' ELSE event_type END AS event_type, "
+            f"CASE WHEN {first_types} THEN -1.0::DOUBLE ELSE value END AS value FROM events")),
+        "per_file_empty": (per_file_empty, (
+            "SELECT 4::BIGINT AS inputs, 4::BIGINT AS outputs, 4::BIGINT AS files, "
+            "(SELECT count(*) FROM events WHERE event_id < 0) AS n_rows")),
+        "sql_text_column": (sql_text_column, (
+            "SELECT doc_id AS id, text, length(text)::VARCHAR AS n, doc_id::VARCHAR AS sized, doc_id::VARCHAR AS plain "
+            "FROM documents UNION ALL SELECT conv_id, text, length(text)::VARCHAR, conv_id::VARCHAR, "
+            "conv_id::VARCHAR FROM conversations")),
+        "nested_embeddings": (nested_embeddings, (
+            "SELECT vec_id, len(embedding) AS n, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) "
+            "AS total, label::BIGINT AS label FROM embeddings")),
+        "delivery_bodies": (delivery_bodies, received),
+        "delivery_merged": (delivery_merged, received),
+        "throughput": (delivery_throughput, (
+            "WITH c AS (SELECT idx // 1000 AS chunk, COUNT(*) AS n FROM (SELECT ROW_NUMBER() OVER () - 1 AS idx "
+            "FROM events) GROUP BY 1) SELECT COUNT(*) AS requests, SUM(n)::BIGINT AS records FROM c "
+            "WHERE chunk % 4 < 2")),
+        # the same filters where NULLs do occur
+        "step_select_notnull_nulls": (
+            _steps([S.Where("event_type", "!=", None)],
+                   "SELECT event_id, user_id, NULLIF(event_type, 'error') AS event_type FROM input_data"),
+            "SELECT event_id, user_id, event_type FROM events WHERE event_type <> 'error'"),
+        "null_filter_nulls": (
+            _sql("events", "SELECT event, event_id, CAST(ts AS VARCHAR) AS ts_str FROM (SELECT event_id, ts, "
+                           "NULLIF(event_type, 'click') AS event FROM input_data) WHERE event IS NOT NULL;"),
+            "SELECT event_type AS event, event_id, ts::VARCHAR AS ts_str FROM events WHERE event_type <> 'click'"),
+        "q2_anti_large": (
+            _sql("customer", "SELECT c_custkey, c_name FROM input_data c WHERE NOT EXISTS (SELECT 1 FROM orders o "
+                             "WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)", ("orders",)),
+            "SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o "
+            "WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)"),
+        "step_bad_regex": (step_bad_regex, "SELECT * FROM events"),
+        "step_nested_path": (step_nested_path, (
+            "SELECT event_id, user_id AS user, event_type AS kind, NULL::VARCHAR AS none FROM events")),
         "per_file_sql_aggregate": (per_file_sql_aggregate,
                                    "SELECT l_returnflag, l_linestatus, COUNT(*) AS n, "
                                    "CAST(SUM(l_quantity) AS BIGINT) AS qty, "

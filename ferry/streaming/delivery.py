@@ -11,18 +11,20 @@ together (``groupBy(file, chunk).applyInPandas``).
 Retry policy (per chunk): up to 3 attempts; 2xx done; 429 waits 2·n units;
 5xx, other codes and network errors wait n units; other 4xx stop at once.
 Before each POST a task waits ``rate_delay`` seconds, so the total rate is
-at most (concurrent tasks / rate_delay); ``max_concurrency`` caps the tasks.
+at most (concurrent tasks / rate_delay); ``max_concurrency`` caps all sending
+tasks together.
 
 Spark may re-run a task (executor loss), so delivery is at-least-once; every
-request carries an ``Idempotency-Key`` of job id and chunk number for the
-receiver to drop repeats.
+request carries an ``Idempotency-Key`` of job id, source path and chunk number
+for the receiver to drop repeats.
 """
 
 from __future__ import annotations
 
+import hashlib
+import http.client
 import time
-import urllib.error
-import urllib.request
+import urllib.parse
 import uuid
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
@@ -68,19 +70,41 @@ class Request:
     attempt: int
 
 
-class UrllibTransport:
-    """POST with the standard library (10 s connect, 30 s total)."""
+class HttpTransport:
+    """POST with the standard library: a limit for connecting and one for the
+    whole exchange (10 s and 30 s), however slowly an answer trickles in."""
 
-    def __init__(self, timeout: float = 30.0):
-        self.timeout = timeout
+    def __init__(self, connect: float = 10.0, total: float = 30.0):
+        self.connect, self.total = connect, total
 
     def __call__(self, req: Request) -> tuple[int, str]:
-        r = urllib.request.Request(req.url, data=req.body, headers=req.headers, method="POST")
+        url = urllib.parse.urlsplit(req.url)
+        kind = http.client.HTTPSConnection if url.scheme == "https" else http.client.HTTPConnection
+        end = time.monotonic() + self.total
+        conn = kind(url.hostname, url.port, timeout=min(self.connect, self.total))
+
+        def left() -> float:
+            rest = end - time.monotonic()
+            if rest <= 0:
+                raise TimeoutError(f"no complete answer within {self.total:g} s")
+            return rest
+
         try:
-            with urllib.request.urlopen(r, timeout=self.timeout) as resp:
-                return int(resp.status), resp.read().decode("utf-8", errors="replace")
-        except urllib.error.HTTPError as e:
-            return int(e.code), e.read().decode("utf-8", errors="replace")
+            conn.connect()
+            conn.sock.settimeout(left())
+            conn.request("POST", (url.path or "/") + (f"?{url.query}" if url.query else ""),
+                         body=req.body, headers=req.headers)
+            conn.sock.settimeout(left())
+            answer = conn.getresponse()
+            parts = []
+            while piece := answer.read1(1 << 16):
+                parts.append(piece)
+                if conn.sock is not None:
+                    conn.sock.settimeout(left())
+                left()
+            return int(answer.status), b"".join(parts).decode("utf-8", errors="replace")
+        finally:
+            conn.close()
 
 
 @dataclass(frozen=True)
@@ -122,19 +146,30 @@ def post_chunk(lines: list[str], chunk: int, cfg: DeliveryConfig, transport,
                sleep=time.sleep, source: str | None = None) -> list[dict]:
     """Send one chunk with the retry policy; one log record per attempt."""
     body = ("\n".join(lines) + "\n").encode("utf-8")
+    base = output_base_name(source) if source else cfg.name_prefix
+    return post_body(body, len(lines), f"{base}-{chunk + 1}", chunk, cfg, transport, sleep, source)
+
+
+def idempotency_key(cfg: DeliveryConfig, chunk: int, source: str | None) -> str:
+    """Unique per job, source path and chunk (files of one name in two folders differ)."""
+    if not source:
+        return f"{cfg.job_id}-{cfg.name_prefix}-{chunk}"
+    place = hashlib.sha1(source.encode("utf-8")).hexdigest()[:16]
+    return f"{cfg.job_id}-{place}-{output_base_name(source)}-{chunk}"
+
+
+def post_body(body: bytes, n_rows: int | None, name: str, chunk: int, cfg: DeliveryConfig,
+              transport, sleep=time.sleep, source: str | None = None) -> list[dict]:
+    """Send one body with the retry policy; one log record per attempt."""
     headers = header_dict(cfg.headers)
-    base = cfg.name_prefix
-    if source:
-        base = output_base_name(source)
-    headers["Idempotency-Key"] = f"{cfg.job_id}-{base}-{chunk}"
-    name = f"{base}-{chunk + 1}"
+    headers["Idempotency-Key"] = idempotency_key(cfg, chunk, source)
     records = []
     for attempt in range(1, cfg.max_attempts + 1):
         sleep(cfg.rate_delay)
         start = time.time()
         try:
             status, text = transport(Request(cfg.url, body, headers, chunk, attempt))
-        except OSError as e:
+        except (OSError, http.client.HTTPException) as e:
             status, text = NETWORK_ERROR, f"network error: {e}"
         end = time.time()
         wait = next_wait(status, attempt, cfg.backoff_unit)
@@ -144,7 +179,7 @@ def post_chunk(lines: list[str], chunk: int, cfg: DeliveryConfig, transport,
             "source": source, "chunk": chunk, "attempt": attempt,
             "timestamp": datetime.fromtimestamp(start, timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ"),
             "file": name, "url": cfg.url, "http_code": status, "response": text,
-            "duration_ms": int(round((end - start) * 1000)), "n_rows": len(lines),
+            "duration_ms": int(round((end - start) * 1000)), "n_rows": n_rows,
             "outcome": "delivered" if ok else ("failed" if last else "retry"),
             "started_ms": int(start * 1000), "ended_ms": int(end * 1000),
         })
@@ -170,7 +205,7 @@ def deliver(df: DataFrame, cfg: DeliveryConfig, transport=None, sleep=time.sleep
     ``groupBy(file, chunk).applyInPandas``.
     """
     ship_package(df.sparkSession)
-    transport = transport or UrllibTransport()
+    transport = transport or HttpTransport()
     hidden = set(SOURCE_COLS) | set(RUN_COLS) | {IDX, CHUNK}
     data_cols = [c for c in df.columns if c not in hidden]
     chunked = df if CHUNK in df.columns else add_chunks(df, cfg.rows, per_file=per_file,
@@ -221,10 +256,31 @@ def deliver(df: DataFrame, cfg: DeliveryConfig, transport=None, sleep=time.sleep
     inside = (records.where(F.col("_whole")).drop("_whole")
               .mapInPandas(send_in_place, schema=LOG_SCHEMA))
     edges = records.where(~F.col("_whole")).drop("_whole")
-    if max_concurrency:
-        edges = edges.repartition(max_concurrency, "source", "chunk")
     gathered = edges.groupBy("source", "chunk").applyInPandas(send, schema=LOG_SCHEMA)
-    return inside.unionByName(gathered)
+    sent = inside.unionByName(gathered)
+    # one cap over all sending tasks, in place or gathered
+    return sent.coalesce(max_concurrency) if max_concurrency else sent
+
+
+def deliver_file(spark, path: str, cfg: DeliveryConfig, transport=None, sleep=time.sleep,
+                 lines: bool = True) -> DataFrame:
+    """POST one finished file as a single request, from an executor; returns the
+    attempt log (lazy). ``lines``: one record per line (else n_rows is null)."""
+    from ferry.sinks.assemble import _open
+    ship_package(spark)
+    transport = transport or HttpTransport()
+    columns = [f.name for f in LOG_SCHEMA.fields]
+
+    def send(batches):
+        for pdf in batches:
+            for target in pdf["path"]:
+                with _open(target, "rb") as src:
+                    body = src.read()
+                n = body.count(b"\n") if lines else None
+                rows = post_body(body, n, target.rsplit("/", 1)[-1], 0, cfg, transport, sleep, target)
+                yield pd.DataFrame(rows, columns=columns)
+
+    return spark.createDataFrame([(path,)], "path string").mapInPandas(send, schema=LOG_SCHEMA)
 
 
 def throughput(log: DataFrame) -> DataFrame:

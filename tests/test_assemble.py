@@ -69,3 +69,23 @@ def test_header_strategy_follows_the_file_system():
     # gzip: always a separate header part; other formats have no header
     assert not _header_in_parts("csv", True, "file:/out/.stage")
     assert not _header_in_parts("ndjson", False, "file:/out/.stage")
+
+
+def test_a_failing_copy_leaves_the_old_file(spark, tmp_path):
+    import pytest
+    from ferry.sinks.assemble import assemble
+    target = str(tmp_path / "out.csv")
+    open(target, "w").write("old")
+    open(tmp_path / "p1", "w").write("h\n1\n")
+    with pytest.raises(Exception):
+        assemble(spark, [(target, [str(tmp_path / "p1"), str(tmp_path / "missing")])], repeated_header=True)
+    assert open(target).read() == "old" and sorted(p.name for p in tmp_path.iterdir()) == ["out.csv", "p1"]
+
+
+def test_repeated_headers_with_quoted_newlines(spark, tmp_path):
+    from ferry.sinks.assemble import assemble
+    for i in (1, 2):
+        open(tmp_path / f"p{i}", "w").write(f'"a\nb",c\n{i},{i}\n')
+    target = str(tmp_path / "out.csv")
+    assemble(spark, [(target, [str(tmp_path / "p1"), str(tmp_path / "p2")])], repeated_header=True)
+    assert open(target).read() == '"a\nb",c\n1,1\n2,2\n'

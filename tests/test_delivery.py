@@ -187,3 +187,47 @@ def test_chunks_sent_in_place_or_gathered_each_once_in_order(spark, tmp_path):
     for c in range(80):
         seqs = [json.loads(x)["seq"] for x in open(recv / f"{c}.ndjson").read().splitlines()]
         assert seqs == list(range(c * 250, (c + 1) * 250))
+
+
+def test_keys_differ_by_source_path():
+    from ferry.streaming.delivery import idempotency_key
+    cfg = DeliveryConfig(url="http://x", job_id="j")
+    assert idempotency_key(cfg, 0, "/a/x.csv") != idempotency_key(cfg, 0, "/b/x.csv")
+    assert idempotency_key(cfg, 0, "/a/x.csv") == idempotency_key(cfg, 0, "/a/x.csv")
+
+
+def test_protocol_errors_are_retried_like_network_errors():
+    import http.client
+
+    class Broken:
+        def __call__(self, req):
+            raise http.client.RemoteDisconnected("closed") if req.attempt == 1 else http.client.BadStatusLine("x")
+
+    recs = post_chunk(["{}"], 0, DeliveryConfig(url="http://x", rate_delay=0.0), Broken(), sleep=lambda s: None)
+    assert [r["http_code"] for r in recs] == [0, 0, 0] and recs[-1]["outcome"] == "failed"
+
+
+def test_one_cap_over_all_sending_tasks(spark):
+    df = read_files(spark, [f"{SF001}/events.parquet"], tag=True).repartition(6)
+    log = deliver(df.drop("_src_file", "_src_block", "_src_pos"), DeliveryConfig(url="http://x", rows=50, rate_delay=0.0),
+                  transport=Seq([200]), sleep=lambda s: None, max_concurrency=2)
+    assert log.rdd.getNumPartitions() <= 2
+    assert log.agg({"n_rows": "sum"}).first()[0] == 1000
+
+
+def test_merged_output_is_posted_whole(spark, tmp_path):
+    from tests.conftest import write
+    for n in "ab":
+        write(str(tmp_path / "in" / f"{n}.ndjson"), f'{{"k": "{n}"}}\n')
+    seen = str(tmp_path / "seen")
+
+    class Keep:
+        def __call__(self, req):
+            with open(seen, "ab") as f:
+                f.write(req.body)
+            return 200, "ok"
+
+    res = run(spark, Job(input=str(tmp_path / "in"), format="ndjson", single_file=True, url="http://x",
+                         output=str(tmp_path / "out" / "all.ndjson")), transport=Keep(), sleep=lambda s: None)
+    assert open(seen).read() == '{"k":"a"}\n{"k":"b"}\n'
+    assert [(r.http_code, r.n_rows, r.file) for r in res.delivery_log.collect()] == [(200, 2, "all.ndjson")]

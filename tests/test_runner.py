@@ -571,3 +571,33 @@ def test_per_file_csv_outputs_keep_their_own_columns(spark, tmp_path, out):
     got = {os.path.basename(w.path): lines(w.path) for w in res.outputs}
     assert got == {"a.csv": ["id,name", "1,ann"], "b.csv": ["id,city", "2,oslo"],
                    "c.csv": ["id,name", "3,bo"]}
+
+
+def test_every_input_gets_an_output_and_old_rows_go(spark, tmp_path):
+    d, out = str(tmp_path / "in"), str(tmp_path / "out")
+    write(f"{d}/a.csv", "k,v\n1,2\n")
+    write(f"{d}/b.csv", "k,v\n")
+    for fmt in ("csv", "ndjson", "xml", "parquet"):
+        run(spark, Job(input=d, format=fmt, output=out))
+        assert sorted(f for f in os.listdir(out) if f.endswith(fmt)) == [f"a.{fmt}", f"b.{fmt}"]
+    run(spark, Job(input=d, format="csv", output=out, sql="SELECT * FROM input_data WHERE k > 5"))
+    assert open(f"{out}/a.csv").read().strip() in ("k,v", "")
+    assert "2" not in open(f"{out}/a.csv").read()
+
+
+def test_stale_chunks_go(spark, tmp_path):
+    d, out = str(tmp_path / "in"), str(tmp_path / "out")
+    write(f"{d}/a.csv", "k\n" + "".join(f"{i}\n" for i in range(10)))
+    run(spark, Job(input=d, format="csv", output=out, rows=2))
+    run(spark, Job(input=d, format="csv", output=out, rows=5))
+    assert len([f for f in os.listdir(out) if f.endswith(".csv")]) == 2
+
+
+def test_analytical_result_is_computed_once_and_keeps_its_order(spark, tmp_path):
+    d, out = str(tmp_path / "in"), str(tmp_path / "out")
+    write(f"{d}/a.csv", "k\n" + "".join(f"{i}\n" for i in range(50)))
+    res = run(spark, Job(input=d, output=out, sql='SELECT k AS "a b", rand() AS r FROM input_data ORDER BY k DESC'))
+    first = [tuple(r) for r in res.result.collect()]
+    assert first == [tuple(r) for r in res.result.collect()] and [r[0] for r in first] == list(range(49, -1, -1))
+    assert [line.split(",")[0] for line in open(f"{out}/query_result.csv").read().splitlines()[1:]] == \
+        [str(i) for i in range(49, -1, -1)]

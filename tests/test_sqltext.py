@@ -45,3 +45,11 @@ def test_quoted_names_work_even_if_caller_turned_ansi_off(spark):
         assert run_sql(df, 'SELECT "$email" AS e FROM input_data').collect()[0].e == 1
     finally:
         spark.conf.unset("spark.sql.ansi.enabled")
+
+
+def test_type_words_only_where_a_type_stands():
+    assert bridge_sql("SELECT text, a.text FROM t WHERE text = 'x'") == "SELECT text, a.text FROM t WHERE text = 'x'"
+    assert bridge_sql("SELECT x AS text, CAST(f(a AS b) AS text) FROM t") == "SELECT x AS text, CAST(f(a AS b) AS STRING) FROM t"
+    assert bridge_sql("SELECT text::VARCHAR(10), text::text") == "SELECT text::VARCHAR(10), text::STRING"
+    assert bridge_sql("TRY_CAST ( x /* AS */ AS Varchar )") == "TRY_CAST ( x /* AS */ AS STRING )"
+    assert bridge_sql("SELECT (SELECT 1 AS text) AS varchar") == "SELECT (SELECT 1 AS text) AS varchar"

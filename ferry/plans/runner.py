@@ -40,7 +40,7 @@ from ferry.session import job_session, scratch_path
 from ferry.sinks import layout, writers
 from ferry.sinks.fs import HadoopFS
 from ferry.sources.catalogue import Catalogue, CatalogueError, find_input_files
-from ferry.sources.cloud import apply_credentials
+from ferry.sources.cloud import ASSEMBLED_SCHEMES, apply_credentials, scheme_of
 from ferry.sources.readers import SOURCE_COLS, ReadOptions, read_files, schema_groups
 from ferry.streaming.delivery import DeliveryConfig, deliver, deliver_file
 
@@ -134,7 +134,11 @@ def _guard(fs: HadoopFS, inputs: list[str], outputs: list[str]) -> None:
 def run(spark: SparkSession, job: Job, transport=None, sleep=None) -> JobResult:
     job = job.validated()
     js = job_session(spark)
-    apply_credentials(js, job.credentials)
+    apply_credentials(js, job.credentials, tuple(p for p in (job.input, job.output) if p))
+    if job.output and job.preview == 0 and writers.joinable(job.out_format or "csv", job.compressed):
+        if scheme_of(job.output) not in ASSEMBLED_SCHEMES:
+            # before any work: text outputs there could not be put together at the end
+            raise JobError(f"{job.output}: text outputs need a local, HDFS, S3 or Google storage path")
     for w in job.warnings:
         log.warning(w)
     try:

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from ferry.session import local_path, ship_package
 from ferry.sinks.fs import HadoopFS
+from ferry.sources.cloud import open_in_store, store_options
 
 COPY_BUFFER = 8 << 20
 PLAN_SCHEMA = T.StructType([
@@ -37,13 +38,9 @@ def _is_local(uri: str) -> bool:
     return uri.startswith("file:") or uri.startswith("/")
 
 
-def _open(uri: str, mode: str):
-    if _is_local(uri):
-        return open(local_path(uri), mode)
-    from pyarrow import fs as pafs  # executors reach cloud/HDFS files through Arrow
-    filesystem, path = pafs.FileSystem.from_uri(uri)
-    return filesystem.open_output_stream(path) if "w" in mode else \
-        filesystem.open_input_stream(path)
+def open_file(uri: str, mode: str, options: dict):
+    """A file on an executor: local, or through the store the driver described."""
+    return open(local_path(uri), mode) if _is_local(uri) else open_in_store(uri, mode, options)
 
 
 def _skip_header(src) -> bytes:
@@ -78,7 +75,7 @@ def _skip_through(src, marker: bytes) -> bytes:
             return seen[at + len(marker):]
 
 
-def _copier(skip_repeated_header: bool, xml_root: str | None = None):
+def _copier(skip_repeated_header: bool, xml_root: str | None = None, options: dict | None = None):
     """Byte copier for one output per row of the plan.
 
     ``skip_repeated_header``: drop the first record of every part but the first.
@@ -94,9 +91,9 @@ def _copier(skip_repeated_header: bool, xml_root: str | None = None):
             for target, parts in zip(pdf["target"], pdf["parts"]):
                 n = 0
                 last = len(parts) - 1
-                with _open(target, "wb") as dst:
+                with open_file(target, "wb", options) as dst:
                     for i, p in enumerate(parts):
-                        with _open(p, "rb") as src:
+                        with open_file(p, "rb", options) as src:
                             held = b""
                             if i > 0 and skip_repeated_header:
                                 held = _skip_header(src)
@@ -190,10 +187,11 @@ def assemble(spark: SparkSession, plans: list[tuple[str, list[str]]],
         fs.move_all(swaps)
         return
     ship_package(spark)
+    options = store_options(spark, fs.qualify(copies[0][0]))
     plan_df = spark.createDataFrame(copies, PLAN_SCHEMA)
     plan_df = plan_df.repartition(min(len(copies), spark.sparkContext.defaultParallelism))
     try:
-        done = plan_df.mapInPandas(_copier(repeated_header, xml_root), RESULT_SCHEMA).collect()
+        done = plan_df.mapInPandas(_copier(repeated_header, xml_root, options), RESULT_SCHEMA).collect()
         if len(done) != len(copies):
             raise OSError("some outputs were not assembled")
     except Exception:

@@ -266,15 +266,17 @@ def deliver_file(spark, path: str, cfg: DeliveryConfig, transport=None, sleep=ti
                  lines: bool = True) -> DataFrame:
     """POST one finished file as a single request, from an executor; returns the
     attempt log (lazy). ``lines``: one record per line (else n_rows is null)."""
-    from ferry.sinks.assemble import _open
+    from ferry.sinks.assemble import open_file
+    from ferry.sources.cloud import store_options
     ship_package(spark)
+    options = store_options(spark, path)
     transport = transport or HttpTransport()
     columns = [f.name for f in LOG_SCHEMA.fields]
 
     def send(batches):
         for pdf in batches:
             for target in pdf["path"]:
-                with _open(target, "rb") as src:
+                with open_file(target, "rb", options) as src:
                     body = src.read()
                 n = body.count(b"\n") if lines else None
                 rows = post_body(body, n, target.rsplit("/", 1)[-1], 0, cfg, transport, sleep, target)

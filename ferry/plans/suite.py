@@ -12,6 +12,7 @@ cannot change the last bit; integer sums are BIGINT in both.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,7 +45,21 @@ def _table(js: SparkSession, sf: str, name: str) -> DataFrame:
     return js.read.parquet(f"{sf}/{name}.parquet")
 
 
+FAMILY = {"tinyint": "int", "smallint": "int", "int": "int", "bigint": "int", "float": "real", "double": "real",
+          "timestamp": "time", "timestamp_ntz": "time"}
+
+
 def _as_schema(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of ``like`` in its order and widths. What was read must already
+    have them all, each of the same family of types: text read back as numbers,
+    or times as dates, is an error here and not cast away."""
+    family = lambda t: FAMILY.get(t.simpleString(), t.simpleString())
+    for f in like.schema.fields:
+        got = df.schema[f.name].dataType
+        if family(got) != family(f.dataType):
+            raise TypeError(f"{f.name}: read back as {got.simpleString()}, was {f.dataType.simpleString()}")
+    if set(df.columns) != set(like.columns):
+        raise TypeError(f"columns read back: {df.columns}, were {like.columns}")
     return df.select([col(f.name).cast(f.dataType).alias(f.name) for f in like.schema.fields])
 
 
@@ -71,8 +86,15 @@ def _read_back(js: SparkSession, folder: str, like: DataFrame,
     return _as_schema(read_files(js, cat.paths, options), like)
 
 
-def _session(spark: SparkSession) -> SparkSession:
-    return job_session(spark)
+def _session(spark: SparkSession, assembled: bool = False) -> SparkSession:
+    """``assembled``: outputs of any size are put together from parts, and files are
+    cut into small splits: the path that large inputs take."""
+    js = job_session(spark)
+    if assembled:
+        js.conf.set(layout.ASSEMBLE_MIN_BYTES_CONF, "0")
+        js.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+        js.conf.set("spark.sql.files.openCostInBytes", "1024")
+    return js
 
 
 # -- sources and sinks ---------------------------------------------------------
@@ -97,9 +119,9 @@ def roundtrip_xml(spark, sf):
     return _read_back(js, out, _table(js, sf, "events"), ReadOptions(xml_root="root"))
 
 
-def _merge(fmt: str) -> Query:
+def _merge(fmt: str, assembled: bool = False) -> Query:
     def q(spark, sf):
-        js = _session(spark)
+        js = _session(spark, assembled)
         parts = _split(js, sf, "events", "event_id")
         target = scratch_path(js, "merged") + f"/events_all.{ 'json' if fmt == 'jsonl' else fmt}"
         run(js, Job(input=parts, format=fmt, single_file=True, output=target))
@@ -107,9 +129,9 @@ def _merge(fmt: str) -> Query:
     return q
 
 
-def per_file_csv(spark, sf):
+def per_file_csv(spark, sf, assembled=False):
     """Directory of Parquet parts → one CSV per part → all read back."""
-    js = _session(spark)
+    js = _session(spark, assembled)
     parts = _split(js, sf, "lineitem", "l_orderkey")
     out = scratch_path(js, "per-file")
     res = run(js, Job(input=parts, format="csv", output=out))
@@ -288,9 +310,9 @@ def chunk_manifest(spark, sf):
     return chunking.chunk_manifest(df, 1000)
 
 
-def chunk_files(spark, sf):
+def chunk_files(spark, sf, assembled=False):
     """events cut into CSV files of 1000 rows; each file's number, size and id range."""
-    js = _session(spark)
+    js = _session(spark, assembled)
     out = scratch_path(js, "chunks")
     res = run(js, Job(input=f"{sf}/events.parquet", format="csv", rows=1000, output=out))
     back = read_files(js, [w.path for w in res.outputs], tag=True)
@@ -484,6 +506,19 @@ def json_late_timestamp(spark, sf):
     return read_files(js, [target]).select("event_id", F.date_format("t", "yyyy-MM-dd HH:mm:ss").alias("t"))
 
 
+def merge_csv_odd_names(spark, sf, assembled=False):
+    """A merge whose column names hold a newline, a quote and a comma."""
+    js = _session(spark, assembled)
+    ev = _table(js, sf, "events")
+    odd = {"event_id": "event\nid", "user_id": 'user "id"', "event_type": "event,type"}
+    folder = scratch_path(js, "odd")
+    ev.select([F.col(c).alias(o) for c, o in odd.items()]).repartitionByRange(4, col("event\nid")) \
+        .write.option("header", "true").option("escape", '"').csv(folder)
+    target = scratch_path(js, "odd-merged") + "/all.csv"
+    run(js, Job(input=folder, format="csv", single_file=True, output=target))
+    return read_files(js, [target]).select([col(o).alias(c) for c, o in odd.items()])
+
+
 def csv_wide_header(spark, sf):
     """Headers of 100 KB that differ only in the order of their last two columns."""
     js = _session(spark)
@@ -701,6 +736,11 @@ def registry() -> dict[str, tuple[Query, str | None]]:
         "merge_xml": (_merge("xml"), "SELECT * FROM events"),
         "per_file_csv": (per_file_csv, "SELECT * FROM lineitem"),
         "csv_mixed_headers": (csv_mixed_headers, "SELECT * FROM events"),
+        **{f"merge_{f}_assembled": (_merge(f, True), "SELECT * FROM events") for f in ("csv", "tsv", "ndjson", "xml")},
+        "per_file_csv_assembled": (partial(per_file_csv, assembled=True), "SELECT * FROM lineitem"),
+        "merge_csv_odd_names": (merge_csv_odd_names, "SELECT event_id, user_id, event_type FROM events"),
+        "merge_csv_odd_names_assembled": (partial(merge_csv_odd_names, assembled=True),
+                                          "SELECT event_id, user_id, event_type FROM events"),
         "json_late_timestamp": (json_late_timestamp, (
             "SELECT event_id, strftime(CASE WHEN event_id = (SELECT max(event_id) FROM events) THEN "
             "date_trunc('second', ts) ELSE date_trunc('day', ts) END, '%Y-%m-%d %H:%M:%S') AS t FROM events")),
@@ -900,4 +940,5 @@ def registry() -> dict[str, tuple[Query, str | None]]:
     }
     for name, (table, text, extra) in Q.items():
         reg[name] = (_sql(table, text, extra), oracle_for_q[name])
+    reg["chunk_files_assembled"] = (partial(chunk_files, assembled=True), reg["chunk_files"][1])
     return reg

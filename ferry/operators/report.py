@@ -19,13 +19,6 @@ def count_lines(spark, paths: list[str], name: str = "count") -> DataFrame:
     return spark.read.text(literals(paths)).agg(F.count(F.lit(1)).alias(name))
 
 
-def profile(df: DataFrame, user_col: str = "user_id", event_col: str = "event") -> DataFrame:
-    """total_rows, unique_users, unique_events."""
-    return df.agg(F.count(F.lit(1)).alias("total_rows"),
-                  F.countDistinct(col(user_col)).alias("unique_users"),
-                  F.countDistinct(col(event_col)).alias("unique_events"))
-
-
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Rows per value, most frequent first (ties broken by value)."""
     return (df.groupBy(col(column)).agg(F.count(F.lit(1)).alias("count"))

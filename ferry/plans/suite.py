@@ -253,12 +253,12 @@ def count(spark, sf):
 
 
 def profile(spark, sf):
-    """The reference's analytics example, run as a job over NDJSON files."""
+    """Rows, users and kinds of event, by SQL in a job over NDJSON files."""
     js = _session(spark)
     nd = _export(js, sf, "events", "ndjson", sql=EVENTS_AS_PRODUCT)
     out = scratch_path(js, "report")
-    sql = ("SELECT\n\tCOUNT(*) AS total_rows,\n\tCOUNT(DISTINCT user_id) AS unique_users,\n"
-           "\tCOUNT(DISTINCT event) AS unique_events\nFROM\n\tinput_data\n")
+    sql = ("SELECT count(*) AS total_rows, count(DISTINCT user_id) AS unique_users, "
+           "count(DISTINCT event) AS unique_events FROM input_data")
     return run(js, Job(input=nd, sql=sql, output=out)).result
 
 

@@ -32,7 +32,7 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -270,22 +270,25 @@ def json_facts(spark: SparkSession, paths: list[str], ts_cols: list[str]) -> tup
                      F.col("_metadata.file_block_start").alias("b"),
                      F.monotonically_increasing_id().alias("m"))
              .where(F.ltrim(F.col("value")).startswith("{")))
-    keys = lines.select("value", "f", "b", "m",
-                        F.posexplode(F.json_object_keys("value")).alias("p", "key"))
-    # The first position of each key, how many of its values are present and
-    # how many of those are not yyyy-mm-dd.
-    path = F.concat(F.lit("$['"), F.regexp_replace("key", "'", ""), F.lit("']"))
-    value = F.call_function("get_json_object", F.col("value"), path) if ts_cols \
-        else F.lit(None).cast("string")
-    if ts_cols:  # only timestamp columns can become DATE; skip the others' values
-        value = F.when(F.col("key").isin(list(ts_cols)), value)
-    facts = (keys.withColumn("v", value)
-             .groupBy("key")
-             .agg(F.min(F.struct("f", "b", "m", "p")).alias("o"),
-                  F.sum(F.when(F.col("v").isNotNull(), 1).otherwise(0)).alias("n"),
-                  F.sum(F.when(F.col("v").isNotNull() & ~F.col("v").rlike(DATE_RE), 1)
-                        .otherwise(0)).alias("bad"))
-             .orderBy("o").select("key", "n", "bad").collect())
+    # Lines are first grouped by their list of keys (few lists, whatever the
+    # number of lines); only these lists are taken apart. Per timestamp column:
+    # how many values are present and how many of those are not yyyy-mm-dd.
+    found = []
+    for i, c in enumerate(ts_cols):
+        v = F.get_json_object("value", "$['" + c.replace("'", "") + "']")
+        found += [F.count(v).alias(f"n{i}"), F.count(F.when(~v.rlike(DATE_RE), v)).alias(f"x{i}")]
+    lists = lines.groupBy(F.json_object_keys("value").alias("keys")) \
+        .agg(F.min(F.struct("f", "b", "m")).alias("o"), *found)
+
+    def of(prefix: str) -> Column:
+        own = F.lit(0).cast("long")
+        for i, c in enumerate(ts_cols):
+            own = F.when(F.col("key") == c, F.col(f"{prefix}{i}")).otherwise(own)
+        return F.sum(own)
+
+    facts = (lists.select("*", F.posexplode(F.array_distinct("keys")).alias("p", "key"))
+             .groupBy("key").agg(F.min(F.struct("o", "p")).alias("at"), of("n").alias("n"), of("x").alias("bad"))
+             .orderBy("at").select("key", "n", "bad").collect())
     order = [r.key for r in facts]
     wanted = set(ts_cols)
     dates = [r.key for r in facts if r.key in wanted and (r.n or 0) > 0 and not r.bad]

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -275,6 +276,34 @@ def one_task_per_file(spark: SparkSession, sizes: list[int], splittable: bool) -
     return max(sizes, default=0) <= split_bytes(spark, sizes)
 
 
+# Spark keeps up to this many part files of one task open at a time. A task
+# that writes no more outputs than that needs no sort by output: rows go to
+# their files as they come, which is scan order.
+OPEN_WRITERS = 256
+OPEN_WRITERS_CONF = "spark.sql.maxConcurrentOutputFileWriters"
+
+
+def in_scan_order(spark: SparkSession, sizes: list[int]) -> bool:
+    """Do the tasks of a scan of these files stay below OPEN_WRITERS outputs?
+
+    A task is packed with files up to the split size, each counted with the
+    open cost at least.
+    """
+    open_cost = int(spark.conf.get("spark.sql.files.openCostInBytes", "4194304").rstrip("b"))
+    return split_bytes(spark, sizes) // max(1, open_cost) + 1 < OPEN_WRITERS
+
+
+@contextmanager
+def unsorted_writes(spark: SparkSession, on: bool = True):
+    before = spark.conf.get(OPEN_WRITERS_CONF, "0")
+    if on:
+        spark.conf.set(OPEN_WRITERS_CONF, str(OPEN_WRITERS))
+    try:
+        yield
+    finally:
+        spark.conf.set(OPEN_WRITERS_CONF, before)
+
+
 # Up to this many output folders are listed with direct file-system calls;
 # beyond it Spark's file index lists them in one job.
 DIRECT_LISTING_MAX = 64
@@ -353,18 +382,22 @@ def write_per_source(df: DataFrame, fmt: str, stage_root: str, dest_for, sizes:
     single_parts = not chunked and not whole_files and large
     if text and (chunk_parts or single_parts):
         return _per_source_from_parts(keyed, fmt, stage_root, dest_for, compressed, encoded,
-                                      direct_scan, chunked, xml_root, xml_row)
+                                      direct_scan, chunked, xml_root, xml_row,
+                                      as_scanned=direct_scan and not chunked and in_scan_order(spark, sizes))
     parts = [FID, CHUNK] if chunked else [FID]
     order = [FID] + ([CHUNK, IDX] if chunked else
                      ([SRC_BLOCK, SRC_POS] if direct_scan else []))
+    as_scanned = not chunked and whole_files and in_scan_order(spark, sizes)
     if chunked or not whole_files:
         keyed = keyed.repartition(target_partitions(spark, sum(sizes)),
                                   *[F.col(c) for c in parts])
-    keyed = keyed.sortWithinPartitions(*order)
+    if not as_scanned:
+        keyed = keyed.sortWithinPartitions(*order)
     data = writers.prepare(keyed.drop(*[c for c in (IDX,) if c in keyed.columns]), fmt)
     fs = HadoopFS(spark)
     stage = _staging(fs, stage_root)
-    writers.writer(data, fmt, compressed, xml_root, xml_row).partitionBy(*parts).save(stage)
+    with unsorted_writes(spark, as_scanned):
+        writers.writer(data, fmt, compressed, xml_root, xml_row).partitionBy(*parts).save(stage)
     leaves = _leaf_parts(spark, stage, None if chunked else len(sizes))
     return _place(spark, fs, stage, leaves, encoded, dest_for, chunked,
                   None, False, joinable=False, empty=(data, fmt, compressed, xml_root, xml_row))
@@ -418,7 +451,7 @@ def _place(spark: SparkSession, fs: HadoopFS, stage: str, leaves: list, encoded:
 def _per_source_from_parts(keyed: DataFrame, fmt: str, stage_root: str, dest_for,
                            compressed: bool, encoded: list[str], direct_scan: bool,
                            chunked: bool = False, xml_root: str = "root",
-                           xml_row: str = "row") -> list[Written]:
+                           xml_row: str = "row", as_scanned: bool = False) -> list[Written]:
     """One output per input (or chunk) without a shuffle: every task writes
     its slice of each output as a part — per input split for a plain scan, so
     parts follow file order — and each output is its parts joined in order."""
@@ -426,15 +459,16 @@ def _per_source_from_parts(keyed: DataFrame, fmt: str, stage_root: str, dest_for
     fs = HadoopFS(spark)
     block = [SRC_BLOCK] if direct_scan else []
     chunk = [CHUNK] if chunked else []
-    ordered = keyed.sortWithinPartitions(FID, *chunk,
-                                         *([SRC_BLOCK, SRC_POS] if direct_scan else []))
+    ordered = keyed if as_scanned else keyed.sortWithinPartitions(
+        FID, *chunk, *([SRC_BLOCK, SRC_POS] if direct_scan else []))
     ordered = ordered.drop(*[c for c in (IDX,) if c in ordered.columns])
     data = writers.prepare(ordered, fmt, keep=tuple(block))
     stage = _staging(fs, stage_root)
     header = _header_part(data.drop(FID, *chunk, *block), fmt, compressed, stage)
-    writers.writer(data, fmt, compressed, xml_root, xml_row,
-                   header=_header_in_parts(fmt, compressed, stage)) \
-        .partitionBy(FID, *chunk, *block).save(join(stage, "parts"))
+    with unsorted_writes(spark, as_scanned):
+        writers.writer(data, fmt, compressed, xml_root, xml_row,
+                       header=_header_in_parts(fmt, compressed, stage)) \
+            .partitionBy(FID, *chunk, *block).save(join(stage, "parts"))
     # per-split folders grow with the data: list those with Spark
     leaves = _leaf_parts(spark, join(stage, "parts"),
                          None if chunked or direct_scan else len(encoded))

@@ -40,12 +40,16 @@ ALPHA, BETA, L1, L2 = 0.5, 1.0, 5e-3, 1e-5
 MIN_SCORE = 0.3
 
 _MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
-_LETTER = re.compile(r"[^\W\d_]")
+_LATIN = re.compile(r"[A-Za-z]")
 #: code points below 0x500: letters in lower case (where that is one character), all else a blank
 _FOLD = np.array([ord(low) if chr(i).isalpha() and len(low := chr(i).lower()) == 1 else 0x20
                   for i in range(0x500)], np.uint32)
 
 
+def has_letter(text: str) -> bool:
+    return bool(_LATIN.search(text)) or any(map(str.isalpha, text))
+
+
 def folded(text: str) -> np.ndarray:
     """Code points in lower case, with every run of non-letters as one blank."""
     c = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -90,7 +94,7 @@ class Model:
     temperature: float
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.langs or not _LETTER.search(text):
+        if not text or not self.langs or not has_letter(text):
             return UNKNOWN, 0.0
         at, n = counts(text)
         z = (tfidf(at, n, self.idf) @ self.weights[at] + self.bias) / self.temperature
@@ -194,7 +198,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
         for batch in batches:
             for i in range(batch.num_rows):
                 text = batch.column(2)[i].as_py()
-                if not _LETTER.search(text):
+                if not has_letter(text):
                     continue
                 at, n = counts(text)
                 yield pa.RecordBatch.from_arrays(

@@ -86,7 +86,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     """The base matches by start, then kind."""
     out = [("email", a, b) for a, b in emails(text)]
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(d) <= 3 and int(d or 0) <= 255 for d in (p.lstrip("0") for p in m[0].split("."))):
             out.append(("ip", m.start(), m.end()))
     for m in _CARD.finditer(text):
         digits = _only_digits(m[0])

@@ -39,6 +39,11 @@ def test_language_empty_and_unlabelled(spark):
     assert langid.predict(d.select("doc_id", "text"), langid.train(d)).first().lang_pred == "und"
 
 
+def test_what_a_letter_is():
+    assert langid.has_letter("1 a") and langid.has_letter("漢") and langid.has_letter("é")
+    assert not any(map(langid.has_letter, ("", "²³", "123 _!", "١٢")))
+
+
 def test_temperature_lowers_the_loss():
     rng = np.random.default_rng(0)
     y = rng.integers(0, 3, 400)

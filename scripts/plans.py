@@ -58,7 +58,8 @@ def main() -> None:
         ("Parts of a merged or large per-file text output (K9/K10)",
          "What the writer gets for a large text merge: rows tagged by file and split, "
          "sorted inside each task, written with partitionBy(file, split). No Exchange: "
-         "every task writes its own split's part; the parts are joined afterwards.",
+         "every task writes its own split's part; the parts are joined afterwards. "
+         "Per-file outputs skip the sort while a task has few outputs.",
          tagged.withColumn("_fid", F.md5("_src_file"))
                .sortWithinPartitions("_fid", "_src_block", "_src_pos")),
         ("Profile (A4)",
@@ -74,8 +75,7 @@ def main() -> None:
          "task to the window.",
          suite.registry()["q6_top3"][0](spark, sf)),
         ("Range join (Q3)",
-         "Equi-join on (user, hour bucket) with the range as a residual filter; candidate "
-         "pairs stay within adjacent hours. Spark picks broadcast or sort-merge by size.",
+         "A RANGE-frame count per user: one exchange and sort, no pairs are formed.",
          suite.q3_range_join(spark, sf)),
         ("Delivery (K17)",
          "Rows become JSON text inside the JVM. Chunks inside one split are sent by "

@@ -2,7 +2,9 @@
 
 Each text is cut into windows of ``WINDOW`` words, each starting half a window
 after the last one and the final one ending with the text, so every word is
-seen with context on both sides. The network (``gru``) scores every window
+seen with context on both sides. A word is what stands between blanks; above
+64 characters (unspaced scripts, text joined by marks) it is split into
+consecutive pieces that are words of their own. The network (``gru``) scores every window
 from character and word inputs; a document's score is that of its worst
 window, calibrated by a logistic curve.
 
@@ -25,6 +27,8 @@ rows get equal scores; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,16 +46,21 @@ CACHE_WORDS = 200_000
 SLICE_CHARS = 2_000_000
 _EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»"
 _LONGEST = 64
+#: a piece of a longer token: to its end, else to the last mark in reach, else of full length
+_PIECE = re.compile(rf".{{1,{_LONGEST}}}\Z|.{{0,{_LONGEST - 1}}}[\W_]|.{{1,{_LONGEST}}}", re.S)
 
 
 def words(text: str) -> list[str]:
-    return text.lower().split()
+    """The words of a text; a token above 64 characters becomes several, none of it is left out."""
+    tokens = text.lower().split()
+    if max(map(len, tokens), default=0) <= _LONGEST:
+        return tokens
+    return [w for t in tokens for w in ((t,) if len(t) <= _LONGEST else _PIECE.findall(t))]
 
 
 def cleaned(token: str) -> str:
-    """A token as the network reads it: no punctuation at its edges, at most 64 characters."""
-    token = token.strip(_EDGE) or token
-    return token if len(token) <= _LONGEST else token[:_LONGEST // 2] + token[-_LONGEST // 2:]
+    """A token as the network reads it: no punctuation at its edges."""
+    return token.strip(_EDGE) or token
 
 
 def starts(n: int) -> list[int]:

@@ -93,6 +93,22 @@ def test_windows_cover_every_word():
         assert (covered > 0).all()
 
 
+def test_long_tokens_are_read_whole():
+    for t in ("漢" * 100_000, "you_vile.fool-" * 50, "x" * 64, "x" * 65, "a " + "b" * 129 + " c", "é" * 63 + "_" + "é" * 63):
+        own = toxicity.words(t)
+        assert "".join(own) == t.lower().replace(" ", "") and max(map(len, own)) <= 64
+    assert toxicity.words("a_" * 40 + "vile_fool")[-1].endswith("vile_fool")
+
+
+def test_toxicity_inside_a_text_without_blanks(spark):
+    clean, vile = "a_fine_day_for_all_of_us_", "you_vile_fool_you_vile_fool_"
+    rows = [(i, clean * 12 + (vile * 4 if i % 2 else clean * 4) + clean * 12, "en", "a") for i in range(300, 400)]
+    d = docs(spark, rows)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300, 400)], "doc_id long, toxic int")
+    by = {r.doc_id: r.score for r in toxicity.score(d, toxicity.train(d, labels)).collect()}
+    assert all(by[i] >= 0.5 for i in by if i % 2) and all(by[i] < 0.5 for i in by if not i % 2)
+
+
 def test_toxicity_on_held_out(spark):
     d = "/root/testdata/sf0.1"
     rows = toxicity.op5(spark, d).join(spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "toxic"), "doc_id").collect()

@@ -9,10 +9,11 @@ from character and word inputs; a document's score is that of its worst
 window, calibrated by a logistic curve.
 
 Labels belong to documents, so training is multiple-instance learning: each
-round scores the windows of a training document and learns from its worst one.
-At most ``train_docs`` toxic and twice as many clean documents are used
-(smallest seeded hash), of each at most ``BAG`` windows picked by seeded hash; every fifth of them only
-sets the calibration. Labels, lang, source and doc_id are never inputs.
+round scores all windows of the training documents, in Spark tasks, and learns
+from the worst one of each. At most ``train_docs`` toxic and twice as many clean
+documents are used (smallest seeded hash), each of them whole; every fifth only
+sets the calibration, on the worst of all its windows as in scoring. Labels,
+lang, source and doc_id are never inputs.
 
 Scoring runs in Arrow batches: the gate inputs of distinct words are computed
 once and kept in a bounded per-worker cache, windows are scored in blocks of
@@ -34,11 +35,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferry.llm.common import seeded_key, ship, smallest, staged, table
-from ferry.llm.gru import HIDDEN, BiGRU, index
+from ferry.llm.gru import HIDDEN, BiGRU
 
 WINDOW, STRIDE = 64, 32
 TRAIN_DOCS = 600
-BAG = 10
 #: rounds of training: fewer the more documents there are
 ROUNDS, DOC_ROUNDS = (8, 20), 15_000
 BLOCK = 1024
@@ -101,9 +101,8 @@ class Scorer:
             self.gates = np.concatenate([self.gates, *more])
         return [np.fromiter(map(self.rows.__getitem__, own), np.int64, len(own)) for own in tokens]
 
-    def worst(self, tokens: list[list[str]]) -> np.ndarray:
-        """The largest window logit of each text (-inf without words)."""
-        out = np.full(len(tokens), -np.inf)
+    def _windows(self, tokens: list[list[str]]):
+        """Owner, start and logit of every window of the texts."""
         ids = self._ids(tokens)
         whole = np.concatenate([*ids, np.zeros(WINDOW, np.int64)])
         at = np.concatenate([[0], np.cumsum([len(i) for i in ids])])
@@ -111,6 +110,7 @@ class Scorer:
         owner = np.repeat(np.arange(len(ids)), [len(f) for f in first])
         first = np.concatenate([np.asarray(f, np.int64) + at[k] for k, f in enumerate(first)]) \
             if len(owner) else np.zeros(0, np.int64)
+        z = np.zeros(len(owner), np.float32)
         size = np.minimum(at[owner + 1] - first, WINDOW)
         # windows of like size together: no steps are spent on padding
         order = np.argsort(size, kind="stable")
@@ -119,10 +119,23 @@ class Scorer:
             width = int(size[pick].max())
             grid = first[pick][:, None] + np.arange(width)
             mask = np.arange(width) < size[pick][:, None]
-            logit, _ = self.net.forward(self.gates, np.where(mask, whole[grid], 0), mask)
-            np.maximum.at(out, owner[pick], logit)
+            z[pick] = self.net.forward(self.gates, np.where(mask, whole[grid], 0), mask)[0]
+        return owner, first - at[owner], z
+
+    def worst(self, tokens: list[list[str]]) -> np.ndarray:
+        """The largest window logit of each text (-inf without words)."""
+        out = np.full(len(tokens), -np.inf)
+        owner, _, z = self._windows(tokens)
+        np.maximum.at(out, owner, z)
         return out
 
+    def worst_windows(self, tokens: list[list[str]]) -> list[tuple[list[str], float]]:
+        """The first window with the largest logit of each text with words, and that logit."""
+        owner, first, z = self._windows(tokens)
+        order = np.lexsort((-first, z, owner))
+        top = order[np.append(owner[order][1:] != owner[order][:-1], True)] if len(order) else order
+        return [(tokens[k][f:f + WINDOW], float(v)) for k, f, v in zip(owner[top], first[top], z[top])]
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
         tokens = [words(t or "") for t in texts]
         if self.net is None:
@@ -143,43 +156,34 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (float(w[0]), float(w[1])) if w[0] > 0.05 else (1.0, 0.0)
 
 
-def fit(docs: list[tuple[list[list[str]], int]], rounds: int | None = None) -> Scorer:
-    """Train on (windows, label) of each document; every fifth sets the calibration."""
-    labels = np.array([y for _, y in docs], int)
+def fit(labels: list[int], ends, look, rounds: int | None = None) -> Scorer:
+    """Train on documents of these labels; every fifth sets the calibration.
+
+    ``ends`` are the first and last window of each document, ``look(net)`` gives
+    the worst of all its windows with that one's logit.
+    """
+    y = np.array(labels, int)
     if len(set(labels)) < 2:
-        return Scorer(None, 1.0, 0.0, float(labels.mean()) if len(labels) else 0.0)
-    held = np.zeros(len(docs), bool)
-    for y in (0, 1):
-        own = np.flatnonzero(labels == y)
+        return Scorer(None, 1.0, 0.0, float(y.mean()) if len(y) else 0.0)
+    held = np.zeros(len(y), bool)
+    for label in (0, 1):
+        own = np.flatnonzero(y == label)
         if len(own) >= 5:
             held[own[::5]] = True
-    bags = [([list(map(cleaned, w)) for w in ws], y) for ws, y in docs]
-    learn = [b for b, h in zip(bags, held) if not h]
-    y = np.array([b[1] for b in learn])
-    flat = [w for b in learn for w in b[0]]
-    owner = np.repeat(np.arange(len(learn)), [len(b[0]) for b in learn])
+    learn = np.flatnonzero(~held)
     net = BiGRU()
     rounds = rounds or int(np.clip(DOC_ROUNDS // len(learn), *ROUNDS))
 
-    def logits(windows):
-        out = []
-        for i in range(0, len(windows), 512):
-            w, ids, mask = index(windows[i:i + 512])
-            out.append(net.forward(net.gate_inputs(net.embed(w)), ids, mask)[0])
-        return np.concatenate(out)
+    def read(windows):
+        return [list(map(cleaned, w)) for w in windows]
 
-    def worst(owner, z):
-        order = np.lexsort((z, owner))
-        return order[np.append(owner[order][1:] != owner[order][:-1], True)]
-
-    net.fit([b[0][0] for b in learn] + [b[0][-1] for b in learn], np.concatenate([y, y]), epochs=1)
+    net.fit(read([ends[i][0] for i in learn] + [ends[i][1] for i in learn]), np.tile(y[learn], 2), epochs=1)
     for k in range(rounds):
-        top = worst(owner, logits(flat))
-        net.fit([flat[i] for i in top], y, epochs=1, seed=k)
-    tune = [b for b, h in zip(bags, held) if h] or learn
-    z = logits([w for b in tune for w in b[0]])
-    own = np.repeat(np.arange(len(tune)), [len(b[0]) for b in tune])
-    slope, shift = _logistic(z[worst(own, z)], np.array([b[1] for b in tune]))
+        top = look(net)
+        net.fit(read([top[i][0] for i in learn]), y[learn], epochs=1, seed=k)
+    tune = np.flatnonzero(held) if held.any() else learn
+    top = look(net)
+    slope, shift = _logistic(np.array([top[i][1] for i in tune]), y[tune])
     return Scorer(net, slope, shift, 0.0)
 
 
@@ -195,26 +199,63 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> S
         .groupBy("id").agg(F.max("toxic").alias("label")).withColumn("key", key)
     some = [smallest(known.filter(F.col("label") == y), n) for y, n in ((0, 2 * train_docs), (1, train_docs))]
     chosen = F.broadcast(staged(some[0].unionByName(some[1]), "toxic-sample"))   # at most 3 x train_docs rows
+    texts = docs.select("doc_id", "text").filter("text IS NOT NULL") \
+        .join(chosen, F.col("doc_id") == F.col("id")) \
+        .select("key", F.md5("text").alias("digest"), F.col("label").cast("int"), "text")
+    # whole texts, dealt over all tasks; a copy of a row teaches nothing new
+    texts = staged(texts.repartition(2 * max(2, docs.sparkSession.sparkContext.defaultParallelism), "key", "digest")
+                   .dropDuplicates(["key", "digest"]), "toxic-texts")
+    rows = windows(texts, None)
+    if len(rows) > 3 * train_docs:   # ids with several texts
+        kept = docs.sparkSession.createDataFrame([r[:2] for r in rows[:3 * train_docs]], "key string, digest string")
+        texts = staged(texts.join(F.broadcast(kept), ["key", "digest"], "left_semi"), "toxic-texts")
+        rows = rows[:3 * train_docs]
+
+    def look(net):
+        return [(own[0], z) for *_, z, own in windows(texts, Scorer(net, 1.0, 0.0, 0.0))]
+
+    return fit([r[2] for r in rows], [r[4] for r in rows], look)
+
+
+def windows(texts: DataFrame, scorer: Scorer | None) -> list[tuple]:
+    """(key, digest, label, logit, windows) of each text with words, in order: its
+    worst window, or without a scorer the first and the last one."""
+    ship(texts.sparkSession)
+    shared = texts.sparkSession.sparkContext.broadcast(scorer)   # about 1 MB of weights
 
-    def cut(batches):
-        import zlib
+    def run(batches):
         import pyarrow as pa
+        scorer = shared.value
         for batch in batches:
-            for k, y, text in zip(*(c.to_pylist() for c in batch.columns)):
-                own = words(text)
-                at = sorted(starts(len(own)), key=lambda s: zlib.crc32(f"{k}:{s}".encode()))[:BAG]
+            for at, group in slices(batch.column("text")):
+                tokens = [words(t) for t in group]
+                full = [i for i, own in enumerate(tokens) if own]
+                if scorer:
+                    found = [(z, [w]) for w, z in scorer.worst_windows(tokens)]
+                else:
+                    found = [(0.0, [tokens[i][:WINDOW], tokens[i][-WINDOW:]]) for i in full]
+                kept = [c.slice(at, len(group)).take(pa.array(full, pa.int64())) for c in batch.columns[:3]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k]), pa.array([y], pa.int32()),
-                     pa.array([[own[s:s + WINDOW] for s in at]], pa.list_(pa.list_(pa.string())))],
-                    ["key", "label", "windows"])
+                    [*kept, pa.array([f[0] for f in found], pa.float64()),
+                     pa.array([f[1] for f in found], pa.list_(pa.list_(pa.string())))],
+                    ["key", "digest", "label", "logit", "windows"])
+
+    rows = texts.select("key", "digest", "label", "text").mapInArrow(
+        run, "key string, digest string, label int, logit double, windows array<array<string>>").collect()
+    shared.unpersist()
+    return sorted(((r.key, r.digest, r.label, r.logit, r.windows) for r in rows), key=lambda r: r[:2])
+
 
-    rows = docs.select("doc_id", "text").filter("text IS NOT NULL") \
-        .join(chosen, F.col("doc_id") == F.col("id")).select("key", F.col("label").cast("int"), "text") \
-        .mapInArrow(cut, "key string, label int, windows array<array<string>>") \
-        .filter(F.size("windows") > 0).toPandas()
-    rows = rows.assign(first=[str(w[0][0]) for w in rows["windows"]]) \
-        .sort_values(["key", "first"], kind="stable").head(3 * train_docs)
-    return fit([([list(w) for w in ws], int(y)) for ws, y in zip(rows["windows"], rows["label"])])
+def slices(texts):
+    """(start, texts) of consecutive parts of a column of about SLICE_CHARS characters."""
+    at = 0
+    while at < len(texts):
+        group, held = [], 0
+        while at + len(group) < len(texts) and held < SLICE_CHARS:
+            group.append(texts[at + len(group)].as_py())
+            held += len(group[-1] or "")
+        yield at, group
+        at += len(group)
 
 
 def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
@@ -226,16 +267,10 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
         import pyarrow as pa
         scorer = shared.value
         for batch in batches:
-            ids, texts, at = batch.column(0), batch.column(1), 0
-            while at < batch.num_rows:
-                group, held, stop = [], 0, at
-                while stop < batch.num_rows and held < SLICE_CHARS:
-                    group.append(texts[stop].as_py())
-                    held += len(group[-1] or "")
-                    stop += 1
+            for at, group in slices(batch.column(1)):
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, stop - at), pa.array(scorer.scores(group), pa.float64())], ["doc_id", "score"])
-                at = stop
+                    [batch.column(0).slice(at, len(group)), pa.array(scorer.scores(group), pa.float64())],
+                    ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
 

@@ -109,6 +109,32 @@ def test_toxicity_inside_a_text_without_blanks(spark):
     assert all(by[i] >= 0.5 for i in by if i % 2) and all(by[i] < 0.5 for i in by if not i % 2)
 
 
+def long_text(i, passage=""):
+    """2,400 harmless words (74 windows) of the row, with a passage in the middle."""
+    rng = np.random.default_rng(i)
+    own = [f"w{n}" for n in rng.integers(0, 400, 2400)]
+    return " ".join(own[:1200] + passage.split() + own[1200:])
+
+
+def test_toxicity_one_passage_in_long_texts(spark):
+    rows = [(i, long_text(i, "you vile fool " * 12 if i % 2 else ""), "en", "a") for i in range(300, 420)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300, 420)], "doc_id long, toxic int")
+    scorer = toxicity.train(docs(spark, rows), labels)
+    new = [(i, long_text(i, "you vile fool " * 12 if i % 2 else "")) for i in range(1000, 1040)]
+    got = scorer.scores([t for _, t in new])
+    assert np.mean([(s >= 0.5) == i % 2 for s, (i, _) in zip(got, new)]) >= 0.95
+
+
+def test_worst_window_is_that_of_scoring(spark):
+    rows = [("k%d" % i, "d", 0, long_text(i) if i else " ") for i in range(4)]
+    texts = spark.createDataFrame(rows, "key string, digest string, label int, text string")
+    scorer = toxicity.Scorer(BiGRU(), 1.0, 0.0, 0.0)
+    got = toxicity.windows(texts, scorer)
+    whole = scorer.worst([toxicity.words(r[3]) for r in rows])
+    assert [r[3] for r in got] == pytest.approx(list(whole[1:]), abs=1e-5) and whole[0] == -np.inf
+    assert [r[3] for r in got] == pytest.approx(list(scorer.worst([r[4][0] for r in got])), abs=1e-5)
+
+
 def test_toxicity_on_held_out(spark):
     d = "/root/testdata/sf0.1"
     rows = toxicity.op5(spark, d).join(spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "toxic"), "doc_id").collect()

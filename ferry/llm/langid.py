@@ -5,9 +5,10 @@ under an elastic net, then calibrated with one temperature.
 Features are hashed character 1- to 4-grams of the lower-cased text with runs
 of non-letters as one blank. Document frequencies are counted over *all*
 training documents (distributed; one bounded histogram per task). The
-classifier itself is fitted on a bounded sample of labelled documents, the
-``train_docs`` with the smallest seeded hash, of which every fifth only sets
-the temperature. The L1 part of the penalty keeps most weights at exactly zero.
+classifier itself is fitted on a bounded sample of labelled documents, of every
+language the ``train_docs`` / languages with the smallest seeded hash (at least
+``LEAST``; a language with fewer has all it has), of which every fifth only sets
+the temperature. So a language is learned however rare it is. The L1 part of the penalty keeps most weights at exactly zero.
 
 Prediction hashes whole texts in Arrow batches; a model is ``buckets`` x
 languages numbers, whatever the corpus size. ``lang``, ``source`` and
@@ -25,14 +26,16 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ferry.llm.common import DOC_COLUMNS, seeded_key, ship, smallest, staged, table
+from ferry.llm.common import DOC_COLUMNS, seeded_key, ship, staged, table
 
 BUCKETS = 1 << 15
 GRAMS = (1, 2, 3, 4)
 TRAIN_DOCS = 2_000
+#: documents of a language, however many languages share train_docs
+LEAST = 100
 UNKNOWN = "und"
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 5e-3, 1e-5
@@ -189,8 +192,18 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
         & ~held_out(F.col("doc_id")))
     idf = _idf(usable)
     key = seeded_key(F.col("doc_id"), "langid")
-    sample = smallest(usable.select("lang", key.alias("key"), F.length("text").alias("size")),
-                      train_docs, "key", "lang", "size")
+    letters = usable.filter(F.col("text").rlike(r"[A-Za-z]|[^\x00-\x7F]"))   # the others hold no letter
+    total = {r["lang"]: r["count"] for r in letters.groupBy("lang").count().collect()}   # one row per language
+    if not total:
+        return Model([], idf, np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0)
+    each = max(LEAST, -(-train_docs // len(total)))
+    # about twice as many rows as needed pass their language's hash threshold and are ordered
+    tops = [(lang, f"{int(2 * each / n * 2 ** 32):08x}" if n > 4 * each else "g") for lang, n in total.items()]
+    tops = F.broadcast(docs.sparkSession.createDataFrame(tops, "lang string, top string"))
+    sample = letters.select("lang", key.alias("key"), F.length("text").alias("size")) \
+        .join(tops, "lang").filter("key < top").drop("top") \
+        .withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("key", "size"))) \
+        .filter(F.col("nth") <= each).drop("nth")
     sample = staged(sample, "langid-sample")
 
     def features(batches):
@@ -206,19 +219,21 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
                      pa.array([at.tobytes()], pa.binary()),
                      pa.array([tfidf(at, n, idf).tobytes()], pa.binary())], ["key", "lang", "at", "v"])
 
-    chosen = F.broadcast(sample.select("key", "lang", "size"))   # at most train_docs short rows
-    rows = usable.withColumn("key", key).withColumn("size", F.length("text")) \
+    chosen = F.broadcast(sample.select("key", "lang", "size").distinct())   # ``each`` short rows a language
+    rows = letters.withColumn("key", key).withColumn("size", F.length("text")) \
         .join(chosen, ["key", "lang", "size"], "left_semi").select("key", "lang", "text") \
         .mapInArrow(features, "key string, lang string, at binary, v binary") \
         .toPandas()
     langs = sorted(rows["lang"].unique())
     if not langs:
         return Model([], idf, np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0)
-    rows = rows.sort_values(["key", "lang"], kind="stable").head(train_docs)
+    rows = rows.sort_values(["key", "lang"], kind="stable").groupby("lang").head(each)
+    nth = rows.groupby("lang").cumcount()
     data = [(np.frombuffer(at, np.int32), np.frombuffer(v, np.float32), langs.index(lang))
             for at, v, lang in zip(rows["at"], rows["v"], rows["lang"])]
-    fit, tune = [r for i, r in enumerate(data) if i % 5], data[::5]
-    w, bias = ftrl(fit or data, len(langs))
+    # every fifth of each language; of a language with fewer than five all are learned from
+    fit, tune = [r for i, r in zip(nth, data) if i % 5 != 4], [r for i, r in zip(nth, data) if i % 5 == 4]
+    w, bias = ftrl(fit, len(langs))
     logits = np.array([v @ w[at] + bias for at, v, _ in tune])
     return Model(langs, idf, w, bias, fit_temperature(logits, np.array([y for *_, y in tune])))
 

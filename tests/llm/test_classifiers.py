@@ -32,6 +32,17 @@ def test_language_awkward(spark):
     assert by[100].lang_pred == "en" and by[200].lang_pred == "fr"
 
 
+def test_language_that_is_rare_is_learned(spark):
+    rows = [(i, "the cat and the dog went home " * 2, "en", "a") for i in range(6000)] \
+        + [(10_000 + i, "le chat et le chien sont ici " * 2, "fr", "a") for i in range(8)] \
+        + [(20_000 + i, "hunden og katten er ude nu", "da", "a") for i in range(1)]
+    d = docs(spark, rows)
+    model = langid.train(d, 40)
+    assert model.langs == ["da", "en", "fr"]
+    assert model.predict("le chien et le chat sont ici")[0] == "fr"
+    assert model.predict("the dog and the cat went home")[0] == "en"
+
+
 def test_language_empty_and_unlabelled(spark):
     empty = docs(spark, [])
     assert langid.predict(empty.select("doc_id", "text"), langid.train(empty)).count() == 0

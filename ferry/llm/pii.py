@@ -10,7 +10,8 @@ boundaries and types together (``semicrf``).
 Where the model runs: a segment must hold a digit or an at-sign, plain or as
 ``[at]`` (a fixed constraint of the lattice, as is the maximal length), so
 tokens too far from any such token can only be outside and the text falls into
-independent zones around them. That is the exact result over the whole text; a text without a
+independent zones around them (``zones``, by the rules of the lattice itself).
+That is the exact result over the whole text; a text without a
 digit or at-sign costs one scan. A zone's time is linear in its tokens.
 
 Training: at most ``train_docs`` documents with a digit or at-sign (smallest
@@ -135,33 +136,58 @@ SPAN_WIDTH, OUT_WIDTH = 20, 3
 def zones(text: str) -> list[tuple[int, int]]:
     """Maximal stretches of text that a span with a digit or at-sign can reach.
 
-    A span reaches at most MAX_TOKENS tokens; letters-only runs of words end a
-    span after CONTEXT tokens (see ``_spans``), so zones stay short.
+    By the rules of ``lattice``: to the left up to MAX_TOKENS tokens, a line end,
+    two blanks or more than CONTEXT words in a row; to the right the same without
+    the words. One more token follows, which is outside, as over the whole text.
     """
     out: list[list[int]] = []
+    reach = 0                   # to here spans of the last zone's triggers go
     for m in _TRIGGER.finditer(text):
-        a, b = m.start(), m.end()
-        if out and a < out[-1][1]:
+        if m.start() < reach:
             continue
-        left = text[max(0, a - 80):a]
-        words = [t.start() for t in _TOKEN.finditer(left)][-(CONTEXT + 3):]
-        a = a - len(left) + (words[0] if words else len(left))
-        # a window cut inside a token or at its edge: take the token from its start
-        while a > 0 and (text[a - 1].isalnum() and text[a].isalnum()):
-            a -= 1
-        last, n = b, 0
-        for t in _TOKEN.finditer(text, b):
+        a, joined = _left(text, m.start(), out[-1][1] if out else 0)
+        last = reach = m.end()
+        n = 0
+        for t in _TOKEN.finditer(text, reach):
             last = t.end()
             n = 0 if _TRIGGER.match(text, t.start()) else n + 1
-            if n > CONTEXT + 4:
+            if n >= MAX_TOKENS or _apart(text, reach, t.start()):
                 break
-        if out and a <= out[-1][1]:
+            reach = last
+        if out and joined:
             out[-1][1] = max(last, out[-1][1])
         else:
             out.append([a, last])
     return [(a, b) for a, b in out]
 
 
+def _apart(text: str, end: int, start: int) -> bool:
+    """No span reaches over a line end or two blanks."""
+    return start - end > 1 or "\n" in text[end:start]
+
+
+def _left(text: str, at: int, floor: int) -> tuple[int, bool]:
+    """Where spans over a trigger can start, and whether they may start before ``floor``."""
+    if at < floor:
+        return floor, True
+    size = 120
+    while True:
+        low = max(floor, at - size)
+        tokens = [(t.start(), t.end()) for t in _TOKEN.finditer(text, low, at)]
+        if low > floor:
+            tokens = tokens[1:]     # perhaps cut
+        first, n, words = at, 1, 0
+        for x, y in reversed(tokens):
+            words = words + 1 if text[x].isalpha() else 0
+            n += 1
+            if _apart(text, y, first) or words > CONTEXT or n > MAX_TOKENS:
+                return first, False
+            first = x
+        if low == floor:
+            return first, floor > 0 and not _apart(text, floor, first)
+        size *= 4
+
+
 def _span_names(text: str, a: int, b: int) -> list[str]:
     s = text[a:b]
     digits = _only_digits(s)
@@ -221,8 +247,8 @@ def lattice(text: str, a: int, b: int, ids: _Features):
         seen, cold = False, 0
         for j in range(i, min(n, i + MAX_TOKENS)):
             y = tokens[j][1]
-            if j > i and (tokens[j][0] - tokens[j - 1][1] > 1 or "\n" in text[tokens[j - 1][1]:tokens[j][0]]):
-                break               # no span reaches over a line end or two blanks
+            if j > i and _apart(text, tokens[j - 1][1], tokens[j][0]):
+                break
             cold = 0 if hot[j] or not text[tokens[j][0]].isalpha() else cold + 1
             seen = seen or hot[j]
             if not seen and cold > CONTEXT:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ferry.llm import bitslice, langid, merkle, mixing, neardup, phrases, pieces, pii, secret_scan, toxicity, vptree, warc
+from ferry.llm import bitslice, langid, lm, merkle, mixing, neardup, phrases, pieces, pii, secret_scan, toxicity, vptree, warc
 
 
 def registry() -> dict:
@@ -18,5 +18,6 @@ def registry() -> dict:
         "op9_mixing": (mixing.op9, mixing.OP9_SQL),
         "op10_warc": (warc.op10, warc.OP10_SQL),
         "op11_merkle": (merkle.op11, merkle.OP11_SQL),
+        "op12_lm": (lm.op12, None),
         "op13_phrases": (phrases.op13, phrases.OP13_SQL),
     }

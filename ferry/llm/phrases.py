@@ -22,6 +22,8 @@ other characters; repeated rows count each time; an empty table gives no rows.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -185,7 +187,7 @@ class _Block:
         return keys[:, heads], counts
 
     def packed(self, depth: int, routes: int, words_alive, shorter_alive):
-        """One (route, lang, words, numbers, counts) per route that gets a phrase."""
+        """One (route, lang, words, (numbers, counts)) per route that gets a phrase."""
         hashes = self.vocabulary.hashes()
         keys, counts = self.phrases(depth, hashes, words_alive, shorter_alive)
         route = (phrase_hash(self.lang, hashes[keys]) >> np.uint64(8)) % np.uint64(routes)
@@ -194,11 +196,12 @@ class _Block:
         for start, end in zip(cuts, [*cuts[1:], len(order)]):
             part = order[start:end]
             used, numbers = np.unique(keys[:, part], return_inverse=True)
+            cells = (numbers.reshape(depth, -1), counts[part])
             yield (int(route[part[0]]), self.lang, b"\n".join([self.vocabulary.words[i] for i in used]),
-                   numbers.astype(np.int32).tobytes(), counts[part].astype(np.int64).tobytes())
+                   pickle.dumps([x.astype(np.min_scalar_type(x.max())) for x in cells], protocol=5))
 
 
-PACKED = "route long, lang string, words binary, numbers binary, counts binary"
+PACKED = "route long, lang string, words binary, cells binary"
 
 
 def _level(docs: DataFrame, depth: int, routes: int, least: int, words_alive=None, shorter_alive=None) -> DataFrame:
@@ -217,8 +220,8 @@ def _level(docs: DataFrame, depth: int, routes: int, least: int, words_alive=Non
                 rows = list(blocks.pop(lang).packed(depth, routes, words_alive, shorter_alive))
                 if rows:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), *[pa.binary()] * 3))],
-                        ["route", "lang", "words", "numbers", "counts"])
+                        [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.binary(), pa.binary()))],
+                        ["route", "lang", "words", "cells"])
 
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1)):
@@ -237,16 +240,17 @@ def _level(docs: DataFrame, depth: int, routes: int, least: int, words_alive=Non
     def merge(group):
         import pyarrow as pa
         by_lang: dict[str, list] = {}
-        for lang, *packed in zip(*(group.column(c) for c in ("lang", "words", "numbers", "counts"))):
+        for lang, *packed in zip(*(group.column(c) for c in ("lang", "words", "cells"))):
             by_lang.setdefault(lang.as_py(), []).append([x.as_py() for x in packed])
         out = {c: [] for c in ("lang", *names, "n", "h")}
         for lang, parts in by_lang.items():
             vocabulary = _Vocabulary()
             keys, counts = [], []
-            for words, numbers, n in parts:
+            for words, cells in parts:
                 own = np.fromiter(map(vocabulary.__getitem__, words.split(b"\n")), np.int32)
-                keys.append(own[np.frombuffer(numbers, np.int32).reshape(depth, -1)])
-                counts.append(np.frombuffer(n, np.int64))
+                numbers, n = pickle.loads(cells)
+                keys.append(own[numbers])
+                counts.append(n.astype(np.int64))
             keys, counts = np.concatenate(keys, 1), np.concatenate(counts)
             heads, sizes = equal_partitions(keys, counts, least)
             found = keys[:, heads]
@@ -259,7 +263,9 @@ def _level(docs: DataFrame, depth: int, routes: int, least: int, words_alive=Non
             out["lang"] += [lang] * len(rows[0])
         return pa.table({c: pa.array(v, pa.int64() if c in "nh" else pa.string()) for c, v in out.items()})
 
-    packed = docs.mapInArrow(sort_blocks, PACKED)
+    # the width follows the routes, and so the corpus
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-routes // 4))
+    packed = docs.mapInArrow(sort_blocks, PACKED).repartition(width, "route")
     schema = ", ".join(["lang string", *(f"{c} string" for c in names), "n long", "h long"])
     return staged(packed.groupBy("route").applyInArrow(merge, schema), f"phrases-{depth}")
 

@@ -119,7 +119,7 @@ def directory_of(words: np.ndarray) -> np.ndarray:
 def rank(words: np.ndarray, directory: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The ones below each offset."""
     word, bit = offsets >> 6, (offsets & 63).astype(np.uint64)
-    return directory[word] + np.bitwise_count(words[word] & ((np.uint64(1) << bit) - np.uint64(1)))
+    return directory.astype(np.int64)[word] + np.bitwise_count(words[word] & ((np.uint64(1) << bit) - np.uint64(1)))
 
 
 def _repeats(offsets: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

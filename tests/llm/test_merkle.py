@@ -91,6 +91,10 @@ def test_repeated_and_missing_ids(spark):
     check(spark, rows, docs(spark, rows).repartition(5), span=1)
 
 
+def test_a_source_of_more_rows_than_16_bits_count(spark):
+    check(spark, [(i, "t\n", "en", "a") for i in range(70000)])
+
+
 def test_many_rows_without_id(spark):
     rows = [(None, f"t{i}\n", "en", "a") for i in range(9000)] + [(i, "t", "en", "a") for i in range(70)]
     check(spark, rows)

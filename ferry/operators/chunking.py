@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ferry.functions.internal import CHUNK, IDX
 from ferry.operators.rowindex import with_row_index
 
-IDX = "_idx"
-CHUNK = "_chunk"
-
 
 def add_chunks(df: DataFrame, rows: int, per_file: bool = False,
                stable: bool | None = None, keep_runs: bool = False) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ferry.functions.columns import col, parse_cols
-from ferry.sources.readers import SOURCE_COLS
+from ferry.functions.internal import SOURCE_COLS, SRC_FILE
 
 
 def select_columns(df: DataFrame, cols: str | list[str] | None) -> DataFrame:
@@ -31,6 +31,6 @@ def dedupe(df: DataFrame, cols: str | list[str] | None = None,
     """
     names = parse_cols(cols) or data_columns(df)
     keys = [col(c) for c in names]
-    if per_file and "_src_file" in df.columns:
-        return df.select(*keys, col("_src_file")).distinct()
+    if per_file and SRC_FILE in df.columns:
+        return df.select(*keys, col(SRC_FILE)).distinct()
     return df.select(*keys).distinct()

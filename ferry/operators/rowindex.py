@@ -20,7 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferry.sources.readers import SRC_BLOCK, SRC_FILE, SRC_POS
+from ferry.functions.internal import (RUN, RUN_AT, RUN_END, RUN_LAST, RUN_N, RUN_ORDERED, RUN_P0,
+                                      RUN_POS, RUN_START, SRC_BLOCK, SRC_FILE, SRC_POS)
 
 # Broadcast the per-run offsets only below this many bytes (path text plus
 # three longs per run); above it the offsets join by a shuffle on the run key.
@@ -30,7 +31,6 @@ MAX_BROADCAST_BYTES = 64 << 20
 # Kept with ``keep_runs``: each row's run bounds, whether its run is the last
 # one (of its file, or of everything), and whether rows kept scan order
 # (offsets broadcast, so no shuffle moved them).
-RUN_START, RUN_END, RUN_LAST, RUN_ORDERED = "_run_start", "_run_end", "_run_last", "_run_ordered"
 RUN_COLS = (RUN_START, RUN_END, RUN_LAST, RUN_ORDERED)
 
 
@@ -45,6 +45,8 @@ def with_row_index(df: DataFrame, name: str = "_idx", per_file: bool = False,
     restarts numbering at 0 in every file. ``keep_runs`` also keeps
     RUN_COLS (see above).
     """
+    if name in df.columns:
+        raise ValueError(f"there already is a column {name}")
     scan_tags = all(c in df.columns for c in (SRC_FILE, SRC_BLOCK, SRC_POS))
     has_file = SRC_FILE in df.columns
     if stable is None:
@@ -59,37 +61,37 @@ def with_row_index(df: DataFrame, name: str = "_idx", per_file: bool = False,
     else:
         if per_file and not has_file:
             raise ValueError("per-file numbering needs the source file column")
-        work = (df.withColumn("_run", F.spark_partition_id())
-                  .withColumn("_pos", F.monotonically_increasing_id()))
-        run_keys = ([SRC_FILE] if has_file else []) + ["_run"]
-        pos = F.col("_pos")
-        extra = ["_run", "_pos"]
+        work = (df.withColumn(RUN, F.spark_partition_id())
+                  .withColumn(RUN_POS, F.monotonically_increasing_id()))
+        run_keys = ([SRC_FILE] if has_file else []) + [RUN]
+        pos = F.col(RUN_POS)
+        extra = [RUN, RUN_POS]
 
-    runs = work.groupBy(*run_keys).agg(F.count(F.lit(1)).alias("_n"), F.min(pos).alias("_p0"))
+    runs = work.groupBy(*run_keys).agg(F.count(F.lit(1)).alias(RUN_N), F.min(pos).alias(RUN_P0))
     if per_file:
         order = Window.partitionBy(SRC_FILE).orderBy(*run_keys[1:])
     else:
         order = Window.orderBy(*run_keys)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    runs = (runs.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-                .withColumn(RUN_LAST, F.lead("_n").over(order).isNull()))
-    runs = runs.select(*run_keys, "_start", "_p0", "_n", RUN_LAST).checkpoint(eager=True)
+    runs = (runs.withColumn(RUN_AT, F.coalesce(F.sum(RUN_N).over(before), F.lit(0)))
+                .withColumn(RUN_LAST, F.lead(RUN_N).over(order).isNull()))
+    runs = runs.select(*run_keys, RUN_AT, RUN_P0, RUN_N, RUN_LAST).checkpoint(eager=True)
     text = F.sum(F.length(SRC_FILE)) if SRC_FILE in run_keys else F.lit(0)
     n_runs, n_text = runs.agg(F.count(F.lit(1)), text).collect()[0]
     broadcast = (n_text or 0) + 32 * n_runs <= max_broadcast_bytes
     runs = F.broadcast(runs) if broadcast else runs.hint("shuffle_hash")
     out = work.join(runs, on=run_keys, how="inner")
-    out = out.withColumn(name, (F.col("_start") + pos - F.col("_p0")).cast("long"))
+    out = out.withColumn(name, (F.col(RUN_AT) + pos - F.col(RUN_P0)).cast("long"))
     if keep_runs:
-        out = (out.withColumn(RUN_START, F.col("_start"))
-                  .withColumn(RUN_END, F.col("_start") + F.col("_n") - 1)
+        out = (out.withColumn(RUN_START, F.col(RUN_AT))
+                  .withColumn(RUN_END, F.col(RUN_AT) + F.col(RUN_N) - 1)
                   .withColumn(RUN_ORDERED, F.lit(broadcast)))
         if not scan_tags:
             # A partition run of stable (checkpointed) rows plays the part of
             # an input split: writers can then lay out chunks per run, in
             # order, without another shuffle.
-            out = (out.withColumn(SRC_BLOCK, F.col("_run").cast("long"))
-                      .withColumn(SRC_POS, F.col("_pos")))
+            out = (out.withColumn(SRC_BLOCK, F.col(RUN).cast("long"))
+                      .withColumn(SRC_POS, F.col(RUN_POS)))
     else:
         out = out.drop(RUN_LAST)
-    return out.drop("_start", "_p0", "_n", *extra)
+    return out.drop(RUN_AT, RUN_P0, RUN_N, *extra)

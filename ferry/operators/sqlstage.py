@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ferry.functions.sqltext import prepare_sql, rename_view
-from ferry.sources.readers import SOURCE_COLS
+from ferry.functions.internal import SOURCE_COLS, refuse_reserved
 
 VIEW = "input_data"
 
@@ -21,7 +21,9 @@ def run_sql(df: DataFrame, sql_text: str, view: str = VIEW,
     (df.drop(*hidden) if hidden else df).createOrReplaceTempView(view)
     for name, other in (extra_views or {}).items():
         other.createOrReplaceTempView(name)
-    return spark.sql(prepare_sql(sql_text))
+    out = spark.sql(prepare_sql(sql_text))
+    refuse_reserved(out.columns)
+    return out
 
 
 def run_sql_as(df: DataFrame, sql_text: str, view: str) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferry.functions import names
+from ferry.functions.internal import SOURCE_COLS, SRC_BLOCK, SRC_FILE, SRC_POS
 from ferry.functions.sqltext import prepare_sql
 from ferry.functions.formats import (JSON_FORMATS, compression_of, file_format,
                                      output_extension)
@@ -41,7 +42,7 @@ from ferry.sinks import layout, writers
 from ferry.sinks.fs import HadoopFS
 from ferry.sources.catalogue import Catalogue, CatalogueError, find_input_files
 from ferry.sources.cloud import ASSEMBLED_SCHEMES, apply_credentials, scheme_of
-from ferry.sources.readers import SOURCE_COLS, ReadOptions, read_files, schema_groups
+from ferry.sources.readers import ReadOptions, read_files, schema_groups
 from ferry.streaming.delivery import DeliveryConfig, deliver, deliver_file
 
 log = logging.getLogger("ferry")
@@ -176,6 +177,7 @@ def _run_analytical(js, job: Job, cat: Catalogue, sql_text: str) -> JobResult:
     if job.prefix or job.suffix:
         name = names.build_output_filename("query_result", "csv", job.prefix, job.suffix)
     target = names.join(out_dir, name)
+    _guard(HadoopFS(js), cat.paths, [target])
     result = _once(js, result)
     written = layout.write_single(result, "csv", target, input_bytes=cat.total_bytes)
     return JobResult("analytical", [written], result, warnings=list(job.warnings))
@@ -290,7 +292,8 @@ def _run_per_file(js, job: Job, cat: Catalogue, sql_text: str | None,
     if clashes:
         pairs = "; ".join(", ".join(v) for v in clashes)
         raise JobError(f"inputs whose outputs would have one name: {pairs}")
-    _guard(fs, cat.paths, planned)
+    if job.rows == 0:      # names of chunks are checked when their number is known
+        _guard(fs, cat.paths, planned)
 
     # One Spark job per input format (usually one), whatever the folders.
     stage_root = job.output or (cat.root.rstrip("/") if cat.is_dir
@@ -346,12 +349,12 @@ def _run_per_file(js, job: Job, cat: Catalogue, sql_text: str | None,
         outputs += layout.write_per_source(
             df, sink_fmt, stage_root, dest_for, [f.length for f in files],
             _splittable(key, paths, fast, job.csv_multiline), job.compressed,
-            chunked=job.rows > 0, xml_root=job.xml_root, inputs=inputs)
+            chunked=job.rows > 0, xml_root=job.xml_root, inputs=inputs, protected=cat.paths)
         if job.url:
             logs.append(_deliver(df, job, transport, sleep))
     if per_file_sql:
         sub = _per_file_sql(js, job, per_file_sql, fast, sql_text, sink_fmt, out_dir_for,
-                            name_for, transport, sleep)
+                            name_for, transport, sleep, cat.paths)
         outputs += sub.outputs
         if sub.delivery_log is not None:
             logs.append(sub.delivery_log)
@@ -385,9 +388,9 @@ def tag_rows(df: DataFrame) -> DataFrame:
     """Source tags computed where the rows are read (map-only plans only)."""
     return df.select(
         "*",
-        F.regexp_replace(F.input_file_name(), "^file:///", "file:/").alias("_src_file"),
-        F.input_file_block_start().alias("_src_block"),
-        F.monotonically_increasing_id().alias("_src_pos"))
+        F.regexp_replace(F.input_file_name(), "^file:///", "file:/").alias(SRC_FILE),
+        F.input_file_block_start().alias(SRC_BLOCK),
+        F.monotonically_increasing_id().alias(SRC_POS))
 
 
 # Files whose per-file SQL results share one Spark job (one union plan).
@@ -395,7 +398,7 @@ SQL_BATCH_FILES = 64
 
 
 def _per_file_sql(js, job, files, fast, sql_text, sink_fmt, out_dir_for, name_for,
-                  transport, sleep) -> JobResult:
+                  transport, sleep, protected) -> JobResult:
     """SQL that is not row-local, each file its own ``input_data``.
 
     Unordered results: files are batched; in one session each file gets its
@@ -406,7 +409,7 @@ def _per_file_sql(js, job, files, fast, sql_text, sink_fmt, out_dir_for, name_fo
     probe = run_sql(_read(job_session(js), files[:1], job, fast), sql_text)
     if len(files) > 1 and not layout.is_globally_sorted(probe):
         return _per_file_sql_batched(js, job, files, fast, sql_text, sink_fmt, out_dir_for,
-                                     name_for, transport, sleep)
+                                     name_for, transport, sleep, protected)
 
     def one(f):
         df = _read(job_session(js), [f], job, fast)
@@ -417,12 +420,12 @@ def _per_file_sql(js, job, files, fast, sql_text, sink_fmt, out_dir_for, name_fo
         dlog = None
         if job.rows > 0:
             df = chunking.add_chunks(df, job.rows, stable=False)
-            tagged = df.withColumn("_src_file", F.lit(_encoded(js, f.path)))
+            tagged = df.withColumn(SRC_FILE, F.lit(_encoded(js, f.path)))
             outs = layout.write_per_source(
                 tagged, sink_fmt, d, lambda s, c: names.join(d, name_for(f.path, c)),
                 [f.length], True,
                 job.compressed, chunked=True, xml_root=job.xml_root,
-                inputs=[_encoded(js, f.path)])
+                inputs=[_encoded(js, f.path)], protected=protected)
             if job.url:
                 dlog = _deliver(df, job, transport, sleep)
         else:
@@ -439,7 +442,7 @@ def _per_file_sql(js, job, files, fast, sql_text, sink_fmt, out_dir_for, name_fo
 
 
 def _per_file_sql_batched(js, job, files, fast, sql_text, sink_fmt, out_dir_for, name_for,
-                          transport, sleep) -> JobResult:
+                          transport, sleep, protected) -> JobResult:
     outputs, logs = [], []
 
     def dest_for(src: str, chunk: int | None) -> str:
@@ -457,7 +460,7 @@ def _per_file_sql_batched(js, job, files, fast, sql_text, sink_fmt, out_dir_for,
             enc = _encoded(bs, f.path)
             encoded.append(enc)
             result = run_sql_as(df_i, sql_text, f"input_data_{i}")
-            frames.append(result.withColumn("_src_file", F.lit(enc)))
+            frames.append(result.withColumn(SRC_FILE, F.lit(enc)))
         # results with the same columns share a job: none gets another's columns
         alike: dict[str, list[int]] = {}
         for i, frame in enumerate(frames):
@@ -473,7 +476,7 @@ def _per_file_sql_batched(js, job, files, fast, sql_text, sink_fmt, out_dir_for,
             outputs += layout.write_per_source(
                 df, sink_fmt, out_dir_for(batch[own[0]].path), dest_for,
                 [batch[i].length for i in own], True, job.compressed, chunked=job.rows > 0,
-                xml_root=job.xml_root, inputs=[encoded[i] for i in own])
+                xml_root=job.xml_root, inputs=[encoded[i] for i in own], protected=protected)
             if job.url:
                 logs.append(_deliver(df, job, transport, sleep))
     return JobResult("per_file", outputs, delivery_log=_union(logs) if logs else None)

@@ -11,6 +11,7 @@ cannot change the last bit; integer sums are BIGINT in both.
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 from functools import partial
 
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from ferry.functions import jsonsteps as S
 from ferry.functions import columns
 from ferry.functions.columns import col
+from ferry.functions.internal import SOURCE_COLS, SRC_FILE
 from ferry.operators import chunking, project, report
 from ferry.operators.preview import preview
 from ferry.operators.sqlstage import run_sql
@@ -316,12 +318,42 @@ def chunk_files(spark, sf, assembled=False):
     out = scratch_path(js, "chunks")
     res = run(js, Job(input=f"{sf}/events.parquet", format="csv", rows=1000, output=out))
     back = read_files(js, [w.path for w in res.outputs], tag=True)
-    name = F.regexp_extract(F.col("_src_file"), r"events-(\d+)\.csv$", 1).cast("long")
+    name = F.regexp_extract(F.col(SRC_FILE), r"events-(\d+)\.csv$", 1).cast("long")
     return (back.groupBy(name.alias("chunk"))
             .agg(F.count(F.lit(1)).alias("n_rows"), F.min("event_id").alias("first_id"),
                  F.max("event_id").alias("last_id")))
 
 
+def chunk_internal_names(spark, sf):
+    """Columns named like what the job once called its own: CSV in, chunks of 1000 out."""
+    js = _session(spark)
+    named = run_sql(_table(js, sf, "events"),
+                    "SELECT user_id AS _idx, event_id AS _chunk, event_type AS _fid, props AS _src_file, "
+                    "value AS _metadata, event_id AS _src_pos, user_id AS _run FROM input_data")
+    folder = scratch_path(js, "named")
+    layout.write_single(named, "csv", f"{folder}/a.csv")
+    res = run(js, Job(input=f"{folder}/a.csv", format="csv", rows=1000, output=folder))
+    back = read_files(js, [w.path for w in res.outputs], tag=True)
+    chunk = F.regexp_extract(F.col(SRC_FILE), r"a-(\d+)\.csv$", 1).cast("long")
+    return back.withColumn("chunk", chunk).drop(*SOURCE_COLS)
+
+
+def chunk_rerun_ledger(spark, sf):
+    """Chunks of 500 rows, then of 2000 into the same folder: the files that are left
+    there. Two files that no job wrote keep their place between the chunks."""
+    js = _session(spark)
+    out = scratch_path(js, "rerun")
+    job = Job(input=f"{sf}/events.parquet", format="csv", rows=500, output=out)
+    run(js, job)
+    one = _table(js, sf, "events").orderBy("event_id").limit(1)
+    for number in (100001, 100002):
+        layout.write_single(one, "csv", f"{out}/events-{number}.csv")
+    run(js, dataclasses.replace(job, rows=2000))
+    back = read_files(js, find_input_files(js, out).paths, tag=True)
+    name = F.regexp_extract(F.col(SRC_FILE), r"events-(\d+)\.csv$", 1).cast("long")
+    return back.groupBy(name.alias("chunk")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("event_id").alias("ids"))
+
+
 def chunk_after_dedupe(spark, sf):
     js = _session(spark)
     li = _table(js, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity")
@@ -841,6 +873,15 @@ def registry() -> dict[str, tuple[Query, str | None]]:
                         "MIN(event_id) AS first_id, MAX(event_id) AS last_id FROM "
                         "(SELECT event_id, ROW_NUMBER() OVER () - 1 AS idx FROM events) "
                         "GROUP BY idx // 1000"),
+        "chunk_internal_names": (chunk_internal_names,
+                                 "SELECT user_id AS _idx, event_id AS _chunk, event_type AS _fid, props AS _src_file, "
+                                 "value AS _metadata, event_id AS _src_pos, user_id AS _run, "
+                                 "(ROW_NUMBER() OVER () - 1) // 1000 + 1 AS chunk FROM events"),
+        "chunk_rerun_ledger": (chunk_rerun_ledger,
+                               "SELECT idx // 2000 + 1 AS chunk, COUNT(*) AS n_rows, SUM(event_id)::BIGINT AS ids FROM "
+                               "(SELECT event_id, ROW_NUMBER() OVER () - 1 AS idx FROM events) GROUP BY idx // 2000 "
+                               "UNION ALL SELECT n, 1, MIN(event_id) FROM events, (VALUES (100001), (100002)) AS f(n) "
+                               "GROUP BY n"),
         "chunk_after_dedupe": (chunk_after_dedupe, chunk_sql.format(
             n=25, src="SELECT DISTINCT l_returnflag, l_linestatus, l_quantity FROM lineitem")),
         "chunk_after_sql": (chunk_after_sql, chunk_sql.format(

@@ -23,6 +23,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
 from ferry.session import local_path, ship_package
+from ferry.sinks.commit import place
 from ferry.sinks.fs import HadoopFS
 from ferry.sources.cloud import open_in_store, store_options
 
@@ -161,22 +162,22 @@ def _try_fs_concat(fs: HadoopFS, target: str, prefix: str | None, parts: list[st
         return False
 
 
-def assemble(spark: SparkSession, plans: list[tuple[str, list[str]]],
-             prefix: str | None = None, repeated_header: bool = False,
-             xml_root: str | None = None) -> None:
-    """Make each ``target`` = ``prefix`` (shared, e.g. a CSV header) + its ``parts``.
+def join_parts(spark: SparkSession, plans: list[tuple[str, list[str]]],
+               prefix: str | None = None, repeated_header: bool = False,
+               xml_root: str | None = None) -> list[tuple[str, str]]:
+    """Make each output = ``prefix`` (shared, e.g. a CSV header) + its ``parts``, and
+    give (finished file, target) for ``commit.place``.
 
     ``repeated_header``: every part starts with the same header line (plain
-    CSV/TSV); it is kept from the first part only. A single part is renamed.
+    CSV/TSV); it is kept from the first part only. A single part is finished.
     """
     fs = HadoopFS(spark)
     singles = [(parts[0], target) for target, parts in plans if len(parts) == 1 and not prefix]
-    fs.move_all(singles)  # renames, replacing what is there
     copies, swaps = [], []
     for target, parts in plans:
         if len(parts) == 1 and not prefix:
             continue
-        # put together beside the target, which is replaced only when that worked
+        # put together beside the target
         folder, name = target.rsplit("/", 1) if "/" in target else (".", target)
         beside = f"{folder}/.{name}.{uuid.uuid4().hex[:12]}"
         swaps.append((beside, target))
@@ -184,8 +185,7 @@ def assemble(spark: SparkSession, plans: list[tuple[str, list[str]]],
                 or not _try_fs_concat(fs, fs.qualify(beside), prefix, parts)):
             copies.append((beside, ([prefix] if prefix else []) + list(parts)))
     if not copies:
-        fs.move_all(swaps)
-        return
+        return singles + swaps
     ship_package(spark)
     options = store_options(spark, fs.qualify(copies[0][0]))
     plan_df = spark.createDataFrame(copies, PLAN_SCHEMA)
@@ -199,7 +199,12 @@ def assemble(spark: SparkSession, plans: list[tuple[str, list[str]]],
             if fs.exists(beside):
                 fs.delete(beside, recursive=False)
         raise
-    fs.move_all(swaps)
+    return singles + swaps
 
 
-__all__ = ["assemble"]
+def assemble(spark: SparkSession, plans: list[tuple[str, list[str]]], **how) -> None:
+    """``join_parts``, and every output in its place."""
+    place(HadoopFS(spark), join_parts(spark, plans, **how))
+
+
+__all__ = ["assemble", "join_parts"]

@@ -18,6 +18,7 @@ class FileInfo:
     path: str
     length: int
     is_dir: bool
+    modified: int = 0
 
 
 class HadoopFS:
@@ -98,9 +99,24 @@ class HadoopFS:
         out = []
         for st in self._fs(p).listStatus(self._path(p)):
             out.append(FileInfo(str(st.getPath().toString()), int(st.getLen()),
-                                bool(st.isDirectory())))
+                                bool(st.isDirectory()), int(st.getModificationTime())))
         return out
 
+    def read_text(self, p: str) -> str:
+        """A whole (small) text file."""
+        stream = self._fs(p).open(self._path(p))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def write_text(self, p: str, text: str) -> None:
+        stream = self._fs(p).create(self._path(p), True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+
     def glob(self, pattern: str) -> list[FileInfo]:
         sts = self._fs(pattern).globStatus(self._path(pattern))
         if sts is None:

@@ -30,25 +30,19 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ferry.functions.internal import CHUNK, FID, IDX, SRC_BLOCK, SRC_FILE, SRC_POS
 from ferry.functions.names import join
 from ferry.sinks import writers
-from ferry.sinks.assemble import CONCAT_SCHEMES, assemble
+from ferry.sinks.assemble import CONCAT_SCHEMES, assemble, join_parts
+from ferry.sinks.commit import OutputError, guard, place
 from ferry.sinks.fs import HadoopFS
-from ferry.sources.readers import SRC_BLOCK, SRC_FILE, SRC_POS, literal
+from ferry.sources.readers import literal
 
 # Outputs fed by less input than this are written by one task (no assembly
 # jobs); above it, text outputs are assembled from parallel parts.
 ASSEMBLE_MIN_BYTES_CONF = "spark.ferry.assembleMinBytes"
 ASSEMBLE_MIN_BYTES = 8 << 20
 
-FID = "_fid"
-CHUNK = "_chunk"
-IDX = "_idx"
-
-
-class OutputError(ValueError):
-    pass
-
 
 @dataclass(frozen=True)
 class Written:
@@ -57,11 +51,17 @@ class Written:
     path: str
 
 
-def _staging(fs: HadoopFS, out_dir: str) -> str:
+@contextmanager
+def _staging(fs: HadoopFS, out_dir: str):
     """A fresh hidden folder next to the outputs, as a qualified path (its
-    scheme tells which file system the outputs are assembled on)."""
+    scheme tells which file system the outputs are assembled on). It goes in
+    the end, also after a failure."""
     fs.mkdirs(out_dir)
-    return fs.qualify(join(out_dir, f".ferry-staging-{uuid.uuid4().hex[:12]}"))
+    stage = fs.qualify(join(out_dir, f".ferry-staging-{uuid.uuid4().hex[:12]}"))
+    try:
+        yield stage
+    finally:
+        fs.delete(stage)
 
 
 def _part_files(fs: HadoopFS, folder: str) -> list[str]:
@@ -69,10 +69,6 @@ def _part_files(fs: HadoopFS, folder: str) -> list[str]:
                   if not f.is_dir and f.path.rsplit("/", 1)[-1].startswith("part-"))
 
 
-def _move_all(fs: HadoopFS, moves: list[tuple[str, str]], threads: int = 16) -> None:
-    fs.move_all(moves, threads)
-
-
 def is_globally_sorted(df: DataFrame) -> bool:
     """True when the plan ends in a global sort (under projections/limits).
 
@@ -137,35 +133,25 @@ def _header_only(df: DataFrame, fmt: str, stage: str, xml_root: str = "root",
 
 
 def _empty_outputs(data: DataFrame, fmt: str, compressed: bool, stage: str, targets: list[str],
-                   xml_root: str, xml_row: str) -> None:
-    """An output without rows at every target (inputs none of whose rows are left)."""
-    if targets:
-        fs = HadoopFS(data.sparkSession)
-        hidden = [c for c in (FID, CHUNK, IDX, SRC_BLOCK) if c in data.columns]
-        model = _header_only(data.drop(*hidden), fmt, stage, xml_root, xml_row, compressed)
-        for t in targets:
-            fs.mkdirs(t.rsplit("/", 1)[0])
-            if fs.exists(t):
-                fs.delete(t, recursive=False)
-            fs.copy_file(model, t)
-
-
-def _drop_stale_chunks(fs: HadoopFS, source: str, last: int, dest_for) -> None:
-    """Chunks that an earlier, longer run left behind the last one of this run."""
-    n = last + 1
-    while fs.exists(dest_for(source, n)):
-        fs.delete(dest_for(source, n), recursive=False)
-        n += 1
-
-
-def _single_from_parts(df: DataFrame, fmt: str, target: str, compressed: bool,
+                   xml_root: str, xml_row: str) -> list[tuple[str, str]]:
+    """(finished file, target) of outputs without rows (inputs none of whose rows are left)."""
+    if not targets:
+        return []
+    fs = HadoopFS(data.sparkSession)
+    hidden = [c for c in (FID, CHUNK, IDX, SRC_BLOCK) if c in data.columns]
+    model = _header_only(data.drop(*hidden), fmt, stage, xml_root, xml_row, compressed)
+    ready = [(join(stage, f"_empty-{i}"), t) for i, t in enumerate(targets)]
+    for own, _ in ready:
+        fs.copy_file(model, own)
+    return ready
+
+
+def _single_from_parts(df: DataFrame, fmt: str, target: str, stage: str, compressed: bool,
                        preserve_order: bool, xml_root: str = "root",
                        xml_row: str = "row") -> Written:
     """Text formats: parallel ordered parts, then one file by concatenation."""
     spark = df.sparkSession
     fs = HadoopFS(spark)
-    out_dir = target.rsplit("/", 1)[0] if "/" in target else "."
-    stage = _staging(fs, out_dir)
     tagged = all(c in df.columns for c in (SRC_FILE, SRC_BLOCK, SRC_POS))
     if tagged and preserve_order:
         encoded = df.inputFiles()
@@ -195,7 +181,6 @@ def _single_from_parts(df: DataFrame, fmt: str, target: str, compressed: bool,
     assemble(spark, [(target, parts)], prefix=header,
              repeated_header=_header_in_parts(fmt, compressed, stage),
              xml_root=xml_root if fmt == "xml" else None)
-    fs.delete(stage)
     return Written(None, None, target)
 
 
@@ -224,13 +209,18 @@ def write_single(df: DataFrame, fmt: str, target: str, compressed: bool = False,
     outputs have one writer task.
     """
     large = input_bytes is None or input_bytes >= assemble_min_bytes(df.sparkSession)
-    if writers.joinable(fmt, compressed) and large:
-        return _single_from_parts(df, fmt, target, compressed, preserve_order,
-                                  xml_root, xml_row)
-    spark = df.sparkSession
-    fs = HadoopFS(spark)
-    out_dir = target.rsplit("/", 1)[0] if "/" in target else "."
-    stage = _staging(fs, out_dir)
+    fs = HadoopFS(df.sparkSession)
+    with _staging(fs, target.rsplit("/", 1)[0] if "/" in target else ".") as stage:
+        if writers.joinable(fmt, compressed) and large:
+            return _single_from_parts(df, fmt, target, stage, compressed, preserve_order,
+                                      xml_root, xml_row)
+        return _single_from_one(df, fmt, target, stage, compressed, preserve_order,
+                                xml_root, xml_row, large)
+
+
+def _single_from_one(df: DataFrame, fmt: str, target: str, stage: str, compressed: bool,
+                     preserve_order: bool, xml_root: str, xml_row: str, large: bool) -> Written:
+    fs = HadoopFS(df.sparkSession)
     tagged = all(c in df.columns for c in (SRC_FILE, SRC_BLOCK, SRC_POS))
     if tagged and preserve_order and not large:
         # small input: one task reads it all and sorts locally, no shuffle
@@ -248,8 +238,7 @@ def write_single(df: DataFrame, fmt: str, target: str, compressed: bool = False,
     parts = _part_files(fs, stage)
     if len(parts) != 1:
         raise OutputError(f"expected one part file in {stage}, found {len(parts)}")
-    _move_all(fs, [(parts[0], target)])
-    fs.delete(stage)
+    place(fs, [(parts[0], target)])
     return Written(None, None, target)
 
 
@@ -337,7 +326,7 @@ def _leaf_parts(spark: SparkSession, folder: str,
         if not segments[-1].startswith("part-"):
             continue
         values = dict(seg.split("=", 1) for seg in segments[:-1]
-                      if seg.startswith(("_fid=", "_chunk=", "_src_block=")))
+                      if seg.startswith((f"{FID}=", f"{CHUNK}=", f"{SRC_BLOCK}=")))
         out.append((values, path))
     return out
 
@@ -345,7 +334,8 @@ def _leaf_parts(spark: SparkSession, folder: str,
 def write_per_source(df: DataFrame, fmt: str, stage_root: str, dest_for, sizes: list[int],
                      splittable: bool, compressed: bool = False, chunked: bool = False,
                      xml_root: str = "root", xml_row: str = "row",
-                     inputs: list[str] | None = None) -> list[Written]:
+                     inputs: list[str] | None = None,
+                     protected: list[str] | None = None) -> list[Written]:
     """One output per input file (and per chunk when ``chunked``).
 
     ``dest_for(source_path, chunk_number_or_None)`` gives the output path;
@@ -354,7 +344,7 @@ def write_per_source(df: DataFrame, fmt: str, stage_root: str, dest_for, sizes:
     ``df`` must carry the source file column (and ``_idx``/``_chunk`` when
     chunked). ``inputs`` are the input files as Spark names them
     (``DataFrame.inputFiles()`` of the scan), needed when ``df`` was
-    checkpointed on the way.
+    checkpointed on the way. ``protected``: every input of the job (paths).
 
     Layouts, cheapest first:
 
@@ -365,6 +355,14 @@ def write_per_source(df: DataFrame, fmt: str, stage_root: str, dest_for, sizes:
     * otherwise rows are hash-partitioned by (file[, chunk]) so one task
       writes each output: chunks are N rows each, so that is never skewed.
     """
+    with _staging(HadoopFS(df.sparkSession), stage_root) as stage:
+        return _write_per_source(df, fmt, stage, dest_for, sizes, splittable, compressed, chunked,
+                                 xml_root, xml_row, inputs, protected)
+
+
+def _write_per_source(df: DataFrame, fmt: str, stage: str, dest_for, sizes: list[int],
+                      splittable: bool, compressed: bool, chunked: bool, xml_root: str, xml_row: str,
+                      inputs: list[str] | None, protected: list[str] | None) -> list[Written]:
     spark = df.sparkSession
     encoded = inputs if inputs is not None else df.inputFiles()
     keyed = df.withColumn(FID, F.md5(F.col(SRC_FILE)))
@@ -381,9 +379,10 @@ def write_per_source(df: DataFrame, fmt: str, stage_root: str, dest_for, sizes:
                    and not (fmt in ("csv", "tsv") and compressed))
     single_parts = not chunked and not whole_files and large
     if text and (chunk_parts or single_parts):
-        return _per_source_from_parts(keyed, fmt, stage_root, dest_for, compressed, encoded,
+        return _per_source_from_parts(keyed, fmt, stage, dest_for, compressed, encoded,
                                       direct_scan, chunked, xml_root, xml_row,
-                                      as_scanned=direct_scan and not chunked and in_scan_order(spark, sizes))
+                                      as_scanned=direct_scan and not chunked and in_scan_order(spark, sizes),
+                                      protected=protected)
     parts = [FID, CHUNK] if chunked else [FID]
     order = [FID] + ([CHUNK, IDX] if chunked else
                      ([SRC_BLOCK, SRC_POS] if direct_scan else []))
@@ -395,23 +394,25 @@ def write_per_source(df: DataFrame, fmt: str, stage_root: str, dest_for, sizes:
         keyed = keyed.sortWithinPartitions(*order)
     data = writers.prepare(keyed.drop(*[c for c in (IDX,) if c in keyed.columns]), fmt)
     fs = HadoopFS(spark)
-    stage = _staging(fs, stage_root)
     with unsorted_writes(spark, as_scanned):
         writers.writer(data, fmt, compressed, xml_root, xml_row).partitionBy(*parts).save(stage)
     leaves = _leaf_parts(spark, stage, None if chunked else len(sizes))
     return _place(spark, fs, stage, leaves, encoded, dest_for, chunked,
-                  None, False, joinable=False, empty=(data, fmt, compressed, xml_root, xml_row))
+                  None, False, joinable=False, empty=(data, fmt, compressed, xml_root, xml_row),
+                  protected=protected)
 
 
 def _place(spark: SparkSession, fs: HadoopFS, stage: str, leaves: list, encoded: list[str],
            dest_for, chunked: bool, header: str | None, repeated_header: bool,
-           joinable: bool = True, xml_root: str | None = None, empty: tuple = ()) -> list[Written]:
+           joinable: bool = True, xml_root: str | None = None, empty: tuple = (),
+           protected: list[str] | None = None) -> list[Written]:
     """Group part files by output, order them by split, move or join them.
 
     ``joinable=False``: each output must be exactly one part (one writer task).
     An input without rows gets an output without rows (``empty``: the written
     DataFrame, format, compression and XML names); chunks of an earlier run
-    behind the last one of this run go.
+    behind the last one of this run go. All outputs are swapped in together;
+    one that would replace a file of ``protected`` stops the job before that.
     """
     by_key = {source_key(fs.uri_form(e)): fs.uri_to_path(e) for e in encoded}
     groups: dict[tuple, list] = {}
@@ -428,30 +429,28 @@ def _place(spark: SparkSession, fs: HadoopFS, stage: str, leaves: list, encoded:
             raise OutputError(f"expected one part file for {dst}, found {len(items)}")
         plans.append((dst, [p for _, p in sorted(items)]))
         written.append(Written(source, chunk, dst))
-    targets = [t for t, _ in plans]
-    if len(set(targets)) != len(targets):
-        raise OutputError("several outputs would get the same name")
-    assemble(spark, plans, prefix=header, repeated_header=repeated_header, xml_root=xml_root)
+    sources = list(by_key.values())
+    guard(fs, protected or sources, [t for t, _ in plans])
+    swaps = join_parts(spark, plans, prefix=header, repeated_header=repeated_header, xml_root=xml_root)
     if chunked:
-        last = {w.source: 0 for w in written} | {s: 0 for s in by_key.values()}
-        for w in written:
-            last[w.source] = max(last[w.source], w.chunk + 1)
-        for source, n in last.items():
-            _drop_stale_chunks(fs, source, n, dest_for)
-    elif empty:
+        place(fs, swaps, protected or sources, chunks={w.path: (w.source, w.chunk + 1) for w in written},
+              sources=sources, also=[dest_for(s, 1).rsplit("/", 1)[0] for s in sources])
+    else:
         done = {w.source for w in written}
-        bare = [s for s in by_key.values() if s not in done]
-        data, fmt, compressed, root, row = empty
-        _empty_outputs(data, fmt, compressed, stage, [dest_for(s, None) for s in bare], root, row)
-        written += [Written(s, None, dest_for(s, None)) for s in bare]
-    fs.delete(stage)
+        bare = [s for s in sources if s not in done] if empty else []
+        if bare:
+            data, fmt, compressed, root, row = empty
+            swaps += _empty_outputs(data, fmt, compressed, stage, [dest_for(s, None) for s in bare], root, row)
+            written += [Written(s, None, dest_for(s, None)) for s in bare]
+        place(fs, swaps, protected or sources)
     return sorted(written, key=lambda w: (w.source or "", w.chunk or 0))
 
 
-def _per_source_from_parts(keyed: DataFrame, fmt: str, stage_root: str, dest_for,
+def _per_source_from_parts(keyed: DataFrame, fmt: str, stage: str, dest_for,
                            compressed: bool, encoded: list[str], direct_scan: bool,
                            chunked: bool = False, xml_root: str = "root",
-                           xml_row: str = "row", as_scanned: bool = False) -> list[Written]:
+                           xml_row: str = "row", as_scanned: bool = False,
+                           protected: list[str] | None = None) -> list[Written]:
     """One output per input (or chunk) without a shuffle: every task writes
     its slice of each output as a part — per input split for a plain scan, so
     parts follow file order — and each output is its parts joined in order."""
@@ -463,7 +462,6 @@ def _per_source_from_parts(keyed: DataFrame, fmt: str, stage_root: str, dest_for
         FID, *chunk, *([SRC_BLOCK, SRC_POS] if direct_scan else []))
     ordered = ordered.drop(*[c for c in (IDX,) if c in ordered.columns])
     data = writers.prepare(ordered, fmt, keep=tuple(block))
-    stage = _staging(fs, stage_root)
     header = _header_part(data.drop(FID, *chunk, *block), fmt, compressed, stage)
     with unsorted_writes(spark, as_scanned):
         writers.writer(data, fmt, compressed, xml_root, xml_row,
@@ -474,4 +472,5 @@ def _per_source_from_parts(keyed: DataFrame, fmt: str, stage_root: str, dest_for
                          None if chunked or direct_scan else len(encoded))
     return _place(spark, fs, stage, leaves, encoded, dest_for, chunked, header,
                   _header_in_parts(fmt, compressed, stage), xml_root=xml_root if fmt == "xml" else None,
-                  empty=(data, fmt, compressed, xml_root, xml_row))
+                  empty=(data, fmt, compressed, xml_root, xml_row),
+                  protected=protected)

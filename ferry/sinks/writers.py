@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, DataFrameWriter
 
 from ferry.functions.columns import nested_to_text, temporal_to_text
 from ferry.operators.rowindex import RUN_COLS
-from ferry.sources.readers import SOURCE_COLS
+from ferry.functions.internal import SOURCE_COLS
 
 TEXT_FORMATS = ("csv", "tsv", "ndjson", "jsonl", "json", "xml", "lines")
 

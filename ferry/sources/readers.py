@@ -37,16 +37,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ferry.functions.columns import col, widen_ints
+from ferry.functions.internal import (CORRUPT, SOURCE_COLS, SRC_BLOCK, SRC_FILE, SRC_POS,
+                                      refuse_reserved)
 from ferry.functions.formats import compression_of, file_format, reader_kind, UnsupportedFormat
 from ferry.session import ship_package
 from ferry.sources import probe
 from ferry.sinks.fs import HadoopFS
 
-SRC_FILE = "_src_file"
-SRC_BLOCK = "_src_block"
-SRC_POS = "_src_pos"
-SOURCE_COLS = (SRC_FILE, SRC_BLOCK, SRC_POS)
-CORRUPT = "_corrupt_record"
 
 
 @dataclass(frozen=True)
@@ -100,12 +97,14 @@ def read_files(spark: SparkSession, paths: list[str], options: ReadOptions | Non
 
 
 def _tagged(df: DataFrame, tag: bool) -> DataFrame:
+    refuse_reserved(df.columns)
     if not tag:
         return df
+    place = df.metadataColumn("_metadata")     # also where the data have a column of that name
     return df.select(
         "*",
-        F.col("_metadata.file_path").alias(SRC_FILE),
-        F.col("_metadata.file_block_start").alias(SRC_BLOCK),
+        place["file_path"].alias(SRC_FILE),
+        place["file_block_start"].alias(SRC_BLOCK),
         F.monotonically_increasing_id().alias(SRC_POS),
     )
 
@@ -227,6 +226,7 @@ def _json(spark: SparkSession, paths: list[str], opts: ReadOptions, tag: bool) -
         reader = (spark.read
                   .option("mode", "PERMISSIVE")
                   .option("inferTimestamp", "true")
+                  .option("columnNameOfCorruptRecord", CORRUPT)
                   .option("multiLine", "true" if multiline else "false"))
         if opts.schema:
             return _tagged(reader.schema(opts.schema).json(literals(group)), tag)
@@ -362,6 +362,7 @@ def _xml(spark: SparkSession, paths: list[str], opts: ReadOptions, tag: bool) ->
         reader = (spark.read.format("xml")
                   .option("rowTag", row_tag)
                   .option("mode", "PERMISSIVE")
+                  .option("columnNameOfCorruptRecord", CORRUPT)
                   .option("ignoreSurroundingSpaces", "true"))
         df = reader.load(literals(files))
         if CORRUPT in df.columns:

@@ -36,10 +36,10 @@ from pyspark.sql import types as T
 
 from ferry.functions.columns import col, temporal_to_text
 from ferry.session import ship_package
-from ferry.operators.chunking import CHUNK, IDX, add_chunks
+from ferry.operators.chunking import add_chunks
 from ferry.operators.rowindex import RUN_COLS, RUN_END, RUN_LAST, RUN_ORDERED, RUN_START
 from ferry.functions.names import output_base_name
-from ferry.sources.readers import SOURCE_COLS, SRC_FILE
+from ferry.functions.internal import CHUNK, IDX, SOURCE_COLS, SRC_FILE
 
 LOG_SCHEMA = T.StructType([
     T.StructField("source", T.StringType()),

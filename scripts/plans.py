@@ -19,6 +19,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from ferry import Job, get_session  # noqa: E402
 from ferry.functions import jsonsteps as S  # noqa: E402
+from ferry.functions.internal import FID, SRC_BLOCK, SRC_FILE, SRC_POS  # noqa: E402
 from ferry.operators import chunking, project, report  # noqa: E402
 from ferry.operators.transform import apply_steps  # noqa: E402
 from ferry.plans import suite  # noqa: E402
@@ -60,8 +61,8 @@ def main() -> None:
          "sorted inside each task, written with partitionBy(file, split). No Exchange: "
          "every task writes its own split's part; the parts are joined afterwards. "
          "Per-file outputs skip the sort while a task has few outputs.",
-         tagged.withColumn("_fid", F.md5("_src_file"))
-               .sortWithinPartitions("_fid", "_src_block", "_src_pos")),
+         tagged.withColumn(FID, F.md5(SRC_FILE))
+               .sortWithinPartitions(FID, SRC_BLOCK, SRC_POS)),
         ("Profile (A4)",
          "Distinct counts as two-level aggregates, each with map-side partial aggregation.",
          ev.agg(F.count(F.lit(1)).alias("total_rows"), F.countDistinct("user_id").alias("unique_users"),

@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from ferry.functions.internal import SRC_FILE
 from ferry.operators import chunking, project
 from ferry.operators.rowindex import with_row_index
 from ferry.sources.catalogue import find_input_files
@@ -41,7 +42,7 @@ def test_row_index_is_file_order_across_many_splits(spark, tmp_path):
         assert bad == 0
         assert idx.count() == n
         per_file = with_row_index(df, per_file=True)
-        starts = per_file.groupBy("_src_file").agg(F.min("_idx").alias("lo"),
+        starts = per_file.groupBy(SRC_FILE).agg(F.min("_idx").alias("lo"),
                                                    F.max("_idx").alias("hi"),
                                                    F.count(F.lit(1)).alias("n")).collect()
         assert all(r.lo == 0 and r.hi == r.n - 1 for r in starts)

@@ -6,6 +6,7 @@ import os
 import pytest
 
 from ferry import Job, run
+from ferry.functions.internal import SOURCE_COLS
 from ferry.sources.readers import read_files
 from ferry.streaming.delivery import (DeliveryConfig, deliver, header_dict, next_wait,
                                       post_chunk, throughput)
@@ -209,7 +210,7 @@ def test_protocol_errors_are_retried_like_network_errors():
 
 def test_one_cap_over_all_sending_tasks(spark):
     df = read_files(spark, [f"{SF001}/events.parquet"], tag=True).repartition(6)
-    log = deliver(df.drop("_src_file", "_src_block", "_src_pos"), DeliveryConfig(url="http://x", rows=50, rate_delay=0.0),
+    log = deliver(df.drop(*SOURCE_COLS), DeliveryConfig(url="http://x", rows=50, rate_delay=0.0),
                   transport=Seq([200]), sleep=lambda s: None, max_concurrency=2)
     assert log.rdd.getNumPartitions() <= 2
     assert log.agg({"n_rows": "sum"}).first()[0] == 1000

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from ferry.functions import jsonsteps as S
+from ferry.functions.internal import FID, SRC_BLOCK, SRC_FILE, SRC_POS
 from ferry.operators import chunking, project
 from ferry.operators.transform import apply_steps
 from ferry.sources.readers import read_files
@@ -73,6 +74,6 @@ def test_delivery_groups_are_chunks(spark):
 
 def test_parts_layout_moves_no_data(spark):
     df = read_files(spark, [f"{SF01}/lineitem.parquet"], tag=True)
-    parts = (df.withColumn("_fid", F.md5("_src_file"))
-             .sortWithinPartitions("_fid", "_src_block", "_src_pos"))
+    parts = (df.withColumn(FID, F.md5(SRC_FILE))
+             .sortWithinPartitions(FID, SRC_BLOCK, SRC_POS))
     assert "Exchange" not in plan(parts)

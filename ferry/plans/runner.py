@@ -136,7 +136,8 @@ def run(spark: SparkSession, job: Job, transport=None, sleep=None) -> JobResult:
     job = job.validated()
     js = job_session(spark)
     apply_credentials(js, job.credentials, tuple(p for p in (job.input, job.output) if p))
-    if job.output and job.preview == 0 and writers.joinable(job.out_format or "csv", job.compressed):
+    if job.output and job.preview == 0 and job.out_format != "parquet" and writers.joinable(
+            job.out_format or "csv", job.compressed):
         if scheme_of(job.output) not in ASSEMBLED_SCHEMES:
             # before any work: text outputs there could not be put together at the end
             raise JobError(f"{job.output}: text outputs need a local, HDFS, S3 or Google storage path")
@@ -316,7 +317,7 @@ def _run_per_file(js, job: Job, cat: Catalogue, sql_text: str | None,
         else:
             groups.append((key, files))
     per_file_sql: list = []
-    whole_reads = job.rows == 0 and not writers.joinable(sink_fmt, job.compressed)
+    whole_reads = job.rows == 0 and not writers.joinable(sink_fmt, job.compressed, job.output or cat.root)
     if whole_reads:
         read_files_whole(js, [f.length for f in cat.files])
     for key, files in groups:

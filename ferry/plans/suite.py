@@ -131,12 +131,12 @@ def _merge(fmt: str, assembled: bool = False) -> Query:
     return q
 
 
-def per_file_csv(spark, sf, assembled=False):
-    """Directory of Parquet parts → one CSV per part → all read back."""
+def per_file_csv(spark, sf, assembled=False, fmt="csv"):
+    """Directory of Parquet parts → one output per part → all read back."""
     js = _session(spark, assembled)
     parts = _split(js, sf, "lineitem", "l_orderkey")
     out = scratch_path(js, "per-file")
-    res = run(js, Job(input=parts, format="csv", output=out))
+    res = run(js, Job(input=parts, format=fmt, output=out))
     assert len(res.outputs) == len(find_input_files(js, parts).files)
     return _read_back(js, out, _table(js, sf, "lineitem"))
 
@@ -981,5 +981,8 @@ def registry() -> dict[str, tuple[Query, str | None]]:
     }
     for name, (table, text, extra) in Q.items():
         reg[name] = (_sql(table, text, extra), oracle_for_q[name])
+    # Parquet outputs written by many tasks and joined by row groups
+    reg["merge_parquet_assembled"] = (_merge("parquet", True), "SELECT * FROM events")
+    reg["per_file_parquet_assembled"] = (partial(per_file_csv, assembled=True, fmt="parquet"), "SELECT * FROM lineitem")
     reg["chunk_files_assembled"] = (partial(chunk_files, assembled=True), reg["chunk_files"][1])
     return reg

@@ -6,6 +6,7 @@ one gzip stream. A plain CSV/TSV part carries its own header, dropped from
 all but the first part while copying (so a single part is just renamed); a
 gzip CSV gets the header once as its own first part.
 So a single output file never needs a single task to *encode* all its rows.
+Parquet parts give one file of all their row groups (``parquet_join``).
 Spark tasks write the parts in parallel, and the file is then put together:
 
 * with the file system's own ``concat`` where it has one (HDFS: a metadata
@@ -17,6 +18,7 @@ Spark tasks write the parts in parallel, and the file is then put together:
 from __future__ import annotations
 
 import uuid
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import SparkSession
@@ -25,6 +27,7 @@ from pyspark.sql import types as T
 from ferry.session import local_path, ship_package
 from ferry.sinks.commit import place
 from ferry.sinks.fs import HadoopFS
+from ferry.sinks.parquet_join import join_row_groups
 from ferry.sources.cloud import open_in_store, store_options
 
 COPY_BUFFER = 8 << 20
@@ -76,6 +79,30 @@ def _skip_through(src, marker: bytes) -> bytes:
             return seen[at + len(marker):]
 
 
+def _size_of(opened) -> int:
+    """The length of a file opened for reading (positioned at its start again)."""
+    opened.seek(0, 2)
+    size = opened.tell()
+    opened.seek(0)
+    return size
+
+
+def _joiner(options: dict | None):
+    """Row-group join for one Parquet output per row of the plan."""
+    def open_part(uri):
+        src = open_file(uri, "rb", options)
+        return src, _size_of(src)
+
+    def join(batches):
+        for pdf in batches:
+            out = []
+            for target, parts in zip(pdf["target"], pdf["parts"]):
+                with open_file(target, "wb", options) as dst:
+                    out.append((target, join_row_groups(dst, [partial(open_part, p) for p in parts], COPY_BUFFER)))
+            yield pd.DataFrame(out, columns=["target", "bytes"])
+    return join
+
+
 def _copier(skip_repeated_header: bool, xml_root: str | None = None, options: dict | None = None):
     """Byte copier for one output per row of the plan.
 
@@ -164,7 +191,7 @@ def _try_fs_concat(fs: HadoopFS, target: str, prefix: str | None, parts: list[st
 
 def join_parts(spark: SparkSession, plans: list[tuple[str, list[str]]],
                prefix: str | None = None, repeated_header: bool = False,
-               xml_root: str | None = None) -> list[tuple[str, str]]:
+               xml_root: str | None = None, parquet: bool = False) -> list[tuple[str, str]]:
     """Make each output = ``prefix`` (shared, e.g. a CSV header) + its ``parts``, and
     give (finished file, target) for ``commit.place``.
 
@@ -181,7 +208,7 @@ def join_parts(spark: SparkSession, plans: list[tuple[str, list[str]]],
         folder, name = target.rsplit("/", 1) if "/" in target else (".", target)
         beside = f"{folder}/.{name}.{uuid.uuid4().hex[:12]}"
         swaps.append((beside, target))
-        if (repeated_header or xml_root
+        if (repeated_header or xml_root or parquet
                 or not _try_fs_concat(fs, fs.qualify(beside), prefix, parts)):
             copies.append((beside, ([prefix] if prefix else []) + list(parts)))
     if not copies:
@@ -191,7 +218,8 @@ def join_parts(spark: SparkSession, plans: list[tuple[str, list[str]]],
     plan_df = spark.createDataFrame(copies, PLAN_SCHEMA)
     plan_df = plan_df.repartition(min(len(copies), spark.sparkContext.defaultParallelism))
     try:
-        done = plan_df.mapInPandas(_copier(repeated_header, xml_root, options), RESULT_SCHEMA).collect()
+        join = _joiner(options) if parquet else _copier(repeated_header, xml_root, options)
+        done = plan_df.mapInPandas(join, RESULT_SCHEMA).collect()
         if len(done) != len(copies):
             raise OSError("some outputs were not assembled")
     except Exception:

@@ -8,16 +8,16 @@ destination is replaced only after the write succeeded.
 * per input file: rows carry ``md5(source path)``; ``partitionBy`` on it
   gives one folder per input. When every input file is read by exactly one
   task (small or unsplittable files) no shuffle is needed.
-* joinable formats (CSV, TSV, NDJSON, raw lines — gzip or not — and plain
-  XML), fed by enough input: an output is assembled from parts written in
+* joinable formats (CSV, TSV, NDJSON, raw lines — gzip or not — plain XML
+  and Parquet), fed by enough input: an output is assembled from parts written in
   parallel, in order, with no shuffle (per input split for a plain scan),
   by ``sinks.assemble`` — so no single task encodes a whole file, whether
   it is a merge of everything, one huge input, or a chunk; chunks inside
   one split are single parts (renamed).
 * otherwise rows are hash-partitioned by (file[, chunk]) so one task
   writes each output; chunks have a fixed row count, so that is never
-  skewed. Parquet (and gzip XML) single files have one writer task;
-  upstream work stays parallel.
+  skewed. Gzip XML single files have one writer task; upstream work stays
+  parallel.
 """
 
 from __future__ import annotations
@@ -149,7 +149,7 @@ def _empty_outputs(data: DataFrame, fmt: str, compressed: bool, stage: str, targ
 def _single_from_parts(df: DataFrame, fmt: str, target: str, stage: str, compressed: bool,
                        preserve_order: bool, xml_root: str = "root",
                        xml_row: str = "row") -> Written:
-    """Text formats: parallel ordered parts, then one file by concatenation."""
+    """Parallel ordered parts, then one file by concatenation (of bytes, or row groups)."""
     spark = df.sparkSession
     fs = HadoopFS(spark)
     tagged = all(c in df.columns for c in (SRC_FILE, SRC_BLOCK, SRC_POS))
@@ -180,7 +180,7 @@ def _single_from_parts(df: DataFrame, fmt: str, target: str, stage: str, compres
                               fmt, stage, xml_root, xml_row, compressed)]
     assemble(spark, [(target, parts)], prefix=header,
              repeated_header=_header_in_parts(fmt, compressed, stage),
-             xml_root=xml_root if fmt == "xml" else None)
+             xml_root=xml_root if fmt == "xml" else None, parquet=fmt == "parquet")
     return Written(None, None, target)
 
 
@@ -203,15 +203,15 @@ def write_single(df: DataFrame, fmt: str, target: str, compressed: bool = False,
                  preserve_order: bool = True, input_bytes: int | None = None) -> Written:
     """Write everything to one file at ``target`` (replacing it).
 
-    Text formats fed by large inputs (``input_bytes`` ≥ the assemble
+    Joinable formats fed by large inputs (``input_bytes`` ≥ the assemble
     threshold; unknown counts as large) are assembled from parts written in
-    parallel; Parquet and XML (one footer / one root element) and small
-    outputs have one writer task.
+    parallel; gzip XML (root tags inside the members) and small outputs have
+    one writer task.
     """
     large = input_bytes is None or input_bytes >= assemble_min_bytes(df.sparkSession)
     fs = HadoopFS(df.sparkSession)
     with _staging(fs, target.rsplit("/", 1)[0] if "/" in target else ".") as stage:
-        if writers.joinable(fmt, compressed) and large:
+        if writers.joinable(fmt, compressed, stage) and large:
             return _single_from_parts(df, fmt, target, stage, compressed, preserve_order,
                                       xml_root, xml_row)
         return _single_from_one(df, fmt, target, stage, compressed, preserve_order,
@@ -369,7 +369,7 @@ def _write_per_source(df: DataFrame, fmt: str, stage: str, dest_for, sizes: list
     direct_scan = all(c in df.columns for c in (SRC_BLOCK, SRC_POS))
     whole_files = direct_scan and one_task_per_file(spark, sizes, splittable)
     large = sum(sizes) >= assemble_min_bytes(spark)
-    text = writers.joinable(fmt, compressed)
+    parted = writers.joinable(fmt, compressed, stage)
     # chunks of tagged rows of a large input: parts per (file, chunk, split)
     # need no shuffle, and a chunk inside one split is a single part (a
     # rename) — unless every chunk would need a separate header part copied
@@ -378,7 +378,7 @@ def _write_per_source(df: DataFrame, fmt: str, stage: str, dest_for, sizes: list
     chunk_parts = (chunked and direct_scan and large
                    and not (fmt in ("csv", "tsv") and compressed))
     single_parts = not chunked and not whole_files and large
-    if text and (chunk_parts or single_parts):
+    if parted and (chunk_parts or single_parts):
         return _per_source_from_parts(keyed, fmt, stage, dest_for, compressed, encoded,
                                       direct_scan, chunked, xml_root, xml_row,
                                       as_scanned=direct_scan and not chunked and in_scan_order(spark, sizes),
@@ -404,7 +404,7 @@ def _write_per_source(df: DataFrame, fmt: str, stage: str, dest_for, sizes: list
 
 def _place(spark: SparkSession, fs: HadoopFS, stage: str, leaves: list, encoded: list[str],
            dest_for, chunked: bool, header: str | None, repeated_header: bool,
-           joinable: bool = True, xml_root: str | None = None, empty: tuple = (),
+           joinable: bool = True, xml_root: str | None = None, empty: tuple = (), fmt: str | None = None,
            protected: list[str] | None = None) -> list[Written]:
     """Group part files by output, order them by split, move or join them.
 
@@ -431,7 +431,8 @@ def _place(spark: SparkSession, fs: HadoopFS, stage: str, leaves: list, encoded:
         written.append(Written(source, chunk, dst))
     sources = list(by_key.values())
     guard(fs, protected or sources, [t for t, _ in plans])
-    swaps = join_parts(spark, plans, prefix=header, repeated_header=repeated_header, xml_root=xml_root)
+    swaps = join_parts(spark, plans, prefix=header, repeated_header=repeated_header, xml_root=xml_root,
+                       parquet=fmt == "parquet")
     if chunked:
         place(fs, swaps, protected or sources, chunks={w.path: (w.source, w.chunk + 1) for w in written},
               sources=sources, also=[dest_for(s, 1).rsplit("/", 1)[0] for s in sources])
@@ -471,6 +472,6 @@ def _per_source_from_parts(keyed: DataFrame, fmt: str, stage: str, dest_for,
     leaves = _leaf_parts(spark, join(stage, "parts"),
                          None if chunked or direct_scan else len(encoded))
     return _place(spark, fs, stage, leaves, encoded, dest_for, chunked, header,
-                  _header_in_parts(fmt, compressed, stage), xml_root=xml_root if fmt == "xml" else None,
+                  _header_in_parts(fmt, compressed, stage), xml_root=xml_root if fmt == "xml" else None, fmt=fmt,
                   empty=(data, fmt, compressed, xml_root, xml_row),
                   protected=protected)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, DataFrameWriter
 
 from ferry.functions.columns import nested_to_text, temporal_to_text
 from ferry.operators.rowindex import RUN_COLS
+from ferry.sources.cloud import ASSEMBLED_SCHEMES, scheme_of
 from ferry.functions.internal import SOURCE_COLS
 
 TEXT_FORMATS = ("csv", "tsv", "ndjson", "jsonl", "json", "xml", "lines")
@@ -36,9 +37,12 @@ def prepare(df: DataFrame, fmt: str, keep: tuple[str, ...] = ()) -> DataFrame:
 CONCAT_FORMATS = ("csv", "tsv", "ndjson", "jsonl", "json", "lines")
 
 
-def joinable(fmt: str, compressed: bool) -> bool:
+def joinable(fmt: str, compressed: bool, where: str = "") -> bool:
     """Can one output be assembled from parts? Text formats always; XML when
-    not compressed (each part's declaration and root element are stripped)."""
+    not compressed (each part's declaration and root element are stripped);
+    Parquet on every storage that executors can open files of (``where``)."""
+    if fmt == "parquet":
+        return scheme_of(where) in ASSEMBLED_SCHEMES
     return fmt in CONCAT_FORMATS or (fmt == "xml" and not compressed)
 
 

@@ -112,4 +112,4 @@ def open_in_store(uri: str, mode: str, options: dict):
         files, path = pafs.GcsFileSystem(), place.netloc + place.path
     else:
         files, path = pafs.HadoopFileSystem(options["host"], options["port"]), place.path
-    return files.open_output_stream(path) if "w" in mode else files.open_input_stream(path)
+    return files.open_output_stream(path) if "w" in mode else files.open_input_file(path)

@@ -73,7 +73,7 @@ def _read_options(job: Job, fast: bool) -> ReadOptions:
 def _read(js, files, job: Job, fast: bool, tag: bool = False,
           one_header: bool = False) -> DataFrame:
     """Read catalogue entries (``FileInfo``) with the job's options."""
-    opts = _read_options(job, fast)
+    opts = dataclasses.replace(_read_options(job, fast), sizes=tuple(f.length for f in files))
     if one_header:
         opts = dataclasses.replace(opts, csv_one_header=True)
     return read_files(js, [f.path for f in files], opts, tag=tag)
@@ -147,6 +147,8 @@ def run(spark: SparkSession, job: Job, transport=None, sleep=None) -> JobResult:
         cat = find_input_files(js, job.input)
     except CatalogueError as e:
         raise JobError(str(e)) from e
+    if not cat.files and (job.analytical or job.preview > 0 or job.single_file):
+        raise JobError(f"{job.input}: all data files are empty")
     size_shuffles(js, cat.total_bytes)
     sql_text = read_sql_text(js, job.sql) if job.sql else None
     if job.count:
@@ -258,14 +260,13 @@ def _run_merged(js, job: Job, cat: Catalogue, sql_text: str | None,
     return result
 
 
-def _splittable(kind_ext: str, paths: list[str], fast: bool, csv_multiline: bool = True) -> bool:
+def _splittable(kind_ext: str, paths: list[str], fast: bool) -> bool:
     """Can Spark cut one of these files into several splits?"""
     if any(compression_of(p) in ("gz", "zst") for p in paths):
         return False
-    if fast or (kind_ext in ("csv", "tsv") and not csv_multiline):
+    if fast:
         return True
-    # CSV/TSV are read with multiLine (quoted newlines), JSON arrays likewise.
-    return kind_ext in ("parquet", "ndjson", "jsonl", "xml")
+    return kind_ext in ("parquet", "ndjson", "jsonl", "xml", "csv", "tsv")
 
 
 def _run_per_file(js, job: Job, cat: Catalogue, sql_text: str | None,
@@ -285,16 +286,17 @@ def _run_per_file(js, job: Job, cat: Catalogue, sql_text: str | None,
             return names.build_output_filename(base, ext, job.prefix, job.suffix, job.compressed)
         return names.chunk_filename(base, chunk, ext, job.prefix, job.suffix, job.compressed)
 
-    planned = [names.join(out_dir_for(p), name_for(p, None)) for p in cat.paths]
+    every = [f.path for f in (*cat.files, *cat.empty)]
+    planned = [names.join(out_dir_for(p), name_for(p, None)) for p in every]
     seen: dict[str, list[str]] = {}
-    for src, dst in zip(cat.paths, planned):
+    for src, dst in zip(every, planned):
         seen.setdefault(dst, []).append(src)
     clashes = [v for v in seen.values() if len(v) > 1]
     if clashes:
         pairs = "; ".join(", ".join(v) for v in clashes)
         raise JobError(f"inputs whose outputs would have one name: {pairs}")
     if job.rows == 0:      # names of chunks are checked when their number is known
-        _guard(fs, cat.paths, planned)
+        _guard(fs, every, planned)
 
     # One Spark job per input format (usually one), whatever the folders.
     stage_root = job.output or (cat.root.rstrip("/") if cat.is_dir
@@ -342,23 +344,28 @@ def _run_per_file(js, job: Job, cat: Catalogue, sql_text: str | None,
             in_order = True
         else:
             df = _read(js, files, job, fast, tag=True, one_header=key in ("csv", "tsv"))
-            inputs = df.inputFiles()
+            # (records put together from splits read a table of splits besides the files)
+            inputs = [fs.encoded(p) for p in paths] if key in ("csv", "tsv") else df.inputFiles()
             df, in_order = stages(df, job, None, per_file=True)
         if job.rows > 0:
             df = chunking.add_chunks(df, job.rows, per_file=True, stable=in_order,
                                      keep_runs=True)
         outputs += layout.write_per_source(
             df, sink_fmt, stage_root, dest_for, [f.length for f in files],
-            _splittable(key, paths, fast, job.csv_multiline), job.compressed,
-            chunked=job.rows > 0, xml_root=job.xml_root, inputs=inputs, protected=cat.paths)
+            _splittable(key, paths, fast), job.compressed,
+            chunked=job.rows > 0, xml_root=job.xml_root, inputs=inputs, protected=every)
         if job.url:
             logs.append(_deliver(df, job, transport, sleep))
     if per_file_sql:
         sub = _per_file_sql(js, job, per_file_sql, fast, sql_text, sink_fmt, out_dir_for,
-                            name_for, transport, sleep, cat.paths)
+                            name_for, transport, sleep, every)
         outputs += sub.outputs
         if sub.delivery_log is not None:
             logs.append(sub.delivery_log)
+    if cat.empty and job.rows == 0:
+        bare = {dest_for(f.path, None): f.path for f in cat.empty}
+        done = layout.write_bare(js, sink_fmt, list(bare), stage_root, job.compressed, job.xml_root, every)
+        outputs += [layout.Written(bare[t], None, t) for t in done]
     result = JobResult("per_file", outputs, warnings=list(job.warnings))
     if logs:
         result.delivery_log = _write_log(js, job, _union(logs))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ferry.functions import jsonsteps as S
 from ferry.functions import columns
 from ferry.functions.columns import col
-from ferry.functions.internal import SOURCE_COLS, SRC_FILE
+from ferry.functions.internal import SOURCE_COLS, SRC_BLOCK, SRC_FILE
 from ferry.operators import chunking, project, report
 from ferry.operators.preview import preview
 from ferry.operators.sqlstage import run_sql
@@ -30,6 +30,7 @@ from ferry.plans.job import Job
 from ferry.plans.runner import run
 from ferry.session import job_session, scratch_path
 from ferry.sinks import layout
+from ferry.sinks.fs import HadoopFS
 from ferry.sources.catalogue import find_input_files
 from ferry.sources.readers import ReadOptions, read_files
 from ferry.streaming.delivery import DeliveryConfig, deliver, throughput
@@ -324,6 +325,82 @@ def chunk_files(spark, sf, assembled=False):
                  F.max("event_id").alias("last_id")))
 
 
+def csv_multiline_split(spark, sf):
+    """documents as one CSV file (quotes, newlines inside), read by many tasks."""
+    js = _session(spark, assembled=True)
+    out = _export(js, sf, "documents", "csv")
+    df = read_files(js, find_input_files(js, out).paths, tag=True)
+    if df.select(F.countDistinct(SRC_BLOCK)).first()[0] < 3:
+        raise RuntimeError("the file was not read in splits")
+    return _as_schema(df.drop(*SOURCE_COLS), _table(js, sf, "documents"))
+
+
+def csv_glob_name(spark, sf):
+    """The same rows as d1.csv and d[1].csv: both read back with the same types."""
+    js = _session(spark)
+    folder = scratch_path(js, "glob")
+    ev = _table(js, sf, "events")
+    names = ("d1.csv", "d[1].csv")
+    for name in names:
+        layout.write_single(ev, "csv", f"{folder}/{name}")
+    back = [_as_schema(read_files(js, [f"{folder}/{n}"]), ev).withColumn("name", F.lit(n)) for n in names]
+    return back[0].unionByName(back[1])
+
+
+def csv_ragged(spark, sf):
+    """Rows with fewer cells than the header get nulls; one with more fails the job."""
+    js = _session(spark)
+    folder = scratch_path(js, "ragged")
+    ev = _table(js, sf, "events")
+    cells = F.concat_ws(",", F.col("event_id").cast("string"), F.col("user_id").cast("string"),
+                        F.when(F.col("event_id") % 2 == 0, F.col("event_type")))
+    short = ev.select(cells.alias("value"))
+    head = js.createDataFrame([("event_id,user_id,event_type",)], "value string")
+    for name, rows in (("short", short), ("long", short.withColumn("value", F.concat("value", F.lit(",x,y"))))):
+        head.unionByName(rows).coalesce(1).write.text(f"{folder}/{name}")
+    back = read_files(js, [r.path for r in _text_parts(js, f"{folder}/short")], kind="csv")
+    try:
+        read_files(js, [r.path for r in _text_parts(js, f"{folder}/long")], kind="csv").count()
+        refused = False
+    except Exception as e:  # noqa: BLE001 - the failure is what is reported
+        refused = "more cells than its header" in str(e)
+    return back.withColumn("long_rows_refused", F.lit(refused))
+
+
+def _text_parts(js, folder: str):
+    return js.read.format("binaryFile").load(folder).select("path").collect()
+
+
+def per_file_types(spark, sf):
+    """Three CSV files of one header, the same column of numbers, of texts and of
+    nothing: each becomes Parquet with its own types."""
+    js = _session(spark)
+    folder, out = scratch_path(js, "types"), scratch_path(js, "types-out")
+    ev = _table(js, sf, "events")
+    for name, k in (("a", F.col("user_id")), ("b", F.col("event_type")), ("c", F.lit(None).cast("string"))):
+        layout.write_single(ev.select("event_id", k.alias("k")), "csv", f"{folder}/{name}.csv")
+    run(js, Job(input=folder, format="parquet", output=out))
+    rows = [js.read.parquet(f"{out}/{n}.parquet").select(
+        F.lit(n).alias("name"), "event_id", F.typeof("k").alias("kind"), F.col("k").cast("string").alias("k")) for n in "abc"]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+def per_file_zero_length(spark, sf):
+    """A file of length 0 between two others: an output for each input."""
+    js = _session(spark)
+    folder, out = scratch_path(js, "zero"), scratch_path(js, "zero-out")
+    for name in ("a", "c"):
+        layout.write_single(_table(js, sf, "events").select("event_id"), "ndjson", f"{folder}/{name}.ndjson")
+    HadoopFS(js).write_bytes(f"{folder}/b.ndjson", b"")
+    done = run(js, Job(input=folder, format="csv", output=out)).outputs
+    sizes = {f.path.rsplit("/", 1)[1]: f.length for f in HadoopFS(js).list(out)}
+    names = [w.path.rsplit("/", 1)[1] for w in done]
+    made = js.createDataFrame([(n, sizes[n] == 0) for n in names], "name string, bare boolean")
+    back = read_files(js, [w.path for w in done if sizes[w.path.rsplit("/", 1)[1]]], tag=True)
+    n = back.groupBy(F.element_at(F.split(SRC_FILE, "/"), -1).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    return made.join(n, "name", "left").select("name", "bare", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def chunk_internal_names(spark, sf):
     """Columns named like what the job once called its own: CSV in, chunks of 1000 out."""
     js = _session(spark)
@@ -873,6 +950,17 @@ def registry() -> dict[str, tuple[Query, str | None]]:
                         "MIN(event_id) AS first_id, MAX(event_id) AS last_id FROM "
                         "(SELECT event_id, ROW_NUMBER() OVER () - 1 AS idx FROM events) "
                         "GROUP BY idx // 1000"),
+        "csv_multiline_split": (csv_multiline_split, "SELECT * FROM documents"),
+        "csv_glob_name": (csv_glob_name, "SELECT *, unnest(['d1.csv', 'd[1].csv']) AS name FROM events"),
+        "csv_ragged": (csv_ragged, "SELECT event_id, user_id, CASE WHEN event_id % 2 = 0 THEN event_type END AS event_type, "
+                                   "true AS long_rows_refused FROM events"),
+        "per_file_types": (per_file_types,
+                           "SELECT 'a' AS name, event_id, 'bigint' AS kind, user_id::VARCHAR AS k FROM events UNION ALL "
+                           "SELECT 'b', event_id, 'string', event_type FROM events UNION ALL "
+                           "SELECT 'c', event_id, 'string', NULL FROM events"),
+        "per_file_zero_length": (per_file_zero_length,
+                                 "SELECT 'a.csv' AS name, false AS bare, COUNT(*) AS n FROM events UNION ALL "
+                                 "SELECT 'c.csv', false, COUNT(*) FROM events UNION ALL SELECT 'b.csv', true, 0"),
         "chunk_internal_names": (chunk_internal_names,
                                  "SELECT user_id AS _idx, event_id AS _chunk, event_type AS _fid, props AS _src_file, "
                                  "value AS _metadata, event_id AS _src_pos, user_id AS _run, "

@@ -71,6 +71,11 @@ class HadoopFS:
         path = self._path(p)
         return str(path.getFileSystem(self._conf).makeQualified(path).toString())
 
+    def encoded(self, p: str) -> str:
+        """The name of a file in ``_metadata.file_path``."""
+        path = self._path(p)
+        return self.uri_form(str(self._fs(p).makeQualified(path).toUri().toString()))
+
     def exists(self, p: str) -> bool:
         return bool(self._fs(p).exists(self._path(p)))
 
@@ -111,9 +116,12 @@ class HadoopFS:
             stream.close()
 
     def write_text(self, p: str, text: str) -> None:
+        self.write_bytes(p, text.encode())
+
+    def write_bytes(self, p: str, data: bytes) -> None:
         stream = self._fs(p).create(self._path(p), True)
         try:
-            stream.write(bytearray(text.encode()))
+            stream.write(bytearray(data))
         finally:
             stream.close()
 

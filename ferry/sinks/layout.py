@@ -22,6 +22,7 @@ destination is replaced only after the write succeeded.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 from contextlib import contextmanager
@@ -37,6 +38,7 @@ from ferry.sinks.assemble import CONCAT_SCHEMES, assemble, join_parts
 from ferry.sinks.commit import OutputError, guard, place
 from ferry.sinks.fs import HadoopFS
 from ferry.sources.readers import literal
+from ferry.sources.splits import one_task_per_file, split_bytes
 
 # Outputs fed by less input than this are written by one task (no assembly
 # jobs); above it, text outputs are assembled from parallel parts.
@@ -146,6 +148,23 @@ def _empty_outputs(data: DataFrame, fmt: str, compressed: bool, stage: str, targ
     return ready
 
 
+def write_bare(spark: SparkSession, fmt: str, targets: list[str], stage_root: str, compressed: bool,
+               xml_root: str, protected: list[str]) -> list[str]:
+    """Outputs of inputs of length 0, which have neither rows nor columns: empty text
+    files, an empty XML root. Parquet cannot hold no columns: none is written."""
+    if fmt == "parquet" or not targets:
+        return []
+    fs = HadoopFS(spark)
+    body = f"<{xml_root}>\n</{xml_root}>".encode() if fmt == "xml" else b""
+    with _staging(fs, stage_root) as stage:
+        swaps = []
+        for i, target in enumerate(targets):
+            fs.write_bytes(join(stage, f"bare-{i}"), gzip.compress(body) if compressed else body)
+            swaps.append((join(stage, f"bare-{i}"), target))
+        place(fs, swaps, protected)
+    return targets
+
+
 def _single_from_parts(df: DataFrame, fmt: str, target: str, stage: str, compressed: bool,
                        preserve_order: bool, xml_root: str = "root",
                        xml_row: str = "row") -> Written:
@@ -247,24 +266,6 @@ def source_key(encoded_path: str) -> str:
     return hashlib.md5(encoded_path.encode("utf-8")).hexdigest()
 
 
-def split_bytes(spark: SparkSession, sizes: list[int]) -> int:
-    """Largest split Spark cuts for these files (its documented sizing rule:
-    ``min(maxPartitionBytes, max(openCostInBytes, total / minPartitionNum)``)."""
-    conf = spark.conf
-    max_part = int(conf.get("spark.sql.files.maxPartitionBytes", "134217728").rstrip("b"))
-    open_cost = int(conf.get("spark.sql.files.openCostInBytes", "4194304").rstrip("b"))
-    min_parts = conf.get("spark.sql.files.minPartitionNum", None)
-    parallelism = int(min_parts) if min_parts else spark.sparkContext.defaultParallelism
-    total = sum(s + open_cost for s in sizes)
-    return min(max_part, max(open_cost, total // max(1, parallelism)))
-
-
-def one_task_per_file(spark: SparkSession, sizes: list[int], splittable: bool) -> bool:
-    if not splittable:
-        return True
-    return max(sizes, default=0) <= split_bytes(spark, sizes)
-
-
 # Spark keeps up to this many part files of one task open at a time. A task
 # that writes no more outputs than that needs no sort by output: rows go to
 # their files as they come, which is scan order.

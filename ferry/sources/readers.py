@@ -41,8 +41,9 @@ from ferry.functions.internal import (CORRUPT, SOURCE_COLS, SRC_BLOCK, SRC_FILE,
                                       refuse_reserved)
 from ferry.functions.formats import compression_of, file_format, reader_kind, UnsupportedFormat
 from ferry.session import ship_package
-from ferry.sources import probe
+from ferry.sources import csvrecords, probe
 from ferry.sinks.fs import HadoopFS
+from ferry.sources.splits import one_task_per_file
 
 
 
@@ -55,6 +56,7 @@ class ReadOptions:
     schema: str | None = None  # DDL text; skips inference
     json_key_order: str = "first_seen"  # or "inferred"
     csv_one_header: bool = False  # the caller already grouped CSV files by header
+    sizes: tuple[int, ...] = ()  # lengths of the files, where the caller knows them
 
 
 GLOB_CHARS = "\\*?[]{}"
@@ -132,7 +134,12 @@ def _check_parquet(spark: SparkSession, paths: list[str]) -> None:
 
 def _csv(spark: SparkSession, paths: list[str], sep: str, opts: ReadOptions, tag: bool,
          by_name: bool) -> DataFrame:
-    def read(group: list[str]) -> DataFrame:
+    def read(group: list[str], header: str | None = None) -> DataFrame:
+        if _in_records(spark, group, opts):
+            header = probe.header_records(spark, group[:1])[group[0]] if header is None else header
+            df = csvrecords.read(spark, literals(group), header, sep, opts.schema)
+            refuse_reserved([c for c in df.columns if c not in SOURCE_COLS])
+            return df if tag else df.drop(*SOURCE_COLS)
         reader = (spark.read
                   .option("header", "true")
                   .option("inferSchema", "true")
@@ -143,13 +150,15 @@ def _csv(spark: SparkSession, paths: list[str], sep: str, opts: ReadOptions, tag
         if opts.schema:
             reader = reader.schema(opts.schema).option("inferSchema", "false") \
                            .option("mode", "FAILFAST").option("enforceSchema", "false")
-        elif opts.csv_multiline and any(ch in p for p in group for ch in GLOB_CHARS):
-            # Spark's multi-line CSV inference re-lists the files with glob
-            # escapes dropped; infer line by line, then read with that schema.
-            schema = reader.option("multiLine", "false").csv(literals(group)).schema
-            reader = reader.option("multiLine", "true").option("inferSchema", "false") \
-                           .schema(schema)
-        return _tagged(widen_ints(reader.csv(literals(group))), tag)
+            return _tagged(reader.csv(literals(group)), tag)
+        schema = widen_ints(reader.csv(literals(group))).schema
+        if not schema.fields:
+            return _tagged(reader.csv(literals(group)), tag)
+        refuse_reserved(schema.names)
+        shape = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+        df = reader.schema(shape).option("inferSchema", "false").option("columnNameOfCorruptRecord", CORRUPT) \
+            .csv(literals(group))
+        return _tagged(csvrecords.without_extra_cells(df, len(schema), sep), tag)
 
     if len(paths) == 1 or opts.csv_one_header:
         return read(paths)
@@ -166,6 +175,24 @@ def _csv(spark: SparkSession, paths: list[str], sep: str, opts: ReadOptions, tag
     return out
 
 
+def _in_records(spark: SparkSession, group: list[str], opts: ReadOptions) -> bool:
+    """Are these files read as records put together from splits?
+
+    Where a file is longer than a split (the plain multi-line reader gives it to one
+    task), and where a name holds glob characters (its inference lists files anew,
+    with the escapes dropped). The rows are the same either way.
+    """
+    if not opts.csv_multiline or any(compression_of(p) for p in group):
+        return False
+    if any(ch in p for p in group for ch in GLOB_CHARS):
+        return True
+    sizes = list(opts.sizes)
+    if not sizes:
+        files = spark.read.format("binaryFile").load(literals(group)).agg(F.max("length"), F.sum("length")).first()
+        sizes = [files[0] or 0, (files[1] or 0) - (files[0] or 0)]
+    return not one_task_per_file(spark, sizes, True)
+
+
 def header_groups(spark: SparkSession, paths: list[str]) -> list[list[str]]:
     """CSV/TSV files grouped by their header record (first-seen order of headers)."""
     if len(paths) == 1:
@@ -187,7 +214,8 @@ def schema_groups(spark: SparkSession, paths: list[str], options: ReadOptions) -
         return [paths]
     k = reader_kind(paths[0])
     if k in ("csv", "tsv"):
-        return header_groups(spark, paths)
+        sep = "," if k == "csv" else "\t"
+        return [own for g in header_groups(spark, paths) for own in _type_groups(spark, g, sep, options)]
     if k == "parquet":
         _check_parquet(spark, paths)
         with ThreadPoolExecutor(max_workers=min(16, len(paths))) as pool:
@@ -203,6 +231,44 @@ def schema_groups(spark: SparkSession, paths: list[str], options: ReadOptions) -
     return (_grouped(_json_keys(spark, lines), lines) if lines else []) + groups
 
 
+def _type_groups(spark: SparkSession, paths: list[str], sep: str, opts: ReadOptions) -> list[list[str]]:
+    """CSV/TSV files of one header grouped by the kinds of their columns, so that no
+    file's types depend on its neighbours: one job, one short row per file.
+
+    The kinds only decide which files are read together; Spark infers the types.
+    """
+    if len(paths) == 1 or not opts.csv_multiline:
+        return [paths]
+    fs = HadoopFS(spark)
+    df = spark.read.options(header="true", sep=sep, escape='"', multiLine="true", inferSchema="false")
+    names = df.csv(literal(paths[0])).columns      # the header; no pass over the rows
+    if not names:
+        return [paths]
+    shape = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    if _in_records(spark, paths, opts):
+        own = F.from_csv(csvrecords.VALUE, shape.simpleString()[7:-1].replace(":", " "), {"sep": sep, "escape": '"'})
+        df = csvrecords.records(spark, literals(paths)).select(own.alias("r"), F.col(SRC_FILE).alias("f")).select("r.*", "f")
+    else:
+        df = df.schema(shape).csv(literals(paths)).select("*", F.col("_metadata.file_path").alias("f"))
+    kinds = []
+    for i in range(len(names)):
+        v = F.col(f"c{i}")
+        tests = [("int", v.rlike(r"^[+-]?[0-9]+$")), ("real", v.cast("string").rlike(NUMBER_RE)),
+                 ("bool", F.lower(v).isin("true", "false")), ("date", v.rlike(DATE_RE)), ("time", v.rlike(TIME_RE))]
+        seen = F.count(v)
+        kind = F.lit("text")
+        for name, test in reversed(tests):
+            kind = F.when(F.count_if(test) == seen, name).otherwise(kind)
+        kinds.append(F.when(seen == 0, "none").otherwise(kind))
+    rows = df.groupBy("f").agg(F.concat_ws(",", *kinds).alias("kinds")).collect()
+    found = {r.f: r.kinds for r in rows}
+    return _grouped({p: found.get(fs.encoded(p)) for p in paths}, paths)
+
+
+NUMBER_RE = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[dDfF]?$"
+TIME_RE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}"
+
+
 def _json_keys(spark: SparkSession, paths: list[str]) -> dict[str, str]:
     """The set of top-level keys of each file: one job, one short row per file."""
     fs = HadoopFS(spark)
@@ -254,6 +320,15 @@ def _json(spark: SparkSession, paths: list[str], opts: ReadOptions, tag: bool) -
     return out
 
 
+def _json_field(name: str) -> Column:
+    """A top-level field of the JSON text in ``value``, as text."""
+    if "'" not in name:
+        return F.get_json_object("value", f"$['{name}']")
+    # a path cannot hold the quote; a schema can hold any name
+    shape = T.StructType([T.StructField(name, T.StringType())])
+    return F.from_json("value", shape).getField(name)
+
+
 DATE_RE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 
 
@@ -275,7 +350,7 @@ def json_facts(spark: SparkSession, paths: list[str], ts_cols: list[str]) -> tup
     # how many values are present and how many of those are not yyyy-mm-dd.
     found = []
     for i, c in enumerate(ts_cols):
-        v = F.get_json_object("value", "$['" + c.replace("'", "") + "']")
+        v = _json_field(c)
         found += [F.count(v).alias(f"n{i}"), F.count(F.when(~v.rlike(DATE_RE), v)).alias(f"x{i}")]
     lists = lines.groupBy(F.json_object_keys("value").alias("keys")) \
         .agg(F.min(F.struct("f", "b", "m")).alias("o"), *found)

@@ -18,8 +18,10 @@ result is exact.
 Defined cases: vectors null, empty or with null or non-finite components, and
 rows without id, take no part; a row is never a candidate of a query with its
 own id; repeated rows are candidates each; zero vectors count (score 0);
-fewer than k candidates: all of them; empty table: empty result. Scores must
-fit into 62 bits; larger ones raise ``ValueError``.
+fewer than k candidates: all of them; empty table: empty result. Rows and
+queries with a component too large for 62-bit sums of slices (beyond 2^21 at 64
+dimensions) are kept apart and scored exactly in whole numbers of any size; a
+score outside the range of a long counts as, and is returned as, the nearest long.
 """
 
 from __future__ import annotations
@@ -38,14 +40,37 @@ BLOCK = 64
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+LONG = (-(1 << 63), (1 << 63) - 1)
+
+
 def quantise(v: np.ndarray) -> np.ndarray:
-    big = np.floor(SCALE * v)
-    if len(big) and np.abs(big).max() >= 2.0 ** 31:
-        raise ValueError("components beyond 2^25 are not supported")
-    return big.astype(np.int64)
+    return np.floor(SCALE * v).astype(np.int64)
+
+
+def wide(v: np.ndarray) -> np.ndarray:
+    """The rows with a component that slices cannot add up: |q| < 2^b and slices of
+    b + 1 bits give sums below dimensions x 2^(2b + 2)."""
+    bits = (60 - (v.shape[1] - 1).bit_length()) // 2
+    return np.abs(np.floor(SCALE * np.clip(v, -1e300, 1e300))).max(1, initial=0) >= 2.0 ** bits
+
+
+def whole(v: np.ndarray) -> list[list[int]]:
+    """Components as whole numbers of any size (64 x is exact, being a power of two)."""
+    from fractions import Fraction
+    return [[(Fraction(x) * SCALE).__floor__() for x in row] for row in v.tolist()]
+
+
+def _exact(queries: list[list[int]], rows: list[list[int]]) -> list[list[int]]:
+    return [[min(max(sum(a * b for a, b in zip(q, x)), LONG[0]), LONG[1]) for x in rows] for q in queries]
 
 
 def build(ids: np.ndarray, v: np.ndarray) -> dict:
+    large = wide(v)
+    if large.any():
+        return {**build(ids[~large], v[~large]), "wide_ids": ids[large], "wide": whole(v[large])}
+    if not len(v):
+        return {"ids": ids, "low": np.zeros(v.shape[1], np.int64), "widths": np.zeros(v.shape[1], np.int64),
+                "planes": np.zeros((0, 0), np.uint64)}
     x = quantise(v)
     n, dim = x.shape
     low = x.min(0)
@@ -136,12 +161,46 @@ def _select(slices, allowed: np.ndarray, k: int):
     return inside, open_, have
 
 
+def _values(index: dict) -> list[list[int]]:
+    """The sliced rows' components, read off the slices."""
+    n, x, at = len(index["ids"]), np.tile(index["low"], (len(index["ids"]), 1)), 0
+    for d, width in enumerate(index["widths"]):
+        for j in range(width):
+            bits = np.unpackbits(index["planes"][at].view(np.uint8), bitorder="little")[:n]
+            x[:, d] += bits.astype(np.int64) << j
+            at += 1
+    return x.tolist()
+
+
 def find(index: dict, qids: np.ndarray, v: np.ndarray, k: int):
+    """The k best of a shard: sliced rows by slices, wide rows and queries exactly."""
+    large = wide(v)
+    if not large.any() and "wide" not in index:
+        return _find(index, qids, v, k)
+    found = [*map(list, _find(index, qids[~large], v[~large], k))]
+    pairs = [(qids[~large], whole(v[~large]) if "wide" in index else [], index.get("wide_ids", []), index.get("wide", []))]
+    if large.any():
+        own = whole(v[large])
+        pairs += [(qids[large], own, index["ids"], _values(index)),
+                  (qids[large], own, index.get("wide_ids", []), index.get("wide", []))]
+    for asked, queries, ids, rows in pairs:
+        for qid, scores in zip(asked, _exact(queries, rows)):
+            best = sorted((-s, i) for s, i in zip(scores, ids) if i != qid)[:k]
+            found[0] += [qid] * len(best)
+            found[1] += [i for _, i in best]
+            found[2] += [-s for s, _ in best]
+    own, ids, scores = (np.array(c, np.int64) for c in found)
+    order = sorted(range(len(own)), key=lambda i: (own[i], -int(scores[i]), ids[i]))
+    own, ids, scores = own[order], ids[order], scores[order]
+    top = np.arange(len(own)) - np.searchsorted(own, own) < k
+    return own[top], ids[top], scores[top]
+
+
+def _find(index: dict, qids: np.ndarray, v: np.ndarray, k: int):
     ids, n = index["ids"], len(index["ids"])
+    if not n or not len(qids):
+        return [np.zeros(0, np.int64)] * 3
     q = quantise(v)
-    bound = np.abs(q).sum(1).max(initial=0) * 2.0 ** int(index["widths"].max(initial=0) + 1)
-    if bound >= 2.0 ** 62:
-        raise ValueError("scores beyond 62 bits are not supported")
     words = index["planes"].shape[1] if len(index["planes"]) else -(-n // 64)
     valid = np.zeros(words * 8, np.uint8)
     valid[:-(-n // 8)] = np.packbits(np.ones(n, np.uint8), bitorder="little")

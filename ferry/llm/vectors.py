@@ -1,12 +1,17 @@
 """Sharded vector search: every query block against every shard's index.
 
-Rows are dealt evenly into shards of about ``shard_rows`` (by row, not by id or
-content, so no hot id or vector can fill one) and each shard is packed with its
-index into one row of a staged table. Queries are packed into chunks. Each
-(shard, chunk) pair is one task's work: the chunk is sent to every shard and
-joined on equal keys, so both sides of a pair fit in memory whatever the table
-size, and a pair returns at most k rows per query. A rank per query merges the
-shards' results.
+Rows are dealt evenly into shards (by row, not by id or content, so no hot id or
+vector can fill one) and each shard is packed with its index into one row of a
+staged table. Queries are packed into chunks. Each (shard, chunk) pair is one
+task's work, so both sides of a pair fit in memory whatever the table size, and
+a pair returns at most k rows per query. A rank per query merges the shards'
+results.
+
+A pair moves its index and its chunk once. Both are therefore as large as a task
+can hold (``BLOCK_BYTES`` of vectors each), which keeps what is moved small against
+the products computed: with b rows a block, queries x rows / b vectors from each
+side. Up to b queries the index of a shard is moved once only. While there are
+fewer shards than cores, they are smaller, down to ``LEAST_ROWS``.
 
 Vectors of different lengths never meet: the length is part of every key.
 """
@@ -22,8 +27,8 @@ from pyspark.sql import functions as F
 
 from ferry.llm.common import ship, staged
 
-SHARD_ROWS = 8192
-CHUNK_QUERIES = 2048
+BLOCK_BYTES = 32 << 20
+LEAST_ROWS = 2048
 
 
 def usable(emb: DataFrame) -> DataFrame:
@@ -45,7 +50,7 @@ def _matrix(column) -> np.ndarray:
 
 
 def search(rows: DataFrame, every: int, k: int, build, find, score_type: str,
-           shard_rows: int = SHARD_ROWS, chunk_queries: int = CHUNK_QUERIES) -> DataFrame:
+           shard_rows: int | None = None, chunk_queries: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score of the k best of all other rows for each
     row whose id is divisible by ``every``.
 
@@ -58,7 +63,10 @@ def search(rows: DataFrame, every: int, k: int, build, find, score_type: str,
 
     spark = rows.sparkSession
     ship(spark)
-    n = rows.count()
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.max("dim").alias("dim")).first()
+    n, block = size.n, max(1, BLOCK_BYTES // (8 * (size.dim or 1)))
+    shard_rows = shard_rows or min(block, max(LEAST_ROWS, n // (2 * spark.sparkContext.defaultParallelism)))
+    chunk_queries = chunk_queries or block
     shards = max(1, math.ceil(n / shard_rows))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
 

@@ -1,4 +1,6 @@
 """Vector searches against brute force."""
+from fractions import Fraction
+
 import numpy as np
 import pytest
 
@@ -99,6 +101,36 @@ def test_repeated_ids_are_one_query_and_many_candidates(spark):
     assert sorted(map(tuple, got)) == [(20, 1, 21, 8192), (20, 2, 21, 8192)]
 
 
-def test_large_components_are_refused():
-    with pytest.raises(ValueError):
-        bitslice.quantise(np.array([[1e9]]))
+def clipped(a, b):
+    f = lambda x: (Fraction(x) * 64).__floor__()
+    return min(max(sum(f(x) * f(y) for x, y in zip(a, b)), -2 ** 63), 2 ** 63 - 1)
+
+
+def test_large_components_are_scored_exactly(spark):
+    """Components that slices cannot add up, in rows and in queries, next to small ones."""
+    r = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in r.integers(-9, 9, 4) / 8]) for i in range(60)]
+    rows += [(100 + i, [1e9 * (i - 3), 2.0 ** 40, -0.3, 1e30 if i % 3 == 0 else 0.5]) for i in range(9)]
+    rows += [(120, [1e9, -1e9, 1.0, 0.0]), (140, [1e300, 0.0, 0.0, -1e300]), (160, [0.0, 3e7, 0.0, 0.25])]
+    rows = [(i, [float(x) for x in v]) for i, v in rows]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute(rows, 7, 20, clipped, True)
+    for sizes in ({}, {"shard_rows": 10, "chunk_queries": 2}):
+        assert sorted(map(tuple, bitslice.top_k(df, k=7, every=20, **sizes).collect())) == want
+
+
+def test_infinite_products_rank(spark):
+    rows = [(20, [1e200, 0.0]), (21, [1e200, 0.0]), (22, [1.0, 0.0]), (23, [-1e200, 5.0]), (40, [0.5, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, vptree.neighbours(df, k=5, every=20).collect()))
+    inf = float("inf")
+    assert got == [(20, 1, 21, inf), (20, 2, 22, 1e200), (20, 3, 40, 5e199), (20, 4, 23, -inf),
+                   (40, 1, 20, 5e199), (40, 2, 21, 5e199), (40, 3, 22, 0.5), (40, 4, 23, -5e199)]
+
+
+def test_an_index_is_moved_once_while_the_queries_fit_one_chunk(spark):
+    from ferry.llm import vectors
+    r = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in r.standard_normal(8)]) for i in range(600)]
+    got = vptree.neighbours(table(spark, rows), k=3, every=20, shard_rows=100).collect()
+    assert len(got) == 90 and vectors.BLOCK_BYTES // (8 * 8) > 600

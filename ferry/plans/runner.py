@@ -266,7 +266,7 @@ def _splittable(kind_ext: str, paths: list[str], fast: bool) -> bool:
         return False
     if fast:
         return True
-    return kind_ext in ("parquet", "ndjson", "jsonl", "xml", "csv", "tsv")
+    return kind_ext in ("parquet", "ndjson", "jsonl", "json", "xml", "csv", "tsv")
 
 
 def _run_per_file(js, job: Job, cat: Catalogue, sql_text: str | None,
@@ -345,7 +345,7 @@ def _run_per_file(js, job: Job, cat: Catalogue, sql_text: str | None,
         else:
             df = _read(js, files, job, fast, tag=True, one_header=key in ("csv", "tsv"))
             # (records put together from splits read a table of splits besides the files)
-            inputs = [fs.encoded(p) for p in paths] if key in ("csv", "tsv") else df.inputFiles()
+            inputs = [fs.encoded(p) for p in paths] if key in ("csv", "tsv", "json") else df.inputFiles()
             df, in_order = stages(df, job, None, per_file=True)
         if job.rows > 0:
             df = chunking.add_chunks(df, job.rows, per_file=True, stable=in_order,

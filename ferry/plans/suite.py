@@ -30,6 +30,7 @@ from ferry.plans.job import Job
 from ferry.plans.runner import run
 from ferry.session import job_session, scratch_path
 from ferry.sinks import layout
+from ferry.sinks.assemble import assemble
 from ferry.sinks.fs import HadoopFS
 from ferry.sources.catalogue import find_input_files
 from ferry.sources.readers import ReadOptions, read_files
@@ -335,6 +336,44 @@ def csv_multiline_split(spark, sf):
     return _as_schema(df.drop(*SOURCE_COLS), _table(js, sf, "documents"))
 
 
+def json_array_split(spark, sf):
+    """documents as one JSON array, pretty-printed, read by many tasks."""
+    js = _session(spark, assembled=True)
+    docs = _table(js, sf, "documents")
+    folder = scratch_path(js, "array")
+    rows = docs.select(F.to_json(F.struct("*"), {"pretty": "true", "ignoreNullFields": "false"}).alias("e"))
+    # every row and the comma before it; the first element is an empty object
+    (rows.select(F.concat(F.lit(","), "e").alias("value")).write.text(folder))
+    parts = sorted(f.path for f in HadoopFS(js).list(folder) if "/part-" in f.path)
+    HadoopFS(js).write_bytes(f"{folder}/head", b"[{}")
+    HadoopFS(js).write_bytes(f"{folder}/tail", b"]")
+    HadoopFS(js).mkdirs(f"{folder}-all")
+    assemble(js, [(f"{folder}-all/all.json", [f"{folder}/head", *parts, f"{folder}/tail"])])
+    df = read_files(js, [f"{folder}-all/all.json"], tag=True)
+    if df.select(F.countDistinct(SRC_BLOCK)).first()[0] < 3:
+        raise RuntimeError("the file was not read in splits")
+    return _as_schema(df.drop(*SOURCE_COLS).where("doc_id IS NOT NULL"), docs)
+
+
+def json_array_key_order(spark, sf):
+    """An array whose later elements bring new keys: columns come in first-seen order."""
+    js = _session(spark)
+    folder = scratch_path(js, "keys")
+    ev = _table(js, sf, "events").orderBy("event_id").coalesce(1)
+    first = F.col("event_id") % 2 == F.lit(1)
+    text = F.when(first, F.to_json(F.struct(F.col("user_id").alias("z"), F.col("event_id").alias("m")))) \
+        .otherwise(F.to_json(F.struct(F.col("event_id").alias("m"), F.col("event_type").alias("a"))))
+    ev.select(F.concat(F.lit(","), text).alias("value")).write.text(folder)
+    part = [f.path for f in HadoopFS(js).list(folder) if "/part-" in f.path]
+    HadoopFS(js).write_bytes(f"{folder}/head", b'[{"y": null}')
+    HadoopFS(js).write_bytes(f"{folder}/tail", b"]")
+    HadoopFS(js).mkdirs(f"{folder}-all")
+    assemble(js, [(f"{folder}-all/all.json", [f"{folder}/head", *part, f"{folder}/tail"])])
+    back = read_files(js, [f"{folder}-all/all.json"])
+    return back.groupBy().agg(F.count("z").alias("n_z"), F.sum("m").alias("ids"), F.count("a").alias("n_a")) \
+        .withColumn("columns", F.lit(",".join(back.columns)))
+
+
 def csv_glob_name(spark, sf):
     """The same rows as d1.csv and d[1].csv: both read back with the same types."""
     js = _session(spark)
@@ -951,6 +990,11 @@ def registry() -> dict[str, tuple[Query, str | None]]:
                         "(SELECT event_id, ROW_NUMBER() OVER () - 1 AS idx FROM events) "
                         "GROUP BY idx // 1000"),
         "csv_multiline_split": (csv_multiline_split, "SELECT * FROM documents"),
+        "json_array_split": (json_array_split, "SELECT * FROM documents"),
+        "json_array_key_order": (json_array_key_order,
+                                 "SELECT COUNT(*) FILTER (WHERE event_id % 2 = 1) AS n_z, SUM(event_id)::BIGINT AS ids, "
+                                 "COUNT(event_type) FILTER (WHERE event_id % 2 = 0) AS n_a, "
+                                 "CASE WHEN MIN(event_id) % 2 = 1 THEN 'y,z,m,a' ELSE 'y,m,a,z' END AS columns FROM events"),
         "csv_glob_name": (csv_glob_name, "SELECT *, unnest(['d1.csv', 'd[1].csv']) AS name FROM events"),
         "csv_ragged": (csv_ragged, "SELECT event_id, user_id, CASE WHEN event_id % 2 = 0 THEN event_type END AS event_type, "
                                    "true AS long_rows_refused FROM events"),

@@ -84,8 +84,13 @@ class _Split:
         return [("\n".join(self.open), kind)] if self.open else []
 
 
-def _records(lines: DataFrame, kinds: tuple[int, ...]) -> DataFrame:
-    """The records, or pieces of records, of these kinds."""
+def split_records(lines: DataFrame, kinds: tuple[int, ...], per_line: str, start: list[str], make) -> DataFrame:
+    """The records, or pieces of records, of these kinds.
+
+    ``make(file, block, *start values)`` gives a split's state; its ``add(values,
+    column per_line)`` the records that lines complete, with their kinds, and its
+    ``rest()`` what is open at the end.
+    """
     def run(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
@@ -109,8 +114,8 @@ def _records(lines: DataFrame, kinds: tuple[int, ...]) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            values, files, blocks, quotes, inside = batch.columns
-            blocks, quotes = blocks.to_numpy(), quotes.to_numpy()
+            values, files, blocks, per, *starts = batch.columns
+            blocks, per = blocks.to_numpy(), per.to_numpy(zero_copy_only=False)
             files = files.dictionary_encode()
             code = files.indices.to_numpy()
             cuts = np.flatnonzero(np.append(True, (np.diff(code) != 0) | (np.diff(blocks) != 0)))
@@ -118,13 +123,45 @@ def _records(lines: DataFrame, kinds: tuple[int, ...]) -> DataFrame:
                 key = (files.dictionary[int(code[start])].as_py(), int(blocks[start]))
                 if split is None or split.key != key:
                     yield from close()
-                    split = _Split(*key, inside[int(start)].as_py())
-                texts, found = split.add(values.slice(start, end - start), quotes[start:end])
+                    split = make(*key, *(c[int(start)].as_py() for c in starts))
+                texts, found = split.add(values.slice(start, end - start), per[start:end])
                 if len(texts):
                     yield rows(texts, found, split)
         yield from close()
 
-    return lines.select(VALUE, SRC_FILE, SRC_BLOCK, QUOTES, INSIDE).mapInArrow(run, OUT)
+    return lines.select(VALUE, SRC_FILE, SRC_BLOCK, per_line, *start).mapInArrow(run, OUT)
+
+
+def with_starts(lines: DataFrame, starts: DataFrame, n: int) -> DataFrame:
+    """``lines`` with the columns of the few rows ``starts`` (file, block, ...), in scan
+    order: broadcast up to MAX_BROADCAST_SPLITS rows, else joined by a shuffle."""
+    if n <= MAX_BROADCAST_SPLITS:
+        return lines.join(F.broadcast(starts), [SRC_FILE, SRC_BLOCK], "left")
+    return lines.withColumn(SRC_POS, F.monotonically_increasing_id()) \
+        .join(starts.hint("shuffle_hash"), [SRC_FILE, SRC_BLOCK], "left") \
+        .repartition(SRC_FILE, SRC_BLOCK).sortWithinPartitions(SRC_FILE, SRC_BLOCK, SRC_POS)
+
+
+def crossing_records(pieces: DataFrame, between: str) -> DataFrame:
+    """The records put together from pieces (an open one and the heads behind it, in
+    file order), ``between`` being what was cut away between lines."""
+    upto = Window.partitionBy(SRC_FILE).orderBy(SRC_BLOCK, KIND).rowsBetween(Window.unboundedPreceding, 0)
+    pieces = pieces.withColumn("of", F.sum((F.col(KIND) != HEAD).cast("long")).over(upto))
+    parts = F.array_sort(F.collect_list(F.struct(SRC_BLOCK, KIND, VALUE)))
+    return pieces.groupBy(SRC_FILE, "of").agg(
+        F.array_join(F.transform(parts, lambda p: p[VALUE]), between).alias(VALUE),
+        F.max(KIND).alias(KIND),
+        # a place between the split it starts in and the next one
+        F.coalesce(F.min(F.when(F.col(KIND) == HEAD, F.col(SRC_BLOCK))) - 1, F.max(SRC_BLOCK) + 1).alias(SRC_BLOCK)) \
+        .filter(F.col(KIND) != OPEN_HEADER).select(VALUE, SRC_FILE, SRC_BLOCK, F.lit(0).cast("long").alias(SRC_POS))
+
+
+def staged_starts(spark: SparkSession, starts: DataFrame) -> tuple[DataFrame, int]:
+    """The table of split starts (a row per split at most), written once."""
+    path = scratch_path(spark, "split-starts")
+    starts.write.parquet(path)
+    starts = spark.read.schema(starts.schema).parquet(path)
+    return starts, starts.count()
 
 
 def records(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -132,34 +169,13 @@ def records(spark: SparkSession, paths: list[str]) -> DataFrame:
     (increasing by one within a split). ``paths``: escaped file names."""
     ship_package(spark)
     lines = _lines(spark, paths)
-    path = scratch_path(spark, "csv-splits")
-    starts = split_starts(lines)
-    starts.write.parquet(path)
-    starts = spark.read.schema(starts.schema).parquet(path).withColumn(INSIDE, F.lit(True))
-    n = starts.count()
-    if n == 0:
-        marked = lines.withColumn(INSIDE, F.lit(False))
-    elif n <= MAX_BROADCAST_SPLITS:
-        marked = lines.join(F.broadcast(starts), [SRC_FILE, SRC_BLOCK], "left")
-    else:
-        marked = lines.withColumn(SRC_POS, F.monotonically_increasing_id()) \
-            .join(starts.hint("shuffle_hash"), [SRC_FILE, SRC_BLOCK], "left") \
-            .repartition(SRC_FILE, SRC_BLOCK).sortWithinPartitions(SRC_FILE, SRC_BLOCK, SRC_POS)
+    starts, n = staged_starts(spark, split_starts(lines).withColumn(INSIDE, F.lit(True)))
+    marked = with_starts(lines, starts, n) if n else lines.withColumn(INSIDE, F.lit(False))
     marked = marked.withColumn(INSIDE, F.coalesce(INSIDE, F.lit(False)))
-    found = _records(marked, (RECORD,)).drop(KIND)
+    found = split_records(marked, (RECORD,), QUOTES, [INSIDE], _Split).drop(KIND)
     if n:
-        # the pieces of one record: an open one and the heads behind it, in file order
-        pieces = _records(marked, (HEAD, TAIL, OPEN_HEADER))
-        upto = Window.partitionBy(SRC_FILE).orderBy(SRC_BLOCK, KIND).rowsBetween(Window.unboundedPreceding, 0)
-        pieces = pieces.withColumn("of", F.sum((F.col(KIND) != HEAD).cast("long")).over(upto))
-        parts = F.array_sort(F.collect_list(F.struct(SRC_BLOCK, KIND, VALUE)))
-        crossing = pieces.groupBy(SRC_FILE, "of").agg(
-            F.array_join(F.transform(parts, lambda p: p[VALUE]), "\n").alias(VALUE),
-            F.max(KIND).alias(KIND),
-            # a place between the split it starts in and the next one
-            F.coalesce(F.min(F.when(F.col(KIND) == HEAD, F.col(SRC_BLOCK))) - 1, F.max(SRC_BLOCK) + 1).alias(SRC_BLOCK))
-        crossing = crossing.filter(F.col(KIND) != OPEN_HEADER)
-        found = found.unionByName(crossing.select(VALUE, SRC_FILE, SRC_BLOCK, F.lit(0).cast("long").alias(SRC_POS)))
+        pieces = split_records(marked, (HEAD, TAIL, OPEN_HEADER), QUOTES, [INSIDE], _Split)
+        found = found.unionByName(crossing_records(pieces, "\n"))
     return found.withColumn(VALUE, F.regexp_replace(VALUE, "\r$", ""))
 
 

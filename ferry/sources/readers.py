@@ -14,7 +14,7 @@ ours is choosing them:
   One pass over all lines puts columns back in first-seen key order (Spark
   sorts inferred fields by name) and finds the columns whose every value is a
   plain date: those become DATE. A ``.json`` file whose first character is
-  ``[`` is read as one array.
+  ``[`` is one array: its elements (``jsonarrays``) are read as lines are.
 * XML: jobs name the *root* element; Spark wants the *row* tag. Every child
   element of a file's root is a row tag of that file.
 * A ``schema`` (DDL text) skips inference for CSV, TSV and JSON; a CSV value
@@ -41,7 +41,7 @@ from ferry.functions.internal import (CORRUPT, SOURCE_COLS, SRC_BLOCK, SRC_FILE,
                                       refuse_reserved)
 from ferry.functions.formats import compression_of, file_format, reader_kind, UnsupportedFormat
 from ferry.session import ship_package
-from ferry.sources import csvrecords, probe
+from ferry.sources import csvrecords, jsonarrays, probe
 from ferry.sinks.fs import HadoopFS
 from ferry.sources.splits import one_task_per_file
 
@@ -281,6 +281,44 @@ def _json_keys(spark: SparkSession, paths: list[str]) -> dict[str, str]:
     return {p: by_name.get(str(fs._path(p).toUri().getPath())) for p in paths}
 
 
+def _json_elements(spark: SparkSession, group: list[str], opts: ReadOptions, tag: bool) -> DataFrame | None:
+    """Array files read in splits, with the types and key order of JSON lines; None if
+    no element has a key."""
+    rows = jsonarrays.elements(spark, literals(group))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    order, dates = None, []
+    if opts.schema:
+        schema = T._parse_datatype_string(opts.schema)
+    else:
+        strings = spark.sparkContext._jvm.org.apache.spark.sql.Encoders.STRING()
+        reader = spark.read.options(inferTimestamp="true", **options)._jreader
+        texts = rows.select(csvrecords.VALUE)
+        schema = DataFrame(reader.json(getattr(texts._jdf, "as")(strings)), spark).schema
+        schema = T.StructType([f for f in schema.fields if f.name != CORRUPT])
+        if not schema.fields:
+            return None
+        if opts.json_key_order == "first_seen":
+            order, dates = _key_facts(rows.select(
+                F.col(csvrecords.VALUE).alias("value"), F.col(SRC_FILE).alias("f"), F.col(SRC_BLOCK).alias("b"),
+                F.col(SRC_POS).alias("m")), _timestamps(schema))
+    refuse_reserved(schema.names)
+    own = [F.col("r").getField(n) for n in schema.names]
+    out = rows.select(F.from_json(csvrecords.VALUE, schema, options).alias("r"), *SOURCE_COLS) \
+        .select(*(c.alias(n) for c, n in zip(own, schema.names)), *SOURCE_COLS)
+    if order is not None:
+        out = out.select(*_ordered(schema.names, order, dates), *SOURCE_COLS)
+    return out if tag else out.drop(*SOURCE_COLS)
+
+
+def _timestamps(schema: T.StructType) -> list[str]:
+    return [f.name for f in schema.fields if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))]
+
+
+def _ordered(names: list[str], order: list[str], dates: list[str]) -> list[Column]:
+    known = [c for c in order if c in names]
+    return [F.to_date(col(c)).alias(c) if c in dates else col(c) for c in known + [c for c in names if c not in known]]
+
+
 def _json(spark: SparkSession, paths: list[str], opts: ReadOptions, tag: bool) -> DataFrame:
     array_files, line_files = [], []
     maybe_array = [p for p in paths if file_format(p) == "json"]
@@ -300,20 +338,16 @@ def _json(spark: SparkSession, paths: list[str], opts: ReadOptions, tag: bool) -
         if CORRUPT in df.columns:
             df = df.drop(CORRUPT)
         if not multiline and opts.json_key_order == "first_seen" and df.columns:
-            ts_cols = [f.name for f in df.schema.fields
-                       if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))]
-            order, dates = json_facts(spark, group, ts_cols)
-            known = [c for c in order if c in df.columns]
-            rest = [c for c in df.columns if c not in known]
-            df = df.select([F.to_date(col(c)).alias(c) if c in dates else col(c)
-                            for c in known + rest])
+            order, dates = json_facts(spark, group, _timestamps(df.schema))
+            df = df.select(_ordered(df.columns, order, dates))
         return _tagged(df, tag)
 
     frames = []
     if line_files:
         frames.append(read(line_files, False))
     if array_files:
-        frames.append(read(array_files, True))
+        found = _json_elements(spark, array_files, opts, tag)
+        frames.append(read(array_files, True) if found is None else found)     # None: empty arrays
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
@@ -345,6 +379,11 @@ def json_facts(spark: SparkSession, paths: list[str], ts_cols: list[str]) -> tup
                      F.col("_metadata.file_block_start").alias("b"),
                      F.monotonically_increasing_id().alias("m"))
              .where(F.ltrim(F.col("value")).startswith("{")))
+    return _key_facts(lines, ts_cols)
+
+
+def _key_facts(lines: DataFrame, ts_cols: list[str]) -> tuple[list[str], list[str]]:
+    """``json_facts`` of JSON objects in ``value`` with their places f, b and m."""
     # Lines are first grouped by their list of keys (few lists, whatever the
     # number of lines); only these lists are taken apart. Per timestamp column:
     # how many values are present and how many of those are not yyyy-mm-dd.

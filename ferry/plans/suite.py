@@ -22,7 +22,7 @@ from ferry.functions import jsonsteps as S
 from ferry.functions import columns
 from ferry.functions.columns import col
 from ferry.functions.internal import SOURCE_COLS, SRC_BLOCK, SRC_FILE
-from ferry.operators import chunking, project, report
+from ferry.operators import chunking, frames, project, report
 from ferry.operators.preview import preview
 from ferry.operators.sqlstage import run_sql
 from ferry.operators.transform import apply_steps
@@ -624,6 +624,31 @@ Q3_RANGE = (
     "RANGE BETWEEN 1 FOLLOWING AND 3600000000 FOLLOWING) AS followers FROM input_data")
 
 
+HOUR = 3_600_000_000
+
+
+def _hot_user(ev: DataFrame) -> DataFrame:
+    """events where one user holds a third of all rows."""
+    return ev.withColumn("user_id", F.when(F.col("event_id") % 3 == 0, F.lit(1)).otherwise(F.col("user_id")))
+
+
+def q3_range_join_hot(spark, sf):
+    """Followers within an hour, where one user holds a third of all events."""
+    js = _session(spark)
+    ev = _hot_user(_table(js, sf, "events"))
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    return frames.following_count(ev, ["user_id"], micros, HOUR, "followers").select("event_id", "followers")
+
+
+def q7_moving_avg_hot(spark, sf):
+    """A user's average over the last 7 events of the day, one user holding a third."""
+    js = _session(spark)
+    ev = _hot_user(_table(js, sf, "events")).withColumn("day", F.col("ts").cast("date"))
+    out = frames.trailing_rows(ev, ["user_id", "day"], F.unix_micros(F.col("ts").cast("timestamp")), ["ts", "event_id"], 6,
+                               HOUR // 4, {"avg7": F.avg("value")})
+    return out.select("event_id", F.round("avg7", 6).alias("avg7"))
+
+
 def q3_range_join(spark, sf):
     js = _session(spark)
     # ts is timestamp_ntz; unix_micros wants a timestamp.
@@ -791,7 +816,14 @@ class DigestTransport:
         import hashlib
         import json
         n = ids = digest = 0
-        for line in req.body.decode("utf-8").splitlines():
+        rest = b""
+        lines = []
+        for block in req.blocks():
+            *lines_, rest = (rest + block).split(b"\n")
+            lines += lines_
+        for line in [*lines, rest]:
+            if not line:
+                continue
             r = json.loads(line)
             n, ids = n + 1, ids + r["event_id"]
             text = f"{r['event_id']}|{r['user_id']}|{r['event_type']}|{r['props']}"
@@ -1071,6 +1103,14 @@ def registry() -> dict[str, tuple[Query, str | None]]:
                          "(2, 500), (2, 500), (3, 404)) SELECT CAST(s.http_code AS INTEGER) "
                          "AS http_code, COUNT(*) AS attempts FROM cc JOIN s ON cc.chunk % 4 = s.m "
                          "GROUP BY s.http_code"),
+        "q3_range_join_hot": (q3_range_join_hot,
+                              "WITH e AS (SELECT event_id, ts, CASE WHEN event_id % 3 = 0 THEN 1 ELSE user_id END AS u "
+                              "FROM events) SELECT event_id, COUNT(*) OVER (PARTITION BY u ORDER BY epoch_us(ts) RANGE "
+                              "BETWEEN 1 FOLLOWING AND 3600000000 FOLLOWING) AS followers FROM e"),
+        "q7_moving_avg_hot": (q7_moving_avg_hot,
+                              "SELECT event_id, ROUND(AVG(value) OVER (PARTITION BY CASE WHEN event_id % 3 = 0 THEN 1 ELSE "
+                              "user_id END, CAST(ts AS DATE) ORDER BY ts, event_id ROWS BETWEEN 6 PRECEDING AND CURRENT "
+                              "ROW), 6) AS avg7 FROM events"),
         "q3_range_join": (q3_range_join,
                           "SELECT a.event_id, COUNT(b.event_id) AS followers FROM events a "
                           "LEFT JOIN events b ON b.user_id = a.user_id AND b.ts > a.ts "

@@ -39,7 +39,7 @@ from ferry.session import ship_package
 from ferry.operators.chunking import add_chunks
 from ferry.operators.rowindex import RUN_COLS, RUN_END, RUN_LAST, RUN_ORDERED, RUN_START
 from ferry.functions.names import output_base_name
-from ferry.functions.internal import CHUNK, IDX, SOURCE_COLS, SRC_FILE
+from ferry.functions.internal import CHUNK, IDX, PREFIX, SOURCE_COLS, SRC_FILE
 
 LOG_SCHEMA = T.StructType([
     T.StructField("source", T.StringType()),
@@ -57,18 +57,48 @@ LOG_SCHEMA = T.StructType([
     T.StructField("ended_ms", T.LongType()),
 ])
 
+WHOLE = PREFIX + "whole"
 NETWORK_ERROR = 0
 MAX_ATTEMPTS = 3
 
 
+BLOCK = 1 << 20
+
+
+@dataclass(frozen=True)
+class FileBody:
+    """A request's body that stays in its file: read in blocks, anew for every attempt."""
+    uri: str
+    length: int
+    options: dict
+
+    def __len__(self) -> int:
+        return self.length
+
+    def blocks(self):
+        from ferry.sinks.assemble import open_file
+        with open_file(self.uri, "rb", self.options) as src:
+            while block := src.read(BLOCK):
+                yield block
+
+
 @dataclass(frozen=True)
 class Request:
     url: str
-    body: bytes
+    content: bytes | FileBody
     headers: dict
     chunk: int
     attempt: int
 
+    @property
+    def body(self) -> bytes:
+        """The whole body, for transports that want it at once."""
+        return b"".join(self.blocks())
+
+    def blocks(self):
+        """The body in order, never more than a block of a file at once."""
+        return self.content.blocks() if isinstance(self.content, FileBody) else iter((self.content,))
+
 
 class HttpTransport:
     """POST with the standard library: a limit for connecting and one for the
@@ -92,8 +122,13 @@ class HttpTransport:
         try:
             conn.connect()
             conn.sock.settimeout(left())
+            def sent():
+                for block in req.blocks():
+                    conn.sock.settimeout(left())
+                    yield block
+
             conn.request("POST", (url.path or "/") + (f"?{url.query}" if url.query else ""),
-                         body=req.body, headers=req.headers)
+                         body=sent(), headers={**req.headers, "Content-Length": str(len(req.content))})
             conn.sock.settimeout(left())
             answer = conn.getresponse()
             parts = []
@@ -158,7 +193,7 @@ def idempotency_key(cfg: DeliveryConfig, chunk: int, source: str | None) -> str:
     return f"{cfg.job_id}-{place}-{output_base_name(source)}-{chunk}"
 
 
-def post_body(body: bytes, n_rows: int | None, name: str, chunk: int, cfg: DeliveryConfig,
+def post_body(body: bytes | FileBody, n_rows: int | None, name: str, chunk: int, cfg: DeliveryConfig,
               transport, sleep=time.sleep, source: str | None = None) -> list[dict]:
     """Send one body with the retry policy; one log record per attempt."""
     headers = header_dict(cfg.headers)
@@ -218,9 +253,9 @@ def deliver(df: DataFrame, cfg: DeliveryConfig, transport=None, sleep=time.sleep
     else:
         whole = F.lit(False)
     shown = temporal_to_text(chunked.select(*[col(c) for c in data_cols], IDX, CHUNK,
-                                            source.alias("source"), whole.alias("_whole")))
+                                            source.alias(SRC_FILE), whole.alias(WHOLE)))
     records = shown.select(
-        "source", F.col(CHUNK).alias("chunk"), F.col(IDX).alias("idx"), "_whole",
+        F.col(SRC_FILE).alias("source"), F.col(CHUNK).alias("chunk"), F.col(IDX).alias("idx"), WHOLE,
         F.to_json(F.struct(*[col(c) for c in data_cols]),
                   {"ignoreNullFields": "false"}).alias("line"))
     columns = [f.name for f in LOG_SCHEMA.fields]
@@ -253,9 +288,9 @@ def deliver(df: DataFrame, cfg: DeliveryConfig, transport=None, sleep=time.sleep
                           sleep, source=_source(pdf["source"].iloc[0]))
         return pd.DataFrame(rows, columns=columns)
 
-    inside = (records.where(F.col("_whole")).drop("_whole")
+    inside = (records.where(F.col(WHOLE)).drop(WHOLE)
               .mapInPandas(send_in_place, schema=LOG_SCHEMA))
-    edges = records.where(~F.col("_whole")).drop("_whole")
+    edges = records.where(~F.col(WHOLE)).drop(WHOLE)
     gathered = edges.groupBy("source", "chunk").applyInPandas(send, schema=LOG_SCHEMA)
     sent = inside.unionByName(gathered)
     # one cap over all sending tasks, in place or gathered
@@ -265,7 +300,8 @@ def deliver(df: DataFrame, cfg: DeliveryConfig, transport=None, sleep=time.sleep
 def deliver_file(spark, path: str, cfg: DeliveryConfig, transport=None, sleep=time.sleep,
                  lines: bool = True) -> DataFrame:
     """POST one finished file as a single request, from an executor; returns the
-    attempt log (lazy). ``lines``: one record per line (else n_rows is null)."""
+    attempt log (lazy). The body streams from the file in blocks, whatever its size.
+    ``lines``: one record per line (else n_rows is null)."""
     from ferry.sinks.assemble import open_file
     from ferry.sources.cloud import store_options
     ship_package(spark)
@@ -277,8 +313,9 @@ def deliver_file(spark, path: str, cfg: DeliveryConfig, transport=None, sleep=ti
         for pdf in batches:
             for target in pdf["path"]:
                 with open_file(target, "rb", options) as src:
-                    body = src.read()
-                n = body.count(b"\n") if lines else None
+                    src.seek(0, 2)
+                    body = FileBody(target, src.tell(), options)
+                n = sum(block.count(b"\n") for block in body.blocks()) if lines else None
                 rows = post_body(body, n, target.rsplit("/", 1)[-1], 0, cfg, transport, sleep, target)
                 yield pd.DataFrame(rows, columns=columns)
 

@@ -1,8 +1,10 @@
 """What a file holds, looked at before the Spark read to choose its options.
 
 CSV header records and the first character of JSON files come from file heads
-(after decompression), fetched concurrently through Hadoop's FileSystem client
-and read on until the answer is found. XML children of the root are found by a
+(after decompression), read on until the answer is found; Parquet columns come
+from footers. A few files are looked at from the driver, concurrently through
+Hadoop's FileSystem client; beyond ``DRIVER_FILES`` the tasks of one job do it, and
+only a short answer per file comes back. XML children of the root are found by a
 whole-file scan (``readers.xml_shapes`` runs it on the executors).
 """
 
@@ -12,6 +14,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import SparkSession
 
+from ferry.session import ship_package
 from ferry.sinks.fs import HadoopFS
 
 HEAD_BYTES = 65536
@@ -41,7 +44,74 @@ def _until(fs: HadoopFS, path: str, found, nbytes: int):
         nbytes *= 16
 
 
+# Up to this many files are looked at from the driver (no job needed).
+DRIVER_FILES = 64
+
+
+def _decompressed(src, path: str):
+    low = path.lower()
+    if low.endswith(".gz"):
+        import gzip
+        return gzip.GzipFile(fileobj=src)
+    if low.endswith(".bz2"):
+        import bz2
+        return bz2.BZ2File(src)
+    if low.endswith(".zst"):
+        import zstandard
+        return zstandard.ZstdDecompressor().stream_reader(src, read_across_frames=True)
+    return src
+
+
+def read_on(src, found, nbytes: int):
+    """``found(head, at_end)`` of an open file, of a head that grows until it is not None."""
+    head = b""
+    while True:
+        more = src.read(nbytes)
+        head += more
+        got = found(head, not more)
+        if got is not None:
+            return got
+        nbytes = min(16 * nbytes, 1 << 24)
+
+
+def in_tasks(spark: SparkSession, paths: list[str], answer) -> dict | None:
+    """path -> ``answer(open file, path)`` (a string), found by the tasks of one job;
+    None if executors cannot open files of that storage."""
+    from ferry.sinks.assemble import open_file
+    from ferry.sources.cloud import ASSEMBLED_SCHEMES, scheme_of, store_options
+    if scheme_of(paths[0]) not in ASSEMBLED_SCHEMES:
+        return None
+    ship_package(spark)
+    options = store_options(spark, paths[0])
+
+    def look(batches):
+        import pandas as pd
+        for pdf in batches:
+            out = []
+            for path in pdf["path"]:
+                with open_file(path, "rb", options) as src:
+                    out.append((path, answer(src, path)))
+            yield pd.DataFrame(out, columns=["path", "answer"])
+
+    width = min(len(paths), 4 * spark.sparkContext.defaultParallelism)
+    rows = spark.createDataFrame([(p,) for p in paths], "path string").repartition(width) \
+        .mapInPandas(look, "path string, answer string").collect()
+    return {r.path: r.answer for r in rows}
+
+
+def parquet_columns(src, path: str) -> str:
+    """What a Parquet file says of its columns: Spark's own schema text, or Arrow's."""
+    import pyarrow.parquet as pq
+    meta = pq.ParquetFile(src).metadata
+    own = (meta.metadata or {}).get(b"org.apache.spark.sql.parquet.row.metadata")
+    return own.decode() if own else str(meta.schema.to_arrow_schema().remove_metadata())
+
+
 def _each(spark: SparkSession, paths: list[str], found, nbytes: int) -> dict:
+    if len(paths) > DRIVER_FILES:
+        many = in_tasks(spark, paths, lambda src, p: read_on(_decompressed(src, p), found, nbytes))
+        if many is not None:
+            return many
     fs = HadoopFS(spark)
     with ThreadPoolExecutor(max_workers=min(16 if len(paths) <= 1000 else 64, len(paths))) as pool:
         return dict(zip(paths, pool.map(lambda p: _until(fs, p, found, nbytes), paths)))

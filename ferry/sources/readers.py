@@ -218,6 +218,9 @@ def schema_groups(spark: SparkSession, paths: list[str], options: ReadOptions) -
         return [own for g in header_groups(spark, paths) for own in _type_groups(spark, g, sep, options)]
     if k == "parquet":
         _check_parquet(spark, paths)
+        many = probe.in_tasks(spark, paths, probe.parquet_columns) if len(paths) > probe.DRIVER_FILES else None
+        if many is not None:
+            return _grouped(many, paths)
         with ThreadPoolExecutor(max_workers=min(16, len(paths))) as pool:
             shown = pool.map(lambda p: spark.read.parquet(literal(p)).schema.json(), paths)
         return _grouped(dict(zip(paths, shown)), paths)

@@ -306,6 +306,67 @@ def analytical_report(spark, sf):
     return run(js, Job(input=f"{sf}/lineitem.parquet", sql=sql, output=out)).result
 
 
+def analytical_csv(spark, sf):
+    """Analytical mode: what stands in query_result.csv."""
+    js = _session(spark)
+    out = scratch_path(js, "analytical")
+    sql = ("SELECT l_returnflag, l_linestatus, CAST(SUM(l_quantity) AS BIGINT) AS sum_qty, "
+           "COUNT(*) AS n FROM input_data GROUP BY l_returnflag, l_linestatus")
+    run(js, Job(input=f"{sf}/lineitem.parquet", sql=sql, output=out))
+    return read_files(js, [f"{out}/query_result.csv"])
+
+
+def stage_order(spark, sf):
+    """Columns, then dedupe, then steps: rows that a step makes alike stay apart, and the
+    step reads what the columns left."""
+    js = _session(spark)
+    out = scratch_path(js, "order")
+    run(js, Job(input=f"{sf}/events.parquet", format="ndjson", cols="event_type,user_id", dedupe=True, output=out,
+                steps=({"set": {"user_id": 0}}, {"append": {"field": "event_type", "suffix": "!"}})))
+    back = read_files(js, find_input_files(js, out).paths)
+    return back.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def preview_pair(spark, sf):
+    """The first 10 rows of a file as they are, and after the steps."""
+    js = _session(spark)
+    nd = _export(js, sf, "events", "ndjson")
+    job = Job(input=find_input_files(js, nd).paths[0], format="ndjson", preview=10)
+    before = run(js, job).result
+    after = run(js, dataclasses.replace(job, steps=({"append": {"field": "event_type", "suffix": "!"}},))).result
+    return before.select("event_id", "event_type").join(after.select("event_id", F.col("event_type").alias("after")), "event_id")
+
+
+def output_names(spark, sf):
+    """Names with prefix, suffix, chunk number and gzip, and the default folder: each
+    output file with its rows."""
+    js = _session(spark)
+    folder = scratch_path(js, "names")
+    layout.write_single(_table(js, sf, "events"), "csv", f"{folder}/ev.v1.csv")
+    job = Job(input=f"{folder}/ev.v1.csv", format="ndjson", prefix="p_", suffix="_s")
+    made = [w.path for w in run(js, dataclasses.replace(job, rows=4000, compressed=True)).outputs]
+    made += [w.path for w in run(js, job).outputs]
+    made += [w.path for w in run(js, dataclasses.replace(job, single_file=True)).outputs]
+    back = read_files(js, made, kind="json", tag=True)
+    place = F.split(SRC_FILE, "/")
+    return back.groupBy(F.element_at(place, -1).alias("name"),
+                        (F.element_at(place, -2) == folder.rsplit("/", 1)[1]).alias("beside_input")) \
+        .agg(F.count(F.lit(1)).alias("n"))
+
+
+def throughput_rates(spark, sf):
+    """Requests and records a second are those of the log's delivered attempts."""
+    js = _session(spark)
+    cfg = DeliveryConfig(url="http://collector.invalid/x", rate_delay=0.0, backoff_unit=0.0)
+    log = deliver(_table(js, sf, "events"), cfg, transport=ScriptedTransport(), sleep=_no_sleep, stable=True) \
+        .checkpoint(eager=True)
+    took = log.where("outcome = 'delivered'").agg(
+        ((F.max("ended_ms") - F.min("started_ms")) / 1000.0).alias("took")).first().took
+    near = lambda rate, n: F.abs(F.col(rate) * F.greatest(F.lit(float(took)), F.lit(1e-3)) - F.col(n)) < 1e-6 * F.col(n)
+    return throughput(log).select("requests", near("req_per_sec", "requests").alias("requests_rate_ok"),
+                                  near("rec_per_sec", "records").alias("records_rate_ok"))
+
+
 # -- chunks -----------------------------------------------------------------------
 
 def chunk_manifest(spark, sf):
@@ -1021,6 +1082,21 @@ def registry() -> dict[str, tuple[Query, str | None]]:
                         "MIN(event_id) AS first_id, MAX(event_id) AS last_id FROM "
                         "(SELECT event_id, ROW_NUMBER() OVER () - 1 AS idx FROM events) "
                         "GROUP BY idx // 1000"),
+        "analytical_csv": (analytical_csv,
+                           "SELECT l_returnflag, l_linestatus, CAST(SUM(l_quantity) AS BIGINT) AS sum_qty, COUNT(*) AS n "
+                           "FROM lineitem GROUP BY l_returnflag, l_linestatus"),
+        "stage_order": (stage_order, "SELECT event_type || '!' AS event_type, 0::BIGINT AS user_id, COUNT(*) AS n FROM "
+                                     "(SELECT DISTINCT event_type, user_id FROM events) GROUP BY event_type"),
+        "preview_pair": (preview_pair, "SELECT event_id, event_type, event_type || '!' AS after FROM "
+                                       "(SELECT * FROM events LIMIT 10)"),
+        "output_names": (output_names,
+                         "SELECT 'p_ev.v1-' || (i // 4000 + 1) || '_s.ndjson.gz' AS name, true AS beside_input, COUNT(*) AS n "
+                         "FROM (SELECT ROW_NUMBER() OVER () - 1 AS i FROM events) GROUP BY i // 4000 UNION ALL "
+                         "SELECT unnest(['p_ev.v1_s.ndjson', 'p_ev.v1_merged_s.ndjson']), true, COUNT(*) FROM events"),
+        "throughput_rates": (throughput_rates,
+                             "SELECT COUNT(*) AS requests, true AS requests_rate_ok, true AS records_rate_ok FROM "
+                             "(SELECT DISTINCT i // 1000 AS c FROM (SELECT ROW_NUMBER() OVER () - 1 AS i FROM events)) "
+                             "WHERE c % 4 IN (0, 1)"),
         "csv_multiline_split": (csv_multiline_split, "SELECT * FROM documents"),
         "json_array_split": (json_array_split, "SELECT * FROM documents"),
         "json_array_key_order": (json_array_key_order,

@@ -129,7 +129,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or \
         sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
-        if not sc.master.startswith("local"):
+        if sc.master.split("[")[0] != "local":      # local-cluster has executors of its own
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         conf_dir = tempfile.mkdtemp(prefix="ferry-ckpt-")
     sc.setCheckpointDir(conf_dir)

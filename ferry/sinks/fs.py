@@ -125,6 +125,11 @@ class HadoopFS:
         finally:
             stream.close()
 
+    def status(self, p: str) -> FileInfo:
+        st = self._fs(p).getFileStatus(self._path(p))
+        return FileInfo(str(st.getPath().toString()), int(st.getLen()), bool(st.isDirectory()),
+                        int(st.getModificationTime()))
+
     def glob(self, pattern: str) -> list[FileInfo]:
         sts = self._fs(pattern).globStatus(self._path(pattern))
         if sts is None:

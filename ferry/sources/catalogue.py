@@ -66,8 +66,7 @@ def find_input_files(spark: SparkSession, path: str) -> Catalogue:
         found = tuple(fs.glob(path))
         return _apart(path, False, found) if found else Catalogue(path, False, (FileInfo(path, 0, False),))
     if fs.is_file(path):
-        folder, _, name = fs.qualify(path).rpartition("/")
-        return _apart(path, False, [f for f in fs.list(folder) if f.path.endswith("/" + name)])
+        return _apart(path, False, [fs.status(path)])
     if is_cloud(path):
         listed = [f for f in fs.glob(path.rstrip("/") + "/*") if not f.is_dir]
         files = sorted((f for f in listed if is_data_file(f.path)), key=lambda f: f.path)

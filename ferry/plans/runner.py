@@ -43,7 +43,7 @@ from ferry.sinks.fs import HadoopFS
 from ferry.sources.catalogue import Catalogue, CatalogueError, find_input_files
 from ferry.sources.cloud import ASSEMBLED_SCHEMES, apply_credentials, scheme_of
 from ferry.sources.readers import ReadOptions, read_files, schema_groups
-from ferry.streaming.delivery import DeliveryConfig, deliver, deliver_file
+from ferry.streaming.delivery import MAX_RATE, DeliveryConfig, deliver_file, record_lines, send_paced
 
 log = logging.getLogger("ferry")
 
@@ -305,7 +305,7 @@ def _run_per_file(js, job: Job, cat: Catalogue, sql_text: str | None,
     def dest_for(src: str, chunk: int | None) -> str:
         return names.join(out_dir_for(src), name_for(src, chunk))
 
-    outputs, logs = [], []
+    outputs, unsent = [], []
     by_format: dict[str, list] = {}
     for f in cat.files:
         by_format.setdefault(file_format(f.path), []).append(f)
@@ -355,20 +355,19 @@ def _run_per_file(js, job: Job, cat: Catalogue, sql_text: str | None,
             _splittable(key, paths, fast), job.compressed,
             chunked=job.rows > 0, xml_root=job.xml_root, inputs=inputs, protected=every)
         if job.url:
-            logs.append(_deliver(df, job, transport, sleep))
+            unsent.append(record_lines(df, job.rows))
     if per_file_sql:
-        sub = _per_file_sql(js, job, per_file_sql, fast, sql_text, sink_fmt, out_dir_for,
-                            name_for, transport, sleep, every)
-        outputs += sub.outputs
-        if sub.delivery_log is not None:
-            logs.append(sub.delivery_log)
+        written, records = _per_file_sql(js, job, per_file_sql, fast, sql_text, sink_fmt,
+                                         out_dir_for, name_for, every)
+        outputs += written
+        unsent += records
     if cat.empty and job.rows == 0:
         bare = {dest_for(f.path, None): f.path for f in cat.empty}
         done = layout.write_bare(js, sink_fmt, list(bare), stage_root, job.compressed, job.xml_root, every)
         outputs += [layout.Written(bare[t], None, t) for t in done]
     result = JobResult("per_file", outputs, warnings=list(job.warnings))
-    if logs:
-        result.delivery_log = _write_log(js, job, _union(logs))
+    if unsent:
+        result.delivery_log = _write_log(js, job, _deliver(unsent, job, transport, sleep))
     return result
 
 
@@ -406,8 +405,9 @@ SQL_BATCH_FILES = 64
 
 
 def _per_file_sql(js, job, files, fast, sql_text, sink_fmt, out_dir_for, name_for,
-                  transport, sleep, protected) -> JobResult:
-    """SQL that is not row-local, each file its own ``input_data``.
+                  protected) -> tuple[list, list]:
+    """SQL that is not row-local, each file its own ``input_data``: what was written,
+    and the records to send.
 
     Unordered results: files are batched; in one session each file gets its
     own view, the per-file results are tagged with their file and unioned,
@@ -417,7 +417,7 @@ def _per_file_sql(js, job, files, fast, sql_text, sink_fmt, out_dir_for, name_fo
     probe = run_sql(_read(job_session(js), files[:1], job, fast), sql_text)
     if len(files) > 1 and not layout.is_globally_sorted(probe):
         return _per_file_sql_batched(js, job, files, fast, sql_text, sink_fmt, out_dir_for,
-                                     name_for, transport, sleep, protected)
+                                     name_for, protected)
 
     def one(f):
         df = _read(job_session(js), [f], job, fast)
@@ -425,7 +425,7 @@ def _per_file_sql(js, job, files, fast, sql_text, sink_fmt, out_dir_for, name_fo
         df, _ = apply_steps(df, job.steps, strict=job.strict)
         d = out_dir_for(f.path)
         outs = []
-        dlog = None
+        records = None
         if job.rows > 0:
             df = chunking.add_chunks(df, job.rows, stable=False)
             tagged = df.withColumn(SRC_FILE, F.lit(_encoded(js, f.path)))
@@ -435,23 +435,22 @@ def _per_file_sql(js, job, files, fast, sql_text, sink_fmt, out_dir_for, name_fo
                 job.compressed, chunked=True, xml_root=job.xml_root,
                 inputs=[_encoded(js, f.path)], protected=protected)
             if job.url:
-                dlog = _deliver(df, job, transport, sleep)
+                records = record_lines(tagged, job.rows)
         else:
             outs = [layout.write_single(df, sink_fmt, names.join(d, name_for(f.path, None)),
                                         job.compressed, job.xml_root, input_bytes=f.length)]
-        return outs, dlog
+        return outs, records
 
     workers = max(1, min(job.parallel or 16, len(files)))
     with ThreadPoolExecutor(max_workers=workers) as pool:
         done = list(pool.map(one, files))
     outputs = [w for outs, _ in done for w in outs]
-    logs = [lg for _, lg in done if lg is not None]
-    return JobResult("per_file", outputs, delivery_log=_union(logs) if logs else None)
+    return outputs, [records for _, records in done if records is not None]
 
 
 def _per_file_sql_batched(js, job, files, fast, sql_text, sink_fmt, out_dir_for, name_for,
-                          transport, sleep, protected) -> JobResult:
-    outputs, logs = [], []
+                          protected) -> tuple[list, list]:
+    outputs, unsent = [], []
 
     def dest_for(src: str, chunk: int | None) -> str:
         return names.join(out_dir_for(src), name_for(src, chunk))
@@ -486,8 +485,8 @@ def _per_file_sql_batched(js, job, files, fast, sql_text, sink_fmt, out_dir_for,
                 [batch[i].length for i in own], True, job.compressed, chunked=job.rows > 0,
                 xml_root=job.xml_root, inputs=[encoded[i] for i in own], protected=protected)
             if job.url:
-                logs.append(_deliver(df, job, transport, sleep))
-    return JobResult("per_file", outputs, delivery_log=_union(logs) if logs else None)
+                unsent.append(record_lines(df, job.rows))
+    return outputs, unsent
 
 
 def _encoded(js, path: str) -> str:
@@ -496,19 +495,14 @@ def _encoded(js, path: str) -> str:
     return HadoopFS(js).uri_form(str(jvm.org.apache.hadoop.fs.Path(path).toUri().toString()))
 
 
-def _deliver(df: DataFrame, job: Job, transport, sleep) -> DataFrame:
-    cfg = DeliveryConfig(url=job.url, rows=job.rows, headers=tuple(job.headers))
-    kwargs = {}
-    if sleep is not None:
-        kwargs["sleep"] = sleep
-    return deliver(df, cfg, transport=transport, max_concurrency=job.parallel, **kwargs)
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+def _deliver(unsent: list[DataFrame], job: Job, transport, sleep) -> DataFrame:
+    """Everything a job sends goes out in one stage, at one pace."""
+    records = unsent[0]
+    for more in unsent[1:]:
+        records = records.unionByName(more)
+    cfg = DeliveryConfig(url=job.url, rows=job.rows, headers=tuple(job.headers), max_rate=MAX_RATE)
+    kwargs = {} if sleep is None else {"sleep": sleep}
+    return send_paced(records, cfg, transport, max_concurrency=job.parallel, **kwargs)
 
 
 def _write_log(js, job: Job, delivery_log: DataFrame) -> DataFrame:

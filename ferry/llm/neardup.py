@@ -7,11 +7,20 @@
 2. LSH forest: in each of ``TREES`` orders the nodes are sorted by a label of
    minimum hashes (a range sort by label and node, so a region with a third of
    all rows is spread over many tasks). Nodes that agree on at least ``DEPTH``
-   hashes are candidates: all pairs of a region of up to ``REGION`` nodes; a
-   larger region is cut deeper, at the next hash, until it is that small or
-   the label ends, and besides every node meets its ``BESIDE`` next neighbours
-   by longest common prefix. A pair at similarity 0.85 agrees on DEPTH hashes
-   in no order with probability (1 - 0.85^5)^25 < 1e-6.
+   hashes are candidates: all pairs of a region of up to ``REGION`` nodes. Rows of
+   larger regions, and of those that touch the seam of two tasks, get the whole
+   signature for a label and are sorted again: there all pairs of a region of up
+   to ``STRETCH`` nodes are compared by signature; a larger one is cut deeper, at the
+   next hash, until it is that small or all hashes agree (then the nodes are
+   chained), and next neighbours by longest common prefix are compared across the
+   cuts. At the seams of this second sort up to ``STRETCH`` rows of either side are
+   compared as well. A pair at similarity 0.85 agrees on DEPTH hashes in no
+   order with probability (1 - 0.85^5)^25 < 1e-6. In a family of F documents that
+   share most of their text (similarity s to each other, below the threshold),
+   regions hold F s^5 nodes; up to STRETCH of them nothing is cut. Beyond, a pair is
+   missed with at most (1 - 0.85^h)^25, h = log(F / STRETCH) / log(1 / s): s = 0.6
+   gives below 1e-6 for F = 10,000, about 1e-3 for 100,000 and 5e-2 for a million;
+   step 4 finds such a pair all the same if other links hold its group together.
 3. Candidates whose minimum hashes agree in fewer than ``LEAST_EQUAL`` of 125
    places are dropped (a true link is, with probability < 1e-6); connected
    components of the others are provisional groups.
@@ -35,33 +44,36 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ferry.llm.common import DOC_COLUMNS, ship, staged, table
 from ferry.llm.components import components
 
 WORDS = 5
-TREES, DEPTH, DEEPER = 25, 5, 2
+TREES, DEPTH = 25, 5
 HASHES = TREES * DEPTH
 REGION, BESIDE = 12, 3
+#: largest region whose pairs are all compared by signature; also the rows taken from either side of a seam
+STRETCH = 1024
 LEAST_EQUAL = 86
 #: links need NUM * intersection >= DEN * union
 NUM, DEN = 100, 85
 GROUP_SHINGLES = 1_500_000
 #: members of provisional groups (about 40 bytes each) up to this count are broadcast
 BROADCAST_MEMBERS = 500_000
+#: what a task of a sort or a join on full sets should hold
+TASK_BYTES = 64 << 20
 
 _U = np.uint64
 _rng = np.random.default_rng(20240607)
 _XOR = _rng.integers(0, 2 ** 64, HASHES, dtype=_U)
 _MUL = _rng.integers(0, 2 ** 64, HASHES, dtype=_U) | _U(1)
 _PLACE = _rng.integers(0, 2 ** 64, WORDS, dtype=_U) | _U(1)
-_PREFIX = 1 + 4 * DEPTH
-_LABEL = 1 + 4 * (DEPTH + DEEPER)
-#: the hashes of each order: DEPTH of its own, then DEEPER of other orders
-_ORDER = np.array([[DEPTH * t + i for i in range(DEPTH)] + [(DEPTH * (t + 7 * j + 1) + j) % HASHES for j in range(DEEPER)]
-                   for t in range(TREES)])
+#: a label: its order, then DEPTH hashes
+_LABEL = 1 + 4 * DEPTH
+#: a deep label: the label, then the low bytes of all hashes, its own ones first
+_DEEP = _LABEL + HASHES
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -127,6 +139,11 @@ def signatures(docs: DataFrame) -> DataFrame:
         .mapInArrow(run, "doc_id long, n_shingles long, node binary, mins binary")
 
 
+def _width(spark: SparkSession, nbytes: float) -> int:
+    """Tasks for so many bytes: the session's width, or more."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(nbytes // TASK_BYTES) + 1)
+
+
 def _labels(batches):
     """One row per node and order: (label, node)."""
     import pyarrow as pa
@@ -134,93 +151,182 @@ def _labels(batches):
         for at in range(0, batch.num_rows, 2000):
             part = batch.slice(at, 2000)
             n = part.num_rows
-            mins = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(n, HASHES)
+            mins = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(n, TREES, DEPTH)
             out = np.empty((n, TREES, _LABEL), np.uint8)
             out[:, :, 0] = np.arange(TREES)
-            out[:, :, 1:] = np.ascontiguousarray(mins[:, _ORDER].astype(">u4")).view(np.uint8).reshape(n, TREES, _LABEL - 1)
+            out[:, :, 1:] = np.ascontiguousarray(mins.astype(">u4")).view(np.uint8).reshape(n, TREES, _LABEL - 1)
             offsets = pa.py_buffer((np.arange(n * TREES + 1) * _LABEL).astype(np.int32))
             labels = pa.Array.from_buffers(pa.binary(), n * TREES, [None, offsets, pa.py_buffer(out.tobytes())])
             owner = pa.array(np.repeat(np.arange(n), TREES))
             yield pa.RecordBatch.from_arrays([labels, part.column(0).take(owner)], ["label", "node"])
 
 
-def _region_pairs(labels: list[bytes], nodes: list[bytes]):
-    """Candidate pairs of one region: sorted labels with a common prefix of DEPTH hashes."""
-    out = set()
-    n = len(nodes)
-    for i in range(n):
-        for j in range(i + 1, min(n, i + 1 + BESIDE)):
-            out.add((nodes[i], nodes[j]))
-
-    def cut(a, b, depth):
-        if b - a <= REGION:
-            out.update((nodes[i], nodes[j]) for i in range(a, b) for j in range(i + 1, b))
-        elif depth < DEPTH + DEEPER:
-            end = 1 + 4 * (depth + 1)
-            start = a
-            for i in range(a + 1, b + 1):
-                if i == b or labels[i][:end] != labels[start][:end]:
-                    if i - start > 1:
-                        cut(start, i, depth + 1)
-                    start = i
-
-    cut(0, n, DEPTH)
-    return out
+def _regions(region: int):
+    """Over a sorted partition of (label, node): all pairs (a, b) of regions of up to
+    ``region`` nodes; the rows (a, label) of larger regions, and of the first and last
+    one, which may go on in another task. A large region is passed on as it is read."""
 
+    def run(batches):
+        import pyarrow as pa
+        prefix, held, large = None, [], True
+        for batch in batches:
+            pairs, deep = [], []
+            for label, node in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if label != prefix:
+                    pairs.extend((held[i], held[j]) for i in range(len(held)) for j in range(i + 1, len(held))
+                                 if held[i] != held[j])
+                    # the first region of a partition is passed on whatever its size
+                    large = prefix is None
+                    prefix, held = label, []
+                if not large:
+                    held.append(node)
+                    if len(held) > region:
+                        deep.extend((n, label) for n in held)
+                        held, large = [], True
+                else:
+                    deep.append((node, label))
+            if pairs or deep:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([min(p) for p in pairs] + [n for n, _ in deep], pa.binary()),
+                     pa.array([max(p) for p in pairs] + [None] * len(deep), pa.binary()),
+                     pa.array([None] * len(pairs) + [x for _, x in deep], pa.binary())], ["a", "b", "label"])
+        if held:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(held, pa.binary()), pa.nulls(len(held), pa.binary()),
+                 pa.array([prefix] * len(held), pa.binary())], ["a", "b", "label"])
 
-#: rows of a region that are held at once; a longer region is taken in overlapping stretches
-STRETCH = 4096
+    return run
 
 
-def _neighbours(batches):
-    """Candidate pairs within one sorted partition, and its border rows (b null) for the seams."""
+def _deepen(batches):
+    """(label, node, low) to (deep label, node): the signature from the order's own hashes on."""
     import pyarrow as pa
-    labels, nodes, first, tail = [], [], [], []
-    schema = ["a", "b", "label"]
+    for batch in batches:
+        labels, nodes, lows = (batch.column(i).to_pylist() for i in range(3))
+        deep = [x + low[DEPTH * x[0]:] + low[:DEPTH * x[0]] for x, low in zip(labels, lows)]
+        yield pa.RecordBatch.from_arrays([pa.array(deep, pa.binary()), pa.array(nodes, pa.binary())], ["label", "node"])
 
-    def rows(pairs):
-        pairs = [p for p in pairs if p[0] != p[1]]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([min(p) for p in pairs], pa.binary()), pa.array([max(p) for p in pairs], pa.binary()),
-             pa.nulls(len(pairs), pa.binary())], schema)
 
-    for batch in batches:
-        found = []
-        for label, node in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if labels and (label[:_PREFIX] != labels[-1][:_PREFIX] or len(labels) >= STRETCH):
-                if len(labels) > 1:
-                    found.extend(_region_pairs(labels, nodes))
-                keep = BESIDE if label[:_PREFIX] == labels[-1][:_PREFIX] else 0
-                labels, nodes = (labels[-keep:], nodes[-keep:]) if keep else ([], [])
-            labels.append(label)
-            nodes.append(node)
-            if len(first) < BESIDE:
-                first.append((label, node))
-            tail.append((label, node))
-            if len(tail) > BESIDE:
-                tail.pop(0)
-        if found:
-            yield rows(found)
-    if len(labels) > 1:
-        yield rows(_region_pairs(labels, nodes))
-    border = list(dict.fromkeys(first + tail))
-    if border:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([n for _, n in border], pa.binary()), pa.nulls(len(border), pa.binary()),
-             pa.array([x for x, _ in border], pa.binary())], schema)
+def _same(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which rows of signatures agree often enough."""
+    return (x == y).sum(1) >= LEAST_EQUAL
+
+
+def _spanning(low: np.ndarray):
+    """Links (i, j) that hold together what all pairs of a region would."""
+    group = np.arange(len(low))
+    for i in range(len(low) - 1):
+        other = i + 1 + np.flatnonzero(group[i + 1:] != group[i])
+        if not len(other):
+            continue
+        for j in other[_same(low[other], low[i])]:
+            if group[j] != group[i]:
+                yield i, int(j)
+                group[group == group[j]] = group[i]
+
+
+def region_links(labels: np.ndarray, stretch: int):
+    """Links (i, j) among the sorted deep labels of one region."""
+    n = len(labels)
+    low = labels[:, _LABEL:]
+    cuts, work = [], [(0, n, _LABEL + DEPTH)]
+    while work:
+        a, b, at = work.pop()
+        cuts.append(a)
+        if b - a == 1:
+            continue
+        if b - a <= stretch:
+            yield from ((a + i, a + j) for i, j in _spanning(low[a:b]))
+        elif at == _DEEP:
+            yield from ((i, i + 1) for i in range(a, b - 1))
+        else:
+            ends = [a, *(a + 1 + np.flatnonzero(labels[a + 1:b, at] != labels[a:b - 1, at])).tolist(), b]
+            work.extend((x, y, at + 1) for x, y in zip(ends[:-1], ends[1:]))
+    part = np.zeros(n, np.int64)
+    part[sorted(set(cuts))] = 1
+    part = np.cumsum(part)
+    for k in range(1, min(BESIDE + 1, n)):
+        over = np.flatnonzero(part[k:] != part[:-k])
+        for i in over[_same(low[over], low[over + k])].tolist():
+            yield i, i + k
+
+
+def _deep_regions(stretch: int, seams: bool):
+    """Over sorted rows (label, node, further columns): links (a, b) of every region, that is
+    of rows with one label and further columns of one value; with ``seams`` also the rows
+    next to the partition's borders (b null)."""
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+        part = TaskContext.get().partitionId()
+        prefix, labels, nodes, first = None, [], [], True
+
+        def links():
+            if len(nodes) < 2:
+                return []
+            found = region_links(np.frombuffer(b"".join(labels), np.uint8).reshape(-1, _DEEP), stretch)
+            return [(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for i, j in found if nodes[i] != nodes[j]]
+
+        def rows(pairs, edge=(), seam=None):
+            m, e = len(pairs), len(edge)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([p[0] for p in pairs] + [n for _, n in edge], pa.binary()),
+                 pa.array([p[1] for p in pairs] + [None] * e, pa.binary()),
+                 pa.array([None] * m + [x for x, _ in edge], pa.binary()),
+                 pa.array([None] * m + [part] * e, pa.int32()),
+                 pa.array([None] * m + [seam == "head"] * e, pa.bool_())], ["a", "b", "label", "part", "head"])
+
+        for batch in batches:
+            pairs = []
+            more = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+            for label, node, *own in zip(*more):
+                if (label[:_LABEL], *own) != prefix:
+                    pairs.extend(links())
+                    if seams and first and prefix is not None:
+                        yield rows([], list(zip(labels[:stretch], nodes[:stretch])), "head")
+                        first = False
+                    prefix, labels, nodes = (label[:_LABEL], *own), [], []
+                labels.append(label)
+                nodes.append(node)
+            if pairs:
+                yield rows(pairs)
+        yield rows(links())
+        if seams and nodes:
+            if first:
+                yield rows([], list(zip(labels[:stretch], nodes[:stretch])), "head")
+            yield rows([], list(zip(labels[-stretch:], nodes[-stretch:])), "tail")
+
+    return run
+
+
+_LINKS = "a binary, b binary, label binary, part int, head boolean"
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct candidate pairs (a, b) of ``nodes(node, mins)`` from all orders of the forest."""
+    """Distinct candidate pairs (a, b) of ``nodes(node, mins)`` from all orders of the
+    forest that agree often enough in their signatures."""
     spark = nodes.sparkSession
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    low = staged(nodes.select("node", "mins").mapInArrow(_lows, "node binary, low binary"), "forest-lows")
     labels = nodes.select("node", "mins").mapInArrow(_labels, "label binary, node binary")
+    width = _width(spark, nodes.count() * TREES * (_LABEL + 16))
     scanned = staged(labels.repartitionByRange(width, "label", "node").sortWithinPartitions("label", "node")
-                     .mapInArrow(_neighbours, "a binary, b binary, label binary"), "forest-pairs")
-    # what lies beside a seam of two partitions: a few rows per partition
-    seams = scanned.filter("b IS NULL").select("label", F.col("a").alias("node")).repartition(1) \
-        .sortWithinPartitions("label", "node").mapInArrow(_neighbours, "a binary, b binary, label binary")
-    return scanned.unionByName(seams).filter("b IS NOT NULL").select("a", "b").distinct()
+                     .mapInArrow(_regions(REGION), "a binary, b binary, label binary"), "forest-pairs")
+    near = alike(scanned.filter("b IS NOT NULL").select("a", "b").distinct(), low)
+    large = scanned.filter("b IS NULL").select("label", F.col("a").alias("node"))
+    width = _width(spark, large.count() * (_DEEP + 16))
+    deep = large.join(low, "node").select("label", "node", "low").mapInArrow(_deepen, "label binary, node binary")
+    linked = staged(deep.repartitionByRange(width, "label", "node").sortWithinPartitions("label", "node")
+                    .mapInArrow(_deep_regions(STRETCH, True), _LINKS), "forest-links")
+    # the last rows of a task and the first of the next that has any (one row per task in ``order``)
+    edge = linked.filter("b IS NULL").select("label", F.col("a").alias("node"), "part", "head")
+    order = edge.select("part").distinct().select("part", F.row_number().over(Window.orderBy("part")).alias("place"))
+    seam = edge.join(order, "part").select(
+        "label", "node", (F.col("place") - F.col("head").cast("int")).alias("seam"))
+    beside = seam.repartition("seam").sortWithinPartitions("seam", "label", "node") \
+        .mapInArrow(_deep_regions(STRETCH, False), _LINKS)
+    deeper = linked.filter("b IS NOT NULL").unionByName(beside)
+    return near.unionByName(deeper.select("a", "b")).distinct()
 
 
 def _alike(batches):
@@ -228,7 +334,7 @@ def _alike(batches):
     for batch in batches:
         if batch.num_rows:
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, HASHES) for i in (2, 3))
-            keep = pa.array((x == y).sum(1) >= LEAST_EQUAL)
+            keep = pa.array(_same(x, y))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(keep)
 
 
@@ -241,9 +347,8 @@ def _lows(batches):
             [batch.column(0), pa.array([r.tobytes() for r in mins.astype(np.uint8)], pa.binary())], ["node", "low"])
 
 
-def alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def alike(pairs: DataFrame, low: DataFrame) -> DataFrame:
     """Candidate pairs whose minimum hashes agree often enough."""
-    low = staged(nodes.select("node", "mins").mapInArrow(_lows, "node binary, low binary"), "forest-lows")
     a = low.select(F.col("node").alias("a"), F.col("low").alias("la"))
     b = low.select(F.col("node").alias("b"), F.col("low").alias("lb"))
     return pairs.join(a, "a").join(b, "b").select("a", "b", "la", "lb").mapInArrow(_alike, "a binary, b binary")
@@ -366,9 +471,11 @@ def confirmed(docs: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame
     size = member.groupBy("component").agg(F.sum("n_shingles").alias("n"))
     member = staged(
         member.join(size, "component").select(
-            "node", "rep", F.col("component").alias("grp"),
+            "node", "rep", "n_shingles", F.col("component").alias("grp"),
             F.ceil(F.col("n") / GROUP_SHINGLES).cast("int").alias("blocks")), "neardup-members")
-    few = F.broadcast if member.count() <= BROADCAST_MEMBERS else (lambda x: x)
+    total, dealt_shingles = member.agg(F.count(F.lit(1)), F.sum(F.col("n_shingles") * F.col("blocks"))).first()
+    few = F.broadcast if total <= BROADCAST_MEMBERS else (lambda x: x)
+    member = member.drop("n_shingles")
     sets = docs.select("doc_id", "text").join(few(member), F.col("doc_id") == F.col("rep")) \
         .select("text", "node", "grp", "blocks") \
         .mapInArrow(_sets, "node binary, grp binary, blocks int, set binary")
@@ -377,8 +484,7 @@ def confirmed(docs: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
         .select("grp", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
                 "block", "node", "set")
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(width, "grp", "x", "y").sortWithinPartitions("grp", "x", "y") \
+    return dealt.repartition(_width(spark, 8 * (dealt_shingles or 0)), "grp", "x", "y").sortWithinPartitions("grp", "x", "y") \
         .mapInArrow(_close, "a binary, b binary")
 
 
@@ -389,7 +495,7 @@ def classes(docs: DataFrame) -> DataFrame:
         signed.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("node")
         .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"),
              F.first("n_shingles").alias("n_shingles"), F.first("mins").alias("mins")), "neardup-nodes")
-    near = components(alike(candidates(nodes), nodes))
+    near = components(candidates(nodes))
     links = confirmed(docs, nodes, near)
     joined = components(links)
     # the smallest id of each class; a node without links is a class of its own

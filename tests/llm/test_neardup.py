@@ -1,6 +1,7 @@
 """Near-duplicates against brute force, also with tiny regions, groups and blocks."""
 import random
 
+import numpy as np
 import pytest
 
 from ferry.llm import neardup
@@ -90,3 +91,76 @@ def test_region_wider_than_a_stretch(spark, monkeypatch):
     rows = corpus(6, groups=3, hot=80)
     got = neardup.classes(docs(spark, [(i, t, "en", "a") for i, t in rows])).collect()
     assert sorted(map(tuple, got), key=repr) == plain(rows)
+
+
+def boilerplate(seed, members, shared, own, pairs):
+    """A family that shares most of its text (pairs of it below the threshold), in which a few pairs are near copies."""
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdefghijk") for _ in range(7))
+    common = [word() for _ in range(shared)]
+    rows = [(i, " ".join(common + [word() for _ in range(own)])) for i in range(members)]
+    for k in range(pairs):
+        words = rows[k][1].split()
+        words[-1 - k % 5] = word()
+        rows.append((members + k, " ".join(words)))
+    rnd.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("stretch", [1024, 64])
+def test_boilerplate_family(spark, monkeypatch, stretch):
+    """Every region is above REGION; with a small STRETCH all are cut deeper, over many seams."""
+    monkeypatch.setattr(neardup, "STRETCH", stretch)
+    rows = boilerplate(7, 600, 150, 50, 60)
+    got = neardup.classes(docs(spark, [(i, t, "en", "a") for i, t in rows])).collect()
+    assert sorted(map(tuple, got), key=repr) == plain(rows)
+
+
+def deep(seed, n, same):
+    """Sorted deep labels of one region: signatures that agree with one another in about ``same`` of all hashes."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 256, neardup.HASHES, dtype=np.uint8)
+    low = np.where(rng.random((n, neardup.HASHES)) < same, base, rng.integers(0, 256, (n, neardup.HASHES), dtype=np.uint8))
+    low[:, :neardup.DEPTH] = base[:neardup.DEPTH]
+    out = np.zeros((n, neardup._DEEP), np.uint8)
+    out[:, neardup._LABEL:] = low
+    return out[np.lexsort(out.T[::-1])]
+
+
+@pytest.mark.parametrize("same", [0.7, 0.8, 0.9])
+def test_links_of_a_region_hold_together_what_all_pairs_would(same):
+    labels = deep(3, 300, same)
+    low = labels[:, neardup._LABEL:]
+    agree = (low[:, None] == low[None]).sum(2) >= neardup.LEAST_EQUAL
+
+    def groups(links):
+        parent = list(range(300))
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+        for i, j in links:
+            assert agree[i, j]
+            parent[root(i)] = root(j)
+        return [min(k for k in range(300) if root(k) == root(x)) for x in range(300)]
+
+    assert groups(neardup.region_links(labels, 300)) == groups(zip(*np.nonzero(agree)))
+
+
+def test_equal_signatures_are_chained():
+    labels = np.repeat(deep(4, 1, 1.0), 50, axis=0)
+    assert sorted(neardup.region_links(labels, 8)) == [(i, i + 1) for i in range(49)]
+
+
+def test_regions_over_seams_and_batches():
+    """Small regions give pairs; large ones, and those at a partition's borders, their rows."""
+    import pyarrow as pa
+    rows = [(b"f", b"0")] + [(b"g", bytes([i])) for i in range(3)] + [(b"h", bytes([i])) for i in range(6)] + [(b"i", b"9")]
+    batches = [pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows[a:a + 2]], pa.binary()),
+                                           pa.array([n for _, n in rows[a:a + 2]], pa.binary())], ["label", "node"])
+               for a in range(0, len(rows), 2)]
+    out = [r for b in neardup._regions(4)(batches) for r in b.to_pylist()]
+    assert {(r["a"], r["b"]) for r in out if r["b"]} == {(b"\0", b"\1"), (b"\0", b"\2"), (b"\1", b"\2")}
+    assert sorted((r["label"], r["a"]) for r in out if not r["b"]) == \
+        [(b"f", b"0")] + [(b"h", bytes([i])) for i in range(6)] + [(b"i", b"9")]

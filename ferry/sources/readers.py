@@ -16,7 +16,8 @@ ours is choosing them:
   plain date: those become DATE. A ``.json`` file whose first character is
   ``[`` is one array: its elements (``jsonarrays``) are read as lines are.
 * XML: jobs name the *root* element; Spark wants the *row* tag. Every child
-  element of a file's root is a row tag of that file.
+  element of a file's root is a row tag of that file. Files longer than a split
+  are read in splits (``xmlrecords``).
 * A ``schema`` (DDL text) skips inference for CSV, TSV and JSON; a CSV value
   that does not fit it fails the job.
 * Raw lines (fast mode): ``read.text`` as one ``line`` column.
@@ -41,7 +42,7 @@ from ferry.functions.internal import (CORRUPT, SOURCE_COLS, SRC_BLOCK, SRC_FILE,
                                       refuse_reserved)
 from ferry.functions.formats import compression_of, file_format, reader_kind, UnsupportedFormat
 from ferry.session import ship_package
-from ferry.sources import csvrecords, jsonarrays, probe
+from ferry.sources import csvrecords, jsonarrays, probe, xmlrecords
 from ferry.sinks.fs import HadoopFS
 from ferry.sources.splits import one_task_per_file
 
@@ -186,6 +187,13 @@ def _in_records(spark: SparkSession, group: list[str], opts: ReadOptions) -> boo
         return False
     if any(ch in p for p in group for ch in GLOB_CHARS):
         return True
+    return _longer_than_split(spark, group, opts)
+
+
+def _longer_than_split(spark: SparkSession, group: list[str], opts: ReadOptions) -> bool:
+    """Is one of these files, uncompressed, longer than a split?"""
+    if any(compression_of(p) for p in group):
+        return False
     sizes = list(opts.sizes)
     if not sizes:
         files = spark.read.format("binaryFile").load(literals(group)).agg(F.max("length"), F.sum("length")).first()
@@ -412,79 +420,82 @@ def _key_facts(lines: DataFrame, ts_cols: list[str]) -> tuple[list[str], list[st
     return order, dates
 
 
-#: largest XML file whose elements are looked up; a larger one needs xml_row_tag
+#: largest XML file looked through by a task that gets it from Spark as one value
 XML_SCAN_BYTES = 1 << 30
 
 
-def xml_shapes(spark: SparkSession, paths: list[str], opts: ReadOptions) -> dict[str, dict[str, list[str]]]:
-    """Per file, the row tags under the root and the fields of each.
+def _xml_scans(spark: SparkSession, paths: list[str], root: str) -> dict[str, dict]:
+    """Per file what ``probe.xml_children`` says: every file is looked through by one
+    task, piece by piece; only element names come back."""
+    import json
 
-    Every file is scanned whole by one task; only element names come back.
-    """
-    ship_package(spark)
-    root, fs = opts.xml_root, HadoopFS(spark)
-    files = spark.read.format("binaryFile").load([literal(p) for p in paths])
-    big = files.where(F.col("length") > XML_SCAN_BYTES).select("path").limit(1).collect()
-    if big:
-        raise UnsupportedFormat(f"{big[0].path}: too large to look for its row element; give xml_row_tag")
-
-    def scan(batches):
-        import gzip
-        import json
-        import pandas as pd
-        for pdf in batches:
-            out = []
-            for path, content in zip(pdf["path"], pdf["content"]):
-                low = path.lower()
-                if low.endswith(".gz"):
-                    content = gzip.decompress(content)
-                elif low.endswith(".bz2"):
-                    import bz2
-                    content = bz2.decompress(content)
-                elif low.endswith(".zst"):
-                    import zstandard
-                    content = zstandard.ZstdDecompressor().decompressobj().decompress(content)
-                try:
-                    shape, error = probe.xml_children(content, root), None
-                except ValueError as e:
-                    shape, error = {}, str(e)
-                except SyntaxError as e:      # ElementTree.ParseError: not well-formed
-                    shape, error = {}, f"not well-formed: {e}"
-                out.append((path, json.dumps(shape), error))
-            yield pd.DataFrame(out, columns=["path", "shape", "error"])
+    def answer(src, path: str) -> str:
+        try:
+            return json.dumps(probe.xml_children(probe._decompressed(src, path), root))
+        except ValueError as e:
+            return json.dumps({"error": str(e)})
+        except SyntaxError as e:
+            return json.dumps({"error": f"not well-formed: {e}"})
+
+    found = probe.in_tasks(spark, paths, answer)
+    if found is None:
+        # a storage that only Spark opens
+        ship_package(spark)
+        fs = HadoopFS(spark)
+        files = spark.read.format("binaryFile").load(literals(paths))
+        big = files.where(F.col("length") > XML_SCAN_BYTES).select("path").limit(1).collect()
+        if big:
+            raise UnsupportedFormat(f"{big[0].path}: too large to look for its row element; give xml_row_tag")
+
+        def scan(batches):
+            import io
+            import pandas as pd
+            for pdf in batches:
+                yield pd.DataFrame([(p, answer(io.BytesIO(c), p)) for p, c in zip(pdf["path"], pdf["content"])],
+                                   columns=["path", "answer"])
+
+        plain = lambda p: str(fs._path(p).toUri().getPath())
+        rows = files.select("path", "content").mapInPandas(scan, "path string, answer string").collect()
+        by_name = {plain(r.path): r.answer for r in rows}
+        found = {p: by_name[plain(p)] for p in paths}
+    found = {p: json.loads(a) for p, a in found.items()}
+    for path, scan in found.items():
+        if "error" in scan:
+            raise UnsupportedFormat(f"{path}: {scan['error']}")
+    return found
 
-    import json
-    rows = files.select("path", "content").mapInPandas(scan, "path string, shape string, error string").collect()
-    plain = lambda p: str(fs._path(p).toUri().getPath())
-    found = {}
-    for r in rows:
-        if r.error:
-            raise UnsupportedFormat(f"{r.path}: {r.error}")
-        found[plain(r.path)] = json.loads(r["shape"])
-    return {p: found.get(plain(p), {}) for p in paths}
+
+def xml_shapes(spark: SparkSession, paths: list[str], opts: ReadOptions) -> dict[str, dict[str, list[str]]]:
+    """Per file, the row tags under the root and the fields of each."""
+    return {p: scan["tags"] for p, scan in _xml_scans(spark, paths, opts.xml_root).items()}
 
 
 def _xml(spark: SparkSession, paths: list[str], opts: ReadOptions, tag: bool) -> DataFrame:
+    plain: set[str] = set()
     if opts.xml_row_tag:
         by_tag = {opts.xml_row_tag: list(paths)}
     else:
         by_tag: dict[str, list[str]] = {}
-        for p, shape in xml_shapes(spark, paths, opts).items():
-            for t in shape:
+        for p, scan in _xml_scans(spark, paths, opts.xml_root).items():
+            if scan["plain"]:
+                plain.add(p)
+            for t in scan["tags"]:
                 by_tag.setdefault(t, []).append(p)
         if not by_tag:
             raise UnsupportedFormat(f"{paths[0]}: no row element found under <{opts.xml_root}>")
     out = None
     for row_tag, files in by_tag.items():
-        reader = (spark.read.format("xml")
-                  .option("rowTag", row_tag)
-                  .option("mode", "PERMISSIVE")
-                  .option("columnNameOfCorruptRecord", CORRUPT)
-                  .option("ignoreSurroundingSpaces", "true"))
-        df = reader.load(literals(files))
-        if CORRUPT in df.columns:
-            df = df.drop(CORRUPT)
-        df = _tagged(widen_ints(df), tag)
+        options = {"rowTag": row_tag, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT,
+                   "ignoreSurroundingSpaces": "true"}
+        if plain.issuperset(files) and _longer_than_split(spark, files, opts):
+            df = xmlrecords.read(spark, literals(files), row_tag, options)
+            refuse_reserved([c for c in df.columns if c not in SOURCE_COLS])
+            df = df if tag else df.drop(*SOURCE_COLS)
+        else:
+            df = spark.read.format("xml").options(**options).load(literals(files))
+            if CORRUPT in df.columns:
+                df = df.drop(CORRUPT)
+            df = _tagged(widen_ints(df), tag)
         if df.columns or out is None:
             out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out

@@ -402,8 +402,10 @@ def _key_facts(lines: DataFrame, ts_cols: list[str]) -> tuple[list[str], list[st
     for i, c in enumerate(ts_cols):
         v = _json_field(c)
         found += [F.count(v).alias(f"n{i}"), F.count(F.when(~v.rlike(DATE_RE), v)).alias(f"x{i}")]
-    lists = lines.groupBy(F.json_object_keys("value").alias("keys")) \
-        .agg(F.min(F.struct("f", "b", "m")).alias("o"), *found)
+    # First within splits, where numbers alone are kept (no sort of the lines).
+    lists = lines.groupBy(F.json_object_keys("value").alias("keys"), "f", "b").agg(F.min("m").alias("m"), *found) \
+        .groupBy("keys").agg(F.min(F.struct("f", "b", "m")).alias("o"),
+                             *(F.sum(f"{k}{i}").alias(f"{k}{i}") for i in range(len(ts_cols)) for k in "nx"))
 
     def of(prefix: str) -> Column:
         own = F.lit(0).cast("long")

@@ -270,3 +270,24 @@ def test_several_compressed_csv_files_probe_headers(spark, tmp_path):
             fh.write(comp(b"x,y\n1,2\n"))
     rows = read_files(spark, find_input_files(spark, str(d)).paths).collect()
     assert [(r.x, r.y) for r in rows] == [(1, 2)] * 3
+
+
+def test_key_order_of_many_lines_takes_no_sort(spark, tmp_path, monkeypatch):
+    """The lines are aggregated by hashing; a sort of a whole file in one task took its memory."""
+    from ferry.sources import readers
+    path = str(tmp_path / "a.ndjson")
+    with open(path, "w") as f:
+        f.write('{"b": 1, "t": "2024-01-01"}\n{"c": 2, "b": 1, "t": "2024-01-02"}\n{"a": "2024-01-01 10:00:00"}\n')
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+    plans, collect = [], Classic.collect
+
+    def spy(self):
+        plans.append(self._jdf.queryExecution().executedPlan().toString())
+        return collect(self)
+
+    monkeypatch.setattr(Classic, "collect", spy)
+    assert readers.json_facts(spark, [path], ["t", "a"]) == (["b", "t", "c", "a"], ["t"])
+    assert plans
+    # the aggregate next to the scan
+    first = [line for line in plans[-1].splitlines() if "Aggregate" in line][-1]
+    assert "HashAggregate" in first, plans[-1]

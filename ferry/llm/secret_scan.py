@@ -8,14 +8,12 @@ neighbouring words, and properties of the file (how much of it is prose, how
 often names are assigned values, whether the base patterns hit anywhere).
 Viterbi decoding picks the best tagging.
 
-Where the model runs: a secret must hold a trigger, that is a long token with
-a digit or a password-like name (a fixed constraint: farther than REACH tokens
-from any trigger only "outside" is allowed). Texts with a trigger are cut into
-tokens as a whole; the chain falls apart at forced tokens, so decoding the
-stretches of tokens near triggers gives the exact result of one chain over the
-whole text. Prose without triggers costs a few scans.
-
-Training: at most ``train_docs`` documents with a trigger (smallest seeded
+The model scores every token of every text. A token's score is a sum of what the
+token itself and each neighbour bring, remembered per distinct token; the tagging is
+that of one chain over the whole text.
+
+Training: at most ``train_docs`` documents with a trigger, that is a long token with a
+digit or a password-like name (smallest seeded
 hash) give stretches labelled by the base patterns, of each document at most
 ``per_doc`` (smallest hash) and ``train_stretches`` in all, none of more than
 ``longest`` tokens; fixed templates of other secret notations and of long tokens
@@ -32,6 +30,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +48,7 @@ LONGEST_STRETCH = 80      # tokens
 REACH = 4
 MARGIN = 2       # tokens kept around a stretch: as far as features look
 N_FEATURES = 1 << 13
+KNOWN_TOKENS = 1 << 18      # distinct tokens a task remembers
 
 # -- base patterns: fixed values --------------------------------------------------
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)",
@@ -80,6 +80,7 @@ _TOKEN = re.compile(r"[A-Za-z0-9+/_.=~-]+|[^\sA-Za-z0-9+/_.=~-]+")
 _LONG = re.compile(r"(?<![A-Za-z0-9+/_=~-])(?=[A-Za-z+/_=~-]*[0-9])[A-Za-z0-9+/_=~-]{16,}")
 _WORDS = re.compile("|".join((*_NAMES, *_HINTS)))
 _CODE = re.compile(r"[={};]")
+_LOWER = re.compile(r"[a-z]+")
 WIDTH = 22
 
 
@@ -122,8 +123,13 @@ def _file_names(text: str, hits: int) -> list[str]:
     return [f"f{min(code, 5)}", f"h{min(hits, 2)}"]
 
 
+@lru_cache(1 << 16)
+def _id(name: str) -> int:
+    return 1 + zlib.crc32(name.encode("utf-8", "replace")) % (N_FEATURES - 1)
+
+
 def _ids(names: list[str]) -> list[int]:
-    ids = [1 + zlib.crc32(n.encode("utf-8", "replace")) % (N_FEATURES - 1) for n in names]
+    ids = [_id(n) for n in names]
     return (ids + [0] * WIDTH)[:WIDTH]
 
 
@@ -140,7 +146,8 @@ def features(text: str, tokens: list[tuple[int, int]], about: list[str]) -> np.n
 
 
 def stretches(text: str):
-    """(tokens, forced outside) of each run of tokens near triggers, in order."""
+    """(tokens, far from triggers) of each run of tokens near triggers, in order: what
+    examples to learn from are cut of."""
     hot = triggers(text)
     if not hot:
         return
@@ -158,9 +165,91 @@ def stretches(text: str):
         yield tokens[a:b], ~near[a:b]
 
 
+def best_tags(e: np.ndarray, t: np.ndarray, start: np.ndarray) -> list[int]:
+    """Viterbi as ``LinearCRF.decode`` without forced labels; label 2 never follows 0."""
+    (t00, t01, _), (t10, t11, t12), (t20, t21, t22) = t.tolist()
+    v0, v1, v2 = (start + e[0]).tolist()
+    back = []
+    for x, y, z in e[1:].tolist():
+        b0, b1, b2 = v0 + t00, v0 + t01, v1 + t12
+        k0, k1, k2 = 0, 0, 1
+        if v1 + t10 > b0:
+            b0, k0 = v1 + t10, 1
+        if v2 + t20 > b0:
+            b0, k0 = v2 + t20, 2
+        if v1 + t11 > b1:
+            b1, k1 = v1 + t11, 1
+        if v2 + t21 > b1:
+            b1, k1 = v2 + t21, 2
+        if v2 + t22 > b2:
+            b2, k2 = v2 + t22, 2
+        v0, v1, v2 = b0 + x, b1 + y, b2 + z
+        back.append((k0, k1, k2))
+    at = max(range(3), key=(v0, v1, v2).__getitem__)
+    out = [at]
+    for kept in reversed(back):
+        at = kept[at]
+        out.append(at)
+    out.reverse()
+    return out
+
+
+class _Known:
+    """What each distinct token brings to the scores of itself and of its neighbours."""
+
+    def __init__(self, w: np.ndarray):
+        self.w, self.v = w, np.zeros((1024, 5, w.shape[1]))
+        self.at, self.plain, self.rows = {}, {}, 0
+        self.edges = [self._sum([f"{k}edge"]) for k in range(4)]
+
+    def _sum(self, names: list[str]) -> np.ndarray:
+        return self.w[[_id(n) for n in names]].sum(0)
+
+    def _row(self, t: str) -> int:
+        # of lower-case words without a name only this counts
+        alike = (len(t), len(set(t)), t[:3] == "www", not t.strip("abcdef")) if _LOWER.fullmatch(t) and not _WORDS.search(t) else None
+        if alike in self.plain:
+            return self.plain[alike]
+        n = self.rows
+        self.rows += 1
+        if n == len(self.v):
+            self.v = np.concatenate([self.v, np.zeros_like(self.v)])
+        self.v[n, 0] = self._sum(_token_names(t))
+        for k, side in enumerate("MLRS"):
+            self.v[n, 1 + k] = self._sum(_word_names(t, side))
+        if alike:
+            self.plain[alike] = n
+        return n
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        if len(self.at) > KNOWN_TOKENS:
+            self.at, self.plain, self.rows = {}, {}, 0
+        at = self.at
+        for t in set(words).difference(at):
+            at[t] = self._row(t)
+        return np.fromiter(map(at.__getitem__, words), np.int64, len(words))
+
+    def scores(self, words: list[str], about: list[str]) -> np.ndarray:
+        """[tokens, labels]: ``LinearCRF.emissions`` of ``features``."""
+        n, number = len(words), self.numbers(words)
+        e = self.v[number, 0]
+        for k, by in enumerate((-2, -1, 1, 2)):
+            inner, size = self.v[number, 1 + k], min(n, abs(by))
+            if by < 0:
+                e[size:] += inner[:n - size]
+                e[:size] += self.edges[k]
+            else:
+                e[:n - size] += inner[size:]
+                e[n - size:] += self.edges[k]
+        file = np.array([self._sum([f"{a}{long}" for a in about]) for long in (False, True)])
+        return e + file[np.fromiter((len(w) >= 16 for w in words), np.int64, n)]
+
+
 class Model:
     """Labels: 0 outside, 1 begin, 2 inside."""
 
+    known = None
+
     def __init__(self):
         self.crf = LinearCRF(N_FEATURES, np.array([[1, 1, 0], [1, 1, 1], [1, 1, 1]], bool),
                              np.array([1, 1, 0], bool))
@@ -179,15 +268,31 @@ class Model:
         self.crf.fit(data)
         return self
 
+    def labels(self, words: list[str], about: list[str]) -> list[int] | None:
+        """The best tagging of a whole text, one chain over all its tokens; None if
+        all of them are outside."""
+        if self.known is None:
+            self.known = _Known(self.crf.w)
+        e, t = self.known.scores(words, about), self.crf.t
+        # most that a token inside a secret can add to the tagging without any, its share of
+        # the transitions included; a secret ends once, and has a token
+        into = [max(0.0, *(t[i, k] - t[0, 0] for i in rows)) for k, rows in ((1, (0, 1, 2)), (2, (1, 2)))]
+        gain = (np.maximum(e[:, 1] + into[0], e[:, 2] + into[1]) - e[:, 0]).max()
+        if gain + max(0.0, t[1, 0] - t[0, 0], t[2, 0] - t[0, 0]) < -1e-6:
+            return None
+        return best_tags(e, t + self.crf.barred, self.crf.start)
+
+    def __getstate__(self):
+        return {"crf": self.crf}
+
     def base(self, text: str):
         return base_spans(text)
 
     def spans(self, text: str, hits: int) -> list[tuple[str, int, int]]:
-        out, about = [], None
-        for tokens, forced in stretches(text):
-            about = about or _file_names(text, hits)
-            y = self.crf.decode(features(text, tokens, about), forced)
-            i = 0
+        out, words = [], _TOKEN.findall(text)
+        y = self.labels(words, _file_names(text, hits)) if words else None
+        if y and any(y):
+            tokens, i = [m.span() for m in _TOKEN.finditer(text)], 0
             while i < len(y):
                 if y[i]:
                     j = i + 1

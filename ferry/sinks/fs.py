@@ -28,6 +28,7 @@ class HadoopFS:
         # (e.g. a job's credentials)
         self._conf = spark._jsparkSession.sessionState().newHadoopConf()
         self._by_root: dict[str, object] = {}
+        self._qualified: dict[str, str] = {}
 
     def _path(self, p: str):
         return self._jvm.org.apache.hadoop.fs.Path(p)
@@ -68,6 +69,16 @@ class HadoopFS:
             list(pool.map(move, moves))
 
     def qualify(self, p: str) -> str:
+        """The full name of a path; a folder is looked up once for all its files."""
+        folder, _, name = p.rpartition("/")
+        if not folder.strip("/") or folder.endswith((":", ":/", "/")) or name in ("", ".", "..") \
+                or ("://" in folder and folder.count("/") < 3):     # a store's own root
+            return self._qualify(p)
+        if folder not in self._qualified:
+            self._qualified[folder] = self._qualify(folder)
+        return f"{self._qualified[folder]}/{name}"
+
+    def _qualify(self, p: str) -> str:
         path = self._path(p)
         return str(path.getFileSystem(self._conf).makeQualified(path).toString())
 

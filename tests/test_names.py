@@ -100,3 +100,17 @@ def test_chunk_names_are_distinct_per_chunk(base, chunk, prefix, suffix):
     a = names.chunk_filename(base, chunk, "csv", prefix, suffix)
     b = names.chunk_filename(base, chunk + 1, "csv", prefix, suffix)
     assert a != b and a.startswith(prefix) and a.endswith(f"{suffix}.csv")
+
+
+def test_qualified_names_of_a_folder_take_one_lookup(spark, tmp_path):
+    from ferry.sinks.fs import HadoopFS
+    fs, plain = HadoopFS(spark), HadoopFS(spark)
+    kinds = [f"{tmp_path}/a", f"file:{tmp_path}/a b%20", f"file://{tmp_path}//x/é.csv", f"{tmp_path}/x/", f"{tmp_path}/x/.",
+             f"{tmp_path}/x/../y", f"{tmp_path}/c:d", "/a", "a", "file:/a", "file:///a", "a/b", f"{tmp_path}/[1]*.csv"]
+    assert [fs.qualify(p) for p in kinds] == [plain._qualify(p) for p in kinds]
+    fs._qualify = lambda p: p
+    assert fs.qualify("gs://bucket/a.csv") == "gs://bucket/a.csv" and fs._qualified.keys().isdisjoint({"gs://bucket"})
+    looked = []
+    fs._qualify = lambda p: looked.append(p) or plain._qualify(p)
+    names = [fs.qualify(f"{tmp_path}/many/{i}.csv") for i in range(500)]
+    assert len(looked) == 1 and len(set(names)) == 500

@@ -8,16 +8,46 @@ its own inside the class. A tail or the end is a class of its own.
 
 from __future__ import annotations
 
+from copy import copy
+
 import numpy as np
 
 EMBED, HIDDEN, WIDTH = 16, 16, 64
 WINDOW = 32          # steps of one window; the state goes on into the next
+ROWS = 4096          # states whose classes are worked out at once
 
 
 def _sigmoid(x):
     return 1.0 / (1.0 + np.exp(-x))
 
 
+def _tops(w: np.ndarray, b: np.ndarray) -> list[float | None]:
+    """Of each softmax [k, H, n]: a bound of its logits for states within -1..1; None where
+    a row's largest one may be so far below that it has to be looked for."""
+    reach = np.abs(w).sum(1)
+    tops, least = (b + reach).max(1), (b - reach).max(1)
+    return [float(t) if t - m < 60 else None for t, m in zip(tops, least)]
+
+
+def _chances(x: np.ndarray, w: np.ndarray, b: np.ndarray, y: np.ndarray, top: float | None, back: bool):
+    """(ln P(y), with ``back`` d(-ln P)/d logits) of a softmax for states x [n, H]."""
+    logits = x @ w
+    if top is None:
+        logits += b
+        logits -= logits.max(1, keepdims=True)
+    else:
+        logits += b - b.dtype.type(top)
+    at = np.arange(len(y))
+    picked = logits[at, y].astype(np.float64)
+    np.exp(logits, out=logits)
+    total = logits @ np.ones(len(b), b.dtype)
+    found = picked - np.log(total)
+    if back:
+        logits /= total[:, None]
+        logits[at, y] -= 1
+    return found, logits
+
+
 class GruLM:
     def __init__(self, words: int, tails: int, counts: np.ndarray, seed: int = 3):
         """``counts``: occurrences of every symbol, for the first biases."""
@@ -39,6 +69,19 @@ class GruLM:
             "o": np.where(np.arange(inside.size).reshape(inside.shape) < words, log(inside), np.float32(-1e9)),
         }
 
+    def copy(self) -> "GruLM":
+        out = copy(self)
+        out.p = {k: v.copy() for k, v in self.p.items()}
+        return out
+
+    def weights(self) -> np.ndarray:
+        """All weights, one after the other."""
+        return np.concatenate([v.reshape(-1) for v in self.p.values()])
+
+    def set_weights(self, flat: np.ndarray) -> None:
+        cuts = np.cumsum([v.size for v in self.p.values()])[:-1]
+        self.p = {k: part.reshape(v.shape).astype(v.dtype) for (k, v), part in zip(self.p.items(), np.split(flat, cuts))}
+
     def class_of(self, symbols: np.ndarray) -> np.ndarray:
         return np.where(symbols < self.words, symbols // WIDTH, self.word_classes + symbols - self.words)
 
@@ -53,37 +96,30 @@ class GruLM:
     def _softmax(self, x: np.ndarray, y: np.ndarray, grads: dict | None = None):
         """ln P(y) for states x [n, H]; with ``grads`` also d(sum of -ln P)/dx, and its
         gradients for the softmax's parameters put there."""
-        own = self.class_of(y)
-        at = np.arange(len(y))
-        logits = x @ self.p["C"] + self.p["c"]
-        logits -= logits.max(1, keepdims=True)
-        picked = logits[at, own]
-        np.exp(logits, out=logits)
-        total = logits.sum(1)
-        found = picked.astype(np.float64) - np.log(total)
-        dx = None
+        p, own = self.p, self.class_of(y)
+        found, dx = np.empty(len(y)), None
         if grads is not None:
-            logits /= total[:, None]
-            logits[at, own] -= 1
-            grads["C"], grads["c"] = x.T @ logits, logits.sum(0)
-            dx = logits @ self.p["C"].T
-            grads["O"], grads["o"] = np.zeros_like(self.p["O"]), np.zeros_like(self.p["o"])
+            grads |= {k: np.zeros_like(p[k]) for k in "CcOo"}
+            dx = np.empty_like(x)
+        top, = _tops(p["C"][None], p["c"][None])
+        for at in range(0, len(y), ROWS):
+            rows = slice(at, at + ROWS)
+            found[rows], back = _chances(x[rows], p["C"], p["c"], own[rows], top, grads is not None)
+            if grads is not None:
+                grads["C"] += x[rows].T @ back
+                grads["c"] += back.sum(0)
+                dx[rows] = back @ p["C"].T
         order = np.argsort(own.astype(np.uint16), kind="stable")
         cuts = np.searchsorted(own[order], np.arange(self.word_classes + 1))
+        tops = _tops(p["O"], p["o"])
         for k in np.flatnonzero(np.diff(cuts)):
             rows = order[cuts[k]:cuts[k + 1]]
-            xs, inside = x[rows], y[rows] - k * WIDTH
-            inner = xs @ self.p["O"][k] + self.p["o"][k]
-            inner -= inner.max(1, keepdims=True)
-            picked = inner[np.arange(len(rows)), inside]
-            np.exp(inner, out=inner)
-            total = inner.sum(1)
-            found[rows] += picked - np.log(total)
+            xs = x[rows]
+            inside, back = _chances(xs, p["O"][k], p["o"][k], y[rows] - k * WIDTH, tops[k], grads is not None)
+            found[rows] += inside
             if grads is not None:
-                inner /= total[:, None]
-                inner[np.arange(len(rows)), inside] -= 1
-                grads["O"][k], grads["o"][k] = xs.T @ inner, inner.sum(0)
-                dx[rows] += inner @ self.p["O"][k].T
+                grads["O"][k], grads["o"][k] = xs.T @ back, back.sum(0)
+                dx[rows] += back @ p["O"][k].T
         return found, dx
 
     # -- scoring -----------------------------------------------------------------
@@ -127,30 +163,33 @@ class GruLM:
         through time). A text's first symbol is the end mark, where the state restarts.
         """
         p, steps = self.p, len(symbols)
+        fresh = (symbols == self.end)[..., None]
+        x = p["E"][symbols]
+        gates = x @ p["W"] + p["b"]
         saved, states = [], []
         for t in range(steps):
-            fresh = (symbols[t] == self.end)[:, None]
-            x = p["E"][symbols[t]]
-            h, kept = self._step(x @ p["W"] + p["b"], np.where(fresh, 0, h).astype(np.float32))
-            saved.append((x, fresh, *kept))
+            h, kept = self._step(gates[t], np.where(fresh[t], 0, h).astype(gates.dtype))
+            saved.append(kept)
             states.append(h)
         grads: dict = {}
         found, dx = self._softmax(np.concatenate(states), targets.reshape(-1), grads)
         dx = dx.reshape(steps, -1, HIDDEN)
-        grads |= {k: np.zeros_like(p[k]) for k in "EWUb"}
+        dg, dhu = np.empty_like(gates), np.empty_like(gates)
         dh = np.zeros_like(h)
         for t in range(steps - 1, -1, -1):
-            x, fresh, before, z, r, cand, hc = saved[t]
+            before, z, r, cand, hc = saved[t]
             dh = dh + dx[t]
             dcand = dh * z * (1 - cand * cand)
             dz, dr = dh * (cand - before) * z * (1 - z), dcand * hc * r * (1 - r)
-            dg = np.concatenate([dz, dr, dcand], 1)
-            dhu = np.concatenate([dz, dr, dcand * r], 1)
-            grads["U"] += before.T @ dhu
-            grads["W"] += x.T @ dg
-            grads["b"] += dg.sum(0)
-            np.add.at(grads["E"], symbols[t], dg @ p["W"].T)
-            dh = np.where(fresh, 0, dh * (1 - z) + dhu @ p["U"].T)
+            dg[t] = np.concatenate([dz, dr, dcand], 1)
+            dhu[t] = np.concatenate([dz, dr, dcand * r], 1)
+            dh = np.where(fresh[t], 0, dh * (1 - z) + dhu[t] @ p["U"].T)
+        flat = lambda a: a.reshape(-1, a.shape[-1])
+        grads["U"] = np.concatenate([s[0] for s in saved]).T @ flat(dhu)
+        grads["W"], grads["b"], grads["E"] = flat(x).T @ flat(dg), flat(dg).sum(0), np.zeros_like(p["E"])
+        order = np.argsort(symbols.reshape(-1), kind="stable")
+        ids, starts = np.unique(symbols.reshape(-1)[order], return_index=True)
+        grads["E"][ids] = np.add.reduceat((flat(dg) @ p["W"].T)[order], starts)
         return found.sum(), grads, h
 
     def fit(self, texts: list[np.ndarray], epochs: int = 6, streams: int = 64, rate: float = 0.01, seed: int = 9):

@@ -8,15 +8,18 @@ Model: ``gru_lm.GruLM``, over the 4,096 most frequent training words and 32 clas
 all others (by their last letters), ends included. A word outside the short list has
 the chance of its class times (c + 1) / (N_k + V_k + 1) inside it, with the
 class's own totals, so the chances of all words (and one unknown word per class) add
-up to one. The weights are fitted on a bounded sample of training documents (below);
-short list, class totals and first biases come from the counts of all of them.
+up to one. Short list, class totals and first biases come from the counts of all training
+documents, and the weights learn from all of them: every one is dealt to a shard by its
+hash, each shard's network goes once over all its texts, all from the same start, and the
+weights are averaged by the tokens they saw. So the result does not depend on how the
+table is partitioned. The start is a first fit on a bounded sample (below).
 
 Scoring reads every document whole, once: the network runs over all of it, its
 state going from window to window. The counts of the at most 131,072 most frequent
 words are broadcast (words above 64 bytes by their SHA-256, so at most about 9 MB);
 rarer words are looked up by a join with the table of counts, and only sums come back.
 
-Sample: the documents with the smallest seeded hash, at most ``TRAIN_DOCS``, together at
+Sample of the start: the documents with the smallest seeded hash, at most ``TRAIN_DOCS``, together at
 most ``TRAIN_BYTES`` of text; documents above a quarter of that are left out of it.
 
 Defined cases: null text is empty (only its end is scored); rows without doc_id are
@@ -42,6 +45,9 @@ SHORT_LIST, TAILS = 4096, 32
 HOT_WORDS = 1 << 17
 LONG_WORD = 64
 TRAIN_DOCS, TRAIN_BYTES = 2000, 4 << 20
+SHARD_TOKENS = 1 << 20     # about as many training tokens a network of the pass over all texts sees
+STREAMS = 256              # rows of texts it learns from at once
+CHUNKS = 64                # parts its weights are added up in
 BLOCK_WORDS = 1 << 20      # words counted or scored at once in a task
 CACHE_WORDS = 1 << 18      # words a task remembers
 
@@ -165,7 +171,7 @@ class Scorer:
 
 
 def train(docs: DataFrame, counts: DataFrame, n_docs: int, train_docs: int = TRAIN_DOCS,
-          train_bytes: int = TRAIN_BYTES) -> Scorer:
+          train_bytes: int = TRAIN_BYTES, shard_tokens: int = SHARD_TOKENS) -> Scorer:
     """``docs``: the training documents, ``counts``: their words' counts (staged)."""
     single_thread_blas()
     hot = sorted(((bytes(r.key), r.c) for r in most_frequent(counts, HOT_WORDS).select("key", "c").collect()),
@@ -191,9 +197,83 @@ def train(docs: DataFrame, counts: DataFrame, n_docs: int, train_docs: int = TRA
     texts = [t for t in texts if len(t)]
     if texts:
         lm.fit(texts)
+    if n_docs:
+        learn_all(docs, scorer, shard_tokens)
     return scorer
 
 
+class _Symbols(dict):
+    def __init__(self, scorer: Scorer):
+        super().__init__()
+        self.scorer = scorer
+
+    def __missing__(self, word):
+        number = self[word] = self.scorer.symbol(key_of(word))[0]
+        return number
+
+
+def learn_all(docs: DataFrame, scorer: Scorer, shard_tokens: int = SHARD_TOKENS) -> None:
+    """The network of ``scorer`` goes once over all documents, in shards side by side.
+
+    A task holds one shard's symbols (two bytes each) and the weights; of all tasks, only
+    sums of weights meet, in ``CHUNKS`` parts."""
+    spark = docs.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast(scorer)
+    shards = max(1, -(-scorer.tokens // shard_tokens))
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards // 4)
+
+    def encode(batches):
+        import pyarrow as pa
+        known = _Symbols(shared.value)
+        for batch in batches:
+            found = []
+            for text in batch.column(1):
+                if len(known) > CACHE_WORDS:
+                    known.clear()
+                own = words(text.as_py())
+                found.append(np.fromiter(map(known.__getitem__, own), np.uint16, len(own)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["key", "symbols"])
+
+    def fit(batches):
+        import pyarrow as pa
+        single_thread_blas()
+        start = shared.value.lm
+        total, seen, held, tokens, at = 0.0, 0, [], 0, None
+
+        def learned():
+            own = start.copy().fit(held, epochs=1, streams=STREAMS)
+            return tokens * own.weights().astype(np.float64)
+
+        for batch in batches:
+            for shard, symbols in zip(batch.column(0).to_pylist(), batch.column(1)):
+                # copies all have one hash: what is held stays bounded
+                if held and (shard != at or tokens >= 2 * shard_tokens):
+                    total, seen, held, tokens = total + learned(), seen + tokens, [], 0
+                at = shard
+                held.append(np.frombuffer(symbols.as_py(), np.uint16))
+                tokens += len(held[-1]) + 1
+        if held:
+            total, seen = total + learned(), seen + tokens
+            parts = [p.tobytes() for p in np.array_split(total, CHUNKS)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([seen] * CHUNKS, pa.int64()),
+                                              pa.array(parts, pa.binary())], ["chunk", "seen", "total"])
+
+    def add(group):
+        import pyarrow as pa
+        total = sum(np.frombuffer(p.as_py()) for p in group.column("total"))
+        return pa.table({"chunk": group.column("chunk")[:1], "seen": [sum(group.column("seen").to_pylist())],
+                         "total": pa.array([total.tobytes()], pa.binary())})
+
+    encoded = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("key"), "text") \
+        .mapInArrow(encode, "key long, symbols binary").withColumn("shard", F.pmod("key", F.lit(shards)))
+    sums = encoded.repartition(width, "shard").sortWithinPartitions("shard", "key").select("shard", "symbols") \
+        .mapInArrow(fit, "chunk int, seen long, total binary") \
+        .groupBy("chunk").applyInArrow(add, "chunk int, seen long, total binary").collect()     # about 1 MB
+    sums = sorted(sums, key=lambda r: r.chunk)
+    scorer.lm.set_weights(np.concatenate([np.frombuffer(r.total) for r in sums]) / sums[0].seen)
+
+
 def score(docs: DataFrame, scorer: Scorer, counts: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = docs.sparkSession

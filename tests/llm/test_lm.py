@@ -139,3 +139,24 @@ def test_training_lowers_the_loss():
     net = GruLM(64, 2, np.ones(67))
     before = net.log_likelihood(texts).sum()
     assert net.fit(texts, epochs=20, streams=8).log_likelihood(texts).sum() > before / 10
+
+
+def test_the_model_learns_from_every_training_document(spark, monkeypatch):
+    """Texts too long for the first fit's sample teach the network their order of words;
+    partitions do not change what it learns."""
+    monkeypatch.setattr(lm, "STREAMS", 8)
+    r = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{x}" for x in r.integers(0, 40, 30)), "en", "s") for i in range(400)]
+    there = " ".join(f"w{x % 40}" for x in range(400))
+    back = " ".join(reversed(there.split()))
+    mine = range(1000, 1120)
+
+    def score(text, parts=3):
+        own = [(i, there if held(i) else text, "en", "s") for i in mine]
+        df = docs(spark, rows + own).repartition(parts)
+        return {x.doc_id: x.score for x in lm.language_model_scores(df, train_bytes=1600, shard_tokens=20_000).collect()}
+
+    same, other = score(there), score(back)      # the counts of all words are equal
+    unseen = [i for i in mine if held(i)]
+    assert unseen and all(same[i] > 0.9 * other[i] for i in unseen)
+    assert same == pytest.approx(score(there, 7), rel=1e-4)

@@ -80,7 +80,8 @@ _TOKEN = re.compile(r"[A-Za-z0-9+/_.=~-]+|[^\sA-Za-z0-9+/_.=~-]+")
 _LONG = re.compile(r"(?<![A-Za-z0-9+/_=~-])(?=[A-Za-z+/_=~-]*[0-9])[A-Za-z0-9+/_=~-]{16,}")
 _WORDS = re.compile("|".join((*_NAMES, *_HINTS)))
 _CODE = re.compile(r"[={};]")
-_LOWER = re.compile(r"[a-z]+")
+#: letters and digits of ASCII as one of their kind
+_KINDS_OF = {i: k for first, last, k in ("aza", "AZA", "099") for i in range(ord(first), ord(last) + 1)}
 WIDTH = 22
 
 
@@ -99,9 +100,12 @@ def _shape(token: str) -> str:
     return s if len(s) <= 6 else s[:2] + str(min(len(s) // 4, 6)) + s[-1]
 
 
+def _name_in(low: str) -> str:
+    return next((n for n in (*_NAMES, *_HINTS) if n in low), "")
+
+
 def _word_names(t: str, at: str) -> list[str]:
-    low = t.lower()
-    name = next((n for n in (*_NAMES, *_HINTS) if n in low), "")
+    name = _name_in(t.lower())
     size = min(len(t).bit_length(), 7)
     return [f"{at}k{name}", f"{at}s{size}{_shape(t)[:4]}"] if name or not t.isalpha() else [f"{at}w{size}"]
 
@@ -206,8 +210,10 @@ class _Known:
         return self.w[[_id(n) for n in names]].sum(0)
 
     def _row(self, t: str) -> int:
-        # of lower-case words without a name only this counts
-        alike = (len(t), len(set(t)), t[:3] == "www", not t.strip("abcdef")) if _LOWER.fullmatch(t) and not _WORDS.search(t) else None
+        # all that the features of a token depend on; most words share it with others
+        low = t.lower()
+        alike = (t.translate(_KINDS_OF), len(set(t)), t[:3] == "www", not t.strip("0123456789abcdef"),
+                 t[:4] if "_" in t[:5] else "", _name_in(low) if _WORDS.search(low) else "")
         if alike in self.plain:
             return self.plain[alike]
         n = self.rows
@@ -217,8 +223,7 @@ class _Known:
         self.v[n, 0] = self._sum(_token_names(t))
         for k, side in enumerate("MLRS"):
             self.v[n, 1 + k] = self._sum(_word_names(t, side))
-        if alike:
-            self.plain[alike] = n
+        self.plain[alike] = n
         return n
 
     def numbers(self, words: list[str]) -> np.ndarray:
@@ -232,9 +237,10 @@ class _Known:
     def scores(self, words: list[str], about: list[str]) -> np.ndarray:
         """[tokens, labels]: ``LinearCRF.emissions`` of ``features``."""
         n, number = len(words), self.numbers(words)
-        e = self.v[number, 0]
+        own = self.v[number]
+        e = own[:, 0].copy()
         for k, by in enumerate((-2, -1, 1, 2)):
-            inner, size = self.v[number, 1 + k], min(n, abs(by))
+            inner, size = own[:, 1 + k], min(n, abs(by))
             if by < 0:
                 e[size:] += inner[:n - size]
                 e[:size] += self.edges[k]
@@ -242,7 +248,7 @@ class _Known:
                 e[:n - size] += inner[size:]
                 e[n - size:] += self.edges[k]
         file = np.array([self._sum([f"{a}{long}" for a in about]) for long in (False, True)])
-        return e + file[np.fromiter((len(w) >= 16 for w in words), np.int64, n)]
+        return e + file[(np.fromiter(map(len, words), np.int64, n) >= 16).astype(np.int64)]
 
 
 class Model:
@@ -277,10 +283,22 @@ class Model:
         # most that a token inside a secret can add to the tagging without any, its share of
         # the transitions included; a secret ends once, and has a token
         into = [max(0.0, *(t[i, k] - t[0, 0] for i in rows)) for k, rows in ((1, (0, 1, 2)), (2, (1, 2)))]
-        gain = (np.maximum(e[:, 1] + into[0], e[:, 2] + into[1]) - e[:, 0]).max()
-        if gain + max(0.0, t[1, 0] - t[0, 0], t[2, 0] - t[0, 0]) < -1e-6:
+        gain = np.maximum(e[:, 1] + into[0], e[:, 2] + into[1]) - e[:, 0]
+        end = max(0.0, t[1, 0] - t[0, 0], t[2, 0] - t[0, 0])
+        if gain.max() + end < -1e-6:
             return None
-        return best_tags(e, t + self.crf.barred, self.crf.start)
+        # the most that any run of tokens with this one inside can add: below 0 it is outside
+        upto = np.append(0.0, np.cumsum(gain))
+        most = np.maximum.accumulate(upto[:0:-1])[::-1] - np.minimum.accumulate(upto[:-1]) + end
+        inside = np.flatnonzero(most > -1e-6)
+        y = [0] * len(e)
+        for run in np.split(inside, np.flatnonzero(np.diff(inside) > 1) + 1) if len(inside) else ():
+            # decoded between its two neighbours, which are outside
+            a, b = max(0, int(run[0]) - 1), min(len(e), int(run[-1]) + 2)
+            part = e[a:b].copy()
+            part[:int(run[0]) - a, 1:] = part[int(run[-1]) + 1 - a:, 1:] = -1e9
+            y[a:b] = best_tags(part, t + self.crf.barred, self.crf.start)
+        return y
 
     def __getstate__(self):
         return {"crf": self.crf}

@@ -166,3 +166,19 @@ def test_files_of_length_zero_get_outputs(spark, tmp_path):
 def test_a_quote_in_a_json_name(spark, tmp_path):
     src = put(f"{tmp_path}/q.ndjson", '{"it\'s":"2020-01-01","its":"x"}\n')
     assert dict(read_files(spark, [src]).dtypes) == {"it's": "date", "its": "string"}
+
+
+def test_workers_get_batches_bounded_in_bytes(spark):
+    """Long lines: 10,000 rows to a batch would be 40 MB."""
+    from pyspark.sql import functions as F
+
+    from ferry.session import BATCH_BYTES, job_session
+
+    def sizes(batches):
+        import pyarrow as pa
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    rows = job_session(spark).range(10_000, numPartitions=1).select(F.repeat(F.lit("x"), 4000).alias("t"))
+    found = [r.n for r in rows.mapInArrow(sizes, "n long").collect()]
+    assert sum(found) >= 40_000_000 and max(found) < 2 * BATCH_BYTES

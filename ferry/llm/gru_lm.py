@@ -15,10 +15,15 @@ import numpy as np
 EMBED, HIDDEN, WIDTH = 16, 16, 64
 WINDOW = 32          # steps of one window; the state goes on into the next
 ROWS = 4096          # states whose classes are worked out at once
+SCORED = 1 << 16     # states scored at once: a class of words has many of them, however few texts still run
 
 
 def _sigmoid(x):
-    return 1.0 / (1.0 + np.exp(-x))
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.divide(1, x, out=x)
 
 
 def _tops(w: np.ndarray, b: np.ndarray) -> list[float | None]:
@@ -87,11 +92,15 @@ class GruLM:
 
     def _step(self, g, h):
         hu = h @ self.p["U"]
-        zr = _sigmoid(g[:, :2 * HIDDEN] + hu[:, :2 * HIDDEN])
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
+        z, r = (_sigmoid(g[:, at:at + HIDDEN] + hu[:, at:at + HIDDEN]) for at in (0, HIDDEN))
         hc = hu[:, 2 * HIDDEN:]
-        cand = np.tanh(g[:, 2 * HIDDEN:] + r * hc)
-        return h + z * (cand - h), (h, z, r, cand, hc)
+        cand = r * hc
+        cand += g[:, 2 * HIDDEN:]
+        np.tanh(cand, out=cand)
+        after = cand - h
+        after *= z
+        after += h
+        return after, (h, z, r, cand, hc)
 
     def _softmax(self, x: np.ndarray, y: np.ndarray, grads: dict | None = None):
         """ln P(y) for states x [n, H]; with ``grads`` also d(sum of -ln P)/dx, and its
@@ -111,46 +120,54 @@ class GruLM:
                 dx[rows] = back @ p["C"].T
         order = np.argsort(own.astype(np.uint16), kind="stable")
         cuts = np.searchsorted(own[order], np.arange(self.word_classes + 1))
+        order = order[:cuts[-1]]
+        xs, ys, inside = x[order], y[order] % WIDTH, np.empty(len(order))
+        dxs = np.empty_like(xs) if grads is not None else None
         tops = _tops(p["O"], p["o"])
         for k in np.flatnonzero(np.diff(cuts)):
-            rows = order[cuts[k]:cuts[k + 1]]
-            xs = x[rows]
-            inside, back = _chances(xs, p["O"][k], p["o"][k], y[rows] - k * WIDTH, tops[k], grads is not None)
-            found[rows] += inside
+            rows = slice(cuts[k], cuts[k + 1])
+            inside[rows], back = _chances(xs[rows], p["O"][k], p["o"][k], ys[rows], tops[k], grads is not None)
             if grads is not None:
-                grads["O"][k], grads["o"][k] = xs.T @ back, back.sum(0)
-                dx[rows] += back @ p["O"][k].T
+                grads["O"][k], grads["o"][k] = xs[rows].T @ back, back.sum(0)
+                np.matmul(back, p["O"][k].T, out=dxs[rows])
+        found[order] += inside
+        if grads is not None:
+            dx[order] += dxs
         return found, dx
 
     # -- scoring -----------------------------------------------------------------
     def log_likelihood(self, texts: list[np.ndarray]) -> np.ndarray:
         """ln P of every whole text (its symbols, then the end).
 
-        Texts run side by side, the longest first; a window ends for all of them
-        at once, and each one's state goes on into the next window until its end.
+        Texts run side by side, the longest first, each until its end; the chances
+        of about SCORED states are worked out at once.
         """
         lengths = np.array([len(t) + 1 for t in texts], np.int64)
         order = np.argsort(-lengths, kind="stable")
         n = lengths[order]
-        flat = np.concatenate([np.append(texts[i], self.end) for i in order] or [np.zeros(0)]).astype(np.int64)
         first = np.cumsum(n) - n
+        flat = np.full(int(n.sum()), self.end, np.int32)
+        for at, i in zip(first, order):
+            flat[at:at + len(texts[i])] = texts[i]
         gates = self.p["E"] @ self.p["W"] + self.p["b"]
         total = np.zeros(len(texts))
         h = np.zeros((len(texts), HIDDEN), np.float32)
-        for start in range(0, int(n[0]) if len(n) else 0, WINDOW):
-            steps = range(start, min(start + WINDOW, int(n[0])))
-            live = [int(np.searchsorted(-n, -t, "left")) for t in steps]      # texts longer than t
-            states, targets = [], []
-            for t, k in zip(steps, live):
-                before = flat[first[:k] + t - 1] if t else np.full(k, self.end)
-                h, _ = self._step(gates[before], h[:k])
-                states.append(h)
-                targets.append(flat[first[:k] + t])
-            found, _ = self._softmax(np.concatenate(states), np.concatenate(targets))
-            at = 0
-            for k in live:
-                total[:k] += found[at:at + k]
-                at += k
+        steps = int(n[0]) if len(n) else 0
+        live = np.searchsorted(-n, -np.arange(steps), "left").tolist()      # texts longer than t
+        states, targets, held = [], [], 0
+        for t, k in enumerate(live):
+            before = targets[-1][:k] if targets else flat[first[:k] + t - 1] if t else np.full(k, self.end)
+            h, _ = self._step(gates[before], h[:k])
+            states.append(h)
+            targets.append(flat[first[:k] + t])
+            held += k
+            if held >= SCORED or t == steps - 1:
+                found, _ = self._softmax(np.concatenate(states), np.concatenate(targets))
+                at = 0
+                for own in targets:
+                    total[:len(own)] += found[at:at + len(own)]
+                    at += len(own)
+                states, targets, held = [], [], 0
         out = np.empty(len(texts))
         out[order] = total
         return out
@@ -164,6 +181,7 @@ class GruLM:
         """
         p, steps = self.p, len(symbols)
         fresh = (symbols == self.end)[..., None]
+        stops = fresh.any((1, 2))
         x = p["E"][symbols]
         gates = x @ p["W"] + p["b"]
         saved, states = [], []
@@ -178,16 +196,26 @@ class GruLM:
         dh = np.zeros_like(h)
         for t in range(steps - 1, -1, -1):
             before, z, r, cand, hc = saved[t]
+            stay = 1 - z
             dh = dh + dx[t]
-            dcand = dh * z * (1 - cand * cand)
-            dz, dr = dh * (cand - before) * z * (1 - z), dcand * hc * r * (1 - r)
+            dcand = dh * z
+            dcand *= 1 - cand * cand
+            dz = dh * (cand - before)
+            dz *= z
+            dz *= stay
+            dr = dcand * hc
+            dr *= r
+            dr *= 1 - r
             dg[t] = np.concatenate([dz, dr, dcand], 1)
             dhu[t] = np.concatenate([dz, dr, dcand * r], 1)
-            dh = np.where(fresh[t], 0, dh * (1 - z) + dhu[t] @ p["U"].T)
+            dh = dh * stay
+            dh += dhu[t] @ p["U"].T
+            if stops[t]:
+                dh[fresh[t, :, 0]] = 0
         flat = lambda a: a.reshape(-1, a.shape[-1])
         grads["U"] = np.concatenate([s[0] for s in saved]).T @ flat(dhu)
         grads["W"], grads["b"], grads["E"] = flat(x).T @ flat(dg), flat(dg).sum(0), np.zeros_like(p["E"])
-        order = np.argsort(symbols.reshape(-1), kind="stable")
+        order = np.argsort(symbols.reshape(-1).astype(np.uint16), kind="stable")
         ids, starts = np.unique(symbols.reshape(-1)[order], return_index=True)
         grads["E"][ids] = np.add.reduceat((flat(dg) @ p["W"].T)[order], starts)
         return found.sum(), grads, h

@@ -30,6 +30,7 @@ documents all counts are 0 and the model is uniform over its classes.
 from __future__ import annotations
 
 import math
+from array import array
 from dataclasses import dataclass
 from hashlib import sha256
 
@@ -48,7 +49,10 @@ TRAIN_DOCS, TRAIN_BYTES = 2000, 4 << 20
 SHARD_TOKENS = 1 << 20     # about as many training tokens a network of the pass over all texts sees
 STREAMS = 256              # rows of texts it learns from at once
 CHUNKS = 64                # parts its weights are added up in
-BLOCK_WORDS = 1 << 20      # words counted or scored at once in a task
+BLOCK_WORDS = 1 << 20      # words counted at once in a task
+SCORE_WORDS = 1 << 21      # words scored at once in a task, so that long texts run beside many others
+SCORE_TEXTS = 1 << 16      # texts scored at once
+SLICE_BYTES = 2 << 20      # whole texts cut into words at once
 CACHE_WORDS = 1 << 18      # words a task remembers
 
 
@@ -57,6 +61,31 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def cut_words(texts):
+    """``words`` of an Arrow array of texts, in slices of whole texts with about SLICE_BYTES:
+    (first row, distinct words, each word's place among them, words of every text)."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    part = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // SLICE_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    for a, b in zip(cuts, cuts[1:]):
+        if a == b:
+            continue
+        found = pc.ascii_split_whitespace(pc.ascii_lower(texts[a:b]))
+        flat, n = found.flatten(), pc.list_value_length(found).to_numpy(zero_copy_only=False).astype(np.int64)
+        full = pc.greater(pc.binary_length(flat), 0)        # white space at an end gives an empty word
+        if len(flat):
+            upto = np.append(0, np.cumsum(full.to_numpy(zero_copy_only=False)))
+            ends = np.cumsum(n)
+            n = upto[ends] - upto[ends - n]
+        flat = flat.filter(full).cast(pa.large_binary()).dictionary_encode()
+        _, ends, data = flat.dictionary.buffers()
+        ends = np.frombuffer(ends, np.int64)[:len(flat.dictionary) + 1].tolist() if ends else [0]
+        data = data.to_pybytes() if data else b""
+        yield a, [data[i:j] for i, j in zip(ends, ends[1:])], flat.indices.to_numpy(zero_copy_only=False), n
+
+
 def key_of(word: bytes) -> bytes:
     """The word itself, or of a long one a mark that no text holds and its digest."""
     return word if len(word) <= LONG_WORD else b"\xff" + sha256(word).hexdigest().encode()
@@ -96,7 +125,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
         numbers, counted, held = _Numbers(), [], 0
 
         def emit():
-            total = np.bincount(np.concatenate(counted), minlength=len(numbers.words))
+            at, n = (np.concatenate(c) for c in zip(*counted))
+            total = np.bincount(at, n, len(numbers.words)).astype(np.int64)
             keys = [key_of(w) for w in numbers.words]
             route = np.fromiter((xxhash.xxh64_intdigest(k) % routes for k in keys), np.int64, len(keys))
             order = np.argsort(route, kind="stable")
@@ -108,11 +138,10 @@ def word_counts(texts: DataFrame) -> DataFrame:
                 ["route", "words", "counts"])
 
         for batch in batches:
-            for text in batch.column(0):
-                own = words(text.as_py())
+            for _, own, at, _ in cut_words(batch.column(0)):
                 if own:
-                    counted.append(np.fromiter(map(numbers.__getitem__, own), np.int64, len(own)))
-                    held += len(own)
+                    counted.append((np.fromiter(map(numbers.__getitem__, own), np.int64, len(own)), np.bincount(at)))
+                    held += len(at)
                 if held >= BLOCK_WORDS:
                     yield emit()
                     numbers, counted, held = _Numbers(), [], 0
@@ -227,13 +256,15 @@ def learn_all(docs: DataFrame, scorer: Scorer, shard_tokens: int = SHARD_TOKENS)
         import pyarrow as pa
         known = _Symbols(shared.value)
         for batch in batches:
-            found = []
-            for text in batch.column(1):
+            for start, own, at, n in cut_words(batch.column(1)):
                 if len(known) > CACHE_WORDS:
                     known.clear()
-                own = words(text.as_py())
-                found.append(np.fromiter(map(known.__getitem__, own), np.uint16, len(own)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["key", "symbols"])
+                symbols = np.fromiter(map(known.__getitem__, own), np.uint16, len(own))[at]
+                ends = np.append(0, 2 * np.cumsum(n)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[start:start + len(n)],
+                     pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(symbols)])],
+                    ["key", "symbols"])
 
     def fit(batches):
         import pyarrow as pa
@@ -285,19 +316,21 @@ def score(docs: DataFrame, scorer: Scorer, counts: DataFrame) -> DataFrame:
         single_thread_blas()
         scorer = shared.value
         lm = scorer.lm
-        numbers, symbol, own, held = _Numbers(), [], [], 0
+        numbers, symbol, times_seen, own, held = _Numbers(), array("H"), array("q"), [], 0
 
         def emit():
-            seen = numbers.words[len(symbol):]
-            symbol.extend(scorer.symbol(key_of(w)) for w in seen)
-            table = np.array(symbol, np.int64).reshape(-1, 2)
-            logs = np.log10(np.maximum(table[:, 1], 0) + 1.0)
+            for w in numbers.words[len(symbol):]:
+                at, c = scorer.symbol(key_of(w))
+                symbol.append(at)
+                times_seen.append(c)
+            symbols, counted = np.array(symbol, np.uint16), np.array(times_seen, np.int64)
+            logs = np.log10(np.maximum(counted, 0) + 1.0)
             log_ends = math.log10(scorer.ends + 1)
-            found = lm.log_likelihood([table[ids, 0] for _, _, ids in own]) / math.log(10)
+            found = lm.log_likelihood([symbols[ids] for _, _, ids in own]) / math.log(10)
             inside = np.log10(scorer.tails)
             rows, asked = [], []
             for (row, doc_id, ids), whole in zip(own, found):
-                s, c, log = table[ids, 0], table[ids, 1], logs[ids]
+                s, c, log = symbols[ids], counted[ids], logs[ids]
                 other = s >= lm.words
                 known = int((c > 0).sum()) + (scorer.ends > 0)
                 whole += log[other].sum() - inside[s[other] - lm.words].sum()
@@ -317,15 +350,16 @@ def score(docs: DataFrame, scorer: Scorer, counts: DataFrame) -> DataFrame:
                  keys.take(pa.array(rare)), pa.array(np.concatenate([t for *_, t in asked]), pa.int64())], names)
 
         for batch in batches:
-            for row, doc_id, text in zip(*batch.columns):
-                found = words(text.as_py())
-                own.append((row.as_py(), doc_id.as_py(), np.fromiter(map(numbers.__getitem__, found), np.int64, len(found))))
-                held += len(found) + 1
-                if held >= BLOCK_WORDS:
+            for start, distinct, at, n in cut_words(batch.column(2)):
+                ids = np.fromiter(map(numbers.__getitem__, distinct), np.int32, len(distinct))[at]
+                which = (batch.column(i)[start:start + len(n)].to_pylist() for i in (0, 1))
+                own.extend(zip(*which, np.split(ids, np.cumsum(n)[:-1])))
+                held += len(ids) + len(n)
+                if held >= SCORE_WORDS or len(own) >= SCORE_TEXTS:
                     yield from emit()
                     own, held = [], 0
                     if len(numbers) > CACHE_WORDS:
-                        numbers, symbol = _Numbers(), []
+                        numbers, symbol, times_seen = _Numbers(), array("H"), array("q")
         if own:
             yield from emit()
 

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ferry.llm import lm
@@ -160,3 +161,22 @@ def test_the_model_learns_from_every_training_document(spark, monkeypatch):
     unseen = [i for i in mine if held(i)]
     assert unseen and all(same[i] > 0.9 * other[i] for i in unseen)
     assert same == pytest.approx(score(there, 7), rel=1e-4)
+
+
+def test_long_texts_are_scored_in_few_array_steps(monkeypatch):
+    """The classes are worked out for many states at once, not window by window."""
+    net, calls, softmax = GruLM(150, 4, np.arange(1, 156)), [], GruLM._softmax
+    monkeypatch.setattr(GruLM, "_softmax", lambda self, x, *a: calls.append(len(x)) or softmax(self, x, *a))
+    net.log_likelihood([np.resize([3, 140, 151], 40 * WINDOW), np.array([], np.int64)])
+    assert calls == [40 * WINDOW + 2]
+
+
+def test_words_are_cut_the_same_in_slices(monkeypatch):
+    monkeypatch.setattr(lm, "SLICE_BYTES", 16)
+    texts = [None, "", " \t", "  A b\x0bÉa\r\n", "x\x1cy z\u2003w ", "a" * 40, None, "b B\x0cb"] * 3
+    for array in (pa.array(texts), pa.array(texts)[2:9], pa.array([], pa.string()), pa.array([None, " "], pa.string())):
+        got = []
+        for start, own, at, n in lm.cut_words(array):
+            assert start == len(got) and len(set(own)) == len(own)
+            got += [[own[i] for i in part] for part in np.split(at, np.cumsum(n)[:-1])]
+        assert got == [lm.words(t) for t in array.to_pylist()]

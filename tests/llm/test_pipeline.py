@@ -64,3 +64,32 @@ def test_stages_take_awkward_tables(spark):
             if name != "sentencepiece":
                 assert now.columns == DOC_COLUMNS
         now.collect()
+
+
+def test_batches_of_long_texts_are_bounded_in_bytes(spark):
+    """What a worker of the token stage is given at once follows the bytes of the texts."""
+    from ferry.llm import pieces
+    from ferry.session import BATCH_BYTES, BATCH_BYTES_CONF
+    kept = spark.conf.get(BATCH_BYTES_CONF, None)
+    try:
+        spark.conf.unset(BATCH_BYTES_CONF)
+        df = spark.range(0, 800, 1, 1).selectExpr("id AS doc_id", "repeat('word and more ', 4000) AS text")
+        pieces.encode_decode(df)
+        sizes = []
+        for r in df.mapInArrow(lambda batches: (b.slice(0, 1).append_column("n", _bytes(b)) for b in batches),
+                               "doc_id long, text string, n long").select("n").collect():
+            sizes.append(r.n)
+        assert len(sizes) > 1 and max(sizes) < 2 * BATCH_BYTES
+        spark.conf.set(BATCH_BYTES_CONF, "1234567")
+        pieces.encode_decode(df)
+        assert spark.conf.get(BATCH_BYTES_CONF) == "1234567"
+    finally:
+        if kept is None:
+            spark.conf.unset(BATCH_BYTES_CONF)
+        else:
+            spark.conf.set(BATCH_BYTES_CONF, kept)
+
+
+def _bytes(batch):
+    import pyarrow as pa
+    return pa.array([batch.nbytes], pa.int64())

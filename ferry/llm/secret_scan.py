@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferry.llm.common import seeded_key, ship, smallest, staged, table
+from ferry.llm.common import seeded_key, ship, smallest_where, staged, table
 from ferry.llm.crf import LinearCRF
 from ferry.llm.pii import digest, find
 
@@ -384,9 +384,9 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_stretches: int =
           per_doc: int = STRETCHES_PER_DOC, longest: int = LONGEST_STRETCH) -> Model:
     ship(docs.sparkSession)
     some = r"(?i)passw|secret|token|api_?key|[A-Za-z0-9+/_=-]{24}"
-    hits = docs.select("text", seeded_key(F.col("doc_id"), "secret").alias("key")) \
-        .filter(F.col("text").rlike(some) & F.col("text").rlike(r"[0-9]"))
-    sample = smallest(hits, train_docs, "key", F.length("text"))
+    keyed = docs.select("text", seeded_key(F.col("doc_id"), "secret").alias("key"))
+    sample = smallest_where(keyed, train_docs, F.col("text").rlike(some) & F.col("text").rlike(r"[0-9]"),
+                            "key", F.length("text"))
 
     def cut(batches):
         import pyarrow as pa

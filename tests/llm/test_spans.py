@@ -220,3 +220,25 @@ def test_training_bounds(spark):
     few = secret_scan.train(docs(spark, [(i, long if i == 0 else f"token: k9d8s7f6g5h4j3{i}k2", "en", "s") for i in range(20)]),
                             train_stretches=12, per_doc=2)
     assert few.all_spans("api_key = Zk9d8s7f6g5h4j3k2", secret_scan.base_spans("api_key = Zk9d8s7f6g5h4j3k2"))
+
+
+def test_secret_sample_is_not_looked_for_in_every_text(spark):
+    """The training documents are those of a plain sort, and the costly condition is
+    worked out on a part of the table, more of it where few rows pass."""
+    from pyspark.sql import functions as F
+
+    from ferry.llm.common import seeded_key, smallest_where
+    rows = spark.range(4000).select("id", seeded_key(F.col("id"), "t").alias("key"))
+    for every, most in ((2, 800), (40, 8000)):
+        looked = spark.sparkContext.accumulator(0)
+
+        def keep(i, every=every, looked=looked):
+            looked.add(1)
+            return i % every == 0
+
+        got = smallest_where(rows, 50, F.udf(keep, "boolean")("id"), "key", "id").collect()
+        plain = rows.filter(F.col("id") % every == 0).orderBy("key", "id").limit(50).collect()
+        assert [r.id for r in got] == [r.id for r in plain]
+        assert looked.value < most
+    none = smallest_where(rows, 50, F.col("id") < 0, "key").collect()
+    assert none == [] and smallest_where(rows.limit(0), 5, F.lit(True)).collect() == []

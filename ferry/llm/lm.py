@@ -14,7 +14,9 @@ hash, each shard's network goes once over all its texts, all from the same start
 weights are averaged by the tokens they saw. So the result does not depend on how the
 table is partitioned. The start is a first fit on a bounded sample (below).
 
-Scoring reads every document whole, once: the network runs over all of it, its
+Every document is cut into words once more, whole, when its words have symbols: these are
+written to the shared scratch folder, and the network learns and scores from there. Scoring
+runs over all of a document, the network's
 state going from window to window. The counts of the at most 131,072 most frequent
 words are broadcast (words above 64 bytes by their SHA-256, so at most about 9 MB);
 rarer words are looked up by a join with the table of counts, and only sums come back.
@@ -199,8 +201,8 @@ class Scorer:
         return (at if at >= 0 else self.lm.words + tail_of(key)), c
 
 
-def train(docs: DataFrame, counts: DataFrame, n_docs: int, train_docs: int = TRAIN_DOCS,
-          train_bytes: int = TRAIN_BYTES, shard_tokens: int = SHARD_TOKENS) -> Scorer:
+def begin(docs: DataFrame, counts: DataFrame, n_docs: int, train_docs: int = TRAIN_DOCS,
+          train_bytes: int = TRAIN_BYTES) -> Scorer:
     """``docs``: the training documents, ``counts``: their words' counts (staged)."""
     single_thread_blas()
     hot = sorted(((bytes(r.key), r.c) for r in most_frequent(counts, HOT_WORDS).select("key", "c").collect()),
@@ -226,50 +228,103 @@ def train(docs: DataFrame, counts: DataFrame, n_docs: int, train_docs: int = TRA
     texts = [t for t in texts if len(t)]
     if texts:
         lm.fit(texts)
+    return scorer
+
+
+def train(docs: DataFrame, counts: DataFrame, n_docs: int, train_docs: int = TRAIN_DOCS,
+          train_bytes: int = TRAIN_BYTES, shard_tokens: int = SHARD_TOKENS) -> Scorer:
+    """The whole model of the training documents ``docs``; see ``begin``."""
+    scorer = begin(docs, counts, n_docs, train_docs, train_bytes)
     if n_docs:
-        learn_all(docs, scorer, shard_tokens)
+        learn_all(encode(docs, scorer), scorer, shard_tokens)
     return scorer
 
 
-class _Symbols(dict):
+class _Seen(_Numbers):
+    """Numbers of words, with what the scorer knows of each."""
+
     def __init__(self, scorer: Scorer):
         super().__init__()
-        self.scorer = scorer
-
-    def __missing__(self, word):
-        number = self[word] = self.scorer.symbol(key_of(word))[0]
-        return number
+        self.scorer, self.symbol, self.count = scorer, array("H"), array("q")
 
+    def look_up(self) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols, occurrences or -1) by number."""
+        for w in self.words[len(self.symbol):]:
+            at, c = self.scorer.symbol(key_of(w))
+            self.symbol.append(at)
+            self.count.append(c)
+        return np.array(self.symbol, np.uint16), np.array(self.count, np.int64)
 
-def learn_all(docs: DataFrame, scorer: Scorer, shard_tokens: int = SHARD_TOKENS) -> None:
-    """The network of ``scorer`` goes once over all documents, in shards side by side.
 
-    A task holds one shard's symbols (two bytes each) and the weights; of all tasks, only
-    sums of weights meet, in ``CHUNKS`` parts."""
+def encode(docs: DataFrame, scorer: Scorer) -> DataFrame:
+    """Every document cut into words once, for the network's learning and for the scores: its
+    symbols (two bytes each) and the sums over words that need no network, and a row for each
+    of its words whose count must be looked up."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(scorer)
-    shards = max(1, -(-scorer.tokens // shard_tokens))
-    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards // 4)
 
-    def encode(batches):
+    def run(batches):
         import pyarrow as pa
-        known = _Symbols(shared.value)
+        scorer = shared.value
+        log_ends, inside = math.log10(scorer.ends + 1), np.log10(scorer.tails)
+        seen = _Seen(scorer)
         for batch in batches:
-            for start, own, at, n in cut_words(batch.column(1)):
-                if len(known) > CACHE_WORDS:
-                    known.clear()
-                symbols = np.fromiter(map(known.__getitem__, own), np.uint16, len(own))[at]
+            for start, own, at, n in cut_words(batch.column(4)):
+                if len(seen) > CACHE_WORDS:
+                    seen = _Seen(scorer)
+                number = np.fromiter(map(seen.__getitem__, own), np.int64, len(own))
+                symbols, counted = (x[number] for x in seen.look_up())
+                logs = np.log10(np.maximum(counted, 0) + 1.0)
+                tail = symbols.astype(np.int64) - scorer.lm.words
+                other = np.where(tail >= 0, logs - inside[np.maximum(tail, 0)], 0.0)
+                text = np.repeat(np.arange(len(n)), n)
+                add = lambda x: np.bincount(text, x[at], len(n))  # noqa: E731, B023
+                known = add(counted > 0).astype(np.int64) + (scorer.ends > 0)
+                ids = [batch.column(i)[start:start + len(n)] for i in range(4)]
                 ends = np.append(0, 2 * np.cumsum(n)).astype(np.int32)
+                flat = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(symbols[at])])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[start:start + len(n)],
-                     pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(symbols)])],
-                    ["key", "symbols"])
+                    [*ids, pa.array(n + 1, pa.int64()), pa.array(known), pa.array(add(logs) + log_ends, pa.float64()),
+                     pa.array(add(other), pa.float64()), flat, pa.nulls(len(n), pa.binary()), pa.nulls(len(n), pa.int64())], ENCODED)
+                asked = counted[at] < 0
+                if asked.any():
+                    pairs, times = np.unique(text[asked] * len(own) + at[asked], return_counts=True)
+                    rare = [key_of(w) for w, c in zip(own, counted.tolist()) if c < 0]
+                    place = np.cumsum(counted < 0) - 1
+                    words = pa.array(rare, pa.binary()).take(pa.array(place[pairs % len(own)]))
+                    kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
+                    yield pa.RecordBatch.from_arrays(
+                        [ids[0].take(pa.array(pairs // len(own))), *(pa.nulls(len(pairs), t) for t in kinds), words,
+                         pa.array(times.astype(np.int64))], ENCODED)
+
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), doc_id.alias("doc_id"),
+                           (~held_out(F.col("doc_id"))).alias("learns"), F.xxhash64(doc_id, text).alias("hash"),
+                           text.alias("text"))
+    return staged(numbered.mapInArrow(run, "row long, doc_id long, learns boolean, hash long, n_tokens long, "
+                                           "n_known long, base double, other double, symbols binary, word binary, "
+                                           "times long"), "lm-parts")
+
+
+ENCODED = ["row", "doc_id", "learns", "hash", "n_tokens", "n_known", "base", "other", "symbols", "word", "times"]
+
+
+def learn_all(encoded: DataFrame, scorer: Scorer, shard_tokens: int = SHARD_TOKENS) -> None:
+    """The network of ``scorer`` goes once over all training documents, in shards side by side.
+
+    A task holds one shard's symbols (two bytes each) and the weights; of all tasks, only
+    sums of weights meet, in ``CHUNKS`` parts."""
+    spark = encoded.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast(scorer.lm)
+    shards = max(1, -(-scorer.tokens // shard_tokens))
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards // 4)
 
     def fit(batches):
         import pyarrow as pa
         single_thread_blas()
-        start = shared.value.lm
+        start = shared.value
         total, seen, held, tokens, at = 0.0, 0, [], 0, None
 
         def learned():
@@ -296,93 +351,75 @@ def learn_all(docs: DataFrame, scorer: Scorer, shard_tokens: int = SHARD_TOKENS)
         return pa.table({"chunk": group.column("chunk")[:1], "seen": [sum(group.column("seen").to_pylist())],
                          "total": pa.array([total.tobytes()], pa.binary())})
 
-    encoded = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("key"), "text") \
-        .mapInArrow(encode, "key long, symbols binary").withColumn("shard", F.pmod("key", F.lit(shards)))
-    sums = encoded.repartition(width, "shard").sortWithinPartitions("shard", "key").select("shard", "symbols") \
+    sums = encoded.filter("word IS NULL AND learns") \
+        .select(F.pmod("hash", F.lit(shards)).alias("shard"), F.col("hash").alias("key"), "symbols") \
+        .repartition(width, "shard").sortWithinPartitions("shard", "key").select("shard", "symbols") \
         .mapInArrow(fit, "chunk int, seen long, total binary") \
         .groupBy("chunk").applyInArrow(add, "chunk int, seen long, total binary").collect()     # about 1 MB
     sums = sorted(sums, key=lambda r: r.chunk)
     scorer.lm.set_weights(np.concatenate([np.frombuffer(r.total) for r in sums]) / sums[0].seen)
 
 
-def score(docs: DataFrame, scorer: Scorer, counts: DataFrame) -> DataFrame:
+def score(encoded: DataFrame, scorer: Scorer, counts: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
-    spark = docs.sparkSession
+    spark = encoded.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(scorer)
+    shared = spark.sparkContext.broadcast(scorer.lm)
 
     def run(batches):
         import pyarrow as pa
         single_thread_blas()
-        scorer = shared.value
-        lm = scorer.lm
-        numbers, symbol, times_seen, own, held = _Numbers(), array("H"), array("q"), [], 0
+        lm, own, held, kept = shared.value, [], 0, []
 
         def emit():
-            for w in numbers.words[len(symbol):]:
-                at, c = scorer.symbol(key_of(w))
-                symbol.append(at)
-                times_seen.append(c)
-            symbols, counted = np.array(symbol, np.uint16), np.array(times_seen, np.int64)
-            logs = np.log10(np.maximum(counted, 0) + 1.0)
-            log_ends = math.log10(scorer.ends + 1)
-            found = lm.log_likelihood([symbols[ids] for _, _, ids in own]) / math.log(10)
-            inside = np.log10(scorer.tails)
-            rows, asked = [], []
-            for (row, doc_id, ids), whole in zip(own, found):
-                s, c, log = symbols[ids], counted[ids], logs[ids]
-                other = s >= lm.words
-                known = int((c > 0).sum()) + (scorer.ends > 0)
-                whole += log[other].sum() - inside[s[other] - lm.words].sum()
-                rows.append((row, doc_id, len(ids) + 1, known, float(log.sum()) + log_ends, float(whole)))
-                rare, times = np.unique(ids[c < 0], return_counts=True)
-                asked.append((row, rare, times))
-            n = [len(r) for _, r, _ in asked]
-            keys = pa.array([key_of(w) for w in numbers.words], pa.binary())
-            rare = np.concatenate([r for _, r, _ in asked])
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            names = ["row", "doc_id", "n_tokens", "n_known", "base", "whole", "key", "times"]
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(c, t) for c, t in zip(zip(*rows), kinds)), pa.nulls(len(rows), pa.binary()),
-                 pa.nulls(len(rows), pa.int64())], names)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat([r for r, *_ in asked], n), pa.int64()), *(pa.nulls(len(rare), t) for t in kinds[1:]),
-                 keys.take(pa.array(rare)), pa.array(np.concatenate([t for *_, t in asked]), pa.int64())], names)
+            found = lm.log_likelihood(own) / math.log(10)
+            rows = pa.Table.from_batches(kept).combine_chunks()
+            whole = pa.array(rows.column("other").to_numpy() + found)
+            return pa.table([*(rows.column(c) for c in ("row", "doc_id", "n_tokens", "n_known", "base")), whole],
+                            ["row", "doc_id", "n_tokens", "n_known", "base", "whole"]).to_batches()
 
         for batch in batches:
-            for start, distinct, at, n in cut_words(batch.column(2)):
-                ids = np.fromiter(map(numbers.__getitem__, distinct), np.int32, len(distinct))[at]
-                which = (batch.column(i)[start:start + len(n)].to_pylist() for i in (0, 1))
-                own.extend(zip(*which, np.split(ids, np.cumsum(n)[:-1])))
-                held += len(ids) + len(n)
+            done = 0
+            flat = batch.column(6)
+            ends = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset:flat.offset + len(flat) + 1] // 2
+            symbols = np.frombuffer(flat.buffers()[2] or b"", np.uint16)
+            for i, (a, b) in enumerate(zip(ends.tolist(), ends[1:].tolist())):
+                own.append(symbols[a:b])
+                held += b - a + 1
                 if held >= SCORE_WORDS or len(own) >= SCORE_TEXTS:
+                    kept.append(batch.slice(done, i + 1 - done).select(list(range(6))))
                     yield from emit()
-                    own, held = [], 0
-                    if len(numbers) > CACHE_WORDS:
-                        numbers, symbol, times_seen = _Numbers(), array("H"), array("q")
+                    own, held, kept, done = [], 0, [], i + 1
+            if done < len(batch):
+                kept.append(batch.slice(done).select(list(range(6))))
         if own:
             yield from emit()
 
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"),
-                           F.col("text").cast("string"))
-    parts = staged(numbered.mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base double, "
-                                            "whole double, key binary, times long"), "lm-parts")
+    # (expensive, so written once)
+    scored = staged(encoded.filter("word IS NULL")
+                    .select("row", "doc_id", "n_tokens", "n_known", "base", "other", "symbols")
+                    .mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base double, whole double"),
+                    "lm-scores")
     # rare words: their counts, and of each document only the sums
-    rare = parts.filter("key IS NOT NULL").select("row", "key", "times").join(counts, "key") \
+    rare = encoded.filter("word IS NOT NULL").select("row", F.col("word").alias("key"), "times").join(counts, "key") \
         .groupBy("row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("more"))
     more, known = F.coalesce("more", F.lit(0.0)), F.coalesce("known", F.lit(0))
-    return parts.filter("key IS NULL").join(rare, "row", "left").select(
+    return scored.join(rare, "row", "left").select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", (F.col("n_known") + known).alias("n_known"),
         F.lit(scorer.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + more - F.col("n_tokens") * F.lit(math.log10(scorer.tokens + scorer.distinct + 1)))
         .alias("base_score"), (F.col("whole") + more).alias("score"))
 
 
-def language_model_scores(docs: DataFrame, **bounds) -> DataFrame:
+def language_model_scores(docs: DataFrame, shard_tokens: int = SHARD_TOKENS, **bounds) -> DataFrame:
     """Counts, model and scores of ``docs`` (doc_id, text); see ``train`` for the bounds."""
     learn = docs.filter(~held_out(F.col("doc_id")))
-    counts = staged(word_counts(learn), "lm-counts")
-    return score(docs, train(learn, counts, learn.count(), **bounds), counts)
+    counts, n_docs = staged(word_counts(learn), "lm-counts"), learn.count()
+    scorer = begin(learn, counts, n_docs, **bounds)
+    encoded = encode(docs, scorer)
+    if n_docs:
+        learn_all(encoded, scorer, shard_tokens)
+    return score(encoded, scorer, counts)
 
 
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -180,3 +180,17 @@ def test_words_are_cut_the_same_in_slices(monkeypatch):
             assert start == len(got) and len(set(own)) == len(own)
             got += [[own[i] for i in part] for part in np.split(at, np.cumsum(n)[:-1])]
         assert got == [lm.words(t) for t in array.to_pylist()]
+
+
+def test_texts_are_cut_once_for_learning_and_scores(spark, monkeypatch):
+    """The network learns and scores from the symbols written by one cut of every text."""
+    rows = [(i, " ".join(f"w{(i * j) % 37}" for j in range(i % 9)), "en", "s") for i in range(90)] + [(90, None, "en", "s")]
+    df, cuts, encode = docs(spark, rows), [], lm.encode
+    monkeypatch.setattr(lm, "encode", lambda *a: cuts.append(encode(*a)) or cuts[-1])
+    out = {r.doc_id: r for r in lm.language_model_scores(df).collect()}
+    assert len(cuts) == 1
+    own = {r.doc_id: r for r in cuts[0].filter("word IS NULL").collect()}
+    assert len(out) == len(own) == 91
+    for doc_id, text, *_ in rows:
+        assert len(own[doc_id].symbols) == 2 * len((text or "").split()) and out[doc_id].n_tokens == own[doc_id].n_tokens
+        assert own[doc_id].learns == (not out[doc_id].held_out)

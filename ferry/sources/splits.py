@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from ferry.session import conf_bytes
+
 
 def split_bytes(spark: SparkSession, sizes: list[int]) -> int:
     """Largest split Spark cuts for these files (its documented sizing rule:
     ``min(maxPartitionBytes, max(openCostInBytes, total / minPartitionNum)``)."""
     conf = spark.conf
-    max_part = int(conf.get("spark.sql.files.maxPartitionBytes", "134217728").rstrip("b"))
-    open_cost = int(conf.get("spark.sql.files.openCostInBytes", "4194304").rstrip("b"))
+    max_part = conf_bytes(spark, "spark.sql.files.maxPartitionBytes", 128 << 20)
+    open_cost = conf_bytes(spark, "spark.sql.files.openCostInBytes", 4 << 20)
     min_parts = conf.get("spark.sql.files.minPartitionNum", None)
     parallelism = int(min_parts) if min_parts else spark.sparkContext.defaultParallelism
     total = sum(s + open_cost for s in sizes)

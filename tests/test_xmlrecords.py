@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from ferry.functions.internal import SRC_BLOCK, SRC_POS
-from ferry.session import job_session
+from ferry.session import conf_bytes, job_session
 from ferry.sources import probe, readers
 from ferry.sources.readers import read_files
+from ferry.sources.splits import split_bytes
 
 from tests.conftest import write
 
@@ -79,6 +80,27 @@ def test_rows_of_splits_are_those_of_the_whole_file(spark, tmp_path, more):
     assert split.orderBy("_id").collect() == whole.orderBy("_id").collect()
 
 
+def test_split_sizes_written_with_a_unit(spark, tmp_path):
+    # "16m" used to stop the read: invalid literal for int()
+    for tag in ("row", "item"):
+        write(str(tmp_path / f"{tag}.xml"), f"<root>{_rows(300).replace('row', tag)}</root>")
+    js = _small_splits(spark)
+    js.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    js.conf.set("spark.sql.files.openCostInBytes", "64b")
+    assert split_bytes(js, [1 << 20]) == 4096
+    back = read_files(js, [str(tmp_path / "row.xml"), str(tmp_path / "item.xml")], tag=True)
+    assert back.select(F.countDistinct(SRC_BLOCK)).first()[0] > 3
+    assert sorted(r._id for r in back.select("_id").collect()) == sorted([*range(300)] * 2)
+
+
+@pytest.mark.parametrize("text,size", [("4096", 4096), ("4096b", 4096), ("16m", 16 << 20), ("1G", 1 << 30), ("-1", -1)])
+def test_sizes_of_settings(spark, text, size):
+    js = job_session(spark)
+    js.conf.set("spark.ferry.test", text)
+    assert conf_bytes(js, "spark.ferry.test", 7) == size
+    assert conf_bytes(js, "spark.ferry.unset", 7) == 7
+
+
 def test_odd_file_longer_than_a_split_is_read_whole(spark, tmp_path):
     path = write(str(tmp_path / "a.xml"), f"<root><!-- <row> -->{_rows(300)}</root>")
     assert read_files(_small_splits(spark), [path]).count() == 300

@@ -37,7 +37,7 @@ from ferry.operators.report import count_lines
 from ferry.operators.sqlstage import read_sql_text, run_sql, run_sql_as
 from ferry.operators.transform import apply_steps, as_chain
 from ferry.plans.job import Job, JobError
-from ferry.session import job_session, scratch_path
+from ferry.session import conf_bytes, job_session, scratch_path
 from ferry.sinks import layout, writers
 from ferry.sinks.fs import HadoopFS
 from ferry.sources.catalogue import Catalogue, CatalogueError, find_input_files
@@ -112,7 +112,7 @@ def read_files_whole(js: SparkSession, sizes: list[int]) -> None:
     one task.
     """
     biggest = max(sizes, default=0) + 1
-    if biggest > int(js.conf.get("spark.sql.files.maxPartitionBytes", "134217728").rstrip("b")):
+    if biggest > conf_bytes(js, "spark.sql.files.maxPartitionBytes", 128 << 20):
         js.conf.set("spark.sql.files.maxPartitionBytes", str(biggest))
         js.conf.set("spark.sql.files.openCostInBytes", str(biggest))
 

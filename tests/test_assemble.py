@@ -1,5 +1,10 @@
 """The concat path of assembly, against a fake file system (no HDFS here)."""
 
+from xml.etree import ElementTree
+
+import pytest
+from pyspark.sql import functions as F
+
 from ferry.sinks.assemble import _try_fs_concat
 
 
@@ -89,3 +94,43 @@ def test_repeated_headers_with_quoted_newlines(spark, tmp_path):
     target = str(tmp_path / "out.csv")
     assemble(spark, [(target, [str(tmp_path / "p1"), str(tmp_path / "p2")])], repeated_header=True)
     assert open(target).read() == '"a\nb",c\n1,1\n2,2\n'
+
+
+@pytest.mark.parametrize("rows", [[], [5], [3, 5], [0, 7]])
+def test_xml_parts_without_rows(spark, tmp_path, rows):
+    # a first part of length 0 took the root's start tag with it
+    from ferry.sinks import layout
+    target = str(tmp_path / "out.xml")
+    layout.write_single(spark.range(0, 8, 1, 4).where(F.col("id").isin(rows)), "xml", target, xml_root="all", xml_row="one")
+    root = ElementTree.parse(target).getroot()
+    assert root.tag == "all" and [e.find("id").text for e in root] == [str(i) for i in rows]
+
+
+def test_xml_of_a_table_whose_first_split_has_no_rows(spark, tmp_path):
+    # one row group cut into splits: only the split around its middle has rows
+    from ferry.plans import suite
+    from ferry.session import job_session
+    i = F.col("id")
+    table = spark.range(5000).coalesce(1).select(
+        i.alias("c_custkey"), F.concat(F.lit("Customer#"), i).alias("c_name"), (i % 25).cast("int").alias("c_nationkey"),
+        (i / 4).alias("c_acctbal"), F.when(i % 7 > 0, F.lit("BUILDING")).alias("c_mktsegment"))
+    table.write.option("compression", "none").parquet(str(tmp_path / "customer.parquet"))
+    js = job_session(spark)
+    js.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    js.conf.set("spark.sql.files.openCostInBytes", "1k")
+    assert sorted(suite.xml_custom_root(js, str(tmp_path)).collect()) == sorted(table.collect())
+
+
+def test_settings_of_sizes_with_a_unit(spark, tmp_path):
+    from ferry.plans import runner, suite
+    from ferry.session import job_session
+    from ferry.sinks import layout
+    js = job_session(spark)
+    for key, value in (("maxPartitionBytes", "16m"), ("openCostInBytes", "1m")):
+        js.conf.set(f"spark.sql.files.{key}", value)
+    js.conf.set(layout.ASSEMBLE_MIN_BYTES_CONF, "8m")
+    assert layout.assemble_min_bytes(js) == 8 << 20 and layout.in_scan_order(js, [1 << 30])
+    runner.read_files_whole(js, [1 << 20])
+    assert js.conf.get("spark.sql.files.maxPartitionBytes") == "16m"
+    spark.range(10).write.parquet(str(tmp_path / "events.parquet"))
+    assert suite._session(js, str(tmp_path), "events").conf.get("spark.sql.files.maxPartitionBytes") == "65536"

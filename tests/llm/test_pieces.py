@@ -70,3 +70,39 @@ def test_other_models_are_refused(tmp_path):
     bad.write_bytes(b"no model")
     with pytest.raises(Exception):
         pieces.Pieces(str(bad))
+
+
+class _InThisProcess:
+    """A table whose rows the query's function gets here and not in a worker."""
+
+    def __init__(self, spark, texts):
+        import pyarrow as pa
+        self.sparkSession = spark
+        self.batch = pa.RecordBatch.from_arrays(
+            [pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return sum(b.num_rows for b in run(iter([self.batch])))
+
+
+@pytest.mark.parametrize("at", [0, 5, 31, 33, 39])
+@pytest.mark.parametrize("what", ["ids", "text"])
+def test_every_document_is_compared(spark, monkeypatch, at, what):
+    # only documents 0 and 32 of these were, and never their decoded text
+    texts = [f"a plain text {i}" if i % 7 else None for i in range(40)]
+    mine = pieces.Pieces(pieces.model_path())
+    monkeypatch.setattr(pieces, "load", lambda path: mine)
+    rows = _InThisProcess(spark, texts)
+    assert pieces.encode_decode(rows) == 40
+    texts[at] = "an odd text"
+    if what == "ids":
+        right = mine._segment_ids
+        monkeypatch.setattr(mine, "_segment_ids", lambda seg: (5,) if seg == "▁odd" else right(seg))
+    else:
+        right = mine.decode
+        monkeypatch.setattr(mine, "decode", lambda ids: right(ids).replace("odd", "even"))
+    with pytest.raises(ValueError, match="differ from the library's"):
+        pieces.encode_decode(_InThisProcess(spark, texts))
